@@ -2,13 +2,14 @@
 
 A page becomes three records: the response (or revisit), the request and the metadata; the last two name the first in
 WARC-Concurrent-To. A record ends with CRLF CRLF, which is the writer's line separator, so the files are plain WARC
-and go through Spark's commit protocol to any store.
+and go through Spark's commit protocol to any store. They are gzip files of one member each unless asked otherwise.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from gzip import decompress
 from hashlib import sha256
 
 import pyarrow as pa
@@ -37,7 +38,7 @@ def _record(block: F.Column, *headers) -> F.Column:
     return F.concat(_lines(F.lit("WARC/1.1"), *headers, _field("Content-Length", F.octet_length(block).cast("string"))), F.lit(CRLF), block)
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit: int = 100, date: str = "2026-01-01T00:00:00Z", records_per_file: int = 6000) -> None:
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit: int = 100, date: str = "2026-01-01T00:00:00Z", records_per_file: int = 6000, compression: str = "gzip") -> None:
     """Write every page to archives under `path`.
 
     Of pages with equal payloads of at least `least_revisit` bytes, that of the smallest id is a response and the
@@ -70,7 +71,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     told = _lines(_field("page_id", F.col("page_id").cast("string")), _field("payload_bytes", F.col("n").cast("string")))
     metadata = _record(told, F.lit("WARC-Type: metadata"), _field("WARC-Record-ID", name(F.col("page_id"), "metadata")), dated, uri, concurrent, F.lit("Content-Type: application/warc-fields"))
     records = rows.select(F.explode(F.array(F.when(revisit, again).otherwise(response), request, metadata)).alias("value"))
-    records.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).text(path)
+    records.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
 
 
 _HEADER = re.compile(rb"([^\r\n:]+):[ \t]*([^\r\n]*)\r\n")
@@ -79,6 +80,8 @@ _PAGE = re.compile(rb"urn:page:(-?\d+|null):")
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of each record; raises where a record is torn."""
+    if archive[:2] == b"\x1f\x8b":
+        archive = decompress(archive)
     at, end = 0, len(archive)
     while at < end:
         if archive[at : at + 2] == b"\r\n":
