@@ -32,7 +32,7 @@ def nfc(c: Column | str) -> Column:
 
 
 def is_nfc(c: Column | str) -> Column:
-    return ~col(c).rlike(r"[^\x00-\x7f]") | nfc(c).eqNullSafe(col(c))
+    return ~col(c).rlike(r"[^\x00-\x7f]") | (nfc(c) == col(c))
 
 
 def pstrip(c: Column | str) -> Column:
