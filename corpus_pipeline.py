@@ -41,7 +41,7 @@ def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens and whether the ids decode to the text again."""
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "text")))
+    both = bpe.round_trip(docs.select("doc_id", "text"))
     same = F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))
     return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 

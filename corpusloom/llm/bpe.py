@@ -29,6 +29,12 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def vocabulary_size(path: str | None = None) -> int:
+    """One more than the largest id of a tokenizer file."""
+    model = json.load(open(path or vocabulary_path(), encoding="utf-8"))
+    return 1 + max([*model["model"]["vocab"].values(), *(x["id"] for x in model["added_tokens"])])
+
+
 def byte_letters() -> dict[int, str]:
     """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from U+0100 on."""
     plain = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
@@ -66,9 +72,10 @@ class TrieEncoder:
             whole = self.ids[a + b]
             self.merges[self.ids[a], self.ids[b]] = rank, whole
             self.made.setdefault(whole, (rank, self.ids[a], self.ids[b]))
-        self.tails = {w[k:] for w in self.ids for k in range(len(w))}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        #: Every end of a token, with the token that it is by itself, or -1. A token that the merges don't reach is none.
+        self.tails = dict.fromkeys((w[k:] for w in self.ids for k in range(1, len(w))), -1)
+        self.tails |= {w: i if self.merged(w) == [i] else -1 for w, i in self.ids.items()}
+        self.pairs: dict[int, bool] = {}
 
     def merged(self, word: bytes) -> list[int]:
         """The plain merge loop, the definition that the trie's states follow."""
@@ -81,11 +88,6 @@ class TrieEncoder:
             ids[k : k + 2] = [self.merges[ids[k], ids[k + 1]][1]]
         return ids
 
-    def _stands(self, token: int) -> bool:
-        if token not in self.whole:
-            self.whole[token] = self.merged(self.bytes[token]) == [token]
-        return self.whole[token]
-
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens that lie at one edge of a token as it is built, each with the rank of the merge that takes it."""
         out, until = [], inf
@@ -98,7 +100,7 @@ class TrieEncoder:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether no merge crosses the border of two adjacent tokens."""
-        if (known := self.pairs.get((a, b))) is not None:
+        if (known := self.pairs.get(a << 32 | b)) is not None:
             return known
         left, right, i, j, ok = self._edge(a, 2), self._edge(b, 1), 0, 0, True
         while True:
@@ -113,35 +115,40 @@ class TrieEncoder:
                 i += 1
             else:
                 j += 1
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > 300_000:
             self.pairs.clear()
-        self.pairs[a, b] = ok
+        self.pairs[a << 32 | b] = ok
         return ok
 
-    def encode_words(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
-        """Token ids of distinct words; the states of a shared prefix are found once."""
-        out: dict[bytes, list[int]] = {}
+    def encode_words(self, words: Iterable[bytes], shown: list | None = None) -> dict[bytes, list]:
+        """Token ids of distinct words, or what `shown` has for each id; the states of a shared prefix are found once."""
+        out: dict[bytes, list] = {}
         last, before = [-1], b""
-        ids, tails, lengths = self.ids, self.tails, self.bytes
+        tail_of, known, fits, lengths = self.tails.get, self.pairs.get, self.fits, [len(x) for x in self.bytes]
         for word in sorted(words):
-            shared = len(os.path.commonprefix((before, word)))
+            shared, most = 0, min(len(before), len(word))
+            while shared < most and before[shared] == word[shared]:
+                shared += 1
             del last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                found = -1
-                for start in range(end - 1, -1, -1):
-                    tail = word[start:end]
-                    if tail not in tails:
-                        break
-                    token = ids.get(tail)
-                    if token is not None and self._stands(token) and (not start or self.fits(last[start], token)):
-                        found = token
-                        break
-                last.append(found)
+                start = end - 1
+                while True:
+                    token = tail_of(word[start:end])
+                    if token >= 0:
+                        if not start:
+                            break
+                        pair = last[start] << 32 | token
+                        if known(pair) or known(pair) is None and fits(last[start], token):
+                            break
+                    start -= 1
+                last.append(token)
             at, back = len(word), []
             while at:
-                back.append(last[at])
-                at -= len(lengths[last[at]])
-            out[word] = back[::-1]
+                token = last[at]
+                back.append(token if shown is None else shown[token])
+                at -= lengths[token]
+            back.reverse()
+            out[word] = back
             before = word
         return out
 
@@ -150,10 +157,10 @@ class Codec:
     """Texts to ids and back. Pieces between white-space borders are remembered, `remember` of them at most.
 
     `engine` "trie" encodes the distinct words of new pieces with TrieEncoder; "library" has the tokenizers library
-    encode the new pieces. Both give the ids of the library for the whole text.
+    encode the new pieces, many at a time with an added token between them. Both give the library's ids of the whole text.
     """
 
-    def __init__(self, path: str, engine: str = "trie", width: str = "<i4", remember: int = 300_000):
+    def __init__(self, path: str, engine: str = "trie", width: str = "<i4", remember: int = 250_000):
         import re
 
         from tokenizers import Tokenizer
@@ -163,9 +170,16 @@ class Codec:
         self.library.no_padding()
         self.trie = TrieEncoder(path)
         self.engine, self.width, self.remember = engine, np.dtype(width), remember
+        self.packed = [np.array([i], self.width).tobytes() for i in range(len(self.trie.bytes))]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pieces = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
+        #: Pieces of Latin letters, digits and ASCII marks but the apostrophe, whose words need no pattern of Unicode classes.
+        latin, marks = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "!-&(-/:-@\\[-`{-~"
+        self.plain = re.compile(f"[ \n]?[{latin}0-9{marks}]+").fullmatch
+        self.words = re.compile(f" ?[{latin}]+| ?[0-9]+| ?[{marks}]+|\n").findall
         self.added = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.trie.added, key=len, reverse=True)) + ")") if self.trie.added else None
+        self.letters = {c: b for b, c in byte_letters().items()}
 
     def _split(self, text: str) -> list[str]:
         """Pieces that are encoded alike alone and in the text; an added token's string is a piece of its own."""
@@ -173,34 +187,47 @@ class Codec:
             return self.pieces(text)
         return [p for part in self.added.split(text) for p in ([part] if part in self.trie.added else self.pieces(part))]
 
-    def _learn(self, new: set[str]) -> None:
-        if len(self.known) + len(new) > self.remember:
-            self.known.clear()
+    def _words(self, piece: str) -> list[bytes]:
+        if self.plain(piece):
+            return [w.encode() for w in self.words(piece)]
+        return [bytes(self.letters[c] for c in w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(piece)]
+
+    def _learn(self, new: list[str]) -> None:
         if self.engine == "library":
-            order = list(new)
-            for p, e in zip(order, self.library.encode_batch(order, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, self.width).tobytes()
+            between, mark = next(iter(self.trie.added.items()), ("", -1))
+            alone = [p for p in new if not between or p in self.trie.added]
+            for p in alone:
+                self.known[p] = np.array(self.library.encode(p, add_special_tokens=False).ids, self.width).tobytes()
+            rest, size = [p for p in new if p not in self.known], self.width.itemsize
+            for at in range(0, len(rest), 4096):
+                part = rest[at : at + 4096]
+                ids = np.array([*self.library.encode(between.join(part), add_special_tokens=False).ids, mark], self.width)
+                ends, start, flat = (np.flatnonzero(ids == mark) * size).tolist(), 0, ids.tobytes()
+                for p, end in zip(part, ends, strict=True):
+                    self.known[p] = flat[start:end]
+                    start = end + size
             return
-        words, of = set(), {}
-        cut, letters = self.library.pre_tokenizer.pre_tokenize_str, {c: b for b, c in byte_letters().items()}
+        of = {p: self._words(p) for p in new if p not in self.trie.added}
+        ids = self.trie.encode_words(set(chain.from_iterable(of.values())), self.packed)
         for p in new:
-            if p in self.trie.added:
-                self.known[p] = np.array([self.trie.added[p]], self.width).tobytes()
-            else:
-                of[p] = [bytes(letters[c] for c in w) for w, _ in cut(p)]
-                words.update(of[p])
-        ids = self.trie.encode_words(words)
-        for p, parts in of.items():
-            self.known[p] = np.array([i for w in parts for i in ids[w]], self.width).tobytes()
+            self.known[p] = b"".join([i for w in of[p] for i in ids[w]]) if p in of else self.packed[self.trie.added[p]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian integers; null is as empty."""
+        """Ids of each text as little-endian integers; null is as empty.
+
+        Pieces of the last `remember` new ones or of those before are known; older ones are forgotten.
+        """
         split = [self._split(t) if t else [] for t in texts]
-        new = {p for p in set(chain.from_iterable(split)) if p not in self.known}
-        if new:
-            self._learn(new)
-            if gone := {p for p in chain.from_iterable(split) if p not in self.known}:
-                self._learn(gone)
+        every = set(chain.from_iterable(split))
+        if len(self.known) > self.remember:
+            self.older, self.known = self.known, {}
+        missing = every.difference(self.known)
+        if missing and self.older:
+            old = missing.intersection(self.older)
+            self.known.update((p, self.older[p]) for p in old)
+            missing -= old
+        if missing:
+            self._learn(list(missing))
         get = self.known.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
@@ -220,7 +247,7 @@ def codec(path: str, engine: str = "trie", width: str = "<i4") -> Codec:
     return _codecs[key]
 
 
-def slices(texts: list, most: int = 4_000_000) -> Iterator[list]:
+def slices(texts: list, most: int = 2_000_000) -> Iterator[list]:
     """Runs of texts of about `most` characters, so that what a batch expands to stays small."""
     run, size = [], 0
     for t in texts:
@@ -284,6 +311,20 @@ def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None, text_co
     return map_texts(df, ids_col, f"`{text_col}` string", kernel)
 
 
+def round_trip(df: DataFrame, text_col: str = "text", path: str | None = None, keep_text: bool = True) -> DataFrame:
+    """encode() and then decode() of its ids, in one Python worker: all columns of df with `ids` and `decoded`."""
+    path, ids_col, out_col = path or vocabulary_path(), free_name(df, "ids"), free_name(df, "decoded")
+
+    def kernel(texts: list) -> dict[str, pa.Array]:
+        own = codec(path)
+        flat = own.encode(texts)
+        offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in flat]))).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(flat), "<i4")))
+        return {ids_col: ids, out_col: pa.array([own.decode(np.frombuffer(x, "<i4").tolist()) for x in flat], pa.string())}
+
+    return map_texts(df, text_col, f"`{ids_col}` array<int>, `{out_col}` string", kernel, keep_text)
+
+
 def with_digests(encoded: DataFrame, ids_col: str = "ids", text_col: str = "decoded") -> list[F.Column]:
     """n_tokens, ids_sha256 and decoded_sha256 of encoded and decoded rows."""
     ids = F.col(ids_col)

@@ -25,7 +25,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = bpe.decode(bpe.encode(docs, keep_text=False))
+    both = bpe.round_trip(docs, keep_text=False)
     return both.select("doc_id", *bpe.with_digests(both))
 
 
