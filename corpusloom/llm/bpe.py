@@ -157,7 +157,7 @@ class Codec:
     """Texts to ids and back. Pieces between white-space borders are remembered, `remember` of them at most.
 
     `engine` "trie" encodes the distinct words of new pieces with TrieEncoder; "library" has the tokenizers library
-    encode the new pieces, many at a time with an added token between them. Both give the library's ids of the whole text.
+    encode the new pieces, many at a time as lines. Both give the library's ids of the whole text.
     """
 
     def __init__(self, path: str, engine: str = "trie", width: str = "<i4", remember: int = 250_000):
@@ -165,6 +165,7 @@ class Codec:
 
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks of a worker's machine are parallel already
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -180,6 +181,9 @@ class Codec:
         self.words = re.compile(f" ?[{latin}]+| ?[0-9]+| ?[{marks}]+|\n").findall
         self.added = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.trie.added, key=len, reverse=True)) + ")") if self.trie.added else None
         self.letters = {c: b for b, c in byte_letters().items()}
+        self.solid = re.compile(f" ?[^{SPACE}]+").fullmatch
+        self.marked = re.compile(f"(.*[{latin}0-9])([{marks}]+)").fullmatch
+        self.line_end = self.trie.ids[b"\n"]
 
     def _split(self, text: str) -> list[str]:
         """Pieces that are encoded alike alone and in the text; an added token's string is a piece of its own."""
@@ -194,24 +198,43 @@ class Codec:
 
     def _learn(self, new: list[str]) -> None:
         if self.engine == "library":
-            between, mark = next(iter(self.trie.added.items()), ("", -1))
-            alone = [p for p in new if not between or p in self.trie.added]
-            for p in alone:
-                self.known[p] = np.array(self.library.encode(p, add_special_tokens=False).ids, self.width).tobytes()
-            rest, size = [p for p in new if p not in self.known], self.width.itemsize
-            for at in range(0, len(rest), 4096):
-                part = rest[at : at + 4096]
-                ids = np.array([*self.library.encode(between.join(part), add_special_tokens=False).ids, mark], self.width)
-                ends, start, flat = (np.flatnonzero(ids == mark) * size).tolist(), 0, ids.tobytes()
-                for p, end in zip(part, ends, strict=True):
-                    self.known[p] = flat[start:end]
-                    start = end + size
+            self._learn_by_library(new)
             return
         of = {p: self._words(p) for p in new if p not in self.trie.added}
         ids = self.trie.encode_words(set(chain.from_iterable(of.values())), self.packed)
         for p in new:
             self.known[p] = b"".join([i for w in of[p] for i in ids[w]]) if p in of else self.packed[self.trie.added[p]]
 
+    def _learn_by_library(self, new: list[str]) -> None:
+        """Pieces without inner white space go to the library as lines of short texts: a lone line end is a word and a
+        token of its own before any of them, so its ids part theirs. Marks after a letter or digit are words of their own."""
+        bodies, tails, alone = {}, {}, []
+        for p in new:
+            if p in self.trie.added or not self.solid(p):
+                alone.append(p)
+            elif (m := None if p[-1].isalnum() else self.marked(p)) is not None:
+                tails[p] = m.groups()
+            else:
+                bodies[p] = None
+        for body, marks in tails.values():
+            if body not in self.known:
+                bodies[body] = None
+            if marks not in self.known:
+                bodies[marks] = None
+        self.known.update(zip(alone, (x.tobytes() for x in self._by_library(alone)), strict=True))
+        rest, size = list(bodies), self.width.itemsize
+        for at in range(0, len(rest), 8192):
+            lines = [rest[k : k + 256] for k in range(at, min(at + 8192, len(rest)), 256)]
+            for part, ids in zip(lines, self._by_library(["\n".join(x) + "\n" for x in lines]), strict=True):
+                ends, start, flat = (np.flatnonzero(ids == self.line_end) * size).tolist(), 0, ids.tobytes()
+                for p, end in zip(part, ends, strict=True):
+                    self.known[p] = flat[start:end]
+                    start = end + size
+        self.known.update((p, self.known[body] + self.known[marks]) for p, (body, marks) in tails.items())
+
+    def _by_library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.width) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian integers; null is as empty.
 
