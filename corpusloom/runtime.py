@@ -21,11 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once per application, and bound an Arrow batch.
 
-    Texts may be long, so a batch ends at 500 rows or 32 MB unless the session asks for another number of rows.
+    Texts may be long, so a batch ends at 500 rows or 8 MB unless the session asks for another number of rows.
     """
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
