@@ -160,7 +160,7 @@ class Codec:
     encode the new pieces, many at a time as lines. Both give the library's ids of the whole text.
     """
 
-    def __init__(self, path: str, engine: str = "trie", width: str = "<i4", remember: int = 250_000):
+    def __init__(self, path: str, engine: str = "trie", width: str = "<i4", remember: int = 500_000):
         import re
 
         from tokenizers import Tokenizer
