@@ -45,11 +45,15 @@ class Index:
         """(centroid, squared distance) of the nearest centroids found for each row, nearest first.
 
         Best-first walk over the graph for all rows at once: each row expands its nearest centroid that it hasn't
-        expanded, until none of its pool is left.
+        expanded, until none of its pool is left. A pool of an eighth of all centroids or more is found by looking at all.
         """
         n, k = len(x), len(self.centroids)
         pool = min(pool, k)
         norms = (self.centroids**2).sum(axis=1)
+        if 8 * pool >= k:
+            d = norms - 2 * x @ self.centroids.T
+            ids = np.argsort(d, axis=1, kind="stable")[:, :pool]
+            return ids, np.take_along_axis(d, ids, axis=1) + (x**2).sum(axis=1, keepdims=True)
         far = lambda ids: norms[ids] - 2 * np.einsum("nmd,nd->nm", self.centroids[ids], x)
         start = np.broadcast_to(self.entries, (n, len(self.entries)))
         seen, done = np.zeros((n, k + 1), bool), np.zeros((n, k + 1), bool)
@@ -72,6 +76,10 @@ class Index:
             ids[rows], d[rows] = self._best(*both, pool)
         return ids, d + (x**2).sum(axis=1, keepdims=True)
 
+    def asking(self, x: np.ndarray) -> np.ndarray:
+        """Query vectors in the centroids' space, as long as the indexed ones."""
+        return np.concatenate((x * (self.longest / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)), np.zeros((len(x), 1))), axis=1)
+
     def _best(self, ids: np.ndarray, d: np.ndarray, pool: int) -> tuple[np.ndarray, np.ndarray]:
         if ids.shape[1] < pool:
             gap = pool - ids.shape[1]
@@ -122,7 +130,8 @@ def _lists(rows: DataFrame, index, pool: int, copies: int, ratio: float, lifted:
     """(list, vec_id, vector): each row once for every list that it goes to.
 
     Lists are those within `ratio` times the distance of the nearest, `copies` at most; with `prune`, a list is left
-    out that lies nearer to one already chosen than to the vector (which would hold the same neighbours).
+    out that lies nearer to one already chosen than to the vector (which would hold the same neighbours); without, the
+    nearest eighth of `copies` is taken whatever its distance, as a query that is itself a centroid has ratio to none.
     """
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +140,7 @@ def _lists(rows: DataFrame, index, pool: int, copies: int, ratio: float, lifted:
             if not b.num_rows:
                 continue
             x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1).astype(np.float64)
-            x = own.lifted(x) if lifted else np.concatenate((x * (own.longest / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)), np.zeros((len(x), 1))), axis=1)
+            x = own.lifted(x) if lifted else own.asking(x)
             ids, d = own.search(x, pool)
             d = np.sqrt(np.maximum(d, 0))
             ok = (ids < len(own.centroids)) & (d <= d[:, :1] * ratio)
@@ -145,6 +154,7 @@ def _lists(rows: DataFrame, index, pool: int, copies: int, ratio: float, lifted:
                         else:
                             ok[r, j] = False
             else:
+                ok[:, : copies // 8] = ids[:, : copies // 8] < len(own.centroids)
                 ok &= np.cumsum(ok, axis=1) <= copies
             row, col = np.nonzero(ok)
             yield pa.RecordBatch.from_arrays([pa.array(ids[row, col].astype(np.int32)), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))], names=["list", "vec_id", "vector"])
@@ -175,17 +185,70 @@ def _matched(k: int):
     return of_group
 
 
+def _exact(classes: DataFrame, own: np.ndarray, queries: np.ndarray, k: int) -> list:
+    """(query, vec_id) of the k best classes but itself for each query, by brute force; `own` are the queries' classes.
+
+    Each task keeps k rows a query, so few queries are asked.
+    """
+    held = classes.sparkSession.sparkContext.broadcast((own, queries))
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, y = held.value
+        ids, scores = np.full((len(y), k), -1, np.int64), np.full((len(y), k), -np.inf)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = b.column(0).to_numpy()
+            found = y @ b.column(1).flatten().to_numpy().reshape(b.num_rows, -1).astype(np.float64).T
+            found[mine[:, None] == v] = -np.inf
+            ids, scores = np.concatenate((ids, np.broadcast_to(v, found.shape)), axis=1), np.concatenate((scores, found), axis=1)
+            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            ids, scores = np.take_along_axis(ids, top, axis=1), np.take_along_axis(scores, top, axis=1)
+        row, col = np.nonzero(scores > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(ids[row, col]), pa.array(scores[row, col])], names=["query", "vec_id", "score"])
+
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    top = classes.select("vec_id", "vector").mapInArrow(of_batches, "query int, vec_id long, score double")
+    return top.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("query", "vec_id").collect()
+
+
+def tuned(index: Index, queries: np.ndarray, wanted: list[tuple[int, list[int]]], probes: int, ratio: float, recall: float) -> tuple[int, float]:
+    """The probes and ratio, those given at least, with which the queries find `recall` of their true neighbours.
+
+    `wanted` has (query, lists that hold it) for each neighbour. Probes double until enough neighbours are in the lists
+    reached, at the latest with all lists; the ratio is then the smallest that still reaches as many.
+    """
+    need = max(1, int(np.ceil(recall * len(wanted))))
+    while wanted:
+        ids, d = index.search(index.asking(queries), probes)
+        d = np.sqrt(np.maximum(d, 0))
+        far = np.full((len(queries), len(index.centroids) + 1), np.inf)
+        apart = d / np.maximum(d[:, :1], 1e-300)
+        apart[:, : probes // 8] = 1
+        np.put_along_axis(far, ids, apart, axis=1)
+        far[:, -1] = np.inf
+        reached = np.sort([far[q, lists].min() for q, lists in wanted])[need - 1]
+        if reached < np.inf:
+            return probes, max(ratio, float(reached) * (1 + 1e-9))
+        if probes >= len(index.centroids):
+            break
+        probes *= 2
+    return probes, ratio
+
+
 def nearest(
     vectors: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", list_size: int = 128, sample: int = 20_000, most_lists: int = 4096,
     copies: int = 4, closure: float = 1.15, probes: int = 64, ratio: float = 1.25, part: int = 2048,
+    recall: float = 0.95, trials: int = 200,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest inner product found for each query row but itself.
 
     Equal vectors are one class from the start: for any query, its k nearest hold at most the k + 1 smallest ids of a
     class, so those are all that a class keeps, and no copy is lost. The index is fitted on about `sample` classes;
     every class goes to its nearest list and to up to `copies` - 1 more that are within `closure` times its distance.
-    A query searches the lists within `ratio` times the distance of the nearest, up to `probes`. Lists and queries of a
-    list are dealt to parts of at most about `part` rows, all pairs of which are matched, so a hot list is shared by tasks.
+    A query searches the lists within `ratio` times the distance of the nearest, up to `probes`; both are raised until
+    about `trials` of the queries, held against brute force over all classes, find `recall` of their neighbours, so they
+    grow with the number of lists as the data demand. Lists and queries of a list are dealt to parts of at most about `part` rows, all pairs of which are matched, so a hot list is shared by tasks.
     Fewer candidates than k are all returned if found; an empty table, or one without usable rows, gives no rows. A
     vec_id with several vectors is a candidate with each; ids null take no part.
     """
@@ -209,6 +272,14 @@ def nearest(
     asked = stored(asked, "queries")
     asking = classes.join(asked.select(F.col("class").alias("vec_id")).distinct(), "vec_id")
     posted = stored(_lists(classes, index, 32, copies, closure, True, True), "postings")
+    trial = asking.orderBy(F.xxhash64("vec_id", F.lit("trial")), "vec_id").limit(trials).collect()
+    if trial:
+        own, tried = np.array([r.vec_id for r in trial]), np.array([r.vector for r in trial], np.float64)
+        true = _exact(classes, own, tried, k)
+        at: dict = {}
+        for r in posted.select("vec_id", "list").where(F.col("vec_id").isin(sorted({r.vec_id for r in true}))).collect():
+            at.setdefault(r.vec_id, []).append(r["list"])
+        probes, ratio = tuned(index.value, tried, [(r.query, at[r.vec_id]) for r in true], probes, ratio, recall)
     probed = stored(_lists(asking, index, probes, probes, ratio, False, False), "probes")
     parts_of = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / part).cast("int").alias(name))
     parts = parts_of(posted, "v_parts").join(parts_of(probed, "q_parts"), "list")

@@ -266,6 +266,21 @@ def test_nearest(spark):
     assert ann.nearest(spark.createDataFrame([(1, [1.0]), (2, [2.0])], "vec_id long, embedding array<float>"), F.lit(True)).count() == 2
 
 
+def test_nearest_with_many_more_lists_than_probes(spark):
+    x = np.random.default_rng(5).normal(size=(6000, 24)).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in ann.nearest(df, F.pmod("vec_id", F.lit(20)) == 0, list_size=8).collect():  # 750 lists
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    d, hit = x.astype(np.float64), 0
+    for q, found in got.items():
+        scores = d @ d[q]
+        scores[q] = -np.inf
+        hit += len(set(np.argsort(-scores)[:20].tolist()) & found)
+    print("recall", hit / 6000)
+    assert len(got) == 300 and hit >= 0.9 * 6000
+
+
 def test_quality(spark, docs, none):
     sf = "/root/testdata/sf0.01"
     all_docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
