@@ -47,19 +47,24 @@ def candidates(text: str | None) -> list[tuple[int, int, int, str]]:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
-    """(row, doc_id, repo, owner, hits) for every row; a hit has kind, start, end and the value's digest, not the value."""
+    """(row, doc_id, repo, owner, text_sha256, hits) for every row; a hit has kind, start, end and the value's digest, not the value.
+
+    text_sha256 is null where there are no hits.
+    """
     ship(docs.sparkSession)
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("digest", pa.string())]))
         for b in batches:
-            hits = []
+            hits, texts = [], []
             for run in slices(b.column(4).to_pylist()):
-                hits += [[{"kind": k, "start": s, "end": e, "digest": sha256(v.encode()).hexdigest()[:32]} for k, s, e, v in candidates(t)] for t in run]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(hits, kind)], names=["row", "doc_id", "repo", "owner", "hits"])
+                own = [[{"kind": k, "start": s, "end": e, "digest": sha256(v.encode()).hexdigest()[:32]} for k, s, e, v in candidates(t)] for t in run]
+                hits += own
+                texts += [sha256(t.encode()).digest() if h else None for t, h in zip(run, own, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(texts, pa.binary()), pa.array(hits, kind)], names=["row", "doc_id", "repo", "owner", "text_sha256", "hits"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(of_batches, "row long, doc_id long, repo string, owner string, hits array<struct<kind:int,start:int,end:int,digest:string>>")
+    return rows.mapInArrow(of_batches, "row long, doc_id long, repo string, owner string, text_sha256 binary, hits array<struct<kind:int,start:int,end:int,digest:string>>")
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
@@ -73,11 +78,12 @@ def ownership(scanned: DataFrame) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = 1) -> DataFrame:
-    """One row per row of docs: doc_id and its spans array<struct<kind, start, end, n_repos, n_owners, live>>.
+    """One row per row of docs: doc_id, its spans array<struct<kind, start, end, n_repos, n_owners, live>> and text_sha256.
 
     Base matches are always spans. An opaque run is one only if it is owner-specific: at most `max_owners` distinct
     owners hold its value anywhere in the corpus; more owners mark a widely copied example. `live` tells the same of
     every span. Spans are ordered by start, then kind; null and empty texts have none, repeated rows each their own.
+    text_sha256 tells which text of an id the spans are of; it is null for texts without candidates.
     """
     scanned = stored(scan(docs, id_col, text_col, repo_col, owner_col), "secret-scan")
     held = ownership(scanned)
@@ -86,7 +92,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     span = F.struct("start", F.col("kind").alias("order"), F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1).alias("kind"), "end", "n_repos", "n_owners", "live")
     spans = judged.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     empty = F.expr("array()").cast(spans.schema["spans"].dataType)
-    return scanned.select("row", "doc_id").join(spans, "row", "left").select("doc_id", F.coalesce("spans", empty).alias("spans"))
+    return scanned.select("row", "doc_id", "text_sha256").join(spans, "row", "left").select("doc_id", F.coalesce("spans", empty).alias("spans"), "text_sha256")
 
 
 def written(spans: F.Column) -> F.Column:
@@ -95,11 +101,16 @@ def written(spans: F.Column) -> F.Column:
 
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "*") -> DataFrame:
-    """docs with every character of its spans masked, so offsets stay; other rows and all columns are untouched."""
+    """docs with every character of its spans masked, so offsets stay; other rows and all columns are untouched.
+
+    Spans depend on the text and the corpus alone, so a row meets its own by id, null included, and text digest: rows
+    without id and different texts under one id are masked too.
+    """
     ship(docs.sparkSession)
-    marked = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.transform("spans", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"))).alias("__cuts"))
-    marked = marked.groupBy("__id").agg(F.max("__cuts").alias("__cuts"))
-    joined = docs.join(marked, docs[id_col] == marked["__id"], "left")
+    cuts = F.transform("spans", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b")))
+    marked = found.where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__text")).agg(F.max(cuts).alias("__cuts"))
+    digest = F.unhex(F.sha2(F.encode(docs[text_col], "UTF-8"), 256))
+    joined = docs.join(marked, docs[id_col].cast("long").eqNullSafe(marked["__id"]) & (digest == marked["__text"]), "left")
     cut = F.aggregate(
         "__cuts", F.col(text_col),
         lambda t, c: F.concat(F.substring(t, F.lit(1), c["a"]), F.repeat(F.lit(mask), c["b"] - c["a"]), F.substring(t, c["b"] + 1, F.length(t))),
