@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -46,6 +47,20 @@ def text_view(text: str | None) -> np.ndarray:
     return out
 
 
+@cache
+def _upper_case() -> np.ndarray:
+    """For every code point whether it is upper-case."""
+    return np.fromiter((chr(c).isupper() for c in range(0x110000)), bool, 0x110000)
+
+
+def capitals(text: str) -> int:
+    """Number of upper-case characters in the whole text."""
+    if text.isascii():
+        return int(np.count_nonzero(np.frombuffer(text.encode(), np.uint8) - np.uint8(65) < 26))
+    parts = (text[at : at + (1 << 20)] for at in range(0, len(text), 1 << 20))
+    return sum(int(np.count_nonzero(_upper_case()[np.frombuffer(p.encode("utf-32-le"), np.uint32)])) for p in parts)
+
+
 def meta_view(text: str | None, source: str | None, lang: str | None) -> np.ndarray:
     """Page features: length, lines, repeated lines, characters by class, hashed source and language."""
     t = text or ""
@@ -55,7 +70,7 @@ def meta_view(text: str | None, source: str | None, lang: str | None) -> np.ndar
     marks = sum(t.count(c) for c in "|#$%&*<>{}[]=_!")
     commas, stops = t.count(","), t.count(".")
     spaces = t.count(" ")
-    upper = sum(map(str.isupper, t[:: max(1, n // 4096)])) / max(1, len(t[:: max(1, n // 4096)]))
+    upper = capitals(t) / n
     facts = [np.log1p(len(t)) / 10, np.log1p(len(lines)) / 5, len(set(lines)) / len(lines), np.log1p(n / len(lines)) / 8, plain / n, marks / n * 10, commas / n * 20, stops / n * 20, spaces / n * 5, upper * 3, float(not t)]
     hashed = np.zeros(64)
     hashed[crc32(f"s{source}".encode()) % 48] = 0.3

@@ -289,6 +289,12 @@ def test_nearest_with_many_more_lists_than_probes(spark):
     assert len(got) == 300 and hit >= 0.9 * 6000
 
 
+@pytest.mark.parametrize("text", [("A" + "b" * 14 + "\n") * 8192, "Éa Ⅷ日" * 5000, "", "AZ[@az", "x" * (1 << 20) + "é" + "Q" * 9])
+def test_capitals_of_whole_texts(text):
+    assert quality.capitals(text) == sum(map(str.isupper, text))
+    assert quality.meta_view(text, "s", "en")[9] == pytest.approx(3 * sum(map(str.isupper, text)) / max(1, len(text)))
+
+
 def test_quality(spark, docs, none):
     sf = "/root/testdata/sf0.01"
     all_docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
