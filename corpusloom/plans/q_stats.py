@@ -177,6 +177,13 @@ def bootstrap_ci(spark, d):
     return rounded(S.interval(means, ["system"]), "low", "high")
 
 
+@query()
+def bootstrap_ci_2000(spark, d):
+    """bootstrap_ci with the 2,000 resamples of the studies; the SQL twin of bootstrap_ci draws 200."""
+    means = S.bootstrap_means(V.scores(spark, d), "faithfulness", ["system"], 2000, "boot")
+    return rounded(S.interval(means, ["system"]), "low", "high")
+
+
 DIFF = f"select 'all' g, (a.faithfulness - b.faithfulness)::double x from ({V.SCORES}) a join ({V.SCORES}) b using (sample_id) where a.system = 'lead1' and b.system = 'neural'"
 
 
@@ -203,6 +210,14 @@ def paired_systems(spark, d):
     return rounded(compare_systems(V.scores(spark, d), V.SYSTEMS, V.FIELDS, 100, "systems"), "difference", "low", "high", "p_greater")
 
 
+@query()
+def paired_systems_2000(spark, d):
+    """paired_systems with the 2,000 resamples of the studies; the SQL twin of paired_systems draws 100."""
+    from corpusloom.operators.study import compare_systems
+
+    return rounded(compare_systems(V.scores(spark, d), V.SYSTEMS, V.FIELDS, 2000, "systems"), "difference", "low", "high", "p_greater")
+
+
 @query(f"select system, n, hits, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) high from (select system, count(*)::double n, count(*) filter (major_error) hits, count(*) filter (major_error)::double / count(*) p, {S.Z95} z from ({V.SCORES}) group by system)")
 def wilson_ci(spark, d):
     counts = V.scores(spark, d).groupBy("system").agg(F.count("*").cast("double").alias("n"), F.count_if("major_error").alias("hits"))

@@ -1,9 +1,12 @@
+import hashlib
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import curate, dedup, ranges, resume, sampling, sequences, study
+from corpusloom.plans import q_stats
 from corpusloom.sources import checksums, jsonl, lines, tables
 from corpusloom.streaming import incremental
 
@@ -124,3 +127,24 @@ def test_row_errors_and_resume(spark, tmp_path):
     incremental.run_tasks(spark, str(tasks), "key string, n int", out, half).awaitTermination()
     assert sorted(r.key for r in spark.read.parquet(f"{out}/done").collect()) == ["a", "d"]
     assert [r.key for r in spark.read.parquet(f"{out}/failed").collect()] == ["b"]
+
+
+def brute_means(values, resamples, seed):
+    x, n = sorted(values), len(values)
+    draw = lambda b, j: int(hashlib.md5(f"{seed}|{b}|{j}".encode()).hexdigest()[:12], 16) % n
+    return [sum(x[draw(b, j)] for j in range(1, n + 1)) / n for b in range(1, resamples + 1)]
+
+
+def test_bootstraps_of_2000(spark, monkeypatch):
+    values = {"lead1": [1, 3, 5, 2, 4], "neural": [2, 2, 5, 1, 3]}
+    rows = [(i, s, v, 0, 0, 0, False) for s, xs in values.items() for i, v in enumerate(xs)]
+    scores = spark.createDataFrame(rows, "sample_id long, system string, faithfulness int, informativeness int, fluency int, conciseness int, major_error boolean")
+    monkeypatch.setattr(q_stats.V, "scores", lambda spark, d: scores)
+    for r in q_stats.bootstrap_ci_2000(spark, "").collect():
+        low, high = np.quantile(brute_means(values[r.system], 2000, "boot"), [0.025, 0.975])
+        assert abs(r.low - low) < 2e-6 and abs(r.high - high) < 2e-6
+    (got,) = q_stats.paired_systems_2000(spark, "").where("field = 'faithfulness'").collect()
+    means = brute_means([a - b for a, b in zip(*values.values(), strict=True)], 2000, "systems")
+    low, high = np.quantile(means, [0.025, 0.975])
+    assert got.pair == "lead1>neural" and abs(got.low - low) < 2e-6 and abs(got.high - high) < 2e-6
+    assert abs(got.p_greater - np.mean([1.0 if m > 1e-12 else 0.5 if abs(m) <= 1e-12 else 0.0 for m in means])) < 2e-6
