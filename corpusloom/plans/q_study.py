@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
@@ -9,6 +11,7 @@ from corpusloom.functions import verdicts as W
 from corpusloom.operators import resume as R
 from corpusloom.operators import sampling as P
 from corpusloom.operators import study as T
+from corpusloom.operators import validate as V2
 from corpusloom.operators.dedup import first_examples
 from corpusloom.plans import views as V
 from corpusloom.plans.registry import query
@@ -111,11 +114,28 @@ def tuning_slices(spark, d):
  y as (select doc_id, case when warned then 1 when lo = 1 then 2 when hi = 1 then 3 else 4 end priority, h from x) select doc_id, priority::int priority from y order by priority, h, doc_id limit 200""")
 def priority_sample(spark, d):
     """Warned rows, the shortest, the longest, then rows in hash order, 200 in all."""
-    rows = ranked(spark, d)
-    ends = rows.agg(F.min(F.struct("n", "doc_id")).alias("lo"), F.max(F.struct("n", "doc_id")).alias("hi"))
+    return prioritized(table(spark, d, "documents"), 200)
+
+
+def prioritized(docs, total):
+    """(doc_id, priority): all warned rows, the shortest, the longest, and rows in hash order until there are `total`.
+
+    A row of under 20 words or with a flag of text_flags is warned. The total bounds the fill alone: if more rows are
+    warned, all of them stay with the shortest and the longest, and a RuntimeWarning tells how many.
+    """
+    n = X.word_count("text")
+    warned = F.coalesce((n < 20) | (F.size(V2.codes(V2.text_flags("text"))) > 0), F.lit(False))
+    rows = docs.select("doc_id", n.alias("n"), warned.alias("warned"))
     own = F.struct("n", "doc_id")
-    priority = F.when(F.col("n") < 20, 1).when(own == F.col("lo"), 2).when(own == F.col("hi"), 3).otherwise(4)
-    return rows.crossJoin(ends).select("doc_id", priority.alias("priority")).orderBy("priority", P.hash_order(F.lit(V.SEED), F.lit("priority"), "doc_id"), "doc_id").limit(200)
+    ends = rows.agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.count_if("warned").alias("n_warned"))
+    n_warned = ends.first()["n_warned"]
+    if n_warned > total:
+        warnings.warn(f"{n_warned} rows are warned, more than the total of {total}; all are kept", RuntimeWarning, stacklevel=2)
+    priority = F.when(F.col("warned"), 1).when(own == F.col("lo"), 2).when(own == F.col("hi"), 3).otherwise(4)
+    ranked_ = rows.crossJoin(ends).select("doc_id", priority.alias("priority"))
+    must = ranked_.where("priority < 4")
+    fill = ranked_.where("priority = 4").orderBy(P.hash_order(F.lit(V.SEED), F.lit("priority"), "doc_id"), "doc_id").limit(max(0, total - must.count()))
+    return must.unionByName(fill)
 
 
 @query("select event_type, event_id, value from events qualify row_number() over (partition by event_type order by value desc, event_id) <= 20")

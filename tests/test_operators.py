@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import curate, dedup, ranges, resume, sampling, sequences, study
-from corpusloom.plans import q_stats
+from corpusloom.plans import q_stats, q_study
 from corpusloom.sources import checksums, jsonl, lines, tables
 from corpusloom.streaming import incremental
 
@@ -148,3 +148,15 @@ def test_bootstraps_of_2000(spark, monkeypatch):
     low, high = np.quantile(means, [0.025, 0.975])
     assert got.pair == "lead1>neural" and abs(got.low - low) < 2e-6 and abs(got.high - high) < 2e-6
     assert abs(got.p_greater - np.mean([1.0 if m > 1e-12 else 0.5 if abs(m) <= 1e-12 else 0.0 for m in means])) < 2e-6
+
+
+def test_priority_sample_keeps_all_warned(spark):
+    long = " ".join(["word"] * 30)
+    rows = [(k, "short text") for k in range(7)] + [(10, " " + long), (11, long + "\ufffd"), (12, "e\u0301 " + long)] + [(20 + k, long + " more" * k) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    warned = {*range(7), 10, 11, 12}
+    got = {r.doc_id: r.priority for r in q_study.prioritized(df, 15).collect()}
+    assert len(got) == 15 and {i for i, p in got.items() if p == 1} == warned and got[39] == 3
+    with pytest.warns(RuntimeWarning, match="10 rows are warned"):
+        got = {r.doc_id: r.priority for r in q_study.prioritized(df, 5).collect()}
+    assert set(got) == warned | {39}
