@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 from math import inf
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.pieces import ASCII_WHITE, Memory, as_binary, flat, windows
 from corpusloom.runtime import ship
 
 #: The white space of the tokenizers' pattern (Unicode White_Space).
@@ -120,8 +123,8 @@ class TrieEncoder:
         self.pairs[a << 32 | b] = ok
         return ok
 
-    def encode_words(self, words: Iterable[bytes], shown: list | None = None) -> dict[bytes, list]:
-        """Token ids of distinct words, or what `shown` has for each id; the states of a shared prefix are found once."""
+    def encode_words(self, words: Iterable[bytes]) -> dict[bytes, list]:
+        """Token ids of distinct words; the states of a shared prefix are found once."""
         out: dict[bytes, list] = {}
         last, before = [-1], b""
         tail_of, known, fits, lengths = self.tails.get, self.pairs.get, self.fits, [len(x) for x in self.bytes]
@@ -145,7 +148,7 @@ class TrieEncoder:
             at, back = len(word), []
             while at:
                 token = last[at]
-                back.append(token if shown is None else shown[token])
+                back.append(token)
                 at -= lengths[token]
             back.reverse()
             out[word] = back
@@ -153,16 +156,69 @@ class TrieEncoder:
         return out
 
 
+ALNUM = np.zeros(256, bool)
+ALNUM[[c for c in range(128) if chr(c).isalnum()]] = True
+MARK = ~ALNUM & (np.arange(256) > 0x20) & (np.arange(256) < 0x7F)
+
+
+def _wide_white() -> dict[int, np.ndarray]:
+    """By length in bytes, the white characters beyond ASCII as big-endian numbers."""
+    found = [m for m in re.findall(f"[{SPACE}]", "".join(map(chr, range(0x80, 0x3001))))]
+    return {n: np.array([int.from_bytes(c.encode(), "big") for c in found if len(c.encode()) == n]) for n in (2, 3)}
+
+
+WIDE_WHITE = _wide_white()
+
+
+def white(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each byte is of a white character, that character's length in bytes where it begins, else 0)."""
+    is_white = ASCII_WHITE[data]
+    width = is_white.astype(np.int64)
+    lead = np.flatnonzero((data == 0xC2) | (data >= 0xE1) & (data <= 0xE3))
+    if len(lead):
+        padded = np.append(data, np.zeros(2, np.uint8)).astype(np.int64)
+        two = padded[lead] << 8 | padded[lead + 1]
+        for n, code in ((2, two), (3, two << 8 | padded[lead + 2])):
+            found = lead[np.isin(code, WIDE_WHITE[n])]
+            width[found] = n
+            for k in range(n):
+                is_white[found + k] = True
+    return is_white, width
+
+
+def cuts(data: np.ndarray, borders: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Where pieces begin that are encoded alike alone and in the text; `spans` are pieces whole.
+
+    The tokenizers' pattern always has a border where white space begins; before the last white character in front of a
+    word, and after it unless it is a space; and where a letter or digit meets a mark. The latter is seen in ASCII only.
+    """
+    n = len(data)
+    is_white, width = white(data)
+    edge = np.zeros(n + 1, bool)
+    edge[borders] = True
+    for span in spans:
+        edge[list(span)] = True
+    out = edge.copy()
+    out[1:n] |= is_white[1:] & ~is_white[:-1]
+    out[1:n] |= MARK[data[1:]] & ALNUM[data[:-1]]
+    first = np.flatnonzero(width)
+    after = first + width[first]
+    last = ~edge[after] & ~np.append(is_white, False)[after]
+    out[first[last]] = True
+    out[after[last & (data[first] != 0x20)]] = True
+    for a, b in spans:
+        out[a + 1 : b] = False
+    return np.flatnonzero(out[:n])
+
+
 class Codec:
-    """Texts to ids and back. Pieces between white-space borders are remembered, `remember` of them at most.
+    """Columns of texts to ids and back. Pieces are encoded once while they are remembered.
 
     `engine` "trie" encodes the distinct words of new pieces with TrieEncoder; "library" has the tokenizers library
     encode the new pieces, many at a time as lines. Both give the library's ids of the whole text.
     """
 
-    def __init__(self, path: str, engine: str = "trie", width: str = "<i4", remember: int = 500_000):
-        import re
-
+    def __init__(self, path: str, engine: str = "trie", kind: pa.DataType = pa.int32(), remember: int = 500_000):  # noqa: B008
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks of a worker's machine are parallel already
@@ -170,103 +226,94 @@ class Codec:
         self.library.no_truncation()
         self.library.no_padding()
         self.trie = TrieEncoder(path)
-        self.engine, self.width, self.remember = engine, np.dtype(width), remember
-        self.packed = [np.array([i], self.width).tobytes() for i in range(len(self.trie.bytes))]
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.pieces = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
+        self.kind = kind
+        self.memory = Memory(self._by_library if engine == "library" else self._by_trie, remember)
+        self.spelled = pa.array(self.trie.bytes, pa.binary())
         #: Pieces of Latin letters, digits and ASCII marks but the apostrophe, whose words need no pattern of Unicode classes.
         latin, marks = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "!-&(-/:-@\\[-`{-~"
         self.plain = re.compile(f"[ \n]?[{latin}0-9{marks}]+").fullmatch
         self.words = re.compile(f" ?[{latin}]+| ?[0-9]+| ?[{marks}]+|\n").findall
-        self.added = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.trie.added, key=len, reverse=True)) + ")") if self.trie.added else None
         self.letters = {c: b for b, c in byte_letters().items()}
-        self.solid = re.compile(f" ?[^{SPACE}]+").fullmatch
-        self.marked = re.compile(f"(.*[{latin}0-9])([{marks}]+)").fullmatch
+        self.added = {s.encode(): i for s, i in self.trie.added.items()}
+        self.marked = re.compile(b"|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True))).finditer if self.added else None
         self.line_end = self.trie.ids[b"\n"]
-
-    def _split(self, text: str) -> list[str]:
-        """Pieces that are encoded alike alone and in the text; an added token's string is a piece of its own."""
-        if self.added is None or not any(x in text for x in self.trie.added):
-            return self.pieces(text)
-        return [p for part in self.added.split(text) for p in ([part] if part in self.trie.added else self.pieces(part))]
+        #: An added token with white space might be cut by a window, so texts are then taken whole.
+        self.window = 1 << 62 if any(re.search(f"[{SPACE}]", s) for s in self.trie.added) else 4 << 20
 
     def _words(self, piece: str) -> list[bytes]:
         if self.plain(piece):
             return [w.encode() for w in self.words(piece)]
         return [bytes(self.letters[c] for c in w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(piece)]
 
-    def _learn(self, new: list[str]) -> None:
-        if self.engine == "library":
-            self._learn_by_library(new)
-            return
-        of = {p: self._words(p) for p in new if p not in self.trie.added}
-        ids = self.trie.encode_words(set(chain.from_iterable(of.values())), self.packed)
-        for p in new:
-            self.known[p] = b"".join([i for w in of[p] for i in ids[w]]) if p in of else self.packed[self.trie.added[p]]
-
-    def _learn_by_library(self, new: list[str]) -> None:
-        """Pieces without inner white space go to the library as lines of short texts: a lone line end is a word and a
-        token of its own before any of them, so its ids part theirs. Marks after a letter or digit are words of their own."""
-        bodies, tails, alone = {}, {}, []
-        for p in new:
-            if p in self.trie.added or not self.solid(p):
-                alone.append(p)
-            elif (m := None if p[-1].isalnum() else self.marked(p)) is not None:
-                tails[p] = m.groups()
-            else:
-                bodies[p] = None
-        for body, marks in tails.values():
-            if body not in self.known:
-                bodies[body] = None
-            if marks not in self.known:
-                bodies[marks] = None
-        self.known.update(zip(alone, (x.tobytes() for x in self._by_library(alone)), strict=True))
-        rest, size = list(bodies), self.width.itemsize
-        for at in range(0, len(rest), 8192):
-            lines = [rest[k : k + 256] for k in range(at, min(at + 8192, len(rest)), 256)]
-            for part, ids in zip(lines, self._by_library(["\n".join(x) + "\n" for x in lines]), strict=True):
-                ends, start, flat = (np.flatnonzero(ids == self.line_end) * size).tolist(), 0, ids.tobytes()
-                for p, end in zip(part, ends, strict=True):
-                    self.known[p] = flat[start:end]
-                    start = end + size
-        self.known.update((p, self.known[body] + self.known[marks]) for p, (body, marks) in tails.items())
-
-    def _by_library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.width) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian integers; null is as empty.
-
-        Pieces of the last `remember` new ones or of those before are known; older ones are forgotten.
-        """
-        split = [self._split(t) if t else [] for t in texts]
-        every = set(chain.from_iterable(split))
-        if len(self.known) > self.remember:
-            self.older, self.known = self.known, {}
-        missing = every.difference(self.known)
-        if missing and self.older:
-            old = missing.intersection(self.older)
-            self.known.update((p, self.older[p]) for p in old)
-            missing -= old
-        if missing:
-            self._learn(list(missing))
-        get = self.known.__getitem__
-        return [b"".join(map(get, s)) for s in split]
-
-    def decode(self, ids: Iterable[int]) -> str:
-        """The text of ids, special tokens kept; bytes that are not UTF-8 become U+FFFD."""
-        return b"".join(map(self.trie.bytes.__getitem__, ids)).decode("utf-8", "replace")
+    def _lists(self, ids: list) -> pa.ListArray:
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        values = np.fromiter(chain.from_iterable(ids), self.kind.to_pandas_dtype(), int(sizes.sum()))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values, self.kind))
+
+    def _by_trie(self, new: pa.Array) -> pa.ListArray:
+        split = [[p] if p in self.added else self._words(p.decode()) for p in new.to_pylist()]
+        ids = self.trie.encode_words({w for s in split for w in s if w not in self.added})
+        ids.update((w, [i]) for w, i in self.added.items())
+        return self._lists([ids[s[0]] if len(s) == 1 else [*chain.from_iterable(ids[w] for w in s)] for s in split])
+
+    def _by_library(self, new: pa.Array) -> pa.ListArray:
+        """Words go to the library as lines of short texts: a lone line end is a word and a token of its own before any
+        of them, so its ids part theirs. White space and added tokens go alone."""
+        data, borders = flat(new)
+        line = ~white(data)[0][borders[1:] - 1] if len(data) else np.zeros(0, bool)
+        line &= ~pc.is_in(new, value_set=pa.array(self.added, pa.binary())).to_numpy(zero_copy_only=False)
+        solid, alone = new.filter(pa.array(line)), new.filter(pa.array(~line))
+        borders = np.append(np.arange(0, len(solid), 256), len(solid)).astype(np.int32)
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(borders), solid.cast(pa.string())), "\n").to_pylist() if len(solid) else []
+        made = [np.zeros(0, np.int64)]
+        for at in range(0, len(lines), 64):
+            made += [np.array(e.ids, np.int64) for e in self.library.encode_batch_fast([x + "\n" for x in lines[at : at + 64]], add_special_tokens=False)]
+        ids = np.concatenate(made)
+        ends = np.flatnonzero(ids == self.line_end) - np.arange(len(solid))
+        first = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids[ids != self.line_end], self.kind))
+        rest = self._lists([e.ids for e in self.library.encode_batch_fast(alone.cast(pa.string()).to_pylist(), add_special_tokens=False)] if len(alone) else [])
+        order = np.empty(len(new), np.int64)
+        order[np.append(np.flatnonzero(line), np.flatnonzero(~line))] = np.arange(len(new))
+        return pa.concat_arrays([first, rest]).take(pa.array(order))
+
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of each text; null is as empty."""
+        data, borders = flat(texts)
+        values, counts = [pa.array([], self.kind)], np.zeros(len(texts), np.int64)
+        for part, at, first in windows(data, borders, self.window):
+            spans = [m.span() for m in self.marked(part)] if self.marked else []
+            starts = cuts(part, at, [(a, b) for a, b in spans if not ((at > a) & (at < b)).any()])
+            pieces = as_binary(part, starts).dictionary_encode()
+            lists = self.memory.of(pieces.dictionary).take(pieces.indices)
+            values.append(lists.flatten())
+            counts[first : first + len(at) - 1] += np.diff(lists.offsets.to_numpy()[np.searchsorted(starts, at)])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.concat_arrays(values))
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The text of each list of ids, special tokens kept; bytes that are not UTF-8 become U+FFFD, null is as empty."""
+        if ids.null_count:
+            ids = pa.array([x or [] for x in ids.to_pylist()], ids.type)
+        if not len(ids):
+            return pa.array([], pa.string())
+        sizes = ids.value_lengths().to_numpy()
+        data, borders = flat(self.spelled.take(ids.flatten()))
+        ends = borders[np.append(0, np.cumsum(sizes))].astype(np.int32)
+        out = pa.Array.from_buffers(pa.string(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:
+            out = pa.array([x.decode("utf-8", "replace") for x in out.cast(pa.binary()).to_pylist()], pa.string())
+        return out
 
 
 _codecs: dict[tuple, Codec] = {}
 
 
-def codec(path: str, engine: str = "trie", width: str = "<i4") -> Codec:
+def codec(path: str, engine: str = "trie", kind: pa.DataType = pa.int32()) -> Codec:  # noqa: B008
     """One codec for each Python worker."""
-    key = (path, engine, width)
+    key = (path, engine, str(kind))
     if key not in _codecs:
-        _codecs[key] = Codec(path, engine, width)
+        _codecs[key] = Codec(path, engine, kind)
     return _codecs[key]
 
 
@@ -283,8 +330,8 @@ def slices(texts: list, most: int = 2_000_000) -> Iterator[list]:
         yield run
 
 
-def map_texts(df: DataFrame, text_col: str, extra: str, kernel: Callable[[list], dict[str, pa.Array]], keep: bool = True) -> DataFrame:
-    """All columns of df (without the text if not `keep`), then those of `extra` that kernel makes of a run of texts."""
+def map_texts(df: DataFrame, text_col: str, extra: str, kernel: Callable[[pa.Array], dict[str, pa.Array]], keep: bool = True) -> DataFrame:
+    """All columns of df (without the text if not `keep`), then those of `extra` that kernel makes of a batch of texts."""
     ship(df.sparkSession)
     at = df.columns.index(text_col)
     kept = [k for k in range(len(df.columns)) if keep or k != at]
@@ -292,12 +339,8 @@ def map_texts(df: DataFrame, text_col: str, extra: str, kernel: Callable[[list],
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            start = 0
-            for run in slices(b.column(at).to_pylist()):
-                made = kernel(run)
-                part = b.slice(start, len(run))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *made.values()], names=[*names, *made])
-                start += len(run)
+            made = kernel(b.column(at))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), *made.values()], names=[*names, *made])
 
     return df.mapInArrow(of_batches, ", ".join([*(f"`{df.columns[k]}` {df.schema[k].dataType.simpleString()}" for k in kept), extra]))
 
@@ -316,10 +359,8 @@ def encode(df: DataFrame, text_col: str = "text", path: str | None = None, ids_c
     """
     path, ids_col = path or vocabulary_path(), free_name(df, ids_col)
 
-    def kernel(texts: list) -> dict[str, pa.Array]:
-        flat = codec(path).encode(texts)
-        offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in flat]))).astype(np.int32)
-        return {ids_col: pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(flat), "<i4")))}
+    def kernel(texts: pa.Array) -> dict[str, pa.Array]:
+        return {ids_col: codec(path).encode(texts)}
 
     return map_texts(df, text_col, f"`{ids_col}` array<int>", kernel, keep_text)
 
@@ -328,8 +369,8 @@ def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None, text_co
     """All rows and columns of df with the text of the ids; null ids give an empty text."""
     path, text_col = path or vocabulary_path(), free_name(df, text_col)
 
-    def kernel(ids: list) -> dict[str, pa.Array]:
-        return {text_col: pa.array([codec(path).decode(x or []) for x in ids], pa.string())}
+    def kernel(ids: pa.Array) -> dict[str, pa.Array]:
+        return {text_col: codec(path).decode(ids)}
 
     return map_texts(df, ids_col, f"`{text_col}` string", kernel)
 
@@ -338,12 +379,9 @@ def round_trip(df: DataFrame, text_col: str = "text", path: str | None = None, k
     """encode() and then decode() of its ids, in one Python worker: all columns of df with `ids` and `decoded`."""
     path, ids_col, out_col = path or vocabulary_path(), free_name(df, "ids"), free_name(df, "decoded")
 
-    def kernel(texts: list) -> dict[str, pa.Array]:
-        own = codec(path)
-        flat = own.encode(texts)
-        offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in flat]))).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(flat), "<i4")))
-        return {ids_col: ids, out_col: pa.array([own.decode(np.frombuffer(x, "<i4").tolist()) for x in flat], pa.string())}
+    def kernel(texts: pa.Array) -> dict[str, pa.Array]:
+        ids = codec(path).encode(texts)
+        return {ids_col: ids, out_col: codec(path).decode(ids)}
 
     return map_texts(df, text_col, f"`{ids_col}` array<int>, `{out_col}` string", kernel, keep_text)
 

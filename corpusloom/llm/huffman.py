@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.bpe import codec, slices, vocabulary_path, vocabulary_size
+from corpusloom.llm.bpe import codec, map_texts, vocabulary_path, vocabulary_size
 from corpusloom.operators.ranges import bucket_of, splits_of
 from corpusloom.runtime import ship, stored
 
@@ -136,19 +136,17 @@ def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     Null is as empty; `end_id`, if given, ends every document. The ids travel as bytes of `width`, 16 bits for a
     vocabulary that fits. The library encodes each piece between white space once while it is remembered.
     """
-    ship(docs.sparkSession)
     path = path or vocabulary_path()
+    kind = pa.uint16() if width == "<u2" else pa.uint32()
     end = b"" if end_id is None else np.array([end_id], width).tobytes()
 
-    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            start = 0
-            for run in slices(b.column(1).to_pylist()):
-                ids = [x + end for x in codec(path, "library", width).encode(run)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(run)), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-                start += len(run)
+    def kernel(texts: pa.Array) -> dict[str, pa.Array]:
+        ids = codec(path, "library", kind).encode(texts)
+        data, at = ids.flatten().to_numpy().astype(width, copy=False), ids.offsets.to_numpy()
+        return {"ids": pa.array([data[a:b].tobytes() + end for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())}
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(of_batches, "doc_id long, ids binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return map_texts(rows, "text", "ids binary", kernel, keep=False)
 
 
 def count_ids(ids: DataFrame, width: str = "<u4") -> DataFrame:

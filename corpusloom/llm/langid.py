@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -13,119 +12,174 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import free_name, map_texts
-from corpusloom.runtime import ship
+from corpusloom.llm.pieces import Memory, as_binary, flat, windows
+from corpusloom.runtime import ship, stored
 
 WORDS = re.compile(r"[^\W\d_]+").findall
 UNDETERMINED = "und"
+#: Bytes of ASCII letters and of all characters beyond ASCII.
+LETTER = np.array([c >= 0x80 or chr(c).isalpha() for c in range(256)])
+#: A longer run of letters, as in scripts without spaces, is no word: it counts and is scored by its n-grams.
+LONG = 64
+
+
+def words_of(text: str) -> list[str]:
+    """The lower-cased runs of letters."""
+    return [w for w in WORDS(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
+
+
+def grams(word: str, order: int) -> list[str]:
+    """All n-grams of an edged word, of up to `order` characters."""
+    edged = f"^{word}$"
+    return [edged[k : k + n] for n in range(1, order + 1) for k in range(len(edged) - n + 1)]
 
 
 class Model:
-    """Per-language log frequencies of words and of n-grams; bounded by the sample that it was trained on."""
-
-    def __init__(self, counts: dict[str, dict[str, int]], order: int = 4, least: int = 2, smooth: float = 0.5):
-        self.langs = sorted({x for c in counts.values() for x in c})
-        self.order = order
-        at = {x: k for k, x in enumerate(self.langs)}
-        rows: dict[str, np.ndarray] = {}
-        grams: dict[str, np.ndarray] = {}
-        for word, c in counts.items():
-            row = rows[word] = np.zeros(len(at))
-            for x, n in c.items():
-                row[at[x]] += n
-            for g in self.grams(word):
-                if g in grams:
-                    grams[g] += row
-                else:
-                    grams[g] = row.copy()
-        self.words, word_logs = self._logs(rows, least, smooth)
-        self.parts, part_logs = self._logs(grams, least, 2 * smooth)
-        self.word_logs, self.part_logs = word_logs, part_logs
-        self.forget()
-
-    def _logs(self, rows: dict[str, np.ndarray], least: int, smooth: float) -> tuple[dict[str, int], np.ndarray]:
-        kept = {w: r for w, r in rows.items() if r.sum() >= least}
-        table = np.array(list(kept.values())).reshape(len(kept), len(self.langs))
-        if len(kept):
-            totals = table.sum(axis=0) + 1
-            table = table / (totals / totals.max()) + smooth
-            table = np.log(table / table.sum(axis=1, keepdims=True))
-        return {w: k for k, w in enumerate(kept)}, table.astype(np.float32)
-
-    def grams(self, word: str) -> list[str]:
-        """All n-grams of an edged word, of up to `order` characters."""
-        edged = f"^{word}$"
-        return [edged[k : k + n] for n in range(1, self.order + 1) for k in range(len(edged) - n + 1)]
+    """Per-language log frequencies of words and of n-grams, in columns; a worker makes look-ups of them when asked."""
+
+    def __init__(self, langs: list[str], words: tuple[pa.Array, np.ndarray], parts: tuple[pa.Array, np.ndarray], order: int, smooth: float = 0.5):
+        self.langs, self.order = langs, order
+        self.words, self.parts = words[0], parts[0]
+        self.word_logs, self.part_logs = self._logs(words[1], smooth), self._logs(parts[1], 2 * smooth)
+
+    def _logs(self, table: np.ndarray, smooth: float) -> np.ndarray:
+        if not len(table):
+            return np.zeros((0, len(self.langs)), np.float32)
+        totals = table.sum(axis=0) + 1
+        table = table / (totals / totals.max()) + smooth
+        return np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("at", "part_at", "memory")}
+
+    def ready(self) -> Model:
+        """This model with its look-ups made."""
+        if not hasattr(self, "memory"):
+            self.at = {w: k for k, w in enumerate(self.words.to_pylist())}
+            self.part_at = {w: k for k, w in enumerate(self.parts.to_pylist())}
+            self.memory = Memory(self._of_pieces)
+        return self
 
     def word(self, word: str) -> np.ndarray:
         """Log weight of each language. An unseen word is covered from the left by overlapping n-grams, the longest
         known one at each place; the weight is their mean, 0 where none is known."""
-        if (known := self.words.get(word)) is not None:
+        if (known := self.at.get(word)) is not None:
             return self.word_logs[known]
         edged, found = f"^{word}$", []
         for k in range(len(edged)):
             for n in range(min(self.order, len(edged) - k), 0, -1):
-                if (part := self.parts.get(edged[k : k + n])) is not None:
+                if (part := self.part_at.get(edged[k : k + n])) is not None:
                     found.append(part)
                     break
         return self.part_logs[found].mean(axis=0) if found else np.zeros(len(self.langs), np.float32)
 
-    def forget(self) -> None:
-        """Start the memory of word weights anew."""
-        self.seen: dict[str, int] = {}
-        self.table = np.zeros((1024, len(self.langs)), np.float32)
-
-    def _place(self, word: str) -> int:
-        at = self.seen[word] = len(self.seen)
-        if at == len(self.table):
-            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-        self.table[at] = self.word(word)
-        return at
+    def _of_pieces(self, pieces: pa.Array) -> pa.Array:
+        """For each piece the sum of its words' weights, then the number of its words."""
+        width = len(self.langs) + 1
+        out = np.zeros((len(pieces), width), np.float32)
+        for k, piece in enumerate(pieces.to_pylist()):
+            own = words_of(piece.decode())
+            for w in own:
+                out[k, :-1] += self.word(w)
+            out[k, -1] = len(own)
+        return pa.FixedSizeListArray.from_arrays(pa.array(out.reshape(-1)), width)
+
+    def scores(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """(language, score 0..1) of each text; (und, 0) for null or where no letter stands. Ties go to the smaller name.
+
+        Runs of letter bytes are weighed once while they are remembered.
+        """
+        own = self.ready()
+        total = np.zeros((len(texts), len(self.langs) + 1))
+        data, borders = flat(texts)
+        for part, at, first in windows(data, borders):
+            letter = LETTER[part]
+            edge = np.zeros(len(part) + 1, bool)
+            edge[at] = True
+            edge[1:-1] |= letter[1:] != letter[:-1]
+            starts = np.flatnonzero(edge[:-1])
+            kept = letter[starts]
+            runs = as_binary(part, starts).filter(pa.array(kept)).dictionary_encode()
+            weights = own.memory.of(runs.dictionary).flatten().to_numpy().reshape(-1, total.shape[1]).astype(np.float64)
+            text = first + np.searchsorted(at, starts[kept], side="right") - 1
+            if len(text):
+                sums = np.stack([np.bincount(text - first, column, len(at) - 1) for column in weights[runs.indices.to_numpy()].T], axis=1)
+                total[first : first + len(sums)] += sums
+        n = total[:, -1]
+        logs = total[:, :-1] / np.maximum(n, 1)[:, None] * np.minimum(n, 50)[:, None]
+        if not self.langs:
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        best = logs.argmax(axis=1)
+        share = 1 / np.exp(np.maximum(logs - logs.max(axis=1, keepdims=True), -700)).sum(axis=1)
+        return [self.langs[k] if m else UNDETERMINED for k, m in zip(best.tolist(), n.tolist(), strict=True)], np.where(n > 0, share, 0.0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, score 0..1); (und, 0) for null or where no letter stands. Ties go to the smaller name."""
-        words = [w for w in WORDS((text or "").lower()) if w.isalpha() or any(map(str.isalpha, w))]
-        if not words or not self.langs:
-            return UNDETERMINED, 0.0
-        total = np.zeros(len(self.langs))
-        for at in range(0, len(words), 100_000):
-            if len(self.seen) > 300_000:
-                self.forget()
-            get, place = self.seen.get, self._place
-            ids = [k if (k := get(w)) is not None else place(w) for w in words[at : at + 100_000]]
-            total += self.table[ids].sum(axis=0, dtype=np.float64)
-        score = total / len(words) * min(len(words), 50)
-        best = int(np.argmax(score))
-        return self.langs[best], float(1 / sum(exp(max(-700.0, x - score[best])) for x in score))
-
-
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = 4000, max_words: int = 80_000) -> Model:
+        """(language, score) of one text."""
+        langs, score = self.scores(pa.array([text], pa.string()))
+        return langs[0], float(score[0])
+
+
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = 4000, order: int = 4, least: int = 2) -> Model:
     """A model from at most about `sample_docs` labelled rows of each language, chosen by a hash of the id.
 
-    The sample bounds the model and what reaches the driver, whatever the corpus; `max_words` keeps the commonest
-    words (ties: smaller word). Rows with null text or language teach nothing; without any, the model knows no
-    language and predicts `und`.
+    That sample is the model's only bound: all its words and n-grams that occur `least` times are kept, whatever their
+    number, and long runs of letters teach their n-grams. Words are counted and n-grams summed in Spark; the driver
+    gets the sums in columns. Rows with null text or language teach nothing; without any, the model knows no language
+    and predicts `und`. Rows without id are chosen or left together. Ties of counts play no part.
     """
     ship(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col)).count().collect()}
-    if not sizes:
-        return Model({})
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_docs / n))])
+    large = rows.groupBy(F.col(lang_col)).count().where(F.col("count") > sample_docs).collect()  # rows / sample_docs at most
     mark = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = rows.where(mark < F.element_at(share, F.col(lang_col))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    if large:
+        share = F.create_map(*[F.lit(x) for lang, n in large for x in (lang, sample_docs / n)])
+        rows = rows.where(mark < F.coalesce(F.element_at(share, F.col(lang_col)), F.lit(1.0)))
+    sample = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: Counter = Counter()
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found.update((lang, w) for w in WORDS(text.lower()) if len(w) < 64)
-            langs, words = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(found.values(), pa.int64())], names=["lang", "word", "n"])
-
-    counted = sample.mapInArrow(count, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
-    best = counted.groupBy("word").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    top = best.orderBy(F.desc("all"), "word").limit(max_words).collect()
-    return Model({r["word"]: r["by"] for r in top})
+                words = words_of(text)
+                found.update((lang, False, w) for w in words if len(w) < LONG)
+                for w in words:
+                    if len(w) >= LONG:
+                        found.update((lang, True, g) for g in grams(w, order))
+            yield _counted(found)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: Counter = Counter()
+            for lang, gram, key, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for g in [key] if gram else grams(key, order):
+                    found[lang, True, g] += n
+            yield _counted(found)
+
+    shape = "lang string, gram boolean, key string, n long"
+    words = stored(sample.mapInArrow(count, shape).groupBy("lang", "gram", "key").agg(F.sum("n").alias("n")), "language-words")
+    parts = words.mapInArrow(split, shape).groupBy("lang", "gram", "key").agg(F.sum("n").alias("n"))
+    both = stored(words.where("not gram").union(parts), "language-counts")
+    langs = sorted(r[0] for r in both.select("lang").distinct().collect())
+    return Model(langs, _frequent(both.where("not gram"), langs, least), _frequent(both.where("gram"), langs, least), order)
+
+
+def _counted(found: Counter) -> pa.RecordBatch:
+    langs, gram, keys = zip(*found, strict=True) if found else ((), (), ())
+    columns = [pa.array(langs, pa.string()), pa.array(gram, pa.bool_()), pa.array(keys, pa.string()), pa.array(found.values(), pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "gram", "key", "n"])
+
+
+def _frequent(counted: DataFrame, langs: list[str], least: int) -> tuple[pa.Array, np.ndarray]:
+    """(keys in order, counts by language) of the keys that occur `least` times in all."""
+    by = counted.groupBy("key").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
+    got = by.where(F.col("all") >= least).select("key", F.explode("by").alias("b")).select("key", "b.lang", "b.n").toArrow()
+    keys = got.column("key").combine_chunks().dictionary_encode()
+    table = np.zeros((len(keys.dictionary), len(langs)))
+    if len(keys):
+        where = pa.compute.index_in(got.column("lang").combine_chunks(), value_set=pa.array(langs, pa.string())).to_numpy()
+        np.add.at(table, (keys.indices.to_numpy(), where), got.column("n").to_numpy())
+    order = pa.compute.sort_indices(keys.dictionary)
+    return keys.dictionary.take(order), table[order.to_numpy()]
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -133,20 +187,19 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bo
     sent, langs = docs.sparkSession.sparkContext.broadcast(model), free_name(docs, "lang_pred")
     score = free_name(docs, "score")
 
-    def kernel(texts: list) -> dict[str, pa.Array]:
-        out = [sent.value.predict(t) for t in texts]
-        return {langs: pa.array([x for x, _ in out], pa.string()), score: pa.array([s for _, s in out], pa.float64())}
+    def kernel(texts: pa.Array) -> dict[str, pa.Array]:
+        found, sure = sent.value.scores(texts)
+        return {langs: pa.array(found, pa.string()), score: pa.array(sure, pa.float64())}
 
     return map_texts(docs, text_col, f"`{langs}` string, `{score}` double", kernel, keep_text)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
-    """The quarter of rows that training leaves aside."""
-    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2
+    """The quarter of rows that training leaves aside; false without id."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep_text: bool = True, **bounds) -> DataFrame:
     """Train on the rows of docs that are not held out, then predict all rows."""
-    rest = docs.where(~F.coalesce(held_out(id_col), F.lit(False)))
-    model = train(rest, text_col, lang_col, id_col, **bounds)
+    model = train(docs.where(~held_out(id_col)), text_col, lang_col, id_col, **bounds)
     return predict(docs, model, text_col, keep_text)

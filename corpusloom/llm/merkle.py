@@ -109,7 +109,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "finger
     from corpusloom.llm.bpe import free_name, map_texts
 
     out_col = free_name(docs, out_col)
-    return map_texts(docs, text_col, f"`{out_col}` string", lambda texts: {out_col: pa.array(map(fingerprint, texts), pa.string())})
+    return map_texts(docs, text_col, f"`{out_col}` string", lambda texts: {out_col: pa.array(map(fingerprint, texts.to_pylist()), pa.string())})
 
 
 def edited_by(text: str, other: str) -> str:

@@ -1,27 +1,33 @@
 """Mixing sources to target weights: exact quotas, dealt to shards by a multivariate-hypergeometric splitting tree.
 
-Only DataFrame and SQL functions run here. A source's documents fall into blocks of about `block_words` words by a hash
-of their id. Its quota of words is that many full passes over its blocks, then blocks in a permuted order until the
-quota is reached; the block in which that happens gives documents in hash order, and the last of them gives as many
-leading words as are missing, so a source's words come to its target rounded to a word. The draws of all sources are
-then split: a tree node holds how many draws of each source its shards get, its left half takes a
-multivariate-hypergeometric sample of them, and so on down to single shards.
+Only DataFrame and SQL functions run here. A source's documents fall into blocks of about `block_words` words by a hash.
+Its quota of words is that many full passes over its blocks, then blocks in a permuted order until the quota is reached;
+the block in which that happens gives documents in hash order. The draws of all sources are then split: a tree node holds
+how many draws of each source its shards get, its left half takes a multivariate-hypergeometric sample of them, and so on
+down to single shards. Sources are taken `FAN` at a time: more of them are first dealt as groups, then within each group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from math import lgamma, log, pi
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import free_name
+from corpusloom.operators.sampling import place
 from corpusloom.runtime import stored
 
 WHITE = r"[\x20\x09-\x0D]"
+#: Most sources, or groups of them, that a node of the splitting tree holds.
+FAN = 256
+#: Blocks, or draws, that one task orders.
+PART = 4096
 
 
-def word_count(text: str) -> F.Column:
+def word_count(text: str) -> Column:
     """Number of runs of non-white ASCII-white-space-separated characters; null and empty have none."""
     t = F.col(text)
     edge = lambda c: F.coalesce(F.ascii(c), F.lit(0)).isin(32, 9, 10, 11, 12, 13).cast("int")
@@ -30,94 +36,199 @@ def word_count(text: str) -> F.Column:
 
 
 def targets(sizes: DataFrame, most: int = 3) -> DataFrame:
-    """Add weight, target and place to one row per source (source, source_size).
+    """Add weight, target and place (from 1) to one row per source (source, source_size).
 
     Sources in code-point order, null last, weigh 1, 2, 3, repeating, and share all words; a target stops at `most`
-    times its source, and what is over is shared again by weight. The level at which that ends is found from running
-    sums over sources ordered by how soon they are full, not by rounds.
+    times its source, and what is over is shared again by weight. A target is then least(most * size, weight * level),
+    and the level is found by raising it to (what full sources leave) / (weights of the others) until it settles: each
+    round is one sum over the sources, and the level only rises, so it settles. Without rows or words it is 0.
     """
-    total = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("total"))
-    named = sizes.withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))))
+    named = place(sizes, [F.col("source").isNull(), F.col("source")]).withColumn("place", F.col("place") + 1)
     named = named.withColumn("weight", F.pmod(F.col("place") - 1, F.lit(3)) + 1).withColumn("cap", F.col("source_size") * most)
-    soon = Window.orderBy(F.col("cap") / F.col("weight"), "place").rowsBetween(Window.unboundedPreceding, -1)
-    weights = named.agg(F.sum("weight").alias("weights"))
-    levels = named.crossJoin(total).crossJoin(weights).select(
-        (F.col("cap") / F.col("weight")).alias("full_at"), "place",
-        ((F.col("total") - F.coalesce(F.sum("cap").over(soon), F.lit(0))) / (F.col("weights") - F.coalesce(F.sum("weight").over(soon), F.lit(0)))).alias("level"),
-    )
-    level = levels.where("level <= full_at").agg(F.min_by("level", F.struct("full_at", "place")).alias("level"))
-    return named.crossJoin(level).withColumn("target", F.least(F.col("cap").cast("double"), F.col("weight") * F.coalesce("level", F.lit(0.0)))).drop("level", "cap")
+    named = stored(named, "mix-weights")
+    total = named.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("total")).first()["total"]
+    level = 0.0
+    while total:
+        full = F.col("cap") <= F.col("weight") * F.lit(level)
+        left = named.agg(F.sum(F.when(full, F.col("cap"))).alias("held"), F.sum(F.when(~full, F.col("weight"))).alias("weights")).first()
+        raised = (total - (left["held"] or 0)) / left["weights"] if left["weights"] else level
+        if raised <= level:
+            break
+        level = raised
+    return named.withColumn("target", F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(level))).drop("cap")
 
 
-def _uniform(*parts: str) -> str:
-    return f"((shiftrightunsigned(xxhash64({', '.join(parts)}), 11) + 0.5D) / 9007199254740992D)"
+def uniform(*parts: Column | str) -> Column:
+    """A number between 0 and 1 from a hash of the parts."""
+    return (F.shiftrightunsigned(F.xxhash64(*parts), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
-def _hypergeometric(seed: str) -> str:
-    """SQL for the draw of h: marked items among n drawn of N, K of them marked; its fields are in struct p.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    Up to a variance of 100 the urn is drawn item by item over the smallest of the four equivalent sides (some hundred
-    steps at most when a half is drawn); beyond that the normal approximation is rounded. Bounds keep quotas exact.
+
+#: ln 0!, ln 1!, ...; beyond them the asymptotic series is exact to a double's last digits.
+SMALL = [lgamma(n + 1) for n in range(16)]
+
+
+def _log_factorial(n: Column) -> Column:
+    x = n.cast("double")
+    series = (x + 0.5) * F.ln(x) - x + F.lit(0.5 * log(2 * pi)) + (1 - (1 - F.lit(2 / 7) / (x * x)) / (30 * x * x)) / (12 * x)
+    return F.when(n < len(SMALL), F.get(F.array(*map(F.lit, SMALL)), n.cast("int"))).otherwise(series)
+
+
+def _ways(s: Column, k: Column) -> Column:
+    """Negative log weight of k marked among s.m drawn from s.less marked and s.more others, but for a constant."""
+    return _log_factorial(k) + _log_factorial(s["less"] - k) + _log_factorial(s["m"] - k) + _log_factorial(s["more"] - s["m"] + k)
+
+
+def hypergeometric(marked: Column, pop: Column, take: Column, chance: Callable[[Column, int], Column]) -> Column:
+    """How many of `take` items drawn from `pop` without replacement are among its `marked` ones: an exact draw.
+
+    chance(step, salt) gives independent uniform numbers. Few items are drawn one by one; beyond ten the ratio of
+    uniforms is accepted or rejected on the exact weights, at any size (a try fails about one time in three, so of 200
+    tries none fails in practice; the mode would stand in).
     """
-    simulate = f"if(p.a <= 0, 0L, aggregate(sequence(1L, greatest(p.a, 1L)), 0L, (got, t) -> got + if({_uniform(seed, 'p.i', 't')} < (p.b - got) / (p.pop - t + 1), 1L, 0L)))"
-    exact = f"if(p.side < 2, {simulate}, if(p.side = 2, p.take, p.marked) - {simulate})"
-    z = f"sqrt(-2 * ln({_uniform(seed, 'p.i', '-1L')})) * cos(2 * pi() * {_uniform(seed, 'p.i', '-2L')})"
-    return f"greatest(0L, p.take - (p.pop - p.marked), least(p.marked, p.take, if(p.v < 100, {exact}, cast(round(p.m + sqrt(p.v) * {z}) as bigint))))"
-
-
-def _split(seed: int) -> str:
-    """SQL for the left half's quotas of node (first, k, q): sources in turn draw from what is left of the node."""
-    sides = "array(s.marked, s.take, s.pop - s.marked, s.pop - s.take)"
-    facts = f"""transform(transform(array(named_struct('marked', q[i - 1], 'take', acc.take, 'pop', acc.pop)),
-        s -> named_struct('marked', s.marked, 'take', s.take, 'pop', s.pop, 'i', i, 'side', array_position({sides}, array_min({sides})) - 1,
-            'm', s.take * s.marked / greatest(s.pop, 1L), 'v', s.take * (s.marked / greatest(s.pop, 1L)) * (1 - s.marked / greatest(s.pop, 1L)) * (s.pop - s.take) / greatest(s.pop - 1, 1L))),
-        s -> named_struct('marked', s.marked, 'take', s.take, 'pop', s.pop, 'i', s.i, 'side', s.side, 'm', s.m, 'v', s.v,
-            'a', {sides}[cast(s.side as int)], 'b', array(s.take, s.marked, s.take, s.marked)[cast(s.side as int)]))"""
-    drawn = f"transform({facts}, p -> named_struct('h', {_hypergeometric(f'{seed}L, first, k')}, 'marked', p.marked))"
-    step = f"transform({drawn}, d -> named_struct('pop', acc.pop - d.marked, 'take', acc.take - d.h, 'left', array_append(acc.left, d.h)))[0]"
-    total = "aggregate(q, 0L, (x, y) -> x + y)"
-    start = f"named_struct('pop', {total}, 'take', cast(round({total} * cast(floor(k / 2) as bigint) / k) as bigint), 'left', cast(array() as array<bigint>))"
-    return f"aggregate(sequence(1, size(q)), {start}, (acc, i) -> {step}, acc -> acc.left)"
+    long = lambda c: c.cast("long")
+    urn = F.struct(F.least(take, pop - take).alias("m"), F.least(marked, pop - marked).alias("less"), F.greatest(marked, pop - marked).alias("more"), pop.alias("pop"))
 
+    def one_by_one(s: Column) -> Column:
+        few, many = F.least(s["m"], s["less"]), F.greatest(s["m"], s["less"])
+        step = lambda got, t: got + F.when(chance(t, 0) < (many - got) / (s["pop"] - t + 1), 1).otherwise(0).cast("long")
+        return F.when(few <= 0, F.lit(0).cast("long")).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(few, F.lit(1))), F.lit(0).cast("long"), step))
+
+    def by_ratio(s: Column) -> Column:
+        p = s["less"] / s["pop"]
+        mean = s["m"] * p
+        spread = F.sqrt((s["pop"] - s["m"]) * mean * (1 - p) / F.greatest(s["pop"] - 1, F.lit(1)) + 0.5)
+        mode = long(F.floor((s["m"] + 1) * ((s["less"] + 1) / (s["pop"] + 2))))
+        #: The constants are 2 sqrt(2 / e) and 3 - 2 sqrt(3 / e), of the ratio of uniforms' table mountain.
+        facts = F.struct(*[s[x].alias(x) for x in ("m", "less", "more")], (mean + 0.5).alias("a"), (spread * 1.7155277699214135 + 0.8989161620588988).alias("h"), mode.alias("mode"), F.least(long(F.least(s["m"], s["less"])) + 1, long(F.floor(mean + 0.5 + 16 * spread))).alias("end"))
+
+        def tried(f: Column, g: Column, t: Column) -> Column:
+            def judged(x: Column) -> Column:
+                k = long(F.floor(x["x"]))
+                inside = (x["x"] >= 0) & (x["x"] < f["end"])
+                accept = lambda d: (x["u"] * (4 - x["u"]) - 3 <= d) | ((x["u"] * (x["u"] - d) < 1) & (2 * F.ln(x["u"]) <= d))
+                return F.when(inside, F.when(_let(g - _ways(f, k), accept), k)).otherwise(F.lit(None).cast("long"))
+
+            return _let(F.struct(chance(t, 1).alias("u"), (f["a"] + f["h"] * (chance(t, 2) - 0.5) / chance(t, 1)).alias("x")), judged)
+
+        def drawn(f: Column) -> Column:
+            tries = lambda g: F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(200).cast("long")), F.lit(None).cast("long"), lambda got, t: F.when(got.isNotNull(), got).otherwise(tried(f, g, t)))
+            return _let(_ways(f, f["mode"]), lambda g: F.coalesce(tries(g), f["mode"]))
+
+        return _let(facts, drawn)
+
+    def whole(s: Column) -> Column:
+        lesser = F.when(F.least(s["m"], s["less"]) <= 10, one_by_one(s)).otherwise(by_ratio(s))
+        among = _let(lesser, lambda z: F.when(marked * 2 > pop, s["m"] - z).otherwise(z))
+        return _let(among, lambda z: F.when(s["m"] < take, marked - z).otherwise(z))
+
+    return _let(urn, whole)
 
-def split_tree(quotas: DataFrame, shards: int, seed: int = 7) -> DataFrame:
-    """(place, shard, n): draws of each source in each shard, from quotas (place, draws).
 
-    Each level is a projection of the one before, a row for each node; row sums are the shards' sizes, which differ by
-    a rounding a level, and column sums are the quotas exactly.
+def _left(seed: int) -> Column:
+    """The left half's quotas of a node (grp, first, k, q, caps): sources in turn draw from what is left of the node."""
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+    half = F.floor(F.col("k") / 2).cast("int")
+    start = F.struct(total(F.col("q")).alias("pop"), total(F.slice("caps", F.lit(1), half)).alias("take"), F.array().cast("array<bigint>").alias("left"))
+
+    def step(acc: Column, i: Column) -> Column:
+        own = F.get(F.col("q"), i)
+        chance = lambda t, salt: uniform(F.lit(seed), "grp", "first", "k", i, t, F.lit(salt))
+        drawn = hypergeometric(own, acc["pop"], acc["take"], chance)
+        return _let(drawn, lambda h: F.struct((acc["pop"] - own).alias("pop"), (acc["take"] - h).alias("take"), F.array_append(acc["left"], h).alias("left")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size("q") - 1), start, step, lambda acc: acc["left"])
+
+
+def _deal(nodes: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(place, shard, n > 0) from one node a group: (grp, places, q: draws of each place, caps: draws of each shard).
+
+    Each level is a projection of the one before; nodes without draws are dropped. Row sums are the shards' sizes and
+    column sums the quotas, exactly.
     """
-    kept = F.array_sort(F.collect_list(F.struct("place", "draws")))
-    nodes = quotas.agg(kept.alias("s")).where(F.size("s") > 0).select(F.lit(0).cast("bigint").alias("first"), F.lit(shards).cast("bigint").alias("k"), F.col("s.place").alias("places"), F.col("s.draws").alias("q"))
+    nodes = nodes.select("grp", F.lit(0).alias("first"), F.lit(shards).alias("k"), "places", "q", "caps")
+    half = F.floor(F.col("k") / 2).cast("int")
     for level in range((shards - 1).bit_length()):
         if level == 10:
-            nodes = nodes.repartition(F.col("first"))
-        nodes = nodes.withColumn("left", F.expr(_split(seed)))
-        halves = """if(k > 1, array(
-            named_struct('first', first, 'k', cast(floor(k / 2) as bigint), 'q', left),
-            named_struct('first', first + cast(floor(k / 2) as bigint), 'k', k - cast(floor(k / 2) as bigint), 'q', zip_with(q, left, (x, y) -> x - y))),
-            array(named_struct('first', first, 'k', k, 'q', q)))"""
-        nodes = nodes.select("places", F.explode(F.expr(halves)).alias("h")).select("h.first", "h.k", "places", "h.q")
-    return nodes.select(F.col("first").cast("int").alias("shard"), F.explode(F.arrays_zip("places", "q")).alias("x")).select(F.col("x.places").alias("place"), "shard", F.col("x.q").alias("n"))
+            nodes = nodes.repartition("grp", "first")
+        nodes = nodes.withColumn("left", F.when(F.col("k") > 1, _left(seed)))
+        whole = F.struct("first", "k", "q", "caps")
+        left = F.struct(F.col("first"), half.alias("k"), F.col("left").alias("q"), F.slice("caps", F.lit(1), half).alias("caps"))
+        right = F.struct((F.col("first") + half).alias("first"), (F.col("k") - half).alias("k"), F.zip_with("q", "left", lambda x, y: x - y).alias("q"), F.slice("caps", half + 1, F.greatest(F.col("k") - half, F.lit(0))).alias("caps"))
+        nodes = nodes.select("grp", "places", F.explode(F.when(F.col("k") > 1, F.array(left, right)).otherwise(F.array(whole))).alias("h")).select("grp", "h.first", "h.k", "places", "h.q", "h.caps")
+        nodes = nodes.where(F.exists("q", lambda x: x > 0))
+    each = nodes.select(F.col("first").alias("shard"), F.explode(F.arrays_zip("places", "q")).alias("x"))
+    return each.select(F.col("x.places").alias("place"), "shard", F.col("x.q").alias("n")).where("n > 0")
+
+
+def split_tree(quotas: DataFrame, shards: int, seed: int = 7) -> DataFrame:
+    """(place, shard, n > 0): draws of each source in each shard, from quotas (place from 1, draws); shard sizes differ by 1 at most.
+
+    Sources of `FAN` consecutive places make a group; groups are dealt first, as often as there are more than `FAN`,
+    and a group's draws in each shard are then the sizes that its own sources fill. No node holds all sources.
+    """
+    levels, many = [quotas.select(F.col("place").cast("long").alias("place"), "draws")], quotas.agg(F.max("place")).first()[0] or 0
+    while many > FAN:
+        groups = levels[-1].groupBy(F.floor((F.col("place") - 1) / FAN).cast("long").alias("up")).agg(F.sum("draws").alias("draws"))
+        levels.append(groups.select((F.col("up") + 1).alias("place"), "draws"))
+        many = (many + FAN - 1) // FAN
+    dealt = None
+    for depth, level in reversed([*enumerate(levels)]):
+        items = F.array_sort(F.collect_list(F.struct("place", "draws")))
+        nodes = level.groupBy((F.floor((F.col("place") - 1) / FAN) + 1).cast("long").alias("grp")).agg(items.alias("s"))
+        nodes = nodes.select("grp", F.col("s.place").alias("places"), F.col("s.draws").alias("q"))
+        if dealt is None:
+            total = F.aggregate("q", F.lit(0).cast("long"), lambda x, y: x + y)
+            upto = lambda i: F.floor(total * i / shards).cast("long")
+            nodes = nodes.withColumn("caps", F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda i: upto(i) - upto(i - 1)))
+        else:
+            held = dealt.groupBy(F.col("place").alias("grp")).agg(F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("held"))
+            of = lambda i: F.coalesce(F.get(F.map_values(F.map_filter("held", lambda s, _: s == i)), F.lit(0)), F.lit(0).cast("long"))
+            nodes = nodes.join(held, "grp").withColumn("caps", F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), of)).drop("held")
+        dealt = stored(_deal(nodes, shards, seed + depth), "mix-tree")
+    return dealt
 
 
 @dataclass
 class Plan:
-    """sources: one row each (source, place, source_size, target, blocks); blocks: (place, block, draws, rest)."""
+    """sources: one row each (source, place, source_size, target, blocks); blocks: (place, block, draws, last, cut)."""
 
     sources: DataFrame
     blocks: DataFrame
     seed: int
 
 
-def _block(sized: DataFrame, seed: int) -> F.Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")), F.col("blocks"))
+def _block(seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"), F.col("mark")), F.col("blocks"))
+
+
+def _order(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"), F.col("mark"), F.lit("row"))
 
 
-def plan(sized: DataFrame, block_words: int = 1 << 18, shards: int | None = None, most: int = 3, seed: int = 7) -> Plan:
-    """Decide how often each block is drawn and into which shards, from (doc_id, source, size).
+def _upto(rows: DataFrame, by: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+    """rows with the sum of `value` before each row of its group, by the hash order[0], then the others; rows.parts tells
+    how many tasks share a group: the hash deals its rows to that many stretches, whose sums are added first."""
+    spread = rows.withColumn("stretch", F.floor((order[0].cast("double") / float(1 << 64) + 0.5) * F.col("parts")).cast("long")).withColumn("__v", value)
+    sums = spread.groupBy(*by, "stretch").agg(F.sum("__v").alias("__sum"))
+    earlier = Window.partitionBy(*by).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*by, "stretch", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(*by, "stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    run = spread.withColumn("__run", F.coalesce(F.sum("__v").over(inside), F.lit(0)))
+    return run.join(starts, [*by, "stretch"]).withColumn(name, F.col("__start") + F.col("__run")).drop("stretch", "__v", "__run", "__start")
 
-    A draw is (copy, shard, whole). `rest` is how many words the block that meets the quota gives in its last draw.
-    Windows run over sources and over blocks of a source, never over documents.
+
+def plan(sized: DataFrame, block_words: int = 1 << 18, shards: int | None = None, most: int = 3, tolerance: float = 0.001, seed: int = 7) -> Plan:
+    """Decide how often each block is drawn and into which shards, from (doc_id, source, size, mark).
+
+    A draw is (copy, shard, whole). In the block that meets the quota, in hash order, the documents before the hash
+    `last` are taken in the last draw, and those at it give `cut` words. That is all or none of them, whichever comes
+    nearer to the quota, if that misses it by `tolerance` of the target at most; else as many words as are missing.
+    Windows run over stretches of blocks of a source and over the documents of one block a source.
     """
     spark = sized.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -126,46 +237,57 @@ def plan(sized: DataFrame, block_words: int = 1 << 18, shards: int | None = None
     sources = sources.withColumn("quota", F.least(F.round("target").cast("long"), F.col("source_size") * most))
     sources = sources.withColumn("full", F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(0)).withColumn("left", F.col("quota") - F.col("full") * F.col("source_size"))
     sources = stored(sources, "mix-sources")
-    placed = sized.join(sources.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own"))).withColumn("block", _block(sized, seed))
+    placed = sized.join(sources.select(F.col("source").alias("own"), "place", "blocks", "target"), F.col("source").eqNullSafe(F.col("own"))).withColumn("block", _block(seed))
     blocks = placed.groupBy("place", "block").agg(F.sum("size").alias("words"))
-    blocks = stored(blocks.join(sources.select("place", "full", "left"), "place"), "mix-blocks")
-    drawn = blocks.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full")))).withColumn("order", F.xxhash64(F.lit(seed), "place", "copy", "block"))
-    permuted = Window.partitionBy("place", "copy").orderBy("order", "block")
-    drawn = drawn.withColumn("rank", F.row_number().over(permuted)).withColumn("ends", F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, 0)))
-    begins = F.col("ends") - F.col("words")
-    drawn = drawn.where((F.col("copy") < F.col("full")) | (begins < F.col("left")))
-    drawn = drawn.withColumn("rest", F.when((F.col("copy") == F.col("full")) & (F.col("ends") > F.col("left")), F.col("left") - begins))
+    blocks = stored(blocks.join(sources.select("place", "full", "left", F.ceil(F.col("blocks") / PART).alias("parts")), "place"), "mix-blocks")
+    last = blocks.withColumn("order", F.xxhash64(F.lit(seed), "place", "block"))
+    last = _upto(last, ["place"], [F.col("order"), F.col("block")], F.col("words"), "begins").where(F.col("begins") < F.col("left"))
+    rest = F.when(F.col("begins") + F.col("words") > F.col("left"), F.col("left") - F.col("begins"))
+    last = last.select("place", "block", F.col("full").alias("copy"), rest.alias("rest"))
+    whole = blocks.where("full > 0").select("place", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("copy"), F.lit(None).cast("long").alias("rest"))
+    drawn = stored(last.union(whole), "mix-drawn")
     counted = drawn.groupBy("place").agg(F.count("*").alias("draws"))
     tree = split_tree(counted, shards, seed)
     before = Window.partitionBy("place").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    slots = tree.withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 0")
+    slots = tree.withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0)))
     slots = slots.select("place", "shard", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)).alias("slot"))
-    passes = Window.partitionBy("place").orderBy(F.xxhash64(F.lit(seed), "place", "copy", "block", F.lit("slot")), "copy", "block")
-    drawn = drawn.withColumn("slot", (F.row_number().over(passes) - 1).cast("long"))
+    ranked = drawn.join(counted.select("place", F.ceil(F.col("draws") / PART).alias("parts")), "place").withColumn("order", F.xxhash64(F.lit(seed), "place", "copy", "block", F.lit("slot")))
+    ranked = _upto(ranked, ["place"], [F.col("order"), F.col("copy"), F.col("block")], F.lit(1).cast("long"), "slot")
     draw = F.struct("copy", "shard", F.col("rest").isNull().alias("whole"))
-    dealt = drawn.join(slots, ["place", "slot"]).groupBy("place", "block").agg(F.array_sort(F.collect_list(draw)).alias("draws"), F.max("rest").alias("rest"))
+    dealt = ranked.join(slots, ["place", "slot"]).groupBy("place", "block").agg(F.array_sort(F.collect_list(draw)).alias("draws"))
+    dealt = dealt.join(_cut(placed, drawn, tolerance, seed), ["place", "block"], "left")
     return Plan(sources, stored(dealt, "mix-draws"), seed)
 
 
+def _cut(placed: DataFrame, drawn: DataFrame, tolerance: float, seed: int) -> DataFrame:
+    """(place, block, last, cut) of the blocks that meet their source's quota."""
+    own = placed.join(drawn.where(F.col("rest").isNotNull()).select("place", "block", "rest"), ["place", "block"]).withColumn("order", _order(seed))
+    own = own.groupBy("place", "block", "rest", "target", "order").agg(F.sum("size").alias("size"), F.count("*").alias("n"))  # equal rows share a hash
+    upto = Window.partitionBy("place", "block").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("begins", F.coalesce(F.sum("size").over(upto), F.lit(0)))
+    first = own.where(F.col("begins") + F.col("size") > F.col("rest")).groupBy("place", "block").agg(F.min_by(F.struct(*own.columns), F.struct("begins", "order")).alias("x")).select("x.*")
+    over, under = F.col("begins") + F.col("size") - F.col("rest"), F.col("rest") - F.col("begins")
+    near = F.least(over, under) <= F.col("target") * tolerance
+    words = F.when(near & (over <= under), F.col("size")).when(near, F.lit(0)).otherwise(under)
+    return first.select("place", "block", F.col("order").alias("last"), F.floor(words / F.col("n")).cast("long").alias("cut"))
+
+
 DRAW = "array<struct<copy:bigint,shard:int,words:bigint,order:bigint>>"
 
 
 def decide(sized: DataFrame, made: Plan) -> DataFrame:
     """All columns of sized, then source_size, target, taken and draws (copy, shard, words, order) of each row.
 
-    A block's rows are put in hash order to share what the last draw gives, so equal rows get equal chances and reruns
-    agree; a row without words is drawn with its block and gives none.
+    What a row gives depends on its own hash and its block's row of the plan, so documents are neither sorted nor
+    gathered and reruns agree; a row without words is drawn with its block and gives none.
     """
     names = sized.columns
     sources = made.sources.select(F.col("source").alias("own"), "place", "source_size", "target", "blocks")
-    placed = sized.join(sources, F.col("source").eqNullSafe(F.col("own"))).withColumn("block", _block(sized, made.seed))
-    placed = placed.join(made.blocks, ["place", "block"], "left")
-    hashed = F.xxhash64(F.lit(made.seed), "doc_id", "size", F.lit("row"))
-    ordered = Window.partitionBy("place", "block").orderBy(hashed, "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("begins", F.coalesce(F.sum("size").over(ordered), F.lit(0)))
-    last = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.coalesce("rest", F.lit(0)) - F.col("begins")))
-    words = lambda d: F.when(d["whole"], F.col("size")).otherwise(last)
-    draws = F.transform("draws", lambda d: F.struct(d["copy"].alias("copy"), d["shard"].alias("shard"), words(d).alias("words"), F.xxhash64(F.lit(made.seed), d["shard"], d["copy"], "doc_id").alias("order"), d["whole"].alias("whole")))
+    placed = sized.join(sources, F.col("source").eqNullSafe(F.col("own"))).withColumn("block", _block(made.seed))
+    placed = placed.join(made.blocks, ["place", "block"], "left").withColumn("at", _order(made.seed))
+    part = F.when(F.col("at") < F.col("last"), F.col("size")).when(F.col("at") == F.col("last"), F.col("cut")).otherwise(F.lit(0).cast("long"))
+    words = lambda d: F.when(d["whole"], F.col("size")).otherwise(part)
+    draws = F.transform("draws", lambda d: F.struct(d["copy"].alias("copy"), d["shard"].alias("shard"), words(d).alias("words"), F.xxhash64(F.lit(made.seed), d["shard"], d["copy"], "doc_id", "mark").alias("order"), d["whole"].alias("whole")))
     kept = F.filter(draws, lambda d: (d["words"] > 0) | (d["whole"] & (F.col("size") == 0)))
     kept = F.transform(kept, lambda d: F.struct(d["copy"].alias("copy"), d["shard"].alias("shard"), d["words"].alias("words"), d["order"].alias("order")))
     placed = placed.withColumn("draws", F.coalesce(kept, F.expr(f"cast(array() as {DRAW})")))
@@ -174,15 +296,16 @@ def decide(sized: DataFrame, made: Plan) -> DataFrame:
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(doc_id, source, size) of every row."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"))
+    """(doc_id, source, size, mark) of every row; mark is a hash of the text."""
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(f"`{text_col}`").alias("size"), F.xxhash64(f"`{text_col}`").alias("mark"))
 
 
 def mixing_decisions(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken, draws.
+    """One row per row of docs: doc_id, source, size, mark, source_size, target, taken, draws.
 
-    Null and empty texts have no words and null is a source like any other, the last. Words are counted once and stored;
-    an empty table gives an empty table. A row's size never exceeds what 3 draws give.
+    Null and empty texts have no words and null is a source like any other, the last. Null ids and repeated ids are
+    rows like others; rows equal in id and text share their fate. Words are counted once and stored; an empty table
+    gives an empty table. No row gives more than `most` times its size.
     """
     rows = stored(sized(docs, id_col, source_col, text_col), "mix-sizes")
     return decide(rows, plan(rows, **options))
@@ -191,12 +314,13 @@ def mixing_decisions(docs: DataFrame, id_col: str = "doc_id", source_col: str =
 def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """The mixed rows themselves, with the columns of docs, plus shard and order: sort by both to read the mix.
 
-    Every drawn copy of a document is a row; only the document that meets its source's quota is cut, to its leading
-    words. Rows are dealt to their shards and put in their order there.
+    Every drawn copy of a document is a row. A document is cut, to its leading words, only where whole ones would miss
+    the target of a small source by more than `tolerance`. Rows are dealt to their shards and put in their order there.
+    Nulls, empty texts and repeated rows are treated as in mixing_decisions().
     """
     made = plan(stored(sized(docs, id_col, source_col, text_col), "mix-sizes"), **options)
-    inner = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("whole_text"))
-    inner = inner.withColumn("size", word_count("whole_text")).drop("whole_text")
+    inner = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{text_col}`").alias("whole_text"))
+    inner = inner.withColumn("size", word_count("whole_text")).withColumn("mark", F.xxhash64("whole_text")).drop("whole_text")
     drawn = decide(inner, made).select("doc", "size", F.explode("draws").alias("d"))
     shard, order = free_name(docs, "shard"), free_name(docs, "order")
     text = F.col("doc")[text_col]

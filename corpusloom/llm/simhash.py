@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.bpe import map_texts
 from corpusloom.llm.components import connected_components
 from corpusloom.runtime import ship, stored
 
@@ -38,17 +39,15 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long) for every row, null and empty texts included; other columns are left behind."""
-    ship(docs.sparkSession)
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, *carried: F.Column) -> DataFrame:
+    """(doc_id, carried columns, fp long) for every row, null and empty texts included; other columns are left behind."""
 
-    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype="<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+    def kernel(texts: pa.Array) -> dict[str, pa.Array]:
+        fps = np.array([fingerprint(t.as_py(), shingle) for t in texts], dtype="<u8").view("<i8")
+        return {"fp": pa.array(fps, pa.int64())}
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
-    return rows.mapInArrow(of_batches, "doc_id long, fp long")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *carried, F.encode(F.col(f"`{text_col}`"), "UTF-8").alias("text"))
+    return map_texts(rows, "text", "fp long", kernel, keep=False)
 
 
 def ring(distance: int) -> tuple[list[int], list[int], list[int], int]:
@@ -179,6 +178,12 @@ def _flips(width: int, budget: int) -> str:
     return ", ".join(f"{x}L" for x in [0, *one, *two])
 
 
+def _components(classes: DataFrame, distance: int, bucket_rows: int) -> DataFrame:
+    """(fp, first, root) of classes (fp, first): root tells the component, null for a fingerprint without links."""
+    roots = stored(connected_components(near_links(classes.select("fp"), distance, bucket_rows)), "roots")
+    return classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", "root")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, bucket_rows: int = 4096) -> DataFrame:
     """(doc_id, fp long, component_id) for every row: the smallest doc_id among all rows that links reach.
 
@@ -188,14 +193,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
-    roots = stored(connected_components(near_links(classes.select("fp"), distance, bucket_rows)), "roots")
-    joined = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", "root")
+    joined = _components(classes, distance, bucket_rows)
     linked = joined.where("root is not null")
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", F.col("least").alias("component_id"))
     alone = joined.where("root is null").select("fp", F.col("first").alias("component_id"))
     return marked.join(named.union(alone), "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, bucket_rows: int = 4096) -> DataFrame:
+    """One row of docs, with all its columns, for each near-duplicate component.
+
+    It is the row of the smallest id, null ids last, then of the smallest digest of text and other columns; rows that
+    agree in all of these are equal, and one of them stays. The choice is made by row and fingerprint, so rows without
+    id are deduplicated like others and different texts under one id are kept apart; partitioning plays no part.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    own, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    digest = F.sha2(F.concat_ws(":", F.coalesce(F.col(own).cast("long").cast("string"), F.lit("-")), F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256), F.xxhash64(*[n for n in names if n != text]).cast("string")), 256)
+    marked = stored(fingerprints(rows, own, text, shingle, digest.alias("key")), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    classes = stored(marked.groupBy("fp").agg(F.min(order).alias("first")), "fingerprint-classes")
+    joined = _components(classes, distance, bucket_rows)
+    least = joined.groupBy("root", F.when(F.col("root").isNull(), F.col("fp")).alias("alone")).agg(F.min("first").alias("first"))
+    kept = least.select(F.col("first.key").alias("key")).distinct()
+    return rows.withColumn("key", digest).join(kept, "key", "left_semi").dropDuplicates(["key"]).select(*names).toDF(*docs.columns)
+
+
 def hex_fingerprint(col: str) -> F.Column:
     """A fingerprint as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(F.col(col)), 16, "0"))
