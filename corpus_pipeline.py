@@ -13,34 +13,34 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; null, empty and letterless texts go."""
+    """Documents whose language can be told; null, empty and letterless texts go.
+
+    Where no row has a language to learn from, none is told apart and all documents with a letter stay.
+    """
     found = langid.identify(docs)
-    return found.where(F.col(found.columns[-2]) != langid.UNDETERMINED).select(docs.columns)
+    told = F.col(found.columns[-2]) != langid.UNDETERMINED
+    if docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~langid.held_out()).isEmpty():
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return found.where(told).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the smallest doc_id; of repeated ids the first by text.
-
-    Rows without id can't stand for a group and stay.
-    """
-    found = simhash.near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    marked = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
-    return marked.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """One document of each near-duplicate group: that of the smallest doc_id, null last, then of the smallest digest."""
+    return simhash.representatives(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, the characters of every reported span masked."""
-    return secrets.redact(docs, secrets.find_secrets(docs))
+    """All documents, the characters of every reported span masked; null and empty texts and repeated rows stay."""
+    return secrets.redact(docs)
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is drawn."""
+    """The mix: each row as often as it is drawn, whole; null and empty texts have no words and are drawn with their block."""
     return mixing.mix(docs).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens and whether the ids decode to the text again."""
+    """doc_id, ids, n_tokens and whether the ids decode to the text again, for every row; null is as empty."""
     both = bpe.round_trip(docs.select("doc_id", "text"))
     same = F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))
     return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
