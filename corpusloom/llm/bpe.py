@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.pieces import ASCII_WHITE, Memory, as_binary, flat, windows
+from corpusloom.llm.pieces import ASCII_WHITE, Memory, as_binary, flat, give_back, windows
 from corpusloom.runtime import ship
 
 #: The white space of the tokenizers' pattern (Unicode White_Space).
@@ -338,6 +338,7 @@ def map_texts(df: DataFrame, text_col: str, extra: str, kernel: Callable[[pa.Arr
     names = [df.columns[k] for k in kept]
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for b in batches:
             made = kernel(b.column(at))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), *made.values()], names=[*names, *made])

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from math import lgamma, log, pi
+from math import log, pi
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,14 +68,12 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-#: ln 0!, ln 1!, ...; beyond them the asymptotic series is exact to a double's last digits.
-SMALL = [lgamma(n + 1) for n in range(16)]
-
-
 def _log_factorial(n: Column) -> Column:
-    x = n.cast("double")
-    series = (x + 0.5) * F.ln(x) - x + F.lit(0.5 * log(2 * pi)) + (1 - (1 - F.lit(2 / 7) / (x * x)) / (30 * x * x)) / (12 * x)
-    return F.when(n < len(SMALL), F.get(F.array(*map(F.lit, SMALL)), n.cast("int"))).otherwise(series)
+    """ln n!, by the asymptotic series at n + 8, exact to a double's last digits there, less the eight factors between."""
+    between = F.lit(1.0)
+    for k in range(1, 9):
+        between = between * (n + k)
+    return _let(n + F.lit(8.0), lambda x: (x + 0.5) * F.ln(x) - x + F.lit(0.5 * log(2 * pi)) + (1 - (1 - F.lit(2 / 7) / (x * x)) / (30 * x * x)) / (12 * x)) - F.ln(between)
 
 
 def _ways(s: Column, k: Column) -> Column:
@@ -107,13 +105,10 @@ def hypergeometric(marked: Column, pop: Column, take: Column, chance: Callable[[
         facts = F.struct(*[s[x].alias(x) for x in ("m", "less", "more")], (mean + 0.5).alias("a"), (spread * 1.7155277699214135 + 0.8989161620588988).alias("h"), mode.alias("mode"), F.least(long(F.least(s["m"], s["less"])) + 1, long(F.floor(mean + 0.5 + 16 * spread))).alias("end"))
 
         def tried(f: Column, g: Column, t: Column) -> Column:
-            def judged(x: Column) -> Column:
-                k = long(F.floor(x["x"]))
-                inside = (x["x"] >= 0) & (x["x"] < f["end"])
-                accept = lambda d: (x["u"] * (4 - x["u"]) - 3 <= d) | ((x["u"] * (x["u"] - d) < 1) & (2 * F.ln(x["u"]) <= d))
-                return F.when(inside, F.when(_let(g - _ways(f, k), accept), k)).otherwise(F.lit(None).cast("long"))
-
-            return _let(F.struct(chance(t, 1).alias("u"), (f["a"] + f["h"] * (chance(t, 2) - 0.5) / chance(t, 1)).alias("x")), judged)
+            accept = lambda u, d: (u * (4 - u) - 3 <= d) | ((u * (u - d) < 1) & (2 * F.ln(u) <= d))
+            at = lambda u: f["a"] + f["h"] * (chance(t, 2) - 0.5) / u
+            judged = lambda u, x: F.when((x >= 0) & (x < f["end"]), _let(long(F.floor(x)), lambda k: F.when(_let(g - _ways(f, k), lambda d: accept(u, d)), k)))
+            return _let(chance(t, 1), lambda u: _let(at(u), lambda x: judged(u, x)))
 
         def drawn(f: Column) -> Column:
             tries = lambda g: F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(200).cast("long")), F.lit(None).cast("long"), lambda got, t: F.when(got.isNotNull(), got).otherwise(tried(f, g, t)))

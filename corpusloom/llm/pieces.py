@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,6 +48,13 @@ def windows(data: np.ndarray, borders: np.ndarray, most: int = 4 << 20) -> Itera
         at = end
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker serves many stages, and what one has freed is of no use to it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def as_binary(data: np.ndarray, starts: np.ndarray) -> pa.Array:
     """The pieces of data that begin at each start and end at the next one, or with the data."""
     offsets = np.append(starts, len(data)).astype(np.int32)

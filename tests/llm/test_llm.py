@@ -450,19 +450,45 @@ def test_nearest(spark):
     assert ann.nearest(spark.createDataFrame([(1, [1.0]), (2, [2.0])], "vec_id long, embedding array<float>"), F.lit(True)).count() == 2
 
 
-def test_nearest_with_many_more_lists_than_probes(spark):
-    x = np.random.default_rng(5).normal(size=(6000, 24)).astype(np.float32)
-    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+def recall_of(df, x, found=None, **options):
+    """Share of true neighbours found, and rows returned a query."""
     got: dict = {}
-    for r in ann.nearest(df, F.pmod("vec_id", F.lit(20)) == 0, list_size=8).collect():  # 750 lists
+    for r in ann.nearest(df, F.pmod("vec_id", F.lit(20)) == 0, **options).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
-    d, hit = x.astype(np.float64), 0
-    for q, found in got.items():
-        scores = d @ d[q]
+    hit = 0
+    for q, mine in got.items():
+        scores = x @ x[q]
         scores[q] = -np.inf
-        hit += len(set(np.argsort(-scores)[:20].tolist()) & found)
-    print("recall", hit / 6000)
-    assert len(got) == 300 and hit >= 0.9 * 6000
+        hit += len(set(np.argpartition(-scores, 20)[:20].tolist()) & mine)
+    assert set(got) == set(range(0, len(x), 20)) and {len(g) for g in got.values()} == {20}
+    return hit / (20 * len(got))
+
+
+def test_recall_of_noise_where_few_lists_are_read(spark, monkeypatch):
+    """Gaussian vectors, the hardest case: 1,875 lists, more than are looked at one by one, and under a quarter of them read."""
+    x = np.random.default_rng(5).normal(size=(30_000, 24)).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    fitted = []
+    monkeypatch.setattr(ann, "tuned", lambda *a, f=ann.tuned: fitted.append((a[0], a[1], f(*a))) or fitted[-1][2])
+    assert recall_of(df, x.astype(np.float64), list_size=16) >= 0.9
+    index, tried, (pool, ratio) = fitted[0]
+    ids, d = index.search(index.asking(tried), pool)
+    read = ann.reached_by(np.sqrt(np.maximum(d, 0)), ratio, 4)
+    assert len(index.centroids) == 1875 and 4 * read.sum(axis=1).mean() < 1875 and read.mean() < 1  # the ratio drops lists
+
+
+def test_lists_that_are_cut_again(spark):
+    x = np.random.default_rng(6).normal(size=(8000, 16))
+    x[:3000] = x[:3000] * 0.05 + 1  # a hot list
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert recall_of(df, x, list_size=32, most_lists=6, part=256) >= 0.9
+
+
+def test_vectors_of_doubles_and_repeated_rows(spark):
+    rows = [(1, [1e-200, 2.0]), (1, [1e-200, 2.0]), (2, [1e-9, 1.0]), (3, [0.1, 0.2]), (3, [0.3, 0.1]), (4, [1e300, 1.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame([(*r, 0, "x") for r in rows], "vec_id long, embedding array<double>, rank int, vector string")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") == 2).collect()}
+    assert got == {(2, 1): (4, 1e-9 * 1e300 + 1.0), (2, 2): (1, 1e-209 + 2.0), (2, 3): (3, 0.1 * 1e-9 + 0.2), (2, 4): (3, 0.3 * 1e-9 + 0.1)}
 
 
 @pytest.mark.parametrize("text", [("A" + "b" * 14 + "\n") * 8192, "Éa Ⅷ日" * 5000, "", "AZ[@az", "x" * (1 << 20) + "é" + "Q" * 9])
