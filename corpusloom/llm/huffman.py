@@ -168,7 +168,7 @@ def count_ids(ids: DataFrame, width: str = "<u4") -> DataFrame:
 
 
 def write(ids: DataFrame, path: str, limit: int = 20, frame_ids: int = 1 << 20, shards: int | None = None, width: str = "<u4") -> None:
-    """Write (doc_id, ids binary) to `path`, documents in ascending doc_id order (null last, ties by their ids).
+    """Write (doc_id, ids binary) to `path`, documents in ascending doc_id order (null last, by a hash; ties by their ids).
 
     Counts over all ids give one code; the vocabulary bounds what the driver sees. Documents are dealt by ranges of
     doc_id, so shard k holds what lies between two split points, and frames of about `frame_ids` ids follow one another
@@ -183,8 +183,12 @@ def write(ids: DataFrame, path: str, limit: int = 20, frame_ids: int = 1 << 20,
     book = spark.sparkContext.broadcast(pairs.astype("<i8").tobytes())
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     splits = splits_of(ids, "doc_id", shards)
-    dealt = ids.select(bucket_of("doc_id", splits).alias("shard"), "doc_id", "ids").repartition(len(splits) + 1, "shard")
-    dealt = dealt.sortWithinPartitions("shard", F.asc_nulls_last("doc_id"), "ids")
+    #: Null ids come last, in the order of a hash of their ids, in as many shards of their own.
+    mark = F.when(F.col("doc_id").isNull(), F.xxhash64("ids"))
+    last = F.lit(len(splits) + 1) + F.floor((F.col("mark").cast("double") / float(1 << 64) + 0.5) * shards).cast("int")
+    shard = F.when(F.col("doc_id").isNull(), last).otherwise(bucket_of("doc_id", splits))
+    dealt = ids.withColumn("mark", mark).select(shard.alias("shard"), "doc_id", "ids", "mark").repartition(len(splits) + 1, "shard")
+    dealt = dealt.sortWithinPartitions("shard", F.asc_nulls_last("doc_id"), "mark", "ids").drop("mark")
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, shard, frame, start, held, names, size = code_from(book.value), -1, 0, 0, [], [], 0

@@ -60,28 +60,41 @@ class Model:
             self.memory = Memory(self._of_pieces)
         return self
 
-    def word(self, word: str) -> np.ndarray:
-        """Log weight of each language. An unseen word is covered from the left by overlapping n-grams, the longest
-        known one at each place; the weight is their mean, 0 where none is known."""
-        if (known := self.at.get(word)) is not None:
-            return self.word_logs[known]
-        edged, found = f"^{word}$", []
+    def _covering(self, word: str) -> list[int]:
+        """An unseen word's n-grams from the left, the longest known one at each place."""
+        edged, get, found = f"^{word}$", self.part_at.get, []
         for k in range(len(edged)):
             for n in range(min(self.order, len(edged) - k), 0, -1):
-                if (part := self.part_at.get(edged[k : k + n])) is not None:
+                if (part := get(edged[k : k + n])) is not None:
                     found.append(part)
                     break
-        return self.part_logs[found].mean(axis=0) if found else np.zeros(len(self.langs), np.float32)
+        return found
 
     def _of_pieces(self, pieces: pa.Array) -> pa.Array:
-        """For each piece the sum of its words' weights, then the number of its words."""
-        width = len(self.langs) + 1
+        """For each piece the sum of its words' log weights by language, then the number of its words.
+
+        An unseen word's weight is the mean over the n-grams that cover it, 0 where none is known.
+        """
+        width, get = len(self.langs) + 1, self.at.get
         out = np.zeros((len(pieces), width), np.float32)
+        known: tuple[list, list] = ([], [])
+        covered: tuple[list, list, list] = ([], [], [])
         for k, piece in enumerate(pieces.to_pylist()):
-            own = words_of(piece.decode())
-            for w in own:
-                out[k, :-1] += self.word(w)
+            own = [piece.decode().lower()] if piece.isascii() else words_of(piece.decode())
             out[k, -1] = len(own)
+            for w in own:
+                if (at := get(w)) is not None:
+                    known[0].append(k)
+                    known[1].append(at)
+                elif found := self._covering(w):
+                    covered[0].append(k)
+                    covered[1].append(len(found))
+                    covered[2].extend(found)
+        np.add.at(out[:, :-1], known[0], self.word_logs[known[1]])
+        if covered[0]:
+            sizes = np.array(covered[1])
+            sums = np.add.reduceat(self.part_logs[covered[2]], np.cumsum(sizes) - sizes, axis=0)
+            np.add.at(out[:, :-1], covered[0], sums / sizes[:, None])
         return pa.FixedSizeListArray.from_arrays(pa.array(out.reshape(-1)), width)
 
     def scores(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:

@@ -264,7 +264,8 @@ def test_merkle(spark, docs, none):
     text = "One two. Three four.\n\nFive six! Seven\neight " + "nine " * 40
     assert "".join(merkle.PASSAGES(text)) == text
     a, b = merkle.fingerprint(text), merkle.fingerprint(text.replace("six", "sax"))
-    assert merkle.likeness(a, a) == 1 and 0.5 < merkle.likeness(a, b) < 1 and len(merkle.differing(a, b)) == 1 and not merkle.differing(a, a)
+    assert merkle.likeness(a, a) == 1 and 0.5 < merkle.likeness(a, b) < 1 and not merkle.differing(a, a)
+    assert [k for k, _, _ in merkle.differing(a, b)] == ["gone", "new"]
     assert merkle.fingerprint(None) == merkle.fingerprint("") and merkle.likeness(a, merkle.fingerprint("")) == 0
     got = merkle.compare_with_next(docs).collect()
     order = sorted(((r[0], r[1] or "") for r in ROWS), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
@@ -273,10 +274,72 @@ def test_merkle(spark, docs, none):
         following = order[(k + 1) % len(order)][1]
         expected[doc, len(t), hashlib.sha256(merkle.edited_by(t, following).encode()).hexdigest()] += 1
     assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == expected
+    for k, (doc, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        own, changed = merkle.fingerprint(t), merkle.fingerprint(merkle.edited_by(t, following))
+        assert (doc, own, changed, merkle.likeness(own, changed), merkle.likeness(own, merkle.fingerprint(following))) in {(r.doc_id, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in got}
     assert merkle.compare_with_next(docs.where("doc_id = 1")).first().near_next == 1
     assert merkle.compare_with_next(none).count() == 0
 
 
+def brute_tree(text):
+    """(section, paragraph, passage) paths with their passages, cut by hand."""
+    out, section, paragraph, held = [], 0, 0, []
+    for passage in [x for x in merkle.PASSAGES(text) if x]:
+        held.append(passage)
+        if passage[-1] == "\n":
+            import xxhash
+
+            digest = xxhash.xxh3_128_digest(b"".join(xxhash.xxh3_64_digest(h.encode()) for h in held))
+            out += [((section, paragraph, k), h) for k, h in enumerate(held)]
+            held, paragraph = [], paragraph + 1
+            if passage.endswith("\n\n") or digest[-1] % 8 == 0:
+                section, paragraph = section + 1, 0
+    return out + [((section, paragraph, k), h) for k, h in enumerate(held)]
+
+
+def test_trees_locate_edits():
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(50)]
+    line = lambda: " ".join(rng.choice(words, rng.integers(1, 30))) + str(rng.choice([". ", "! ", "\n", "\n\n", " "]))
+    for _ in range(150):
+        parts = [line() for _ in range(rng.integers(0, 30))]
+        other = list(parts)
+        for _ in range(rng.integers(0, 4)):
+            at = int(rng.integers(0, len(other) + 1))
+            other[at : at + int(rng.integers(0, 2))] = [line() for _ in range(rng.integers(0, 2))]
+        if len(other) > 3 and rng.random() < 0.3:
+            other[0], other[-1] = other[-1], other[0]
+        a, b = "".join(parts), "".join(other)
+        x, y, left, right = merkle.fingerprint(a), merkle.fingerprint(b), dict(brute_tree(a)), dict(brute_tree(b))
+        found = merkle.differing(x, y)
+        assert (a == b) == (not found) == (x == y) == (merkle.likeness(x, y) == 1 and x.split("/")[0] == y.split("/")[0])
+        gone = Counter(left[p] for k, p, _ in found if k == "gone")
+        new = Counter(right[p] for k, _, p in found if k == "new")
+        assert gone == Counter(left.values()) - Counter(right.values()) and new == Counter(right.values()) - Counter(left.values())
+        common = sum((Counter(left.values()) & Counter(right.values())).values())
+        if a != b:
+            assert merkle.likeness(x, y) == pytest.approx(2 * common / max(1, len(left) + len(right)))
+    grown = merkle.differing(merkle.fingerprint("One. Two."), merkle.fingerprint("One. Two. Three."))
+    assert ("new", None, (0, 0, 2)) in grown
+    swapped = merkle.differing(merkle.fingerprint("a\n\nb\n\n"), merkle.fingerprint("b\n\na\n\n"))
+    assert [k for k, _, _ in swapped] == ["moved"]
+
+
+def test_many_rows_without_id_are_spread(spark):
+    rows = [(None, f"text {k}. more") for k in range(40)] + [(k, f"doc {k}") for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = merkle.compare_with_next(df).collect()
+    assert len(got) == 45 and len({r.fingerprint for r in got}) == 45
+    following = {r.doc_id: r for r in got if r.doc_id is not None}
+    assert following[4].edited_sha256 == hashlib.sha256(merkle.edited_by("doc 4", "doc 3").encode()).hexdigest()
+    path = scratch(spark, "test-tokens")
+    huffman.save_documents(df, path, shards=3)
+    back = sorted(huffman.read_checksums(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in back] == [*range(5), *[None] * 40] and len({r.ids_crc32 for r in back}) == 45
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(back, back[1:], strict=False))
+
+
 def reshared(sizes, most=3):
     """Targets by rounds: full sources leave, the rest is shared again."""
     weight = {s: k % 3 + 1 for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
