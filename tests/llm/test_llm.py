@@ -557,7 +557,63 @@ def test_vectors_of_doubles_and_repeated_rows(spark):
 @pytest.mark.parametrize("text", [("A" + "b" * 14 + "\n") * 8192, "Éa Ⅷ日" * 5000, "", "AZ[@az", "x" * (1 << 20) + "é" + "Q" * 9])
 def test_capitals_of_whole_texts(text):
     assert quality.capitals(text) == sum(map(str.isupper, text))
-    assert quality.meta_view(text, "s", "en")[9] == pytest.approx(3 * sum(map(str.isupper, text)) / max(1, len(text)))
+    assert quality.facts(text)[9] == pytest.approx(3 * sum(map(str.isupper, text)) / max(1, len(text)))
+
+
+def brute_views(text, source, lang):
+    """Both views of one document, feature by feature."""
+    words = [w for w in re.split("[\\x20\\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+", text or "") if w]
+    places = Counter(map(quality._place, words))
+    out = np.zeros(quality.SHAPES + quality.BUCKETS + 1)
+    counts = Counter()
+    for place, n in places.items():
+        out[place // quality.BUCKETS] += n / len(words)
+        counts[place % quality.BUCKETS] += n
+    norm = sum(np.log1p(n) ** 2 for n in counts.values()) ** 0.5
+    for bucket, n in counts.items():
+        out[quality.SHAPES + bucket] = np.log1p(n) / norm
+    out[-1] = len(places) / max(1, len(words))
+    meta = np.zeros(quality.FACTS + quality.SOURCES + quality.LANGS)
+    meta[: quality.FACTS] = quality.facts(text)
+    meta[quality.FACTS + zlib.crc32(f"s{source}".encode()) % quality.SOURCES] = 0.3
+    meta[quality.FACTS + quality.SOURCES + zlib.crc32(f"l{lang}".encode()) % quality.LANGS] = 0.3
+    return out, meta
+
+
+def test_views_of_whole_texts():
+    texts = ["The CAT, sat... on\u3000the mat\x85\n\nx", None, "", "a b " * 3000, "Zwölf Boxkämpfer!! 日本 (x)", "y"]
+    made = quality.Features.of(pa.array(texts, pa.string()), list("abcdef"), ["en", None] * 3)
+    made = quality.Features.unpacked(*made.packed().values())
+    rng = np.random.default_rng(0)
+    views = [quality.View(rng.normal(size=quality.SHAPES + quality.BUCKETS + 2)), quality.View(rng.normal(size=quality.FACTS + quality.SOURCES + quality.LANGS + 1))]
+    wanted = [brute_views(t, s, x) for t, s, x in zip(texts, "abcdef", ["en", None] * 3, strict=True)]
+    for v in (0, 1):
+        assert np.allclose(made.view(v), np.array([w[v] for w in wanted]), atol=1e-6) and np.allclose(made.odds(views)[v], views[v].odds(np.array([w[v] for w in wanted])), atol=1e-5)
+
+
+def test_co_training_is_the_plain_one(spark):
+    """All documents in memory, every pool row ranked in every round."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    views = [np.array(v, np.float32).astype(np.float64) for v in zip(*(brute_views(r.text, r.source, r.lang) for r in rows), strict=True)]
+    known = np.array([k for k, r in enumerate(rows) if r.doc_id in label])
+    pool = np.array([k for k, r in enumerate(rows) if r.doc_id not in label])
+
+    def sure(now, v, sign, n):
+        odds, out, seen = now[v].odds(views[v][pool]), [], set()
+        for k in np.argsort(-sign * odds, kind="stable"):
+            if sign * odds[k] > 1 and round(odds[k], 4) not in seen:
+                seen.add(round(odds[k], 4))
+                out.append((odds[k], int(pool[k])))
+        return out[:n]
+
+    judge = quality.co_train(tuple(v[known] for v in views), np.array([label[rows[k].doc_id] for k in known], float), sure, lambda keys: tuple(v[keys] for v in views), each=10)
+    odds = [judge.views[v].odds(views[v]) for v in (0, 1)]
+    wanted = {r.doc_id: p for r, p in zip(rows, 1 / (1 + np.exp(-(judge.share * odds[0] + (1 - judge.share) * odds[1]))), strict=True)}
+    got = {r.doc_id: r.quality_score for r in quality.classify(docs, labels, each=10).collect()}
+    assert set(got) == set(wanted) and max(abs(got[i] - wanted[i]) for i in got) < 0.02
 
 
 def test_quality(spark, docs, none):
@@ -569,4 +625,6 @@ def test_quality(spark, docs, none):
     good, bad = (scored.quality == 1).sum(), (scored.quality == 0).sum()
     assert (rank[scored.quality == 1].sum() - good * (good + 1) / 2) / (good * bad) > 0.95
     assert quality.classify(docs, labels.limit(0)).count() == len(ROWS)
+    odd = spark.createDataFrame([(1, 1), (1, 0), (1, 0), (2, None), (None, 1), (7, 1), (7, 1), (99, 1)], "doc_id long, quality int")
+    assert len({r.quality_score for r in quality.classify(docs, odd).where("doc_id = 2").collect()}) == 1
     assert quality.classify(none, labels).count() == 0
