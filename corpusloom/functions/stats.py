@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import unit_hash
+from corpusloom.functions.draws import binomial, let, uniform
 from corpusloom.operators.sampling import average_ranks
 
 #: Fixed value: the standard normal quantile of 0.975.
@@ -26,6 +26,11 @@ def nearest_rank(df: DataFrame, by: Sequence[str], value: str, points: dict[str,
     return counts.groupBy(*by).agg(*[F.min(F.when(F.col("__upto") > at(p), F.col(value))).alias(name) for name, p in points.items()])
 
 
+def mean_or_nan(c: Column | str) -> Column:
+    """Aggregate: the mean, NaN where there is no value."""
+    return F.coalesce(F.avg(c), F.lit(float("nan")))
+
+
 def wilson(hits: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     """(low, high) of the Wilson interval; null for n = 0."""
     some = F.nullif(n, F.lit(0))
@@ -73,24 +78,39 @@ def binary_kappa(x: Column, y: Column) -> Column:
     return F.when(chance == 1, 1.0).otherwise((seen - chance) / F.nullif(1 - chance, F.lit(0.0)))
 
 
-def bootstrap_means(df: DataFrame, value: str, by: Sequence[str], resamples: int, seed: str) -> DataFrame:
+def _multinomial(key: Sequence[str], n: Column, values: Column, start: Column, step, seed: str) -> Column:
+    """Fold over n draws dealt to values (array of structs with count c): each in turn takes a binomial of what is left."""
+    total = F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x["c"])
+
+    def taken(acc: Column, x: Column) -> Column:
+        chance = lambda t, salt: uniform(F.lit(seed), *key, acc["i"], t, F.lit(salt))
+        drawn = binomial(acc["left"], F.when(acc["mass"] <= x["c"], 1.0).otherwise(x["c"] / acc["mass"]), chance)
+        return let(drawn, lambda k: F.struct((acc["left"] - k).alias("left"), (acc["mass"] - x["c"]).alias("mass"), (acc["i"] + 1).alias("i"), step(acc["out"], x, k).alias("out")))
+
+    first = F.struct(n.cast("long").alias("left"), total.alias("mass"), F.lit(0).alias("i"), start.alias("out"))
+    return F.aggregate(values, first, taken, lambda acc: acc["out"])
+
+
+def bootstrap_means(df: DataFrame, value: str, by: Sequence[str], resamples: int, seed: str, cell: int = 256) -> DataFrame:
     """(by, b, mean): the means of `resamples` resamples with replacement of each group.
 
-    Position j of resample b takes the row at hash(seed, b, j) mod n in order of value, the same on any engine and
-    partitioning. Draws are made once for each group size, counted by (b, row), and only then joined to the rows, so
-    what is shuffled is at most a row for each of resamples x rows and groups of one size share their draws. The work
-    is resamples x rows: for very large groups take fewer resamples.
+    How often a resample takes each distinct value is multinomial, so rows are counted by value first and neither
+    ordered nor drawn one by one: the work is resamples x distinct values, whatever the rows. Distinct values lie in
+    cells of about `cell` by a hash; a resample is dealt to cells, then within each. Draws come from hashes of the seed,
+    the resample and the cell, so groups of the same values have the same resamples on any partitioning.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
-    rows = rows.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy("__v")) - 1)
-    rows = rows.withColumn("__all", F.count("*").over(Window.partitionBy(*by)))
-    sizes = rows.select("__all").distinct()
-    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).repartition("__all", "b")
-    draws = draws.withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__all"))))
-    drawn = draws.select("__all", "b", F.pmod(unit_hash(F.lit(seed), "b", "j"), F.col("__all")).cast("int").alias("__i"))
-    counted = drawn.groupBy("__all", "__i", "b").agg(F.count("*").alias("__n"))
-    means = rows.join(counted, ["__all", "__i"]).groupBy(*by, "b").agg((F.sum(F.col("__v") * F.col("__n")) / F.sum("__n")).alias("mean"))
-    return means
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    sizes = counts.groupBy(*by).agg(F.ceil(F.count("*") / cell).alias("__cells"))
+    counts = counts.join(sizes, list(by)) if by else counts.crossJoin(sizes)
+    counts = counts.withColumn("cell", F.pmod(F.xxhash64("v"), F.col("__cells")))
+    cells = counts.groupBy(*by, "cell").agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("values"), F.sum("c").alias("c"))
+    groups = cells.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cell", "c"))).alias("cells"), F.sum("c").alias("n"))
+    drawn = groups.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).repartition(*by, "b")
+    dealt = _multinomial(["b"], F.col("n"), F.col("cells"), F.array().cast("array<struct<cell:bigint,k:bigint>>"), lambda out, x, k: F.array_append(out, F.struct(x["cell"].alias("cell"), k.alias("k"))), f"{seed}|cells")
+    dealt = drawn.select(*by, "b", "n", F.explode(dealt).alias("d")).select(*by, "b", "n", "d.cell", "d.k")
+    inner = dealt.join(cells.select(*by, "cell", "values"), [*by, "cell"])
+    total = _multinomial(["b", "cell"], F.col("k"), F.col("values"), F.lit(0.0), lambda out, x, k: out + x["v"] * k, seed)
+    return inner.select(*by, "b", "n", total.alias("s")).groupBy(*by, "b").agg((F.sum("s") / F.first("n")).alias("mean"))
 
 
 def interval(means: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import enum_canonical, pstrip
+from corpusloom.functions.draws import let
+from corpusloom.functions.text import enum_canonical, pstrip, within_words
 
-#: The error types and the words for confidence.
-ERROR_TYPES = ("none", "hallucination", "wrong_entity", "wrong_number", "wrong_time", "contradiction", "omission", "repetition", "grammar", "other")
-CONFIDENCE = {"very_low": 1, "low": 2, "medium": 3, "high": 4, "very_high": 5}
+#: The error types, the labels of references, the scores, and the words for confidence.
+ERROR_TYPES = ("hallucination", "wrong_entity", "wrong_number_date", "contradiction", "omission", "repetition", "incoherence", "verbosity", "other", "none")
+REFERENCE_LABELS = ("fully_supported", "partially_supported", "unsupported", "mismatched")
+SCORE_FIELDS = ("faithfulness", "informativeness", "fluency", "conciseness")
+CONFIDENCE = {"very low": 1, "low": 2, "medium": 3, "high": 4, "very high": 5}
 
 
 def kind_of(body: Column, path: str) -> Column:
@@ -30,32 +33,81 @@ def boolean(text: Column) -> Column:
 
 
 def string_list(text: Column, kind: Column) -> Column:
-    """A list of stripped strings from a list or from one string; a blank string is an empty list."""
-    listed = F.filter(F.transform(F.from_json(text, "array<string>"), pstrip), lambda x: x != "")
-    single = F.when(pstrip(text) == "", F.array().cast("array<string>")).otherwise(F.array(pstrip(text)))
-    return F.when(kind.startswith("ARRAY"), listed).when(kind == "STRING", single)
+    """A list of stripped strings from a list of strings or from one string; a blank string is an empty list."""
+    listed = let(F.transform(F.from_json(text, "array<string>"), pstrip), lambda x: F.when(~F.exists(x, lambda i: i.isNull()), x))
+    single = let(pstrip(text), lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.array(x)))
+    return F.when(kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), listed).when(kind == "STRING", single)
 
 
-def confidence(text: Column) -> Column:
-    """1 to 5 from a word, an ordinal, or a probability in [0, 1]; exactly 1 is the ordinal."""
-    t = enum_canonical(text)
+def confidence(text: Column, kind: Column | None = None) -> Column:
+    """1 to 5 from a word, an ordinal, or a probability in [0, 1]; exactly 1 is the ordinal, a boolean is nothing."""
+    t = F.lower(pstrip(text))
     number = t.try_cast("double")
     out = F.coalesce(*[F.when(t == w, n) for w, n in CONFIDENCE.items()])
     whole = F.when((number == F.floor(number)) & number.between(1, 5), number.cast("int"))
     share = F.when(number.between(0, 1), F.least(F.lit(5), F.greatest(F.lit(1), F.floor(number * 4 + 0.5).cast("int") + 1)))
-    return F.coalesce(out, whole, share)
+    found = F.coalesce(out, whole, share)
+    return found if kind is None else F.when(kind != "BOOLEAN", found)
+
+
+def limited(text: Column, kind: Column, most: int = 60) -> Column:
+    """A string of at most `most` words, stripped."""
+    return F.when((kind == "STRING") & within_words(text, most), pstrip(text))
 
 
 def error_list(types: Column, major: Column) -> Column:
     """Canonical distinct error types: none or other where there are none, none dropped beside others; null if one is
     unknown."""
-    t = F.array_distinct(F.transform(types, enum_canonical))
-    t = F.when(F.size(t) == 0, F.array(F.when(major, "other").otherwise("none"))).otherwise(t)
-    t = F.when(F.size(t) > 1, F.array_remove(t, "none")).otherwise(t)
-    return F.when(F.size(F.array_except(t, F.array(*map(F.lit, ERROR_TYPES)))) == 0, t)
+    named = F.array_distinct(F.filter(F.transform(types, enum_canonical), lambda x: x != ""))
+    filled = let(named, lambda t: F.when(F.size(t) == 0, F.array(F.when(major, "other").otherwise("none"))).when(F.size(t) > 1, F.array_remove(t, "none")).otherwise(t))
+    return let(filled, lambda t: F.when(F.size(F.array_except(t, F.array(*map(F.lit, ERROR_TYPES)))) == 0, t))
 
 
 def yes_no(text: Column) -> Column:
     """A human's yes or no, in English or Vietnamese."""
     t = F.lower(pstrip(text))
     return F.when(t.isin("true", "yes", "y", "1", "có", "co"), True).when(t.isin("false", "no", "n", "0", "không", "khong"), False)
+
+
+def _field(body: Column, name: str) -> tuple[Column, Column]:
+    return F.get_json_object(body, f"$.{name}"), kind_of(body, f"$.{name}")
+
+
+def _verdict(body: Column, fields: dict[str, Column]) -> Column:
+    """A struct of the fields and `problem`: what is wrong first, or null. All fields are null where there is a problem."""
+    keys, wanted = F.json_object_keys(body), F.array(*map(F.lit, fields))
+    schema = F.when(keys.isNull(), "not an object").when((F.size(F.array_except(keys, wanted)) > 0) | (F.size(F.array_except(wanted, keys)) > 0), "schema mismatch")
+    found = F.struct(schema.alias("schema"), *[c.alias(name) for name, c in fields.items()])
+
+    def judged(r: Column) -> Column:
+        problem = F.coalesce(r["schema"], *[F.when(r[name].isNull(), F.lit(name)) for name in fields])
+        return let(problem, lambda p: F.struct(*[F.when(p.isNull(), r[name]).alias(name) for name in fields], p.alias("problem")))
+
+    return let(found, judged)
+
+
+def reference_verdict(body: Column) -> Column:
+    """A reference's verdict from its JSON: exactly the five fields, a known label, five claims at most, confidence 1 to
+    5, evidence and reason of 60 words at most; `problem` names the first that fails."""
+    (label, label_kind), claims = _field(body, "label"), string_list(*_field(body, "unsupported_claims"))
+    return _verdict(body, {
+        "label": F.when((label_kind == "STRING") & label.isin(*REFERENCE_LABELS), label),
+        "unsupported_claims": F.when(F.size(claims) <= 5, claims),
+        "evidence": limited(*_field(body, "evidence")),
+        "confidence": confidence(*_field(body, "confidence")),
+        "reason": limited(*_field(body, "reason")),
+    })
+
+
+def candidate_verdict(body: Column) -> Column:
+    """A candidate's verdict from its JSON: exactly the eight fields, four scores from 1 to 5, a boolean, known error
+    types, evidence and reason of 60 words at most; `problem` names the first that fails."""
+    text, kind = _field(body, "major_error")
+    major = F.when(kind.isin("BOOLEAN", "STRING"), boolean(text))
+    return _verdict(body, {
+        **{f: ordinal(*_field(body, f)) for f in SCORE_FIELDS},
+        "major_error": major,
+        "error_types": error_list(string_list(*_field(body, "error_types")), major),
+        "evidence": limited(*_field(body, "evidence")),
+        "reason": limited(*_field(body, "reason")),
+    })

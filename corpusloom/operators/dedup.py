@@ -15,16 +15,15 @@ def digest(*columns: str) -> Column:
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The first row of each key in order. First places are minima, so a hot key is one row a task; then a join
-    that adaptive execution can split brings the rows."""
-    marked = df.withColumn("__key", digest(*keys))
-    first = marked.groupBy("__key").agg(F.min(order).alias(order))
-    return marked.join(first, ["__key", order], "left_semi").drop("__key")
+    """The first row of each key in order; of rows equal in both, one. df is read once, and each task keeps the first
+    row of a key before the shuffle, so a hot key is one row a task."""
+    return first_examples(df.withColumn("__key", digest(*keys)), ["__key"], [order], 1).drop("__key")
 
 
 def surplus(*keys: str) -> Column:
     """Rows beyond the first of each key; null keys don't count."""
-    return (F.count(keys[0] if len(keys) == 1 else digest(*keys)) - F.count_distinct(F.col(keys[0]) if len(keys) == 1 else digest(*keys))).cast("long")
+    key = F.sha2(F.col(keys[0]).cast("string"), 256) if len(keys) == 1 else digest(*keys)
+    return (F.count(key) - F.count_distinct(key)).cast("long")
 
 
 def first_examples(df: DataFrame, by: Sequence[str], order: Sequence[str], most: int) -> DataFrame:
@@ -33,8 +32,12 @@ def first_examples(df: DataFrame, by: Sequence[str], order: Sequence[str], most:
 
 
 def shared_texts(rows: DataFrame, text: str, id_col: str, side: str | None = None, most: int = 10) -> DataFrame:
-    """Texts that several rows (or both sides) have: digest, count, and the first ids, `most` of them a side."""
-    marked = rows.withColumn("digest", F.sha2(text, 256))
+    """Texts that several rows (or both sides) have: digest, count, and the first ids, `most` of them a side.
+
+    With a side, a row that has a text twice counts once. Only digests are shuffled.
+    """
+    marked = rows.select(F.sha2(text, 256).alias("digest"), id_col, *([side] if side else []))
+    marked = marked.distinct() if side else marked
     by = ["digest"] + ([side] if side else [])
     counts = marked.groupBy(*by).agg(F.count("*").alias("n"))
     if side:

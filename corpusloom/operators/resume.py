@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,16 +18,27 @@ def pending(tasks: DataFrame, done: DataFrame, key: str = "key") -> DataFrame:
     return tasks.join(done.select(key).distinct(), key, "left_anti")
 
 
-def resume_state(parts: DataFrame, manifest: DataFrame, key: str = "id", order: str = "ordinal") -> DataFrame:
-    """(key, status) of what a resumed run keeps: the last row of each known key, if it is ok."""
-    known = manifest.select(key).distinct()
-    return last_wins(parts, key, order).join(known, key, "left_semi").where("status = 'ok'")
+def resume_state(parts: DataFrame, manifest: DataFrame, key: str = "id", order: str = "ordinal", strict: bool = False) -> DataFrame:
+    """(key, status) of what a resumed run keeps: the last row of each known key, if it is ok.
+
+    Rows of keys that the manifest doesn't know are left out, or with `strict` make the job fail when they are read.
+    """
+    known = manifest.select(key).distinct().withColumn("__known", F.lit(True))
+    last = last_wins(parts, key, order).join(known, key, "left")
+    if strict:
+        odd = F.raise_error(F.concat(F.lit("unknown id in the log: "), F.col(key).cast("string")))
+        last = last.withColumn("__known", F.when(F.col("__known").isNull(), odd).otherwise(F.col("__known")))
+    return last.where("__known and status = 'ok'").drop("__known")
 
 
-def ordered_merge(manifest: DataFrame, results: DataFrame, key: str = "id") -> DataFrame:
-    """Every manifest row with its result, status "missing" where there is none; sort by the ordinal when writing."""
+def ordered_merge(manifest: DataFrame, results: DataFrame, key: str = "id", strict: bool = False) -> DataFrame:
+    """Every manifest row with its result, status "missing" where there is none; sort by the ordinal when writing.
+
+    With `strict` a row without result makes the job fail when it is read.
+    """
     merged = manifest.join(results, key, "left")
-    return merged.withColumn("status", F.coalesce("status", F.lit("missing")))
+    lacking = F.raise_error(F.concat(F.lit("no result for "), F.col(key).cast("string"))) if strict else F.lit("missing")
+    return merged.withColumn("status", F.when(F.col("status").isNull(), lacking).otherwise(F.col("status")))
 
 
 def retry_delay(attempt: Column, key: Column, base: float = 1.0, most: float = 60.0) -> Column:
@@ -36,29 +49,40 @@ def retry_delay(attempt: Column, key: Column, base: float = 1.0, most: float = 6
     return wait * (1 + F.pmod(unit_hash(key, attempt), F.lit(1000)) / 10000.0)
 
 
-def call_rows(tasks: DataFrame, call: Callable[[dict], str], attempts: int = 3) -> DataFrame:
-    """tasks with value, error and attempts of calling a function row by row.
+def _tried(call: Callable[[dict], str], row: dict, attempts: int, wait: Callable[[int], float] | None) -> tuple[str | None, str | None, int, str | None]:
+    """(value, error, attempts, raw): ValueError is tried again after its wait; its second argument is the raw output."""
+    error, raw = "", None
+    for k in range(1, attempts + 1):
+        if k > 1 and wait is not None:
+            time.sleep(wait(k - 1))
+        try:
+            return call(row), None, k, raw
+        except ValueError as e:
+            error, raw = str(e.args[0]) if e.args else "", str(e.args[1]) if len(e.args) > 1 else raw
+        except Exception as e:
+            return None, f"{type(e).__name__}: {e}", k, raw
+    return None, error, attempts, raw
 
-    A failed row keeps its error and stops no other; ValueError is tried again, anything else is not. Retries happen
-    inside the worker, so no task of Spark's is run again for a row.
+
+def call_rows(tasks: DataFrame, call: Callable[[dict], str], attempts: int = 3, wait: Callable[[int], float] | None = None, call_batch: Callable[[list[dict]], list[str]] | None = None) -> DataFrame:
+    """tasks with value, error, attempts and raw of calling a function, first for a whole batch if `call_batch` is given.
+
+    Where a batch fails, or without one, rows are called one by one: a failed row keeps its error and stops no other;
+    ValueError is tried again after wait(attempt) seconds, anything else is not. raw is the last rejected output, where
+    the error carries one as its second argument. Retries happen inside the worker, so no task of Spark's is run again.
     """
     names = tasks.columns
 
-    def one(row: dict) -> tuple[str | None, str | None, int]:
-        error = ""
-        for k in range(1, attempts + 1):
-            try:
-                return call(row), None, k
-            except ValueError as e:
-                error = str(e)
-            except Exception as e:
-                return None, f"{type(e).__name__}: {e}", k
-        return None, error, attempts
-
     def of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            made = [one(r) for r in b.to_dict("records")]
-            yield b.assign(value=[m[0] for m in made], error=[m[1] for m in made], attempts=[m[2] for m in made])
+            rows, made = b.to_dict("records"), None
+            if call_batch is not None:
+                with contextlib.suppress(Exception):
+                    values = call_batch(rows)
+                    made = [(v, None, 1, None) for v in values] if len(values) == len(rows) else None
+            if made is None:
+                made = [_tried(call, r, attempts, wait) for r in rows]
+            yield b.assign(**{c: pd.Series([m[k] for m in made], index=b.index, dtype=object) for k, c in enumerate(("value", "error", "attempts", "raw"))})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tasks.schema)
-    return tasks.select(*names).mapInPandas(of_batches, f"{schema}, value string, error string, attempts int")
+    return tasks.select(*names).mapInPandas(of_batches, f"{schema}, value string, error string, attempts int, raw string")

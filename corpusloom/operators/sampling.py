@@ -48,6 +48,27 @@ def rank_strata(df: DataFrame, strata: int, order: Sequence[Column], name: str =
     return placed.crossJoin(total).withColumn(name, (number + 1).cast("int")).drop("__place", "__all")
 
 
+def equal_strata(df: DataFrame, strata: int, order: Sequence[Column], name: str = "stratum") -> DataFrame:
+    """rank_strata() of rows that divide evenly; others raise."""
+    if n := df.count() % strata:
+        raise ValueError(f"{n} rows are over in {strata} equal strata")
+    return rank_strata(df, strata, order, name)
+
+
+def sample_exactly(df: DataFrame, stratum: str, id_col: str, counts: dict, seed: str, namespace: str) -> DataFrame:
+    """sample_strata() with a number for each stratum; a stratum that is missing or too small raises."""
+    sizes = {r[0]: r[1] for r in df.groupBy(stratum).count().collect()}  # one row a stratum
+    if few := {s: n for s, n in counts.items() if n > sizes.get(s, 0)}:
+        raise ValueError(f"strata are smaller than asked for: {few}")
+    asked = F.coalesce(*[F.when(F.col(stratum) == F.lit(s), F.lit(n)) for s, n in counts.items()], F.lit(0))
+    return sample_strata(df, stratum, id_col, max(counts.values(), default=0), seed, namespace).where(F.col("draw") <= asked)
+
+
+def peek(df: DataFrame, id_col: str, n: int, seed: str) -> DataFrame:
+    """n rows in hash order: the same on every run."""
+    return df.orderBy(hash_order(F.lit(seed), F.lit("peek"), id_col), id_col).limit(n)
+
+
 def sample_strata(df: DataFrame, stratum: str, id_col: str, per_stratum: int, seed: str, namespace: str) -> DataFrame:
     """per_stratum rows of each stratum without replacement; smaller numbers give prefixes of larger samples."""
     by_hash = Window.partitionBy(stratum).orderBy(hash_order(F.lit(seed), F.lit(namespace), id_col), id_col)

@@ -78,3 +78,23 @@ def arrange_blocks(samples: Sequence[str], repeats: Sequence[str], distance: int
             raise ValueError(f"{len(order)} samples are too few for repeats {distance} apart")
         out.insert(min(len(out), at + k), (s, True))
     return out
+
+
+def assess_pilot(log: DataFrame, wanted: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """One row of a pilot's counts and its gate's status; `wanted` has one row, expected_records.
+
+    A record counts as first pass if it took one attempt, as a share of the records expected. Tasks of run "pilot" are
+    compared with those of run "pilot-repeat", or whose label ends in R, field by field.
+    """
+    repeat = (F.col("run_id") == "pilot-repeat") | F.col("anon_id").endswith("R")
+    candidates = log.where("task = 'candidate'")
+    name = F.regexp_replace("anon_id", "R$", "")
+    side = lambda df, end: df.select("sample_id", name.alias("anon_id"), *[F.col(f).alias(f + end) for f in fields])
+    both = side(candidates.where(~repeat & (F.col("run_id") == "pilot")), "").join(side(candidates.where(repeat), "_again"), ["sample_id", "anon_id"])
+    gaps = both.select(F.explode(F.array(*[F.abs(F.col(f) - F.col(f + "_again")) for f in fields])).alias("gap"))
+    found = gaps.agg(F.count("*").alias("n_comparisons"), F.coalesce(F.avg((F.col("gap") <= 1).cast("int")), F.lit(0.0)).alias("w"), F.max("gap").alias("largest"))
+    records = log.agg(F.count("*").alias("valid_records"), F.count_if(F.col("attempts") == 1).alias("first"))
+    every = wanted.crossJoin(records).crossJoin(found)  # one row each
+    first = F.coalesce(F.try_divide("first", "expected_records"), F.lit(0.0))
+    status = F.coalesce(gate((F.col("valid_records") == F.col("expected_records")).cast("int"), first, F.col("w"), F.col("largest")), F.lit("needs_review"))
+    return every.select("expected_records", "valid_records", F.round(first, 4).alias("first_pass_rate"), "n_comparisons", F.round("w", 4).alias("within_one"), "largest", status.alias("status"))

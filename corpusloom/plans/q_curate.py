@@ -188,12 +188,12 @@ def subset_check(spark, d):
     return gone(a, b, "unlabelled").union(gone(b, a, "unknown label"))
 
 
-LINES = f"select distinct 'document' side, doc_id id, line from (select doc_id, {V.pstrip_sql('l')} line from (select doc_id, unnest(string_split(text, chr(10))) l from documents)) where line <> '' union all select 'benchmark', item_id, {V.pstrip_sql('text')} from benchmark where {V.pstrip_sql('text')} <> ''"
+LINES = f"select distinct 'document' side, doc_id id, line from (select doc_id, {V.pstrip_sql('l')} line from (select doc_id, unnest(string_split(text, chr(10))) l from documents)) where line <> '' union all select distinct 'benchmark', item_id, {V.pstrip_sql('text')} from benchmark where {V.pstrip_sql('text')} <> ''"
 
 
 @query(f"select sha256(line) digest, side, count(*) n, list_sort(list(id))[1:5] ids from ({LINES}) where line in (select line from ({LINES}) group by line having count(distinct side) > 1) group by line, side")
 def exact_leakage(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l")).select(F.lit("document").alias("side"), F.col("doc_id").alias("id"), X.pstrip("l").alias("line")).distinct()
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l")).select(F.lit("document").alias("side"), F.col("doc_id").alias("id"), X.pstrip("l").alias("line"))
     items = table(spark, d, "benchmark").select(F.lit("benchmark").alias("side"), F.col("item_id").alias("id"), X.pstrip("text").alias("line"))
     return D.shared_texts(lines.union(items).where("line <> ''"), "line", "id", "side", 5)
 

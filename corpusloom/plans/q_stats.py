@@ -135,11 +135,11 @@ def label_distribution(spark, d):
     return domain.join(counts, "label", "left").crossJoin(total).select("label", n.alias("n"), F.round(n / F.col("all"), 6).alias("share"))
 
 
-ERRORS = f"select sample_id, system, list_filter([case when major_error then 'hallucination' end, case when faithfulness < 3 then 'wrong_entity' end, case when informativeness < 2 then 'omission' end, case when fluency < 2 then 'grammar' end], lambda x: x is not null) e from ({V.SCORES})"
+ERRORS = f"select sample_id, system, list_filter([case when major_error then 'hallucination' end, case when faithfulness < 3 then 'wrong_entity' end, case when informativeness < 2 then 'omission' end, case when fluency < 2 then 'incoherence' end], lambda x: x is not null) e from ({V.SCORES})"
 
 
 def error_types():
-    return F.array_compact(F.array(F.when(F.col("major_error"), "hallucination"), F.when(F.col("faithfulness") < 3, "wrong_entity"), F.when(F.col("informativeness") < 2, "omission"), F.when(F.col("fluency") < 2, "grammar")))
+    return F.array_compact(F.array(F.when(F.col("major_error"), "hallucination"), F.when(F.col("faithfulness") < 3, "wrong_entity"), F.when(F.col("informativeness") < 2, "omission"), F.when(F.col("fluency") < 2, "incoherence")))
 
 
 @query(f"select system, error_type, count(*) n from (select system, unnest(case when len(e) = 0 then ['none'] else e end) error_type from ({ERRORS})) group by all")
@@ -165,57 +165,39 @@ def weighted_mean(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.round(F.sum(F.col("value") * F.col("event_id")) / F.sum("event_id"), 6).alias("weighted"))
 
 
-def boot_sql(rows: str, resamples: int, seed: str) -> str:
-    return f"""v as ({rows}), r as (select g, x, row_number() over (partition by g order by x) - 1 i from v), c as (select g, count(*) n from v group by g),
- t as (select g, b, n, unnest(generate_series(1, n)) j from c, (select unnest(generate_series(1, {resamples})) b)),
- m as (select t.g, t.b, avg(r.x) mean from t join r on r.g = t.g and r.i = (('0x' || substr(md5('{seed}|' || t.b || '|' || t.j), 1, 12))::bigint % t.n) group by t.g, t.b)"""
+#: Resamples of the studies.
+RESAMPLES = 2000
 
 
-@query(f"with {boot_sql(f'select system g, faithfulness::double x from ({V.SCORES})', 200, 'boot')} select g as system, round(quantile_cont(mean, 0.025), 6) low, round(quantile_cont(mean, 0.975), 6) high from m group by g")
+@query()
 def bootstrap_ci(spark, d):
-    means = S.bootstrap_means(V.scores(spark, d), "faithfulness", ["system"], 200, "boot")
+    """95 % interval of each system's mean faithfulness; multinomial draws that SQL of another engine can't repeat."""
+    means = S.bootstrap_means(V.scores(spark, d), "faithfulness", ["system"], RESAMPLES, "boot")
     return rounded(S.interval(means, ["system"]), "low", "high")
 
 
 @query()
-def bootstrap_ci_2000(spark, d):
-    """bootstrap_ci with the 2,000 resamples of the studies; the SQL twin of bootstrap_ci draws 200."""
-    means = S.bootstrap_means(V.scores(spark, d), "faithfulness", ["system"], 2000, "boot")
-    return rounded(S.interval(means, ["system"]), "low", "high")
-
-
-DIFF = f"select 'all' g, (a.faithfulness - b.faithfulness)::double x from ({V.SCORES}) a join ({V.SCORES}) b using (sample_id) where a.system = 'lead1' and b.system = 'neural'"
-
-
-@query(f"with {boot_sql(DIFF, 2000, 'pair')} select (select count(*) from v) n, round((select avg(x) from v), 6) difference, round(quantile_cont(mean, 0.025), 6) low, round(quantile_cont(mean, 0.975), 6) high, round(avg(case when mean > 0 then 1.0 when mean = 0 then 0.5 else 0 end), 6) p_greater from m")
 def paired_bootstrap(spark, d):
-    s = V.scores(spark, d)
-    both = s.where("system = 'lead1'").select("sample_id", F.col("faithfulness").alias("a")).join(s.where("system = 'neural'").select("sample_id", F.col("faithfulness").alias("b")), "sample_id")
-    out = S.paired_bootstrap(both.select((F.col("a") - F.col("b")).alias("x")), "x", [], 2000, "pair")
+    """Mean faithfulness of lead1 less neural on the samples of both, its interval, and how often it is above 0."""
+    wide = V.scores(spark, d).where(F.col("system").isin("lead1", "neural")).groupBy("sample_id").pivot("system", ["lead1", "neural"]).agg(F.max("faithfulness"))
+    out = S.paired_bootstrap(wide.select((F.col("lead1") - F.col("neural")).alias("x")), "x", [], RESAMPLES, "pair")
     return rounded(out, "difference", "low", "high", "p_greater")
 
 
-FIELD_CASES = ", ".join(f"('{f}')" for f in V.FIELDS)
-PAIRWISE = " union all ".join(f"select a.system || '>' || b.system || '|{f}' g, (a.{f} - b.{f})::double x from sc a join sc b using (sample_id) where a.o < b.o" for f in V.FIELDS)
-PAIRWISE += " union all select a.system || '>' || b.system || '|major_error', (a.major_error::int - b.major_error::int)::double from sc a join sc b using (sample_id) where a.o < b.o"
-
-
-@query(f"""with sc as (select *, list_position(['lead1', 'lead3', 'neural', 'pretrained'], system) o from ({V.SCORES})), {boot_sql(PAIRWISE, 100, 'systems')},
- w as (select g, count(*) n, avg(x) difference from v group by g), q as (select g, quantile_cont(mean, 0.025) low, quantile_cont(mean, 0.975) high, avg(case when mean > 0 then 1.0 when mean = 0 then 0.5 else 0 end) p from m group by g)
- select split_part(g, '|', 1) pair, split_part(g, '|', 2) field, n, round(difference, 6) difference, round(low, 6) low, round(high, 6) high, round(p, 6) p_greater,
- case when difference = 0 then 'equal' when (difference > 0) = (split_part(g, '|', 2) <> 'major_error') then split_part(split_part(g, '|', 1), '>', 1) else split_part(split_part(g, '|', 1), '>', 2) end better from w join q using (g)""")
+@query()
 def paired_systems(spark, d):
+    """All pairs of systems by score and error rate, with intervals of the mean difference."""
     from corpusloom.operators.study import compare_systems
 
-    return rounded(compare_systems(V.scores(spark, d), V.SYSTEMS, V.FIELDS, 100, "systems"), "difference", "low", "high", "p_greater")
+    return rounded(compare_systems(V.scores(spark, d), V.SYSTEMS, V.FIELDS, RESAMPLES, "systems"), "difference", "low", "high", "p_greater")
 
 
-@query()
-def paired_systems_2000(spark, d):
-    """paired_systems with the 2,000 resamples of the studies; the SQL twin of paired_systems draws 100."""
-    from corpusloom.operators.study import compare_systems
-
-    return rounded(compare_systems(V.scores(spark, d), V.SYSTEMS, V.FIELDS, 2000, "systems"), "difference", "low", "high", "p_greater")
+@query(f"select g.system, coalesce(avg(s.faithfulness) filter (quality = 1 and toxic = 1), 'nan'::double) mean from (select unnest(['lead1', 'lead3', 'neural', 'pretrained', 'absent']) as system) g left join ({V.SCORES}) s using (system) group by g.system")
+def mean_or_nan(spark, d):
+    """Mean of a group's values, NaN where it has none."""
+    groups = spark.range(1).select(F.explode(F.array(*map(F.lit, (*V.SYSTEMS, "absent")))).alias("system"))
+    rows = groups.join(V.scores(spark, d), "system", "left")
+    return rows.groupBy("system").agg(S.mean_or_nan(F.when((F.col("quality") == 1) & (F.col("toxic") == 1), F.col("faithfulness"))).alias("mean"))
 
 
 @query(f"select system, n, hits, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) high from (select system, count(*)::double n, count(*) filter (major_error) hits, count(*) filter (major_error)::double / count(*) p, {S.Z95} z from ({V.SCORES}) group by system)")

@@ -190,14 +190,30 @@ def pilot_stability(spark, d):
     return T.pilot_stability(log(spark, d), "faithfulness")
 
 
-@query(f"""with g as (select count(*) n, avg((abs(a.first - a.again) <= 1)::int) w, max(abs(a.first - a.again)) m from ({STABLE}) a), c as (select count(*)::double / (4 * (select count(*) from labels)) c from ({V.SCORES}))
- select n n_comparisons, round(w, 6) within_one, m largest, case when c = 1 and w >= 0.9 and m <= 2 then 'passed' else 'needs_review' end status from g, c""")
+FIELDS_SQL = ", ".join(V.FIELDS)
+OWN = f"select sample_id, anon_id, quality, {FIELDS_SQL} from ({V.SCORES}) join ({V.BLIND}) using (sample_id, system)"
+FULL_LOG = f"select 'candidate' task, 'pilot' run_id, * exclude (quality) from ({OWN}) union all select 'candidate', 'pilot-repeat', sample_id, anon_id || 'R', least(5, faithfulness + (sample_id % 10 = 0)::int), {', '.join(V.FIELDS[1:])} from ({OWN}) where quality = 0"
+FULL_LOG = f"select *, case when {V.draw_sql("sample_id::varchar || '|' || anon_id || '|attempts'", 40)} = 0 then 2 else 1 end attempts from ({FULL_LOG})"
+GAPS = " union all ".join(f"select abs(a.{f} - b.{f}) gap from ({FULL_LOG}) a join ({FULL_LOG}) b on a.run_id = 'pilot' and b.run_id = 'pilot-repeat' and a.sample_id = b.sample_id and b.anon_id = a.anon_id || 'R'" for f in V.FIELDS)
+
+
+def full_log(spark, d):
+    """The score log of a pilot: every task once, those of bad samples again, with the attempts that each took."""
+    own = V.scores(spark, d).join(V.blind(spark, d), ["sample_id", "system"]).withColumn("run_id", F.lit("pilot"))
+    changed = F.least(F.lit(5), F.col("faithfulness") + (F.col("sample_id") % 10 == 0).cast("int"))
+    again = own.where("quality = 0").withColumn("run_id", F.lit("pilot-repeat")).withColumn("anon_id", F.concat("anon_id", F.lit("R"))).withColumn("faithfulness", changed)
+    rows = own.union(again).withColumn("task", F.lit("candidate"))
+    attempts = F.when(V.draw("sample_id", "anon_id", F.lit("attempts"), out_of=40) == 0, 2).otherwise(1)
+    return rows.select("task", "run_id", "sample_id", "anon_id", *V.FIELDS, attempts.alias("attempts"))
+
+
+@query(f"""with g as (select count(*) n, avg((gap <= 1)::int) w, max(gap) m from ({GAPS})), l as (select count(*) n, count(*) filter (attempts = 1) f from ({FULL_LOG})),
+ e as (select 4 * count(*) + 4 * count(*) filter (quality = 0) n from labels)
+ select e.n expected_records, l.n valid_records, round(l.f::double / e.n, 4) first_pass_rate, g.n n_comparisons, round(g.w, 4) within_one, g.m largest,
+ case when l.n = e.n and l.f::double / e.n >= 0.95 and g.w >= 0.9 and g.m <= 2 then 'passed' else 'needs_review' end status from g, l, e""")
 def pilot_gate(spark, d):
-    gap = F.abs(F.col("first") - F.col("again"))
-    found = pilot_stability(spark, d).agg(F.count("*").alias("n_comparisons"), F.avg((gap <= 1).cast("int")).alias("w"), F.max(gap).alias("largest"))
-    done, wanted = V.scores(spark, d).agg(F.count("*").alias("done")), table(spark, d, "labels").agg((4 * F.count("*")).alias("wanted"))
-    status = T.gate(F.col("done") / F.col("wanted"), F.lit(1.0), F.col("w"), F.col("largest"))
-    return found.crossJoin(done).crossJoin(wanted).select("n_comparisons", F.round("w", 6).alias("within_one"), "largest", status.alias("status"))
+    wanted = table(spark, d, "labels").agg((4 * F.count("*") + 4 * F.count_if(F.col("quality") == 0)).alias("expected_records"))
+    return T.assess_pilot(full_log(spark, d), wanted, V.FIELDS)
 
 
 @query("select doc_id from documents anti join labels using (doc_id)")
@@ -258,7 +274,7 @@ def jsonl_issues(spark, d):
     return jsonl.judged(jsonl.lines_of(table(spark, d, "documents"), "doc_id", "text")).where("issue is not null").select("doc_id", "line", "issue")
 
 
-CASES = [("good_neural", "neural", "not major_error", "total", -1), ("good_pretrained", "pretrained", "not major_error", "total", -1), ("factual_error", "neural", "major_error or faithfulness < 3", "faithfulness", 1), ("omission", "pretrained", "major_error", "informativeness", 1), ("lead_bias", "lead1", "not major_error", "informativeness", -1)]
+CASES = [("good_neural", "neural", "not major_error", "total", -1), ("good_pretrained", "pretrained", "not major_error", "total", -1), ("factual_error", "neural", "major_error or faithfulness < 3", "faithfulness", 1), ("omission", "pretrained", "major_error", "informativeness", 1), ("lead_bias", "lead1", "not major_error", "informativeness", -1), ("fluent_error", "neural", "major_error and fluency >= 4", "fluency", -1)]
 
 
 @query(" union all ".join(f"(select '{c}' as case_name, system, sample_id from (select *, faithfulness + informativeness + fluency + conciseness total from ({V.SCORES})) where system = '{s}' order by case when {p} then 0 else 1 end, {v} {'asc' if o > 0 else 'desc'}, sample_id limit 1)" for c, s, p, v, o in CASES))
@@ -289,7 +305,7 @@ def boolean_coerce(spark, d):
     return table(spark, d, "labels").select("doc_id", W.boolean(written).alias("flag"))
 
 
-@query("select doc_id, case when quality = 1 then [lang, source] when toxic = 1 then [] else [lang] end listed from labels join documents using (doc_id)")
+@query("select doc_id, case when quality = 1 then [lang, source, ''] when toxic = 1 then [] else [lang] end listed from labels join documents using (doc_id)")
 def list_coerce(spark, d):
     t = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id")
     body = F.when(F.col("quality") == 1, F.to_json(F.struct(F.array(F.concat(F.lit(" "), "lang"), F.col("source"), F.lit("  ")).alias("c")))).when(F.col("toxic") == 1, F.lit('{"c": "  "}')).otherwise(F.to_json(F.struct(F.concat("lang", F.lit(" ")).alias("c"))))
@@ -303,16 +319,44 @@ def confidence_coerce(spark, d):
     return table(spark, d, "events").select("event_id", W.confidence(written).alias("confidence"))
 
 
-@query(f"select sample_id, system, case when len(e) = 0 then ['none'] else e end error_types, faithfulness, major_error from (select s.*, list_filter([case when major_error then 'wrong_entity' end, case when fluency < 2 then 'grammar' end], lambda x: x is not null) e from ({V.SCORES}) s)")
+PROBLEM = "case sample_id % 9 when 0 then 'schema mismatch' when 1 then 'error_types' when 2 then 'evidence' when 3 then 'fluency' end"
+
+
+@query(f"""select sample_id, system, problem, {', '.join(f'case when problem is null then {f} end {f}' for f in V.FIELDS)}, case when problem is null then major_error end major_error,
+ case when problem is null then case when len(e) = 0 then ['none'] else e end end error_types, case when problem is null then 'seen in line 3' end evidence, case when problem is null then 'short' end reason
+ from (select s.*, {PROBLEM} problem, list_filter([case when major_error then 'wrong_entity' end, case when fluency < 2 then 'incoherence' end], lambda x: x is not null) e from ({V.SCORES}) s)""")
 def verdict_normalize(spark, d):
-    """Verdicts written as loose JSON (strings for numbers, varied spelling, repeats, none beside others) made strict."""
-    named = F.concat(F.array_compact(F.array(F.when(F.col("major_error"), "Wrong Entity"), F.when(F.col("major_error"), "wrong-entity"), F.when(F.col("fluency") < 2, " GRAMMAR "))), F.when(F.col("major_error"), F.array(F.lit("none"))).otherwise(F.array().cast("array<string>")))
-    body = F.to_json(F.struct(F.col("faithfulness").cast("string").alias("f"), F.upper(F.col("major_error").cast("string")).alias("m"), named.alias("e")))
-    rows = V.scores(spark, d).select("sample_id", "system", body.alias("body"))
-    get = lambda k: F.get_json_object("body", f"$.{k}")
-    major = W.boolean(get("m"))
-    types = W.error_list(W.string_list(get("e"), F.lit("ARRAY")), major)
-    return rows.select("sample_id", "system", types.alias("error_types"), W.ordinal(get("f"), F.lit("STRING")).alias("faithfulness"), major.alias("major_error"))
+    """Verdicts written as loose JSON (strings for numbers, varied spelling, repeats, none beside others) made strict;
+    some with an extra field, an unknown error type, 61 words of evidence, or a fraction for a score."""
+    case = F.col("sample_id") % 9
+    named = F.concat(
+        F.array_compact(F.array(F.when(F.col("major_error"), "Wrong Entity"), F.when(F.col("major_error"), "wrong-entity"), F.when(F.col("fluency") < 2, " INCOHERENCE "), F.when(case == 1, "grammar"))),
+        F.when(F.col("major_error"), F.array(F.lit("none"))).otherwise(F.array().cast("array<string>")),
+    )
+    body = F.to_json(F.struct(
+        *[F.concat(F.col(f).cast("string"), F.when((case == 3) & (F.lit(f) == "fluency"), ".5").otherwise("")).alias(f) for f in V.FIELDS], F.upper(F.col("major_error").cast("string")).alias("major_error"), named.alias("error_types"),
+        F.when(case == 2, F.repeat(F.lit("word "), 61)).otherwise("  seen in line 3 ").alias("evidence"), F.lit("short").alias("reason"), F.when(case == 0, "x").alias("extra"),
+    ))
+    return V.scores(spark, d).select("sample_id", "system", W.candidate_verdict(body).alias("v")).select("sample_id", "system", "v.*")
+
+
+#: What a reference's verdict says, by case; the problem that it has, and what it is made strict.
+REFERENCE_CASES = """select doc_id sample_id, case when doc_id % 11 = 0 then 'label' when doc_id % 4 = 3 then 'unsupported_claims' when doc_id % 6 = 5 then 'confidence' end problem,
+ (['fully_supported', 'partially_supported', 'unsupported', 'mismatched'])[(quality * 2 + toxic + 1)::int] as label, case doc_id % 4 when 0 then [] when 1 then ['one claim'] else ['a', 'b c'] end claims,
+ case doc_id % 6 when 0 then 4 when 1 then 4 when 2 then 2 when 3 then 5 else 1 end confidence from labels"""
+
+
+@query(f"select sample_id, problem, case when problem is null then label end as label, case when problem is null then claims end unsupported_claims, case when problem is null then 'e' end evidence, case when problem is null then confidence end confidence, case when problem is null then 'r' end reason from ({REFERENCE_CASES})")
+def reference_verdict(spark, d):
+    """References' verdicts from loose JSON: labels, claims as a string or a list, confidence as a word, number or share."""
+    t = table(spark, d, "labels").withColumnRenamed("doc_id", "sample_id")
+    k = F.col("sample_id")
+    of = lambda n, *values: F.element_at(F.array(*map(F.lit, values)), (k % n + 1).cast("int"))
+    label = F.when(k % 11 == 0, "Supported").otherwise(F.element_at(F.array(*map(F.lit, W.REFERENCE_LABELS)), (F.col("quality") * 2 + F.col("toxic") + 1).cast("int")))
+    claims = of(4, '"  "', '" one claim"', '["a", " b c "]', '["1", "2", "3", "4", "5", "6"]')
+    sure = of(6, '" High"', "0.75", '"2"', "5.0", "0", "true")
+    body = F.concat(F.lit('{"label": "'), label, F.lit('", "unsupported_claims": '), claims, F.lit(', "evidence": " e ", "confidence": '), sure, F.lit(', "reason": "r"}'))
+    return t.select("sample_id", W.reference_verdict(body).alias("v")).select("sample_id", "v.*")
 
 
 @query(f"select sample_id, system, case when toxic = 1 and quality = 0 then null else faithfulness end score, major_error, not (toxic = 1 and quality = 0) complete from ({V.SCORES})")
@@ -323,3 +367,26 @@ def human_annotations(spark, d):
     rows = s.select("sample_id", "system", written.alias("w"), answer.alias("a"))
     score = W.ordinal(F.col("w"), F.lit("STRING"))
     return rows.select("sample_id", "system", score.alias("score"), W.yes_no(F.col("a")).alias("major_error"), (score.isNotNull() & W.yes_no(F.col("a")).isNotNull()).alias("complete"))
+
+
+@query(f"select doc_id, lang from documents order by sha256('{V.SEED}|peek|' || doc_id), doc_id limit 100")
+def random_peek(spark, d):
+    """A fixed number of rows in hash order, for a look at a table."""
+    return P.peek(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", 100, V.SEED)
+
+
+@query("select list_sort(list(distinct source)) config_ids, count(distinct source) = 1 uniform from documents")
+def config_ids(spark, d):
+    """The settings that occur, in order, and whether there is one."""
+    return V2.config_ids(table(spark, d, "documents"), "source")
+
+
+@query(f"""select id, line, list_filter([case when doc_id % 5 = 0 then 'missing field' end, case when doc_id % 7 = 0 then 'extra field' end, case when doc_id % 5 <> 0 and doc_id % 3 = 0 then 'error in ok row' end], lambda x: x is not null) issues
+ from (select *, doc_id as line from ({V.MANIFEST})) where doc_id % 5 = 0 or doc_id % 7 = 0 or doc_id % 3 = 0""")
+def handoff_issues(spark, d):
+    """Prediction lines against their closed schema of six fields: what is wrong with each."""
+    k = F.col("doc_id")
+    body = F.to_json(F.struct("id", F.lit("lead1").alias("system"), F.lit("default").alias("config_id"), F.lit("x").alias("prediction"), F.when(k % 5 != 0, "ok").alias("status"), F.when((k % 3 == 0) | (k % 5 == 0), "e").alias("error"), F.when(k % 7 == 0, 1).alias("more")), {"ignoreNullFields": "true"})
+    body = F.when(body.contains('"error"'), body).otherwise(F.concat(F.regexp_replace(body, r"\}$", ""), F.lit(',"error":null}')))
+    lines = V.manifest(spark, d).select(k.alias("line"), "id", body.alias("text"))
+    return V2.handoff_lines(lines, "lead1").where(F.size("issues") > 0).select("id", "line", "issues")

@@ -138,3 +138,13 @@ def lead3(spark, d):
 @query(f"select id, system, config_id, prediction, status, error from ({V.PREDICTIONS})")
 def lead_predictions(spark, d):
     return V.predictions(spark, d).drop("doc_id")
+
+
+@query(f"select doc_id, coalesce({V.pstrip_sql(V.nfc_sql('text'))}, '') text from documents")
+def nfc_stripped(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.nfc_stripped("text").alias("text"))
+
+
+@query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') stamp from events")
+def utc_stamp(spark, d):
+    return table(spark, d, "events").select("event_id", X.utc_stamp(F.col("ts")).alias("stamp"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.functions.sentences import lead
+from corpusloom.functions.sentences import split_sentences
 from corpusloom.runtime import table
 
 SEED = "corpusloom"
@@ -70,9 +70,12 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
     """Lead-1 and lead-3 predictions of all documents; under 4 words give an error row, under 2 no lead-3 row."""
     m = manifest(spark, d)
     n = X.word_count("source")
-    made = F.explode(F.array(*[F.struct(F.lit(s).alias("system"), lead("source", k).alias("prediction")) for s, k in (("lead1", 1), ("lead3", 3))]))
-    rows = m.withColumn("n", n).withColumn("ok", F.col("n") >= 4).select("id", "doc_id", "n", "ok", made.alias("p")).where("n > 1 or p.system = 'lead1'")
-    return rows.select("id", F.col("p.system").alias("system"), F.lit("default").alias("config_id"), F.when(F.col("ok"), F.col("p.prediction")).otherwise("").alias("prediction"), F.when(F.col("ok"), "ok").otherwise("error").alias("status"), F.when(~F.col("ok"), "too short").alias("error"), "doc_id")
+    # Sentences are split once a document, before the systems, and only where a prediction is asked for.
+    rows = m.select("id", "doc_id", "source", n.alias("n"), split_sentences("source").alias("s"))
+    rows = rows.withColumn("system", F.explode(F.array(F.lit("lead1"), F.lit("lead3")))).where("n > 1 or system = 'lead1'")
+    made = F.array_join(F.slice("s", F.lit(1), F.when(F.col("system") == "lead1", 1).otherwise(3)), " ")
+    ok, prediction = F.col("n") >= 4, F.coalesce(F.nullif(made, F.lit("")), F.col("source"))
+    return rows.select("id", "system", F.lit("default").alias("config_id"), F.when(ok, prediction).otherwise("").alias("prediction"), F.when(ok, "ok").otherwise("error").alias("status"), F.when(~ok, "too short").alias("error"), "doc_id")
 
 
 ABBREVIATIONS = "BS|TS|GS|PGS|ThS|KS|NSND|NSƯT|TP"

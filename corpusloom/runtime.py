@@ -45,13 +45,15 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-shared"))
     return sc.getCheckpointDir().rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder."""
+    return f"{shared_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -62,7 +64,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Delete every table that stored() has left in the shared folder; call it once results are saved."""
-    jvm, path = spark.sparkContext._jvm, f"{shared_dir(spark)}/corpusloom"
+    """Delete every table that this application's stored() has left; call it once results are saved."""
+    jvm, path = spark.sparkContext._jvm, f"{shared_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}"
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

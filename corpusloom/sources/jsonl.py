@@ -1,19 +1,38 @@
 """JSON Lines: strict, tolerant and issue-collecting scans that know line numbers, and sinks.
 
-Files are read as text and split inside the JVM, so a line keeps its file and number; a file is one row while it is
-split, so very large inputs should come as many files.
+Files are read in Spark's own splits, and a line keeps its file and number.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, text, last, ended): lines of all files; line ends are LF or CR LF, a leading BOM is dropped."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    return lines_of(files, "file", "value")
+    """(file, line, text, last, ended): lines of all files; line ends are LF or CR LF, a leading BOM is dropped.
+
+    Files are read in Spark's own splits. A line's number is its place in its split, plus the lines of the splits before
+    it; whether the file ends with a line end is told by its size. So no file is ever one row.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("at"), "value")
+    blocks = raw.groupBy("file", "start", "size").agg(F.count("*").alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("file")
+    blocks = blocks.select("file", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("all"), (F.col("size") - F.sum("bytes").over(whole)).isin(0, 3).alias("ended"))  # the reader drops a BOM, 3 bytes
+    numbered = raw.withColumn("rn", F.row_number().over(Window.partitionBy("file", "start").orderBy("at"))).join(blocks, ["file", "start"])
+    line = F.col("before") + F.col("rn")
+    text = F.regexp_replace("value", "\r$", "")
+    return numbered.select("file", line.cast("long").alias("line"), F.when(line == 1, F.regexp_replace(text, "^\ufeff", "")).otherwise(text).alias("text"), (line == F.col("all")).alias("last"), "ended")
+
+
+def rewrite(spark: SparkSession, source: str, target: str, schema: str, change: Callable[[DataFrame], DataFrame]) -> None:
+    """Read JSON Lines strictly, change the rows, write them to a new path; the source is never overwritten."""
+    if source.rstrip("/") == target.rstrip("/"):
+        raise ValueError("a rewrite needs a path of its own")
+    write_jsonl(change(read_jsonl(spark, source, schema).drop("file", "line")), target)
 
 
 def lines_of(rows: DataFrame, name: str, body: str) -> DataFrame:

@@ -1,10 +1,13 @@
+import json
 import random
 import re
+import statistics
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import draws as D
 from corpusloom.functions import metrics as M
 from corpusloom.functions import stats as S
 from corpusloom.functions import text as X
@@ -111,3 +114,120 @@ def test_verdict_coercion(spark):
     assert (r[3].s, r[3].e) == (None, ["wrong_entity"])
     words = spark.createDataFrame([("5",), ("0.9",), ("high",), ("1",), ("0",), ("7",)], "c string")
     assert [x[0] for x in words.select(W.confidence(F.col("c"))).collect()] == [5, 5, 4, 1, 1, None]
+
+
+def test_strip_is_linear(spark):
+    import time
+
+    text = "x" + " " * (1 << 20) + "y" + " " * (1 << 20)
+    began = time.perf_counter()
+    assert spark.createDataFrame([(text,)], "t string").select(F.length(X.pstrip("t")).alias("n")).first().n == 2 + (1 << 20)
+    assert time.perf_counter() - began < 5
+
+
+def test_binomial_draws(spark):
+    from math import comb
+
+    for n, p in ((7, 0.3), (60, 0.02), (300, 0.7), (5000, 0.4)):
+        chance = lambda t, salt: D.uniform("id", t, F.lit(salt))
+        seen = [r.k for r in spark.range(20_000).select(D.binomial(F.lit(n), F.lit(p), chance).alias("k")).collect()]
+        cells = [(seen.count(k), 20_000 * q) for k in range(n + 1) if 20_000 * (q := comb(n, k) * p**k * (1 - p) ** (n - k) if n < 1000 else statistics.NormalDist(n * p, (n * p * (1 - p)) ** 0.5).cdf(k + 0.5) - statistics.NormalDist(n * p, (n * p * (1 - p)) ** 0.5).cdf(k - 0.5)) > 8]
+        assert min(seen) >= 0 and max(seen) <= n
+        assert sum((o - e) ** 2 / e for o, e in cells) < len(cells) + 5 * (2 * len(cells)) ** 0.5 + (len(cells) * 0.2 if n == 5000 else 0)
+
+
+def test_bootstrap_is_the_plain_one(spark):
+    """Means, intervals and shares of multinomial resamples against drawing rows with replacement."""
+    rng = random.Random(4)
+    rows = [("a", rng.choice([-1.0, 0.0, 0.5, 2.0])) for _ in range(400)] + [("b", rng.gauss(1, 3)) for _ in range(90)] + [("c", 3.0)] * 5 + [("d", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    for cell in (256, 16):  # many distinct values lie in cells
+        means = S.bootstrap_means(df, "x", ["g"], 2000, "s", cell)
+        by = {r.g: (r.low, r.high) for r in S.interval(means, ["g"]).collect()}
+        assert set(by) == {"a", "b", "c"} and by["c"] == (3.0, 3.0) and means.count() == 6000
+        for g in "ab":
+            own = [x for k, x in rows if k == g]
+            drawn = sorted(statistics.fmean(rng.choices(own, k=len(own))) for _ in range(2000))
+            wide = drawn[1949] - drawn[49]
+            assert abs(by[g][0] - drawn[49]) < 0.1 * wide and abs(by[g][1] - drawn[1949]) < 0.1 * wide
+            got = [r.mean for r in means.where(F.col("g") == g).collect()]
+            assert abs(statistics.stdev(got) / statistics.stdev(drawn) - 1) < 0.08 and abs(statistics.fmean(got) - statistics.fmean(own)) < 0.05 * wide
+    again = {(r.g, r.b, r.mean) for r in S.bootstrap_means(df.repartition(5), "x", ["g"], 50, "s").collect()}
+    assert again == {(r.g, r.b, r.mean) for r in S.bootstrap_means(df, "x", ["g"], 50, "s").collect()}
+    out = S.paired_bootstrap(spark.createDataFrame([(1.0,), (1.0,), (1.0,)], "x double"), "x", [], 200, "p").first()
+    assert (out.n, out.difference, out.low, out.high, out.p_greater) == (3, 1.0, 1.0, 1.0, 1.0)
+
+
+CANDIDATE = {"faithfulness": "4", "informativeness": 3, "fluency": 5.0, "conciseness": 2, "major_error": "false", "error_types": "none", "evidence": " e ", "reason": "r"}
+REFERENCE = {"label": "unsupported", "unsupported_claims": "", "evidence": "e", "confidence": "5", "reason": "r"}
+
+
+@pytest.mark.parametrize(
+    ("change", "expected"),
+    [
+        ({}, {"faithfulness": 4, "fluency": 5, "major_error": False, "error_types": ["none"], "evidence": "e"}),
+        ({"error_types": ["Wrong Entity", "wrong-entity", "none"], "major_error": True}, {"error_types": ["wrong_entity"]}),
+        ({"error_types": []}, {"error_types": ["none"]}),
+        ({"error_types": [" "], "major_error": True}, {"error_types": ["other"]}),
+        ({"error_types": ["wrong number date", "incoherence", "verbosity"]}, {"error_types": ["wrong_number_date", "incoherence", "verbosity"]}),
+        ({"error_types": ["grammar"]}, "error_types"),
+        ({"error_types": ["omission", 3]}, "error_types"),
+        ({"error_types": 3}, "error_types"),
+        ({"faithfulness": 6}, "faithfulness"),
+        ({"fluency": True}, "fluency"),
+        ({"conciseness": "2.5"}, "conciseness"),
+        ({"major_error": 1}, "major_error"),
+        ({"evidence": "w " * 61}, "evidence"),
+        ({"reason": None}, "reason"),
+        ({"more": 1}, "schema mismatch"),
+    ],
+)
+def test_candidate_verdicts(spark, change, expected):
+    got = spark.createDataFrame([(json.dumps(CANDIDATE | change),)], "b string").select(W.candidate_verdict(F.col("b")).alias("v")).first().v.asDict()
+    if isinstance(expected, str):
+        assert got["problem"] == expected and {v for k, v in got.items() if k != "problem"} == {None}
+    else:
+        assert got["problem"] is None and got | expected == got
+
+
+@pytest.mark.parametrize(
+    ("change", "expected"),
+    [
+        ({}, {"label": "unsupported", "unsupported_claims": [], "confidence": 5}),
+        ({"confidence": 0.9, "unsupported_claims": [" a", "b "]}, {"confidence": 5, "unsupported_claims": ["a", "b"]}),
+        ({"confidence": " Very High"}, {"confidence": 5}),
+        ({"confidence": "high"}, {"confidence": 4}),
+        ({"confidence": 1}, {"confidence": 1}),
+        ({"confidence": "very_high"}, "confidence"),
+        ({"confidence": True}, "confidence"),
+        ({"confidence": 7}, "confidence"),
+        ({"label": "Unsupported"}, "label"),
+        ({"unsupported_claims": list("abcdef")}, "unsupported_claims"),
+        ({"reason": "w " * 61}, "reason"),
+        ({"extra": 1}, "schema mismatch"),
+    ],
+)
+def test_reference_verdicts(spark, change, expected):
+    got = spark.createDataFrame([(json.dumps(REFERENCE | change),)], "b string").select(W.reference_verdict(F.col("b")).alias("v")).first().v.asDict()
+    if isinstance(expected, str):
+        assert got["problem"] == expected and got["label"] is None
+    else:
+        assert got["problem"] is None and got | expected == got
+
+
+def test_verdicts_of_no_object(spark):
+    for body in ("[1]", "no json", None):
+        assert spark.createDataFrame([(body,)], "b string").select(W.reference_verdict(F.col("b")).alias("v")).first().v.problem == "not an object"
+
+
+def test_small_text_functions(spark):
+    rows = texts(spark).select("t", X.nfc_stripped("t").alias("s"), X.segmented("t").alias("a"), X.segmented("t", lambda c: F.split(c, " ")).alias("b")).collect()
+    for r in rows:
+        assert r.s == unicodedata.normalize("NFC", r.t or "").strip()
+        if r.t is not None:
+            assert r.a == re.findall(r"\w+", r.t.lower()) and r.b == [w for w in r.t.lower().split(" ") if re.search(r"[^\W]", w)]
+    moment = spark.range(1).select(X.utc_stamp(F.lit("2026-01-31 12:00:00.5+02:00").cast("timestamp")).alias("s"), X.utc_stamp().alias("n")).first()
+    assert moment.s == "2026-01-31T10:00:00.500000Z" and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}Z", moment.n)
+    settings = spark.createDataFrame([(1, 1.0, 3), (4, 1.1, 3), (4, 0.8, 0)], "b int, p double, n int").select(X.config_id("b", "p", "n").alias("c"))
+    assert [r.c for r in settings.collect()] == ["greedy", "beam4_lp1.1_nr3", "beam4_lp0.8_nr0"]
+    assert spark.range(1).select(X.without_prefixes(F.lit("module._orig_mod.module.w"))).first()[0] == "w"

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import curate, dedup, ranges, resume, sampling, sequences, study
+from corpusloom.operators import curate, dedup, ranges, resume, sampling, sequences, study, validate
 from corpusloom.plans import q_stats, q_study
 from corpusloom.sources import checksums, jsonl, lines, tables
 from corpusloom.streaming import incremental
@@ -129,25 +129,26 @@ def test_row_errors_and_resume(spark, tmp_path):
     assert [r.key for r in spark.read.parquet(f"{out}/failed").collect()] == ["b"]
 
 
-def brute_means(values, resamples, seed):
-    x, n = sorted(values), len(values)
-    draw = lambda b, j: int(hashlib.md5(f"{seed}|{b}|{j}".encode()).hexdigest()[:12], 16) % n
-    return [sum(x[draw(b, j)] for j in range(1, n + 1)) / n for b in range(1, resamples + 1)]
-
-
-def test_bootstraps_of_2000(spark, monkeypatch):
-    values = {"lead1": [1, 3, 5, 2, 4], "neural": [2, 2, 5, 1, 3]}
+def test_bootstrap_queries(spark, monkeypatch):
+    """2,000 resamples of registered queries against drawing rows with replacement."""
+    values = {"lead1": [1, 3, 5, 2, 4] * 8, "neural": [2, 2, 5, 1, 3, 3, 3, 1] * 5}
     rows = [(i, s, v, 0, 0, 0, False) for s, xs in values.items() for i, v in enumerate(xs)]
     scores = spark.createDataFrame(rows, "sample_id long, system string, faithfulness int, informativeness int, fluency int, conciseness int, major_error boolean")
     monkeypatch.setattr(q_stats.V, "scores", lambda spark, d: scores)
-    for r in q_stats.bootstrap_ci_2000(spark, "").collect():
-        low, high = np.quantile(brute_means(values[r.system], 2000, "boot"), [0.025, 0.975])
-        assert abs(r.low - low) < 2e-6 and abs(r.high - high) < 2e-6
-    (got,) = q_stats.paired_systems_2000(spark, "").where("field = 'faithfulness'").collect()
-    means = brute_means([a - b for a, b in zip(*values.values(), strict=True)], 2000, "systems")
+    rng = np.random.default_rng(3)
+    drawn = lambda x: rng.choice(np.array(x, float), (20_000, len(x))).mean(axis=1)
+    for r in q_stats.bootstrap_ci(spark, "").collect():
+        low, high = np.quantile(drawn(values[r.system]), [0.025, 0.975])
+        assert abs(r.low - low) < 0.08 * (high - low) and abs(r.high - high) < 0.08 * (high - low)
+    gaps = [a - b for a, b in zip(*values.values(), strict=True)]
+    means = drawn(gaps)
     low, high = np.quantile(means, [0.025, 0.975])
-    assert got.pair == "lead1>neural" and abs(got.low - low) < 2e-6 and abs(got.high - high) < 2e-6
-    assert abs(got.p_greater - np.mean([1.0 if m > 1e-12 else 0.5 if abs(m) <= 1e-12 else 0.0 for m in means])) < 2e-6
+    (got,) = q_stats.paired_systems(spark, "").where("field = 'faithfulness'").collect()
+    own = q_stats.paired_bootstrap(spark, "").first()
+    for r in (got, own):
+        assert (r.n, r.difference) == (40, np.mean(gaps)) and abs(r.low - low) < 0.08 * (high - low) and abs(r.high - high) < 0.08 * (high - low)
+        assert abs(r.p_greater - (means > 0).mean() - 0.5 * (means == 0).mean()) < 0.04
+    assert got.pair == "lead1>neural" and got.better == "lead1"
 
 
 def test_priority_sample_keeps_all_warned(spark):
@@ -160,3 +161,105 @@ def test_priority_sample_keeps_all_warned(spark):
     with pytest.warns(RuntimeWarning, match="10 rows are warned"):
         got = {r.doc_id: r.priority for r in q_study.prioritized(df, 5).collect()}
     assert set(got) == warned | {39}
+
+
+def test_lines_of_many_splits(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    bodies = {"a.jsonl": "".join(json.dumps({"k": int(k), "t": "x" * int(rng.integers(0, 60))}) + "\n" for k in range(3000)), "b.jsonl": "", "c.jsonl": '{"k": 1}\r\n{"k": 2}'}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body.encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = jsonl.numbered_lines(spark, str(tmp_path / "*.jsonl")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for name, body in bodies.items():
+        own = sorted((r.line, r.text, r.last, r.ended) for r in got if r.file.endswith(name))
+        want = body.replace("\r\n", "\n").split("\n")
+        ended, want = want[-1] == "", want[:-1] if want[-1] == "" else want
+        assert own == [(k + 1, x, k + 1 == len(want), ended) for k, x in enumerate(want)]
+    jsonl.rewrite(spark, str(tmp_path / "c.jsonl"), str(tmp_path / "changed"), "k int", lambda df: df.withColumn("k", F.col("k") * 2))
+    assert sorted(r.k for r in spark.read.schema("k int").json(str(tmp_path / "changed")).collect()) == [2, 4]
+    with pytest.raises(ValueError):
+        jsonl.rewrite(spark, str(tmp_path / "c.jsonl"), str(tmp_path / "c.jsonl"), "k int", lambda df: df)
+
+
+def test_manifest_assertions(spark):
+    good = spark.createDataFrame([("a", "t", "x", "y"), ("b", "t", "x", "y")], "id string, split string, source string, reference string")
+    assert validate.assert_manifest(good, 2).count() == 2 and validate.load_manifest(good, "id", 1).first().id == "a"
+    for bad, said in ((good.union(good), "repeated ids: .'a', 'b'."), (good.withColumn("source", F.lit(" ")), "2 rows with empty source"), (good.drop("split"), "fields missing"), (good.withColumn("id", F.lit(None).cast("string")), "without id"), (good.limit(1), "1 rows, 2 expected")):
+        with pytest.raises(ValueError, match=said):
+            validate.assert_manifest(bad, 2)
+
+
+def test_prediction_assertions(spark):
+    shape = "id string, system string, prediction string, status string"
+    wanted = spark.createDataFrame([("a",), ("b",)], "id string")
+    good = spark.createDataFrame([("a", "s", "x", "ok"), ("b", "s2", "x", "ok")], shape)
+    assert validate.assert_predictions(good, wanted, "s", ["s2"]).count() == 2
+    for rows, said in (([("a", "s", "x", "ok")], "missing: ..b"), ([("a", "s", "", "ok"), ("b", "s", "x", "ok")], "errors: ..a"), ([("a", "s", "x", "ok")] * 2 + [("b", "s", "x", "ok"), ("c", "s", "x", "ok")], "repeated: ..a.., unknown: ..c")):
+        with pytest.raises(ValueError, match=said):
+            validate.assert_predictions(spark.createDataFrame(rows, shape), wanted, "s")
+    with pytest.raises(ValueError, match="vocab_size"):
+        validate.assert_ids({"pad": 0, "vocab_size": 2}, {"pad": 0, "vocab_size": 3})
+    with pytest.raises(ValueError, match="prompt_version"):
+        validate.assert_frozen({"model": "m", "prompt_version": 2}, {"model": "m", "prompt_version": 1})
+    validate.assert_frozen({"model": "m"}, {"model": "m"})
+
+
+def test_handoff(spark):
+    row = lambda k, **more: json.dumps({"id": k, "system": "s", "config_id": "c", "prediction": "x", "status": "ok", "error": None} | more)
+    manifest = spark.createDataFrame([("a",), ("b",)], "id string")
+    judged = lambda *lines: validate.handoff(manifest, spark.createDataFrame([(k, t) for k, t in enumerate(lines)], "line int, text string"), "s")
+    assert judged(row("a"), row("b"))["valid_for_handoff"]
+    bad = judged(row("a", status="error", error="e"), row("a", error="e", more=1), row("x", prediction=" ", config_id="d"), "[1]", row("b", status="odd", system="t"))
+    assert (bad["output"], bad["success"], bad["failed"], bad["missing"], bad["extra"], bad["duplicate"]) == (5, 2, 1, 0, 2, 1) and not bad["valid_for_handoff"]
+    assert bad["config_ids"] == ["c", "d"] and bad["issues"] == ["line 1: error in ok row", "line 1: extra field", "line 2: empty prediction", "line 3: empty config_id", "line 3: empty id", "line 3: no object", "line 3: wrong system", "line 4: unknown status", "line 4: wrong system"]
+
+
+def test_strict_samples_and_merges(spark):
+    with pytest.raises(ValueError, match="2 rows are over"):
+        sampling.equal_strata(spark.range(42), 4, [F.col("id")])
+    s = sampling.equal_strata(spark.range(40), 4, [F.col("id")])
+    got = sampling.sample_exactly(s, "stratum", "id", {1: 3, 2: 0, 4: 10}, "s", "n").groupBy("stratum").count().collect()
+    assert {r.stratum: r["count"] for r in got} == {1: 3, 4: 10}
+    with pytest.raises(ValueError, match="smaller"):
+        sampling.sample_exactly(s, "stratum", "id", {1: 11}, "s", "n")
+    assert sampling.peek(spark.range(50).repartition(7), "id", 5, "s").collect() == sampling.peek(spark.range(50), "id", 5, "s").collect()
+    parts = spark.createDataFrame([("a", 1, "error"), ("a", 2, "ok"), ("z", 1, "ok")], "id string, ordinal int, status string")
+    manifest = spark.createDataFrame([("a",), ("b",)], "id string")
+    assert [r.id for r in resume.resume_state(parts, manifest).collect()] == ["a"]
+    with pytest.raises(Exception, match="unknown id in the log: z"):
+        resume.resume_state(parts, manifest, strict=True).collect()
+    with pytest.raises(Exception, match="no result for b"):
+        resume.ordered_merge(manifest, parts.where("ordinal = 2").select("id", "status"), strict=True).collect()
+
+
+def test_calls_in_batches_with_waits_and_raw_output(spark):
+    tasks = spark.createDataFrame([(k,) for k in range(6)], "k int").coalesce(1)
+
+    def call(row):
+        if row["k"] == 3:
+            raise ValueError("bad", f"raw {row['k']}")
+        return str(row["k"])
+
+    def batch(rows):
+        if any(r["k"] == 3 for r in rows):
+            raise RuntimeError("whole batch")
+        return [f"b{r['k']}" for r in rows]
+
+    got = {r.k: (r.value, r.error, r.attempts, r.raw) for r in resume.call_rows(tasks, call, 2, lambda k: 0.01 * k, batch).collect()}
+    assert got == {k: (str(k), None, 1, None) for k in (0, 1, 2, 4, 5)} | {3: (None, "bad", 2, "raw 3")}
+    assert {r.value for r in resume.call_rows(tasks.where("k < 3"), call, call_batch=batch).collect()} == {"b0", "b1", "b2"}
+
+
+def test_pilot_gate(spark):
+    fields = ["f", "g"]
+    rows = [("candidate", "pilot", k, "A", 4, 4, 1) for k in range(20)] + [("candidate", "pilot-repeat", k, "AR", 4, 5, 1) for k in range(10)] + [("reference", "pilot", k, "", None, None, 1) for k in range(20)]
+    log = spark.createDataFrame(rows, "task string, run_id string, sample_id int, anon_id string, f int, g int, attempts int")
+    judged = lambda df, n=50: study.assess_pilot(df, spark.range(1).select(F.lit(n).alias("expected_records")), fields).first()
+    assert (judged(log).status, judged(log).n_comparisons, judged(log).within_one) == ("passed", 20, 1.0)
+    assert judged(log.withColumn("attempts", F.when(F.col("sample_id") < 2, 2).otherwise(1))).status == "needs_review"  # first-pass rate
+    assert judged(log, 51).status == "needs_review" and judged(log.withColumn("g", F.when(F.col("anon_id") == "AR", 1).otherwise(F.col("g")))).largest == 3
+    assert judged(log.limit(0)).status == "needs_review"
