@@ -9,13 +9,12 @@ down to single shards. Sources are taken `FAN` at a time: more of them are first
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
-from math import log, pi
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.draws import hypergeometric, let, uniform
 from corpusloom.llm.bpe import free_name
 from corpusloom.operators.sampling import place
 from corpusloom.runtime import stored
@@ -58,72 +57,6 @@ def targets(sizes: DataFrame, most: int = 3) -> DataFrame:
     return named.withColumn("target", F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(level))).drop("cap")
 
 
-def uniform(*parts: Column | str) -> Column:
-    """A number between 0 and 1 from a hash of the parts."""
-    return (F.shiftrightunsigned(F.xxhash64(*parts), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _log_factorial(n: Column) -> Column:
-    """ln n!, by the asymptotic series at n + 8, exact to a double's last digits there, less the eight factors between."""
-    between = F.lit(1.0)
-    for k in range(1, 9):
-        between = between * (n + k)
-    return _let(n + F.lit(8.0), lambda x: (x + 0.5) * F.ln(x) - x + F.lit(0.5 * log(2 * pi)) + (1 - (1 - F.lit(2 / 7) / (x * x)) / (30 * x * x)) / (12 * x)) - F.ln(between)
-
-
-def _ways(s: Column, k: Column) -> Column:
-    """Negative log weight of k marked among s.m drawn from s.less marked and s.more others, but for a constant."""
-    return _log_factorial(k) + _log_factorial(s["less"] - k) + _log_factorial(s["m"] - k) + _log_factorial(s["more"] - s["m"] + k)
-
-
-def hypergeometric(marked: Column, pop: Column, take: Column, chance: Callable[[Column, int], Column]) -> Column:
-    """How many of `take` items drawn from `pop` without replacement are among its `marked` ones: an exact draw.
-
-    chance(step, salt) gives independent uniform numbers. Few items are drawn one by one; beyond ten the ratio of
-    uniforms is accepted or rejected on the exact weights, at any size (a try fails about one time in three, so of 200
-    tries none fails in practice; the mode would stand in).
-    """
-    long = lambda c: c.cast("long")
-    urn = F.struct(F.least(take, pop - take).alias("m"), F.least(marked, pop - marked).alias("less"), F.greatest(marked, pop - marked).alias("more"), pop.alias("pop"))
-
-    def one_by_one(s: Column) -> Column:
-        few, many = F.least(s["m"], s["less"]), F.greatest(s["m"], s["less"])
-        step = lambda got, t: got + F.when(chance(t, 0) < (many - got) / (s["pop"] - t + 1), 1).otherwise(0).cast("long")
-        return F.when(few <= 0, F.lit(0).cast("long")).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(few, F.lit(1))), F.lit(0).cast("long"), step))
-
-    def by_ratio(s: Column) -> Column:
-        p = s["less"] / s["pop"]
-        mean = s["m"] * p
-        spread = F.sqrt((s["pop"] - s["m"]) * mean * (1 - p) / F.greatest(s["pop"] - 1, F.lit(1)) + 0.5)
-        mode = long(F.floor((s["m"] + 1) * ((s["less"] + 1) / (s["pop"] + 2))))
-        #: The constants are 2 sqrt(2 / e) and 3 - 2 sqrt(3 / e), of the ratio of uniforms' table mountain.
-        facts = F.struct(*[s[x].alias(x) for x in ("m", "less", "more")], (mean + 0.5).alias("a"), (spread * 1.7155277699214135 + 0.8989161620588988).alias("h"), mode.alias("mode"), F.least(long(F.least(s["m"], s["less"])) + 1, long(F.floor(mean + 0.5 + 16 * spread))).alias("end"))
-
-        def tried(f: Column, g: Column, t: Column) -> Column:
-            accept = lambda u, d: (u * (4 - u) - 3 <= d) | ((u * (u - d) < 1) & (2 * F.ln(u) <= d))
-            at = lambda u: f["a"] + f["h"] * (chance(t, 2) - 0.5) / u
-            judged = lambda u, x: F.when((x >= 0) & (x < f["end"]), _let(long(F.floor(x)), lambda k: F.when(_let(g - _ways(f, k), lambda d: accept(u, d)), k)))
-            return _let(chance(t, 1), lambda u: _let(at(u), lambda x: judged(u, x)))
-
-        def drawn(f: Column) -> Column:
-            tries = lambda g: F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(200).cast("long")), F.lit(None).cast("long"), lambda got, t: F.when(got.isNotNull(), got).otherwise(tried(f, g, t)))
-            return _let(_ways(f, f["mode"]), lambda g: F.coalesce(tries(g), f["mode"]))
-
-        return _let(facts, drawn)
-
-    def whole(s: Column) -> Column:
-        lesser = F.when(F.least(s["m"], s["less"]) <= 10, one_by_one(s)).otherwise(by_ratio(s))
-        among = _let(lesser, lambda z: F.when(marked * 2 > pop, s["m"] - z).otherwise(z))
-        return _let(among, lambda z: F.when(s["m"] < take, marked - z).otherwise(z))
-
-    return _let(urn, whole)
-
-
 def _left(seed: int) -> Column:
     """The left half's quotas of a node (grp, first, k, q, caps): sources in turn draw from what is left of the node."""
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
@@ -134,7 +67,7 @@ def _left(seed: int) -> Column:
         own = F.get(F.col("q"), i)
         chance = lambda t, salt: uniform(F.lit(seed), "grp", "first", "k", i, t, F.lit(salt))
         drawn = hypergeometric(own, acc["pop"], acc["take"], chance)
-        return _let(drawn, lambda h: F.struct((acc["pop"] - own).alias("pop"), (acc["take"] - h).alias("take"), F.array_append(acc["left"], h).alias("left")))
+        return let(drawn, lambda h: F.struct((acc["pop"] - own).alias("pop"), (acc["take"] - h).alias("take"), F.array_append(acc["left"], h).alias("left")))
 
     return F.aggregate(F.sequence(F.lit(0), F.size("q") - 1), start, step, lambda acc: acc["left"])
 
