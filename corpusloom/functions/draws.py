@@ -50,7 +50,10 @@ def by_ratio(mean: Column, variance: Column, mode: Column, end: Column, cost: Ca
         return let(chance(t, 1), lambda u: let(at(u), lambda x: judged(u, x)))
 
     facts = F.struct((mean + 0.5).alias("a"), spread(variance).alias("h"), cost(mode).alias("g"), end.alias("end"), mode.alias("mode"))
-    tries = lambda f: F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(200).cast("long")), F.lit(None).cast("long"), lambda got, t: F.when(got.isNotNull(), got).otherwise(tried(f, t)))
+    none, long = F.lit(None).cast("long"), lambda x: F.lit(x).cast("long")
+    kept = lambda got, more: F.when(got.isNotNull(), got).otherwise(more)
+    eight = lambda f, r: F.aggregate(F.sequence(r * 8 + 1, r * 8 + 8), none, lambda got, t: kept(got, tried(f, t)))
+    tries = lambda f: F.aggregate(F.sequence(long(0), long(24)), none, lambda got, r: kept(got, eight(f, r)))
     return let(facts, lambda f: F.coalesce(tries(f), f["mode"]))
 
 

@@ -69,8 +69,8 @@ def yes_no(text: Column) -> Column:
     return F.when(t.isin("true", "yes", "y", "1", "có", "co"), True).when(t.isin("false", "no", "n", "0", "không", "khong"), False)
 
 
-def _field(body: Column, name: str) -> tuple[Column, Column]:
-    return F.get_json_object(body, f"$.{name}"), kind_of(body, f"$.{name}")
+def _field(body: Column, parsed: Column, name: str) -> tuple[Column, Column]:
+    return F.get_json_object(body, f"$.{name}"), F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant"))
 
 
 def _verdict(body: Column, fields: dict[str, Column]) -> Column:
@@ -89,25 +89,33 @@ def _verdict(body: Column, fields: dict[str, Column]) -> Column:
 def reference_verdict(body: Column) -> Column:
     """A reference's verdict from its JSON: exactly the five fields, a known label, five claims at most, confidence 1 to
     5, evidence and reason of 60 words at most; `problem` names the first that fails."""
-    (label, label_kind), claims = _field(body, "label"), string_list(*_field(body, "unsupported_claims"))
-    return _verdict(body, {
-        "label": F.when((label_kind == "STRING") & label.isin(*REFERENCE_LABELS), label),
-        "unsupported_claims": F.when(F.size(claims) <= 5, claims),
-        "evidence": limited(*_field(body, "evidence")),
-        "confidence": confidence(*_field(body, "confidence")),
-        "reason": limited(*_field(body, "reason")),
-    })
+    def strict(parsed: Column) -> Column:
+        get = lambda name: _field(body, parsed, name)
+        (label, label_kind), claims = get("label"), string_list(*get("unsupported_claims"))
+        return _verdict(body, {
+            "label": F.when((label_kind == "STRING") & label.isin(*REFERENCE_LABELS), label),
+            "unsupported_claims": F.when(F.size(claims) <= 5, claims),
+            "evidence": limited(*get("evidence")),
+            "confidence": confidence(*get("confidence")),
+            "reason": limited(*get("reason")),
+        })
+
+    return let(F.try_parse_json(body), strict)
 
 
 def candidate_verdict(body: Column) -> Column:
     """A candidate's verdict from its JSON: exactly the eight fields, four scores from 1 to 5, a boolean, known error
     types, evidence and reason of 60 words at most; `problem` names the first that fails."""
-    text, kind = _field(body, "major_error")
-    major = F.when(kind.isin("BOOLEAN", "STRING"), boolean(text))
-    return _verdict(body, {
-        **{f: ordinal(*_field(body, f)) for f in SCORE_FIELDS},
-        "major_error": major,
-        "error_types": error_list(string_list(*_field(body, "error_types")), major),
-        "evidence": limited(*_field(body, "evidence")),
-        "reason": limited(*_field(body, "reason")),
-    })
+    def strict(parsed: Column) -> Column:
+        get = lambda name: _field(body, parsed, name)
+        text, kind = get("major_error")
+        major = F.when(kind.isin("BOOLEAN", "STRING"), boolean(text))
+        return _verdict(body, {
+            **{f: ordinal(*get(f)) for f in SCORE_FIELDS},
+            "major_error": major,
+            "error_types": error_list(string_list(*get("error_types")), major),
+            "evidence": limited(*get("evidence")),
+            "reason": limited(*get("reason")),
+        })
+
+    return let(F.try_parse_json(body), strict)

@@ -10,7 +10,7 @@ from corpusloom.operators import dedup as D
 from corpusloom.operators import validate as V2
 from corpusloom.plans import views as V
 from corpusloom.plans.registry import query
-from corpusloom.runtime import table
+from corpusloom.runtime import dealt_table as table
 
 STRIPPED = f"select conv_id, turn, conv_id * 1000 + turn as ordinal, {V.pstrip_sql('source')} source, {V.pstrip_sql('target')} target from ({V.TURNS}) where source is not null and target is not null"
 CLEANED = f"select *, {V.words_sql('source')} n_source, {V.words_sql('target')} n_target from ({STRIPPED}) where source <> '' and target <> ''"

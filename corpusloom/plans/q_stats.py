@@ -10,7 +10,7 @@ from corpusloom.functions import stats as S
 from corpusloom.functions import text as X
 from corpusloom.plans import views as V
 from corpusloom.plans.registry import query
-from corpusloom.runtime import table
+from corpusloom.runtime import dealt_table as table
 
 PAIR_TOKENS = f"select conv_id, turn, {V.tokens_sql('target')} p, {V.tokens_sql('source')} r, {V.tokens_sql('source')} s from ({V.TURNS})"
 

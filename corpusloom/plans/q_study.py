@@ -15,7 +15,7 @@ from corpusloom.operators import validate as V2
 from corpusloom.operators.dedup import first_examples
 from corpusloom.plans import views as V
 from corpusloom.plans.registry import query
-from corpusloom.runtime import table
+from corpusloom.runtime import dealt_table as table
 from corpusloom.sources import jsonl
 
 RANKED = f"select doc_id, lang, {V.words_sql('text')} n, ntile(4) over (order by {V.words_sql('text')}, doc_id)::int stratum from documents"

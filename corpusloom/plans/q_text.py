@@ -9,7 +9,7 @@ from corpusloom.functions import text as X
 from corpusloom.functions.sentences import lead, split_sentences
 from corpusloom.plans import views as V
 from corpusloom.plans.registry import query
-from corpusloom.runtime import table
+from corpusloom.runtime import dealt_table as table
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:

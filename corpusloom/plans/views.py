@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.functions.sentences import split_sentences
-from corpusloom.runtime import table
+from corpusloom.runtime import dealt_table as table
 
 SEED = "corpusloom"
 SYSTEMS = ("lead1", "lead3", "neural", "pretrained")

@@ -18,6 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt_table(spark: SparkSession, sf_dir: str, name: str, least: int = 4 << 20, most: int = 1 << 30) -> DataFrame:
+    """table(), dealt to all cores if it is small (from `least` to `most` bytes) and has fewer splits than cores.
+
+    A file of one row group is one task's work, however dear its texts are to take apart; a larger table is read as it
+    lies, so what this shuffles is bounded.
+    """
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if least <= size < min(most, cores * split) else df
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once per application, and bound an Arrow batch.
 
