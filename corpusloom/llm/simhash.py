@@ -132,7 +132,7 @@ def near_links(distinct: DataFrame, distance: int = 2, bucket_rows: int = 4096)
     """(u, v): links that join just the fingerprints of `distinct(fp long)` connected by steps of <= `distance` bits.
 
     A bucket holds the fingerprints that agree in a first chain of segments with budget 0. A bucket of more than
-    `bucket_rows` is split by the chain's next segment: every fingerprint is kept under its own value, and sent as a
+    `bucket_rows`, probes included, is split by the chain's next segment: every fingerprint is kept under its own value, and sent as a
     probe to the values its budget still allows, until buckets are small or all segments are used (then a bucket
     holds one fingerprint and its probes). So a hot bucket is divided without losing a link.
     """
@@ -150,7 +150,8 @@ def near_links(distinct: DataFrame, distance: int = 2, bucket_rows: int = 4096)
     rows = rows.select(F.col("k.i").cast("long").alias("i"), F.col("k.key").alias("key"), "fp", F.lit(True).alias("own"), F.lit(0).alias("spent"))
     parts = []
     for level in range(exact, m):
-        counts = rows.groupBy("i", "key").agg(F.count_if("own").alias("n")).where(F.col("n") > bucket_rows).select("i", "key")
+        sizes = rows.groupBy("i", "key").agg(F.count("*").alias("n"), F.count_if("own").alias("own"))
+        counts = sizes.where((F.col("n") > bucket_rows) & (F.col("own") > 0)).select("i", "key")
         hot = stored(counts, "hot-buckets")
         if hot.isEmpty():
             break

@@ -1,16 +1,18 @@
 """WARC archives: written as text records by Spark's own writer, read back and joined into captures.
 
 A page becomes three records: the response (or revisit), the request and the metadata; the last two name the first in
-WARC-Concurrent-To. A record ends with CRLF CRLF, which is the writer's line separator, so the files are plain WARC
-and go through Spark's commit protocol to any store. They are gzip files of one member each unless asked otherwise.
+WARC-Concurrent-To. Each record is a gzip member of its own, so a file can be read from any record on, and files end
+after a number of bytes. Spark's own writer writes the members as they are, so the files go through its commit protocol
+to any store: its line separator is a zero byte, the last byte of every member (of its length, or of an empty member that
+is added where the length ends in another).
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from gzip import decompress
 from hashlib import sha256
+from zlib import DEFLATED, compressobj, decompressobj
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +40,8 @@ def _record(block: F.Column, *headers) -> F.Column:
     return F.concat(_lines(F.lit("WARC/1.1"), *headers, _field("Content-Length", F.octet_length(block).cast("string"))), F.lit(CRLF), block)
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit: int = 100, date: str = "2026-01-01T00:00:00Z", records_per_file: int = 6000, compression: str = "gzip") -> None:
-    """Write every page to archives under `path`.
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit: int = 100, date: str = "2026-01-01T00:00:00Z", file_bytes: int = 128 << 20) -> None:
+    """Write every page to archives under `path`, files of about `file_bytes` at most but for one larger record.
 
     Of pages with equal payloads of at least `least_revisit` bytes, that of the smallest id is a response and the
     others are revisits that name it; null ids come last. A null payload is empty; a null url leaves its header out,
@@ -71,7 +73,55 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     told = _lines(_field("page_id", F.col("page_id").cast("string")), _field("payload_bytes", F.col("n").cast("string")))
     metadata = _record(told, F.lit("WARC-Type: metadata"), _field("WARC-Record-ID", name(F.col("page_id"), "metadata")), dated, uri, concurrent, F.lit("Content-Type: application/warc-fields"))
     records = rows.select(F.explode(F.array(F.when(revisit, again).otherwise(response), request, metadata)).alias("value"))
-    records.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
+    members = records.select(F.encode("value", "UTF-8").alias("value")).mapInArrow(_members(file_bytes), "volume int, value binary")
+    members.select("volume", F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").partitionBy("volume").text(path)
+
+
+def member(block: bytes, level: int = 5) -> bytes:
+    """A gzip member of the block, without its last byte, a zero."""
+    made = compressobj(level, DEFLATED, 31)
+    out = made.compress(block) + made.flush()
+    if out[-1]:
+        made = compressobj(level, DEFLATED, 31)
+        out += made.flush()
+    return out[:-1]
+
+
+def _members(file_bytes: int):
+    """Members of a task's records, and the number of the file that each goes to."""
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        volume, size = 0, 0
+        for b in batches:
+            volumes, made = [], []
+            for record in b.column(0):
+                out = member(record.as_buffer().to_pybytes() + b"\r\n\r\n")
+                if size and size + len(out) > file_bytes:
+                    volume, size = volume + 1, 0
+                size += len(out) + 1
+                volumes.append(volume)
+                made.append(out)
+            yield pa.RecordBatch.from_arrays([pa.array(volumes, pa.int32()), pa.array(made, pa.binary())], names=["volume", "value"])
+
+    return of_batches
+
+
+def inflated(archive: bytes) -> Iterator[bytes]:
+    """The contents of a file's gzip members, one by one; what is no gzip file is one block."""
+    if archive[:2] != b"\x1f\x8b":
+        yield archive
+        return
+    rest = memoryview(archive)
+    while len(rest):
+        one = decompressobj(31)
+        out, left = [], rest
+        while not one.eof and len(left):
+            out.append(one.decompress(left[: 1 << 20]))
+            left = left[1 << 20 :]
+        if not one.eof:
+            raise ValueError("torn member")
+        yield b"".join(out)
+        rest = rest[len(rest) - len(left) - len(one.unused_data) :]
 
 
 _HEADER = re.compile(rb"([^\r\n:]+):[ \t]*([^\r\n]*)\r\n")
@@ -80,23 +130,22 @@ _PAGE = re.compile(rb"urn:page:(-?\d+|null):")
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of each record; raises where a record is torn."""
-    if archive[:2] == b"\x1f\x8b":
-        archive = decompress(archive)
-    at, end = 0, len(archive)
-    while at < end:
-        if archive[at : at + 2] == b"\r\n":
-            at += 2
-            continue
-        if archive[at : at + 5] != b"WARC/":
-            raise ValueError(f"no record at byte {at}")
-        head = archive.index(b"\r\n\r\n", at) + 4
-        line = archive.index(b"\r\n", at) + 2
-        headers = {k.decode().lower(): v.decode() for k, v in _HEADER.findall(archive, line, head)}
-        size = int(headers["content-length"])
-        if head + size > end:
-            raise ValueError(f"torn record at byte {at}")
-        yield headers, archive[head : head + size]
-        at = head + size
+    for part in inflated(archive):
+        at, end = 0, len(part)
+        while at < end:
+            if part[at : at + 2] == b"\r\n":
+                at += 2
+                continue
+            if part[at : at + 5] != b"WARC/":
+                raise ValueError(f"no record at byte {at}")
+            head = part.index(b"\r\n\r\n", at) + 4
+            line = part.index(b"\r\n", at) + 2
+            headers = {k.decode().lower(): v.decode() for k, v in _HEADER.findall(part, line, head)}
+            size = int(headers["content-length"])
+            if head + size > end:
+                raise ValueError(f"torn record at byte {at}")
+            yield headers, part[head : head + size]
+            at = head + size
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeats and empty tables."""
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -160,8 +161,25 @@ def test_warc_round_trip(spark):
         assert revisit or r.response.payload == html
     empty = scratch(spark, "test-archives")
     warc.write(pages.limit(0), empty)
+    assert warc.assemble(warc.read(spark, empty)).count() == 0
+    clash = pages.withColumn("digest", F.lit("x")).withColumn("first", F.lit(1)).withColumn("n", F.lit(2)).withColumn("value", F.lit(3))
+    other = scratch(spark, "test-archives")
+    warc.write(clash, other, file_bytes=600)
+    assert sorted(map(str, warc.assemble(warc.read(spark, other)).collect())) == sorted(map(str, got))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(other).collect()
+    assert len(files) > 8 and all(gzip.decompress(f.content).startswith(b"WARC/1.1") for f in files)
+    blocks = [b for f in files for b in warc.inflated(bytes(f.content)) if b]
+    assert len(blocks) == 3 * len(rows) and all(b.startswith(b"WARC/1.1") and b.endswith(b"\r\n\r\n") for b in blocks)
     with pytest.raises(ValueError):
         list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
+    with pytest.raises(ValueError):
+        list(warc.parse(bytes(files[0].content)[:-9]))
+
+
+def test_members_end_in_a_zero():
+    for block in (b"", b"x", bytes(1 << 24), b"ab" * ((1 << 23) + 7)):
+        whole = warc.member(block) + b"\0"
+        assert gzip.decompress(whole) == block and b"".join(warc.inflated(whole * 3)) == block * 3
 
 
 def brute_model(rows, order=4, least=2, smooth=0.5):
