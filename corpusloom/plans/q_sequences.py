@@ -126,3 +126,36 @@ def config_leaderboard(spark, d):
     means = best.groupBy("alpha").agg(F.round(F.avg("best"), 6).alias("metric"))
     config = F.concat(F.lit("beam4_lp"), F.col("alpha").cast("string"), F.lit("_nr3"))
     return means.select(config.alias("config"), "metric", F.row_number().over(Window.orderBy(F.desc("metric"), "alpha")).alias("rank"))
+
+
+@query()
+def unigram_pieces(spark, d):
+    """Turns of conversations as ids of scored pieces, by the best path; the pieces are words and letters of the turns."""
+    from corpusloom.operators import decoding
+
+    t = table(spark, d, "conversations")
+    words = t.select(F.explode(X.words("text")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    vocabulary = stored(decoding.word_pieces(words, "token", "n", 8000), "pieces")
+    return decoding.encode_pieces(t.select("conv_id", "turn", "text"), "text", vocabulary).select("conv_id", "turn", "ids")
+
+
+def next_scores(sources, tokens):
+    """A stand-in for a network: prefers the source's tokens in order, then the end mark."""
+    import numpy as np
+
+    out = np.zeros((len(sources), 64))
+    for k, (source, own) in enumerate(zip(sources, tokens, strict=True)):
+        place = len(own) - 1
+        out[k, source[place] % 60 + 4 if place < len(source) else 3] = 2.0
+        out[k, 4 + (place * 7) % 60] += 1.0
+    return out
+
+
+@query()
+def greedy_decode(spark, d):
+    """Greedy decoding of part sizes by order with a stand-in scorer: at least 2, at most 12 tokens, no trigram twice."""
+    from corpusloom.operators import decoding
+
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("int").alias("p"))
+    sources = lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "p"))), lambda s: s["p"]).alias("ids"))
+    return decoding.decode_greedily(sources, "ids", next_scores, 12, 2, 3).select("l_orderkey", "decoded")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import curate, dedup, ranges, resume, sampling, sequences, study, validate
+from corpusloom.operators import curate, decoding, dedup, ranges, resume, sampling, sequences, study, validate
 from corpusloom.plans import q_stats, q_study
 from corpusloom.sources import checksums, jsonl, lines, tables
 from corpusloom.streaming import incremental
@@ -263,3 +263,51 @@ def test_pilot_gate(spark):
     assert judged(log.withColumn("attempts", F.when(F.col("sample_id") < 2, 2).otherwise(1))).status == "needs_review"  # first-pass rate
     assert judged(log, 51).status == "needs_review" and judged(log.withColumn("g", F.when(F.col("anon_id") == "AR", 1).otherwise(F.col("g")))).largest == 3
     assert judged(log.limit(0)).status == "needs_review"
+
+
+def test_greedy_decoding():
+    mock = lambda sources, tokens: np.eye(9)[[4 if len(t) == 1 else 3 for t in tokens]]
+    assert decoding.greedy(mock, [[1], [2, 3]], 5) == [[2, 4, 3], [2, 4, 3]]
+    assert decoding.banned([2, 5, 6, 7, 5, 6], 3) == {7} and decoding.banned([2, 5], 3) == decoding.banned([2, 5, 5], 0) == set()
+    assert [len(x) for x in decoding.greedy(lambda s, t: np.eye(9)[[3] * len(t)], [[1]], 6, least=3)] == [5]  # the end mark waits
+    same = lambda s, t: np.tile([0, 0, 0, 0, 5, 4, 3, 2, 1.0], (len(t), 1))
+    (out,) = decoding.greedy(same, [[1]], 7, least=7, ngram=2)
+    assert len({*zip(out, out[1:], strict=False)}) == len(out) - 1 and not {0, 2, 3} & set(out[1:])
+
+
+def test_best_paths_over_pieces(spark):
+    from itertools import product
+
+    rng = np.random.default_rng(2)
+    scores = [("<pad>", 0.0), ("<unk>", 0.0), ("<s>", 0.0), ("</s>", 0.0)] + [(p, -float(rng.uniform(1, 6))) for p in ["▁", "a", "b", "ab", "ba", "aa", "▁a", "▁ab", "bab", "▁ba"]]
+    own = decoding.Pieces(scores)
+    for size in range(1, 7):
+        for t in map("".join, product("ab", repeat=size)):
+            whole, best = "▁" + t, -1e9
+            for cuts in product((0, 1), repeat=size):
+                parts, at = [], 0
+                for k, c in enumerate(cuts, 1):
+                    if c:
+                        parts, at = [*parts, whole[at:k]], k
+                parts.append(whole[at:])
+                if all(p in own.at for p in parts):
+                    best = max(best, sum(own.at[p][1] for p in parts))
+            ids = own.encode(t)
+            assert sum(scores[i][1] for i in ids) == pytest.approx(best) and own.decode(ids) == t
+    assert own.encode("a zz b").count(1) == 1 and own.encode(None) == own.encode("  ") == [] and own.decode(own.encode("b z a")) == "b ⁇ a"
+    vocabulary = spark.createDataFrame([(k, *r) for k, r in enumerate(scores)], "id int, piece string, score double")
+    texts = spark.createDataFrame([(1, "ab ba"), (2, None), (3, "")], "k int, t string")
+    assert {r.k: r.ids for r in decoding.encode_pieces(texts, "t", vocabulary).collect()} == {1: own.encode("ab ba"), 2: [], 3: []}
+    with pytest.raises(ValueError):
+        decoding.encode_pieces(texts, "t", vocabulary.where("id <> 2"))
+
+
+def test_decoding_queries(spark):
+    from corpusloom.plans import q_sequences
+
+    sf = "/root/testdata/sf0.001"
+    turns = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    got = q_sequences.unigram_pieces(spark, sf).collect()
+    assert len(got) == len(turns) and all((r.ids == []) == (not (turns[r.conv_id, r.turn] or "").split()) for r in got)
+    orders = q_sequences.greedy_decode(spark, sf).collect()
+    assert orders and all(3 <= len(r.decoded) <= 13 and r.decoded[0] == 2 for r in orders)
