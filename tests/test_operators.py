@@ -1,5 +1,8 @@
+import bisect
 import hashlib
 import json
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -311,3 +314,68 @@ def test_decoding_queries(spark):
     assert len(got) == len(turns) and all((r.ids == []) == (not (turns[r.conv_id, r.turn] or "").split()) for r in got)
     orders = q_sequences.greedy_decode(spark, sf).collect()
     assert orders and all(3 <= len(r.decoded) <= 13 and r.decoded[0] == 2 for r in orders)
+
+
+def matched(a, b):
+    """Length of a longest common subsequence, as a longest ascending run of matching places."""
+    places: dict = {}
+    for j, x in enumerate(b):
+        places.setdefault(x, []).append(j)
+    tails: list = []
+    for x in a:
+        for j in reversed(places.get(x, [])):
+            k = bisect.bisect_left(tails, j)
+            tails[k:] = [j, *tails[k + 1 :]]
+    return len(tails)
+
+
+def f_one(o, p, r):
+    return 2 * (o / p) * (o / r) / (o / p + o / r) if o else 0.0
+
+
+def plain_ranks(xs):
+    order = sorted(xs)
+    return [order.index(x) + (order.count(x) + 1) / 2 for x in xs]
+
+
+def correlation(xs, ys):
+    x, y = np.array(plain_ranks(xs)), np.array(plain_ranks(ys))
+    return round(float(np.corrcoef(x, y)[0, 1]), 6) if len({*xs}) > 1 and len({*ys}) > 1 else None
+
+
+def test_overlap_queries_are_the_plain_ones(spark):
+    """lcs_length, rouge_l, eval_summary, rouge_score_corr and disagreement_case, which have no SQL, by hand."""
+    sf = "/root/testdata/sf0.001"
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    turns = {(r.conv_id, r.turn): (words(r.target), words(r.source)) for r in q_stats.V.turns(spark, sf).collect()}
+    want = {k: matched(p, s) for k, (p, s) in turns.items()}
+    assert {(r.conv_id, r.turn): r.lcs for r in q_stats.lcs_length(spark, sf).collect()} == want
+    got = {(r.conv_id, r.turn): r.f1 for r in q_stats.rouge_l(spark, sf).collect()}
+    assert all(abs(got[k] - f_one(want[k], len(p), len(s))) < 1e-6 for k, (p, s) in turns.items())
+    manifest = {r.id: r for r in q_stats.V.manifest(spark, sf).collect()}
+    rows = [(r.id, r.system, words(r.prediction)) for r in q_stats.V.predictions(spark, sf).where("status = 'ok'").collect()]
+    by, longest = {}, {}
+    for i, system, p in rows:
+        r, s = words(manifest[i].reference), words(manifest[i].source)
+        grams = lambda t, n: Counter(zip(*(t[k:] for k in range(n)), strict=False))
+        fs = [f_one(sum((grams(p, n) & grams(r, n)).values()), max(0, len(p) - n + 1), max(0, len(r) - n + 1)) for n in (1, 2)]
+        longest[manifest[i].doc_id, system] = f_one(matched(p, r), len(p), len(r))
+        by.setdefault(system, []).append((*fs, longest[manifest[i].doc_id, system], len(p) / len(s) if s else 0))
+    for r in q_stats.eval_summary(spark, sf).collect():
+        assert r.n == len(by[r.system]) and np.allclose([r.rouge_1, r.rouge_2, r.rouge_l, r.compression], 100 * np.mean(by[r.system], axis=0), atol=1e-4)
+    judged = {(r.sample_id, r.system): r.faithfulness for r in q_stats.V.scores(spark, sf).collect()}
+    both = [(s, longest[i, s], y) for (i, s), y in judged.items() if (i, s) in longest]
+    scopes = {"all": both} | {s: [x for x in both if x[0] == s] for s in ("lead1", "lead3")}
+    assert {r.scope: (r.n, r.rho) for r in q_stats.rouge_score_corr(spark, sf).collect()} == {k: (len(v), correlation([x for _, x, _ in v], [y for _, _, y in v])) for k, v in scopes.items()}
+    rated = {(r.sample_id, r.system): r.b for r in q_stats.rated(spark, sf).collect()}
+    gap, sample, system = max((round(abs(longest[k] - b / 5), 6), *k) for k, b in rated.items() if k in longest)
+    assert tuple(q_stats.disagreement_case(spark, sf).first()) == (gap, sample, system)
+
+
+def test_repeat_spacing_query(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r.position: (r.sample_id, r.is_repeat) for r in q_study.repeat_spacing(spark, sf).collect()}
+    places = {x: k for k, x in got.items()}
+    assert sorted(got) == list(range(len(got))) and len(places) == len(got)
+    again = [s for s, r in places if r]
+    assert len(again) == 8 and all(places[s, True] - places[s, False] >= 15 for s in again)
