@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import ann, bpe, huffman, langid, merkle, mixing, quality, secrets, simhash, warc
+from corpusloom.llm.oracles import ORACLES as ORACLES
 from corpusloom.runtime import scratch, table
 
 
@@ -65,4 +66,3 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ann, op2_quality, op3_simhash, op4_bpe, op5_warc, op6_langid, op7_token_files, op8_merkle, op9_mixing, op10_secrets)}
-ORACLES: dict[str, str] = {}
