@@ -131,6 +131,11 @@ def first_filled(*columns: Column | str) -> Column:
     return F.coalesce(*[F.nullif(pstrip(c), F.lit("")) for c in columns])
 
 
+def sample_id(given: Column | str, split: Column | str, line: Column | str) -> Column:
+    """An id as it is given, or, where it is empty or missing, its split and line."""
+    return F.coalesce(F.nullif(col(given).cast("string"), F.lit("")), F.concat_ws("_", col(split), col(line).cast("string")))
+
+
 def config_id(beams: Column | str, penalty: Column | str, ngram: Column | str) -> Column:
     """Name of a decoding setting, as beam4_lp1.1_nr3; one beam is greedy."""
     short = F.regexp_replace(F.regexp_replace(F.format_string("%.4f", col(penalty).cast("double")), r"0+$", ""), r"\.$", "")

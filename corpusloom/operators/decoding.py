@@ -54,19 +54,55 @@ def greedy(scorer: Scorer, sources: Sequence[Sequence[int]], most: int, least: i
     return out
 
 
-def decode_greedily(rows: DataFrame, ids: str, scorer: Scorer, most: int, least: int = 0, ngram: int = 0, name: str = "decoded") -> DataFrame:
-    """rows with the tokens that greedy() gives for their ids, a batch at a time; null ids are an empty source."""
+def beam(scorer: Scorer, sources: Sequence[Sequence[int]], width: int, most: int, least: int = 0, ngram: int = 0, alpha: float = 1.0) -> list[list[int]]:
+    """The best hypothesis of each source by log probability over ((5 + new tokens) / 6) ** alpha.
+
+    Each step grows every open hypothesis by its `width` likeliest allowed tokens and keeps the `width` best open ones of
+    a source; those that the end mark closes are all kept, and nothing stops the search before `most` new tokens but
+    that none is open. The open ones of all sources are scored together. Ties go to what was found first, smaller ids
+    before; a source without any hypothesis gives the start and the end mark.
+    """
+    worth = lambda h: h[0] / ((4 + max(2, len(h[1]))) / 6) ** alpha
+    open_: list[list[tuple[float, list[int]]]] = [[(0.0, [BOS])] for _ in sources]
+    closed: list[list[tuple[float, list[int]]]] = [[] for _ in sources]
+    for _ in range(most):
+        every = [(k, log, tokens) for k, own in enumerate(open_) for log, tokens in own]
+        if not every:
+            break
+        scores = scorer([sources[k] for k, _, _ in every], [tokens for _, _, tokens in every])
+        grown: list[list[tuple[float, list[int]]]] = [[] for _ in sources]
+        for (k, log, tokens), own in zip(every, scores, strict=True):
+            fit = allowed(own, tokens, least, ngram)
+            total = np.logaddexp.reduce(fit)
+            for token in np.argsort(-fit, kind="stable")[:width].tolist():
+                if fit[token] > -inf:
+                    (closed if token == EOS else grown)[k].append((log + float(fit[token] - total), [*tokens, token]))
+        open_ = [sorted(own, key=worth, reverse=True)[:width] for own in grown]
+    return [max(ended + own, key=worth, default=(0.0, [BOS, EOS]))[1] for ended, own in zip(closed, open_, strict=True)]
+
+
+def _decoded(rows: DataFrame, ids: str, name: str, decode: Callable[[list[list[int]]], list[list[int]]]) -> DataFrame:
+    """rows with what `decode` gives for their ids, a batch at a time; null ids are an empty source."""
     ship(rows.sparkSession)
 
     def of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            made = greedy(scorer, [[] if x is None else list(x) for x in b[ids]], most, least, ngram)
-            yield b.assign(**{name: made})
+            yield b.assign(**{name: decode([[] if x is None else list(x) for x in b[ids]])})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInPandas(of_batches, f"{schema}, `{name}` array<int>")
 
 
+def decode_greedily(rows: DataFrame, ids: str, scorer: Scorer, most: int, least: int = 0, ngram: int = 0, name: str = "decoded") -> DataFrame:
+    """rows with the tokens that greedy() gives for their ids; null ids are an empty source."""
+    return _decoded(rows, ids, name, lambda sources: greedy(scorer, sources, most, least, ngram))
+
+
+def decode_beams(rows: DataFrame, ids: str, scorer: Scorer, width: int, most: int, least: int = 0, ngram: int = 0, alpha: float = 1.0, name: str = "decoded") -> DataFrame:
+    """rows with the tokens that beam() gives for their ids; null ids are an empty source."""
+    return _decoded(rows, ids, name, lambda sources: beam(scorer, sources, width, most, least, ngram, alpha))
+
+
 class Pieces:
     """Scored pieces by id: the best path over a text is that of the greatest sum of log probabilities."""
 

@@ -13,9 +13,17 @@ from pyspark.sql import functions as F
 from corpusloom.operators.dedup import last_wins
 
 
-def pending(tasks: DataFrame, done: DataFrame, key: str = "key") -> DataFrame:
-    """Tasks whose key the log doesn't have."""
-    return tasks.join(done.select(key).distinct(), key, "left_anti")
+def completed(done: DataFrame, key: str = "key") -> DataFrame:
+    """The keys of a log; one that is empty or repeated makes the job fail when it is read."""
+    counted = done.groupBy(key).agg(F.count("*").alias("__n"))
+    shown = F.coalesce(F.trim(F.col(key).cast("string")), F.lit(""))
+    odd = F.when(shown == "", F.lit("empty key in the log")).when(F.col("__n") > 1, F.concat(F.lit("repeated key in the log: "), shown))
+    return counted.select(F.when(odd.isNotNull(), F.raise_error(odd)).otherwise(F.col(key)).alias(key))
+
+
+def pending(tasks: DataFrame, done: DataFrame, key: str = "key", strict: bool = False) -> DataFrame:
+    """Tasks whose key the log doesn't have; with `strict` the log's keys must be those of completed()."""
+    return tasks.join(completed(done, key) if strict else done.select(key).distinct(), key, "left_anti")
 
 
 def resume_state(parts: DataFrame, manifest: DataFrame, key: str = "id", order: str = "ordinal", strict: bool = False) -> DataFrame:

@@ -75,6 +75,14 @@ def identity_leak(rows: DataFrame, public: Sequence[str], forbidden: Sequence[st
     return F.lower(F.to_json(F.struct(*public))).rlike("|".join(forbidden))
 
 
+def mismatches(a: DataFrame, b: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """(key, field) of every field in which rows of a common key differ; null is equal to null. Texts meet as digests."""
+    shown = lambda df, f: F.sha2(f, 256) if dict(df.dtypes)[f] == "string" else F.col(f)
+    side = lambda df, end: df.select(key, *[shown(df, f).alias(f + end) for f in fields])
+    differ = [F.when(~F.col(f"{f}__a").eqNullSafe(F.col(f"{f}__b")), F.lit(f)) for f in fields]
+    return side(a, "__a").join(side(b, "__b"), key).select(key, F.explode(F.array_compact(F.array(*differ))).alias("field"))
+
+
 def json_keys(body: str, expected: Sequence[str]) -> tuple[Column, Column]:
     """(missing, extra) keys of a JSON object against a closed schema; null for what is no object."""
     keys, wanted = F.json_object_keys(body), F.array(*map(F.lit, expected))

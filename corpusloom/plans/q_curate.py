@@ -211,11 +211,18 @@ def task_union(spark, d):
     return t.withColumn("task", F.lit("reference")).unionByName(candidate, allowMissingColumns=True)
 
 
-@query("select l.doc_id, 'quality' field from labels l join documents x using (doc_id) where l.quality is distinct from (x.n_chars > 500)::int")
+RULED = [("quality", "n_chars > 500"), ("toxic", "n_chars % 10 = 0")]
+
+
+@query(
+    "select doc_id, field from (select doc_id, unnest(["
+    + ", ".join(f"case when l.{f} is distinct from ({rule})::int then '{f}' end" for f, rule in RULED)
+    + "]) field from labels l join documents using (doc_id)) where field is not null"
+)
 def content_mismatch(spark, d):
-    """Fields in which two tables disagree on a common id: quality as labelled, and as text length would have it."""
-    a, b = table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("a")), table(spark, d, "documents").select("doc_id", (F.col("n_chars") > 500).cast("int").cast("string").alias("b"))
-    return a.join(b, "doc_id").where(~F.col("a").eqNullSafe(F.col("b"))).select("doc_id", F.lit("quality").alias("field"))
+    """Fields in which the labels differ from those that rules on the text's length would give."""
+    ruled = table(spark, d, "documents").select("doc_id", *[F.expr(rule).cast("int").alias(f) for f, rule in RULED])
+    return V2.mismatches(table(spark, d, "labels"), ruled, "doc_id", [f for f, _ in RULED])
 
 
 @query("""select id, sha256(text) expected, case when f.digest is null then 'missing' when f.digest = sha256(text) then 'ok' else 'mismatch' end status

@@ -151,11 +151,22 @@ def next_scores(sources, tokens):
     return out
 
 
+def ordered_parts(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("int").alias("p"))
+    return lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "p"))), lambda s: s["p"]).alias("ids"))
+
+
 @query()
 def greedy_decode(spark, d):
-    """Greedy decoding of part sizes by order with a stand-in scorer: at least 2, at most 12 tokens, no trigram twice."""
+    """Greedy decoding of parts by order with a stand-in scorer: at least 2, at most 12 tokens, no trigram twice."""
     from corpusloom.operators import decoding
 
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("int").alias("p"))
-    sources = lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "p"))), lambda s: s["p"]).alias("ids"))
-    return decoding.decode_greedily(sources, "ids", next_scores, 12, 2, 3).select("l_orderkey", "decoded")
+    return decoding.decode_greedily(ordered_parts(spark, d), "ids", next_scores, 12, 2, 3).select("l_orderkey", "decoded")
+
+
+@query()
+def beam_decode(spark, d):
+    """The same by a search of 4 beams with length penalty 1.1."""
+    from corpusloom.operators import decoding
+
+    return decoding.decode_beams(ordered_parts(spark, d), "ids", next_scores, 4, 12, 2, 3, 1.1).select("l_orderkey", "decoded")

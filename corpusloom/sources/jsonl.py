@@ -5,9 +5,10 @@ Files are read in Spark's own splits, and a line keeps its file and number.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -65,9 +66,12 @@ def scan(lines: DataFrame, schema: str, torn_tail: bool = False) -> DataFrame:
     return rows.select(lines.columns[0], "line", F.from_json(good, schema).alias("r")).select(lines.columns[0], "line", "r.*")
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str, torn_tail: bool = False) -> DataFrame:
-    """Strict scan of files."""
-    return scan(numbered_lines(spark, path), schema, torn_tail)
+def read_jsonl(spark: SparkSession, path: str, schema: str, torn_tail: bool = False, non_empty: bool = False) -> DataFrame:
+    """Strict scan of files; with `non_empty` files without a row raise."""
+    rows = scan(numbered_lines(spark, path), schema, torn_tail)
+    if non_empty and rows.isEmpty():
+        raise ValueError(f"{path}: no rows")
+    return rows
 
 
 def read_issues(spark: SparkSession, path: str) -> DataFrame:
@@ -75,9 +79,14 @@ def read_issues(spark: SparkSession, path: str) -> DataFrame:
     return judged(numbered_lines(spark, path)).where("issue is not null").select("file", "line", "issue")
 
 
+def _written(df: DataFrame) -> Column:
+    """A row as compact JSON, null fields included."""
+    return F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Compact JSON Lines; null fields are written, so rows keep their schema. The commit protocol makes it atomic."""
-    df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode(mode).text(path)
+    df.select(_written(df)).write.mode(mode).text(path)
 
 
 def verified(df: DataFrame, path: str) -> DataFrame:
@@ -87,8 +96,15 @@ def verified(df: DataFrame, path: str) -> DataFrame:
 
 
 def write_document(rows: DataFrame, path: str) -> None:
-    """One small report as a pretty JSON document, UTF-8 with a final line end, written through Spark's file system."""
-    import json
+    """A small report as one pretty JSON document, UTF-8 with a final line end, written through Spark's file system.
 
-    text = json.dumps([json.loads(x) for x in rows.toJSON().collect()], ensure_ascii=False, indent=2)
-    rows.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    A file that is there already makes it fail.
+    """
+    text = json.dumps([json.loads(r[0]) for r in rows.select(_written(rows)).collect()], ensure_ascii=False, indent=2) + "\n"
+    sc = rows.sparkSession.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()

@@ -231,3 +231,5 @@ def test_small_text_functions(spark):
     settings = spark.createDataFrame([(1, 1.0, 3), (4, 1.1, 3), (4, 0.8, 0)], "b int, p double, n int").select(X.config_id("b", "p", "n").alias("c"))
     assert [r.c for r in settings.collect()] == ["greedy", "beam4_lp1.1_nr3", "beam4_lp0.8_nr0"]
     assert spark.range(1).select(X.without_prefixes(F.lit("module._orig_mod.module.w"))).first()[0] == "w"
+    ids = spark.createDataFrame([("k", "test", 1), ("", "test", 2), (None, "dev", 3)], "id string, split string, line int")
+    assert [r[0] for r in ids.select(X.sample_id("id", "split", "line")).collect()] == ["k", "test_2", "dev_3"]

@@ -87,7 +87,15 @@ def test_json_lines(spark, tmp_path):
     df = spark.createDataFrame([(1, "x y"), (2, None)], "k int, t string")
     jsonl.write_jsonl(df, str(tmp_path / "out"))
     assert jsonl.verified(df, str(tmp_path / "out")).count() == 0
-    jsonl.write_document(df, str(tmp_path / "doc"))
+    jsonl.write_document(df, str(tmp_path / "doc.json"))
+    text = (tmp_path / "doc.json").read_text()
+    assert json.loads(text) == [{"k": 1, "t": "x\u2028y"}, {"k": 2, "t": None}] and text.endswith("]\n")
+    with pytest.raises(Exception, match="exists"):
+        jsonl.write_document(df, str(tmp_path / "doc.json"))
+    (tmp_path / "none.jsonl").write_text("\n\n")
+    assert jsonl.read_jsonl(spark, str(tmp_path / "none.jsonl"), "k int").isEmpty()
+    with pytest.raises(ValueError, match="no rows"):
+        jsonl.read_jsonl(spark, str(tmp_path / "none.jsonl"), "k int", non_empty=True)
 
 
 def test_tables_and_checksums(spark, tmp_path):
@@ -107,6 +115,54 @@ def test_tables_and_checksums(spark, tmp_path):
     assert [(r.pair, r.source, r.target) for r in pairs] == [(0, "a", "b")]
 
 
+def test_configurations_vocabularies_and_manifests(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"version": 1, "study": {"seed": 3}}')
+    (tmp_path / "a.yaml").write_text("version: 1\nstudy:\n  seed: 3\n")
+    for name in ("a.json", "a.yaml"):
+        assert tables.load_config(str(tmp_path / name), 1, ("study",))["study"] == {"seed": 3}
+        with pytest.raises(ValueError, match="version 1 is not 2"):
+            tables.load_config(str(tmp_path / name), 2)
+        with pytest.raises(ValueError, match="no rates"):
+            tables.load_config(str(tmp_path / name), 1, ("study", "rates"))
+    (tmp_path / "v.tsv").write_text('<unk>\t0\n▁"a\t-1.5\n', encoding="utf-8")
+    assert sorted(map(tuple, lines.read_vocabulary(spark, str(tmp_path / "v.tsv")).collect())) == [("<unk>", 0.0), ('▁"a', -1.5)]
+    pairs = spark.createDataFrame([(k, f"s{k}\r\nx", f"t{k}") for k in (3, 1, 2)], "k int, source string, target string")
+    lines.write_interleaved(pairs, str(tmp_path / "corpus"), "k")
+    written = "".join(f.read_text() for f in sorted((tmp_path / "corpus").glob("part-*")))
+    assert written == "s1 x\nt1\ns2 x\nt2\ns3 x\nt3\n"
+    expected = spark.createDataFrame([("v.tsv",), ("w.tsv",)], "name string")
+    got = checksums.manifest(expected, checksums.file_digests(spark, str(tmp_path), "*.tsv")).collect()
+    assert {r.name: (r.status, r.digest) for r in got} == {"v.tsv": ("ok", hashlib.sha256((tmp_path / "v.tsv").read_bytes()).hexdigest()), "w.tsv": ("missing", None)}
+
+
+def test_windowed_counts_of_a_stream(spark, tmp_path):
+    at, out = tmp_path / "events", str(tmp_path / "out")
+    rows = [("2026-01-01 00:10:00", "a"), ("2026-01-01 00:50:00", "a"), ("2026-01-01 00:59:59", "b"), ("2026-01-01 01:00:00", "a")]
+    spark.createDataFrame(rows, "t string, k string").selectExpr("t::timestamp t", "k").write.parquet(str(at))
+    counts = incremental.windowed_counts(spark.readStream.schema("t timestamp, k string").parquet(str(at)), "t", "k")
+    counts.writeStream.format("memory").queryName("windowed").outputMode("complete").option("checkpointLocation", out).trigger(availableNow=True).start().awaitTermination()
+    got = spark.sql("select hour(window.start) h, k, n from windowed").collect()
+    assert sorted(map(tuple, got)) == [(0, "a", 2), (0, "b", 1), (1, "a", 1)]
+
+
+def test_keys_of_a_log(spark):
+    tasks, log = spark.createDataFrame([("a",), ("b",), ("c",)], "key string"), spark.createDataFrame([("a",), ("x",)], "key string")
+    assert sorted(r.key for r in resume.pending(tasks, log, strict=True).collect()) == ["b", "c"]
+    for odd, message in (("a", "repeated key in the log: a"), (" ", "empty key"), (None, "empty key")):
+        more = log.union(spark.createDataFrame([(odd,)], "key string"))
+        assert resume.pending(tasks, more).count() == 2
+        with pytest.raises(Exception, match=message):
+            resume.pending(tasks, more, strict=True).collect()
+
+
+def test_mismatches_by_field(spark):
+    schema = "id int, t string, n double"
+    a = spark.createDataFrame([(1, "x", 1.0), (2, None, None), (3, "y", 2.0), (4, "only here", 0.0)], schema)
+    b = spark.createDataFrame([(1, "x", 1.5), (2, None, None), (3, None, 3.0), (5, "only there", 0.0)], schema)
+    assert sorted(map(tuple, validate.mismatches(a, b, "id", ["t", "n"]).collect())) == [(1, "n"), (3, "n"), (3, "t")]
+    assert validate.mismatches(a.limit(0), b, "id", ["t"]).isEmpty()
+
+
 def half(row):
     if row["n"] % 2:
         raise ValueError("odd")
@@ -278,6 +334,35 @@ def test_greedy_decoding():
     assert len({*zip(out, out[1:], strict=False)}) == len(out) - 1 and not {0, 2, 3} & set(out[1:])
 
 
+def by_hash(sources, tokens):
+    """Scores of six tokens, drawn anew for every source and hypothesis."""
+    return np.stack([np.random.default_rng([len(s), *s, *t]).normal(size=6) * 2 for s, t in zip(sources, tokens, strict=True)])
+
+
+@pytest.mark.parametrize("least, ngram, alpha", [(0, 0, 1.0), (2, 0, 0.8), (0, 2, 1.1), (3, 1, 0.0)])
+def test_wide_beams_find_the_best_of_all(least, ngram, alpha):
+    most, sources = 4, [[1], [2, 3], []]
+
+    def every(source, tokens=(2,), log=0.0):
+        """(worth, tokens) of every closed or full hypothesis."""
+        if tokens[-1] == 3 or len(tokens) == most + 1:
+            yield log / ((5 + len(tokens) - 1) / 6) ** alpha, [*tokens]
+            return
+        fit = by_hash([source], [tokens])[0]
+        seen = {tokens[k : k + ngram] for k in range(len(tokens) - ngram + 1)} if ngram else set()
+        barred = {0, 2} | ({3} if len(tokens) - 1 < least else set()) | {x for x in range(6) if ngram and len(tokens) >= ngram and (*tokens[len(tokens) - ngram + 1 :], x) in seen}
+        total = np.log(sum(np.exp(fit[x]) for x in range(6) if x not in barred))
+        for x in set(range(6)) - barred:
+            yield from every(source, (*tokens, x), log + fit[x] - total)
+
+    found = decoding.beam(by_hash, sources, 6**most, most, least, ngram, alpha)
+    for source, out in zip(sources, found, strict=True):
+        assert out == max(every(source))[1]
+    narrow = decoding.beam(by_hash, sources, 2, most, least, ngram, alpha)
+    assert [decoding.beam(by_hash, [s], 2, most, least, ngram, alpha)[0] for s in sources] == narrow  # a source alone and among others
+    assert decoding.beam(by_hash, [], 2, most) == [] and decoding.beam(lambda s, t: np.full((len(t), 6), -np.inf), [[1]], 2, most) == [[2, 3]]
+
+
 def test_best_paths_over_pieces(spark):
     from itertools import product
 
@@ -314,6 +399,10 @@ def test_decoding_queries(spark):
     assert len(got) == len(turns) and all((r.ids == []) == (not (turns[r.conv_id, r.turn] or "").split()) for r in got)
     orders = q_sequences.greedy_decode(spark, sf).collect()
     assert orders and all(3 <= len(r.decoded) <= 13 and r.decoded[0] == 2 for r in orders)
+    parts = {r.l_orderkey: r.ids for r in q_sequences.ordered_parts(spark, sf).collect()}
+    beams = {r.l_orderkey: r.decoded for r in q_sequences.beam_decode(spark, sf).collect()}
+    some = sorted(parts)[:40]
+    assert beams.keys() == parts.keys() and [beams[k] for k in some] == decoding.beam(q_sequences.next_scores, [parts[k] for k in some], 4, 12, 2, 3, 1.1)
 
 
 def matched(a, b):
