@@ -38,6 +38,16 @@ def place(df: DataFrame, order: Sequence[Column], name: str = "place") -> DataFr
     return numbered.join(starts, "__part").withColumn(name, (F.col("__start") + F.col("__rn") - 1).cast("long")).drop("__part", "__rn", "__start", *keys)
 
 
+def numbered(df: DataFrame, by: str | Sequence[str], id_col: str, name: str = "nth") -> DataFrame:
+    """df with each row's number from 1 in its group by id. Groups, null ones too, are spread over tasks by place(), so one
+    that holds most rows costs no single task."""
+    by = [by] if isinstance(by, str) else list(by)
+    placed = place(df, [*map(F.col, by), F.col(id_col)], "__place")
+    first = placed.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.min("__place").alias("__first"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    return placed.join(first, same).withColumn(name, F.col("__place") - F.col("__first") + 1).drop("__place", "__first", *[f"__{c}" for c in by])
+
+
 def rank_strata(df: DataFrame, strata: int, order: Sequence[Column], name: str = "stratum") -> DataFrame:
     """Strata 1..n of equal size by rank, the first ones a row larger if the rows don't divide, like ntile()."""
     placed = place(df, order, "__place")

@@ -36,9 +36,10 @@ def strata_bounds(spark, d):
     return ranked(spark, d).groupBy("stratum").agg(F.count("*").alias("n_rows"), F.min("n").alias("lowest"), F.max("n").alias("highest"))
 
 
-@query(f"select stratum, lang, list_sort(list(doc_id)) ids from ({RANKED}) group by stratum, lang")
+@query(f"select stratum, lang, doc_id, row_number() over (partition by stratum, lang order by doc_id) nth from ({RANKED})")
 def strata_members(spark, d):
-    return ranked(spark, d).groupBy("stratum", "lang").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    """The members of each stratum and language in order, one row each: no list grows with its stratum."""
+    return P.numbered(ranked(spark, d), ["stratum", "lang"], "doc_id").select("stratum", "lang", "doc_id", "nth")
 
 
 def drawn_sql(rows: str, k: int, namespace: str) -> str:
@@ -263,9 +264,9 @@ def twice_k(row: dict) -> str:
 
 @query()
 def jsonl_scan(spark, d):
-    """Strict scan of the events' props, a file of lines for each event type and user."""
-    files = table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "props"))), lambda s: s["props"]), "\n").alias("body"))
-    return jsonl.scan(jsonl.lines_of(files, "user_id", "body"), "k long").select("user_id", "line", "k")
+    """Strict scan of the events' props, the lines of a user in the order of events."""
+    rows = table(spark, d, "events").select("user_id", "event_id", F.col("props").alias("text"))
+    return jsonl.scan(P.numbered(rows, "user_id", "event_id", "line"), "k long").select("user_id", "line", "k")
 
 
 @query()

@@ -21,6 +21,26 @@ def test_place_is_a_permutation_for_any_partitioning(spark):
     assert sampling.place(spark.range(0), [F.col("id")]).count() == 0
 
 
+def test_numbers_in_groups(spark):
+    rows = [(k, None if k % 7 == 0 else "hot" if k % 3 else f"g{k % 5}", k % 2) for k in range(400)]
+    df = spark.createDataFrame(rows, "id int, g string, h int").repartition(5)
+    got = {r.id: r.nth for r in sampling.numbered(df, ["g", "h"], "id").collect()}
+    groups: dict = {}
+    for k, *group in rows:
+        groups.setdefault(tuple(group), []).append(k)
+    assert got == {k: n for ids in groups.values() for n, k in enumerate(sorted(ids), 1)}
+    assert sampling.numbered(df.limit(0), "g", "id").isEmpty()
+
+
+def test_scan_of_lines_by_user(spark):
+    sf = "/root/testdata/sf0.001"
+    events: dict = {}
+    for r in sorted(spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id", "props").collect()):
+        events.setdefault(r.user_id, []).append(json.loads(r.props)["k"])
+    wanted = sorted((u, n, k) for u, ks in events.items() for n, k in enumerate(ks, 1))
+    assert sorted(map(tuple, q_study.jsonl_scan(spark, sf).collect())) == wanted
+
+
 def test_strata_and_nested_samples(spark):
     s = sampling.rank_strata(spark.range(40), 4, [F.col("id")])
     assert {r.stratum: r["count"] for r in s.groupBy("stratum").count().collect()} == {1: 10, 2: 10, 3: 10, 4: 10}
