@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from corpusloom.functions.draws import let
 from corpusloom.functions.text import enum_canonical, pstrip, within_words
 
-#: The error types, the labels of references, the scores, and the words for confidence.
+#: The error types, the labels of references, the scores, and the words for yes, no and confidence.
 ERROR_TYPES = ("hallucination", "wrong_entity", "wrong_number_date", "contradiction", "omission", "repetition", "incoherence", "verbosity", "other", "none")
 REFERENCE_LABELS = ("fully_supported", "partially_supported", "unsupported", "mismatched")
 SCORE_FIELDS = ("faithfulness", "informativeness", "fluency", "conciseness")
+YES, NO = ("true", "1", "yes", "có"), ("false", "0", "no", "không")
 CONFIDENCE = {"very low": 1, "low": 2, "medium": 3, "high": 4, "very high": 5}
 
 
@@ -66,7 +67,7 @@ def error_list(types: Column, major: Column) -> Column:
 def yes_no(text: Column) -> Column:
     """A human's yes or no, in English or Vietnamese."""
     t = F.lower(pstrip(text))
-    return F.when(t.isin("true", "yes", "y", "1", "có", "co"), True).when(t.isin("false", "no", "n", "0", "không", "khong"), False)
+    return F.when(t.isin(*YES), True).when(t.isin(*NO), False)
 
 
 def _field(body: Column, parsed: Column, name: str) -> tuple[Column, Column]:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.stats import paired_bootstrap
+from corpusloom.functions.text import pstrip
+from corpusloom.functions.verdicts import yes_no
 
 
 def candidate_tasks(samples: DataFrame, mapping: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -80,6 +82,37 @@ def arrange_blocks(samples: Sequence[str], repeats: Sequence[str], distance: int
     return out
 
 
+def unfilled(fields: Sequence[str], major: str = "major_error") -> Column:
+    """Whether a human left a score or the error question of a row blank."""
+    blank = [F.coalesce(pstrip(f), F.lit("")) == "" for f in (*fields, major)]
+    return F.array_contains(F.array(*blank), True)
+
+
+def human_annotations(rows: DataFrame, row: str, fields: Sequence[str], major: str = "major_error") -> DataFrame:
+    """The filled rows of a human study's table of strings, scores as integers and the error question as a boolean.
+
+    A score that is no integer from 1 to 5, or an answer that is neither yes nor no, makes the job fail and names its row.
+    """
+
+    def parsed(f: str, value: Column) -> Column:
+        bad = F.raise_error(F.concat(F.lit(f"bad {f} in row "), F.col(row).cast("string")))
+        return F.when(value.isNotNull(), value).otherwise(bad).alias(f)
+
+    number = lambda f: F.when(pstrip(f).rlike(r"^[+-]?[0-9]+$"), pstrip(f).try_cast("int"))
+    score = lambda f: F.when(number(f).between(1, 5), number(f))
+    values = {f: parsed(f, score(f)) for f in fields} | {major: parsed(major, yes_no(F.col(major)))}
+    return rows.where(~unfilled(fields, major)).withColumns(values)
+
+
+def annotation_report(rows: DataFrame, row: str, name: Column, fields: Sequence[str], major: str = "major_error", most: int = 20) -> DataFrame:
+    """One row: status, annotated_rows, missing_rows, and the names of the first `most` rows with blanks, in order."""
+    marked = rows.select(F.col(row).alias("row"), name.alias("name"), unfilled(fields, major).alias("blank"))
+    counts = marked.agg(F.count_if(~F.col("blank")).alias("annotated_rows"), F.count_if("blank").alias("missing_rows"))
+    first = marked.where("blank").orderBy("row").limit(most).agg(F.array_sort(F.collect_list(F.struct("row", "name"))).alias("f"))
+    status = F.when(F.col("missing_rows") == 0, "complete").otherwise("incomplete").alias("status")
+    return counts.crossJoin(first).select(status, "annotated_rows", "missing_rows", F.col("f.name").alias("missing_examples"))  # one row each
+
+
 def assess_pilot(log: DataFrame, wanted: DataFrame, fields: Sequence[str]) -> DataFrame:
     """One row of a pilot's counts and its gate's status; `wanted` has one row, expected_records.
 

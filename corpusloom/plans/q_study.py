@@ -360,14 +360,27 @@ def reference_verdict(spark, d):
     return t.select("sample_id", W.reference_verdict(body).alias("v")).select("sample_id", "v.*")
 
 
-@query(f"select sample_id, system, case when toxic = 1 and quality = 0 then null else faithfulness end score, major_error, not (toxic = 1 and quality = 0) complete from ({V.SCORES})")
-def human_annotations(spark, d):
+def human_table(spark, d):
+    """A human study's table as it is typed: strings, some left blank, yes and no in either language."""
     s = V.scores(spark, d)
-    written = F.when((F.col("toxic") == 1) & (F.col("quality") == 0), "").otherwise(F.concat(F.lit(" "), F.col("faithfulness").cast("string")))
-    answer = F.when(F.col("major_error"), "Có ").otherwise("không")
-    rows = s.select("sample_id", "system", written.alias("w"), answer.alias("a"))
-    score = W.ordinal(F.col("w"), F.lit("STRING"))
-    return rows.select("sample_id", "system", score.alias("score"), W.yes_no(F.col("a")).alias("major_error"), (score.isNotNull() & W.yes_no(F.col("a")).isNotNull()).alias("complete"))
+    blank = (F.col("toxic") == 1) & (F.col("quality") == 0)
+    typed = [F.when(F.lit(f == V.FIELDS[0]) & blank, " ").otherwise(F.concat(F.lit(" "), F.col(f).cast("string"))).alias(f) for f in V.FIELDS]
+    answer = F.when(F.col("major_error"), "Có ").when(F.col("fluency") > 3, "không").otherwise("No")
+    name = F.concat_ws("/", F.lpad(F.col("sample_id").cast("string"), 12, "0"), "system")
+    return s.select(name.alias("row"), "sample_id", "system", *typed, answer.alias("major_error"))
+
+
+@query(f"select sample_id, system, {', '.join(V.FIELDS)}, major_error from ({V.SCORES}) where not (toxic = 1 and quality = 0)")
+def human_annotations(spark, d):
+    return T.human_annotations(human_table(spark, d), "row", V.FIELDS).select("sample_id", "system", *V.FIELDS, "major_error")
+
+
+@query(f"""select if(count(*) filter (blank) = 0, 'complete', 'incomplete') status, count(*) filter (not blank) annotated_rows, count(*) filter (blank) missing_rows,
+ coalesce((list(name order by name) filter (blank))[1:20], []) missing_examples
+ from (select toxic = 1 and quality = 0 blank, lpad(sample_id::varchar, 12, '0') || '/' || system as name from ({V.SCORES}))""")
+def annotation_report(spark, d):
+    """Whether a human study is complete, and its first blank rows."""
+    return T.annotation_report(human_table(spark, d), "row", F.col("row"), V.FIELDS)
 
 
 @query(f"select doc_id, lang from documents order by sha256('{V.SEED}|peek|' || doc_id), doc_id limit 100")

@@ -344,6 +344,20 @@ def test_pilot_gate(spark):
     assert judged(log.limit(0)).status == "needs_review"
 
 
+def test_human_tables(spark):
+    schema = "row int, block string, f string, g string, major_error string"
+    rows = [(2, "a", " 4", "+5", "Có"), (3, "b", "", "2", "no"), (4, "c", "1", "2", "KHÔNG "), (5, "d", "3", None, "yes"), (6, "e", "9", "1", " ")]
+    df = spark.createDataFrame(rows, schema)
+    got = study.human_annotations(df, "row", ["f", "g"]).orderBy("row").collect()
+    assert [tuple(r) for r in got] == [(2, "a", 4, 5, True), (4, "c", 1, 2, False)]
+    report = study.annotation_report(df, "row", F.concat_ws("/", "block", "row"), ["f", "g"], most=2).first()
+    assert tuple(report) == ("incomplete", 2, 3, ["b/3", "d/5"])
+    assert tuple(study.annotation_report(df.limit(0), "row", F.col("block"), ["f", "g"]).first()) == ("complete", 0, 0, [])
+    for bad, message in ((("6", "1", "no"), "bad f in row 7"), (("4.0", "1", "no"), "bad f in row 7"), (("1", "x", "no"), "bad g in row 7"), (("1", "1", "y"), "bad major_error in row 7")):
+        with pytest.raises(Exception, match=message):
+            study.human_annotations(df.union(spark.createDataFrame([(7, "z", *bad)], schema)), "row", ["f", "g"]).collect()
+
+
 def test_greedy_decoding():
     mock = lambda sources, tokens: np.eye(9)[[4 if len(t) == 1 else 3 for t in tokens]]
     assert decoding.greedy(mock, [[1], [2, 3]], 5) == [[2, 4, 3], [2, 4, 3]]
