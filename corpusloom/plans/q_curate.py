@@ -12,7 +12,8 @@ from corpusloom.plans import views as V
 from corpusloom.plans.registry import query
 from corpusloom.runtime import dealt_table as table
 
-STRIPPED = f"select conv_id, turn, conv_id * 1000 + turn as ordinal, {V.pstrip_sql('source')} source, {V.pstrip_sql('target')} target from ({V.TURNS}) where source is not null and target is not null"
+STRIPPED = f"""select conv_id, turn, conv_id * 1000 + turn as ordinal, {V.pstrip_sql('source')} source, {V.pstrip_sql('target')} target from ({V.TURNS})
+ where source is not null and target is not null"""
 CLEANED = f"select *, {V.words_sql('source')} n_source, {V.words_sql('target')} n_target from ({STRIPPED}) where source <> '' and target <> ''"
 UNIQUE = f"select * from ({CLEANED}) qualify row_number() over (partition by source, target order by ordinal) = 1"
 BAND = "n_source between 5 and 1200 and n_target between 5 and 400"
@@ -29,7 +30,8 @@ def pairs(spark, d):
     return V.turns(spark, d).withColumn("ordinal", F.col("conv_id") * 1000 + F.col("turn"))
 
 
-@query(f"select conv_id, turn, {normal_sql('source')} source, {normal_sql('target')} target from (select * from ({UNIQUE}) where {BAND} and {RATIO} qualify row_number() over (partition by source order by ordinal) = 1)")
+@query(f"""select conv_id, turn, {normal_sql('source')} source, {normal_sql('target')} target from (select * from ({UNIQUE}) where {BAND} and {RATIO}
+ qualify row_number() over (partition by source order by ordinal) = 1)""")
 def curate(spark, d):
     return C.curate(pairs(spark, d), "ordinal", bands=BANDS, ratios=RATIOS).select("conv_id", "turn", "source", "target")
 
@@ -47,7 +49,8 @@ def ratio_filter(spark, d):
 
 
 EMBED_PAIRS = "select a.vec_id, a.embedding a, b.embedding b from embeddings a join embeddings b on b.vec_id = a.vec_id + 1"
-DUCK_COSINE = "list_sum(list_transform(list_zip(a, b), lambda x: x[1]::double * x[2]::double)) / ((sqrt(list_sum(list_transform(a, lambda x: x::double * x::double))) + 1e-9) * (sqrt(list_sum(list_transform(b, lambda x: x::double * x::double))) + 1e-9))"
+DUCK_COSINE = """list_sum(list_transform(list_zip(a, b), lambda x: x[1]::double * x[2]::double)) / ((sqrt(list_sum(list_transform(a, lambda x: x::double * x::double)))
+ + 1e-9) * (sqrt(list_sum(list_transform(b, lambda x: x::double * x::double))) + 1e-9))"""
 
 
 def vector_pairs(spark, d):
@@ -88,7 +91,8 @@ def schema_issues(spark, d):
     return table(spark, d, "events").select("event_id", missing.alias("missing"), extra.alias("extra"), (kind == "BIGINT").alias("k_is_number"))
 
 
-@query("select user_id, event_id as line, first_line from (select user_id, event_id, min(event_id) over (partition by user_id) first_line from events) where event_id > first_line")
+@query("""select user_id, event_id as line, first_line from (select user_id, event_id, min(event_id) over (partition by user_id) first_line from events)
+ where event_id > first_line""")
 def duplicate_ids(spark, d):
     return V2.repeated_ids(table(spark, d, "events").select("user_id", F.col("event_id").alias("line")), "user_id", "line")
 
@@ -116,7 +120,8 @@ def quality_flags(spark, d):
     return counted(spark, d).select("doc_id", F.explode(V2.codes(flags())).alias("code"))
 
 
-@query(f"select doc_id, list_distinct(list_filter([{', '.join(flags_sql('source') + flags_sql('reference') + PAIR_SQL)}], lambda x: x is not null)).list_sort() warnings from ({COUNTED})")
+@query(f"""select doc_id, list_distinct(list_filter([{', '.join(flags_sql('source') + flags_sql('reference') + PAIR_SQL)}], lambda x: x is not null)).list_sort()
+ warnings from ({COUNTED})""")
 def row_warnings(spark, d):
     return counted(spark, d).select("doc_id", F.sort_array(F.array_distinct(V2.codes(flags()))).alias("warnings"))
 
@@ -150,7 +155,8 @@ def identity_leak(spark, d):
     return t.select("conv_id", "turn", V2.identity_leak(t, ["conv_id", "turn", "role"], ["assistant", "system"]).alias("leaks"))
 
 
-@query(f"with p as ({V.PREDICTIONS}) select id, system, 'missing' problem from (select id, unnest(['lead1', 'lead3']) as system from ({V.MANIFEST})) e anti join p using (id, system)")
+@query(f"""with p as ({V.PREDICTIONS}) select id, system, 'missing' problem from (select id, unnest(['lead1', 'lead3']) as system from ({V.MANIFEST})) e anti
+ join p using (id, system)""")
 def completeness(spark, d):
     expected = V.manifest(spark, d).select("id", F.explode(F.array(F.lit("lead1"), F.lit("lead3"))).alias("system"))
     return V2.incomplete(expected, V.predictions(spark, d), ["id", "system"])
@@ -181,17 +187,21 @@ def id_overlap(spark, d):
     return table(spark, d, "documents").select("doc_id").intersect(table(spark, d, "labels").select("doc_id"))
 
 
-@query("select 'unlabelled' problem, count(*) n from documents anti join labels using (doc_id) union all select 'unknown label', count(*) from labels anti join documents using (doc_id)")
+@query("""select 'unlabelled' problem, count(*) n from documents anti join labels using (doc_id) union all select 'unknown label', count(*) from labels anti
+ join documents using (doc_id)""")
 def subset_check(spark, d):
     a, b = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id")
     gone = lambda x, y, name: x.join(y, "doc_id", "left_anti").agg(F.lit(name).alias("problem"), F.count("*").alias("n"))
     return gone(a, b, "unlabelled").union(gone(b, a, "unknown label"))
 
 
-LINES = f"select distinct 'document' side, doc_id id, line from (select doc_id, {V.pstrip_sql('l')} line from (select doc_id, unnest(string_split(text, chr(10))) l from documents)) where line <> '' union all select distinct 'benchmark', item_id, {V.pstrip_sql('text')} from benchmark where {V.pstrip_sql('text')} <> ''"
+LINES = f"""select distinct 'document' side, doc_id id, line from (select doc_id, {V.pstrip_sql('l')} line
+ from (select doc_id, unnest(string_split(text, chr(10))) l from documents)) where line <> '' union all
+ select distinct 'benchmark', item_id, {V.pstrip_sql('text')} from benchmark where {V.pstrip_sql('text')} <> ''"""
 
 
-@query(f"select sha256(line) digest, side, count(*) n, list_sort(list(id))[1:5] ids from ({LINES}) where line in (select line from ({LINES}) group by line having count(distinct side) > 1) group by line, side")
+@query(f"""select sha256(line) digest, side, count(*) n, list_sort(list(id))[1:5] ids from ({LINES}) where line in (select line from ({LINES})
+ group by line having count(distinct side) > 1) group by line, side""")
 def exact_leakage(spark, d):
     lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l")).select(F.lit("document").alias("side"), F.col("doc_id").alias("id"), X.pstrip("l").alias("line"))
     items = table(spark, d, "benchmark").select(F.lit("benchmark").alias("side"), F.col("item_id").alias("id"), X.pstrip("text").alias("line"))
@@ -204,7 +214,8 @@ def union_last_wins(spark, d):
     return D.last_wins(parts, "user_id", "event_id").select("user_id", "event_id", "value")
 
 
-@query("select conv_id sample_id, 'reference' task, null::varchar anon_id, turn from conversations union all select conv_id, 'candidate', chr((65 + turn % 4)::int), turn from conversations")
+@query("""select conv_id sample_id, 'reference' task, null::varchar anon_id, turn from conversations union all
+ select conv_id, 'candidate', chr((65 + turn % 4)::int), turn from conversations""")
 def task_union(spark, d):
     t = table(spark, d, "conversations").select(F.col("conv_id").alias("sample_id"), "turn")
     candidate = t.withColumn("task", F.lit("candidate")).withColumn("anon_id", F.char(65 + F.pmod("turn", F.lit(4))))

@@ -11,10 +11,12 @@ from corpusloom.plans import views as V
 from corpusloom.plans.registry import query
 from corpusloom.runtime import stored, table
 
-VOCAB = f"select token, row_number() over (order by n desc, token)::int + 3 id from (select token, count(*) n from (select unnest({V.tokens_sql('text')}) token from conversations) group by token having count(*) >= 2)"
+VOCAB = f"""select token, row_number() over (order by n desc, token)::int + 3 id from (select token, count(*) n from (select unnest({V.tokens_sql('text')}) token
+ from conversations) group by token having count(*) >= 2)"""
 PAIRS = f"select conv_id, turn, {V.tokens_sql('source')} s, {V.tokens_sql('target')} t, {V.words_sql('source')} sw, {V.words_sql('target')} tw from ({V.TURNS})"
 IDS = f"""(with v as (select map_from_entries(list((token, id))) m from ({VOCAB})) select conv_id, turn, sw, tw, list_transform(s, lambda x: coalesce(m[x], 1)) s, list_transform(t, lambda x: coalesce(m[x], 1)) t from ({PAIRS}), v)"""
-SAMPLES = f"(select conv_id, turn, s[1:767] || [3] source_ids, [2] || t decoder_input_ids, t || [3] labels, len(s[1:767]) + 1 source_len, len(t) + 1 target_len, len(s) > 767 was_source_truncated from {IDS} where len(t) <= 95)"
+SAMPLES = f"""(select conv_id, turn, s[1:767] || [3] source_ids, [2] || t decoder_input_ids, t || [3] labels, len(s[1:767]) + 1 source_len, len(t) + 1 target_len,
+ len(s) > 767 was_source_truncated from {IDS} where len(t) <= 95)"""
 KEYS = ["conv_id", "turn"]
 
 
@@ -35,20 +37,23 @@ def token_dataset(spark, d):
     return Q.samples(encoded(spark, d), KEYS)
 
 
-@query(f"select count(*) n, min(source_len)::bigint source_min, max(source_len)::bigint source_max, min(target_len)::bigint target_min, max(target_len)::bigint target_max, max(source_len) <= 768 and max(target_len) <= 96 and min(target_len) > 0 within_limits from {SAMPLES}")
+@query(f"""select count(*) n, min(source_len)::bigint source_min, max(source_len)::bigint source_max, min(target_len)::bigint target_min, max(target_len)::bigint
+ target_max, max(source_len) <= 768 and max(target_len) <= 96 and min(target_len) > 0 within_limits from {SAMPLES}""")
 def token_length_stats(spark, d):
     s, t = F.col("source_len").cast("long"), F.col("target_len").cast("long")
     ok = (F.max(s) <= 768) & (F.max(t) <= 96) & (F.min(t) > 0)
     return Q.samples(encoded(spark, d), KEYS).agg(F.count("*").alias("n"), F.min(s).alias("source_min"), F.max(s).alias("source_max"), F.min(t).alias("target_min"), F.max(t).alias("target_max"), ok.alias("within_limits"))
 
 
-@query(f"select count(*) n_total, count(*) filter (len(t) > 95) n_dropped, count(*) filter (len(s) > 767) n_truncated, count(*) filter (len(t) <= 95) n_saved, round(100.0 * count(*) filter (len(t) <= 95) / count(*), 6) saved_percent from {IDS}")
+@query(f"""select count(*) n_total, count(*) filter (len(t) > 95) n_dropped, count(*) filter (len(s) > 767) n_truncated, count(*) filter (len(t) <= 95) n_saved,
+ round(100.0 * count(*) filter (len(t) <= 95) / count(*), 6) saved_percent from {IDS}""")
 def build_counters(spark, d):
     fits = F.size("target") <= 95
     return encoded(spark, d).agg(F.count("*").alias("n_total"), F.count_if(~fits).alias("n_dropped"), F.count_if(F.size("source") > 767).alias("n_truncated"), F.count_if(fits).alias("n_saved"), F.round(100.0 * F.count_if(fits) / F.count("*"), 6).alias("saved_percent"))
 
 
-@query(f"select quantile_cont(len(t), 0.5)::double p50, quantile_cont(len(t), 0.75)::double p75, quantile_cont(len(t), 0.9)::double p90, quantile_cont(len(t), 0.95)::double p95, round(avg(len(t)), 6) mean from {IDS}")
+@query(f"""select quantile_cont(len(t), 0.5)::double p50, quantile_cont(len(t), 0.75)::double p75, quantile_cont(len(t), 0.9)::double p90, quantile_cont(len(t),
+ 0.95)::double p95, round(avg(len(t)), 6) mean from {IDS}""")
 def token_length_percentiles(spark, d):
     found = encoded(spark, d).agg(F.percentile(F.size("target"), F.array(*map(F.lit, (0.5, 0.75, 0.9, 0.95)))).alias("p"), F.round(F.avg(F.size("target")), 6).alias("mean"))
     return found.select(*[F.get("p", F.lit(k)).alias(f"p{n}") for k, n in enumerate((50, 75, 90, 95))], "mean")
@@ -60,28 +65,33 @@ def fertility_micro(spark, d):
     return sizes(spark, d).agg(F.round(F.coalesce(F.sum(F.col("sn") + F.col("tn")) / words, F.lit(0.0)), 6).alias("fertility"))
 
 
-@query(f"select round(avg(f), 6) mean, round(quantile_cont(f, 0.5), 6) median, round(quantile_cont(f, 0.95), 6) p95 from (select (len(s) + len(t))::double / nullif(sw + tw, 0) f from {IDS})")
+@query(f"""select round(avg(f), 6) mean, round(quantile_cont(f, 0.5), 6) median, round(quantile_cont(f, 0.95), 6) p95
+ from (select (len(s) + len(t))::double / nullif(sw + tw, 0) f from {IDS})""")
 def fertility_macro(spark, d):
     f = (F.col("sn") + F.col("tn")) / F.nullif(F.col("sw") + F.col("tw"), F.lit(0))
     found = sizes(spark, d).agg(F.round(F.avg(f), 6).alias("mean"), F.percentile(f, F.array(F.lit(0.5), F.lit(0.95))).alias("p"))
     return found.select("mean", F.round(F.get("p", F.lit(0)), 6).alias("median"), F.round(F.get("p", F.lit(1)), 6).alias("p95"))
 
 
-@query(f"select sum(u)::bigint n_unk, sum(n)::bigint n_ids, round(100.0 * sum(u) / sum(n), 6) percent from (select len(list_filter(s || t, lambda x: x = 1)) u, len(s) + len(t) n from {IDS})")
+@query(f"""select sum(u)::bigint n_unk, sum(n)::bigint n_ids, round(100.0 * sum(u) / sum(n), 6) percent
+ from (select len(list_filter(s || t, lambda x: x = 1)) u, len(s) + len(t) n from {IDS})""")
 def unk_rate(spark, d):
     both = F.concat("source", "target")
     unk, n = F.sum(F.size(F.filter(both, lambda x: x == Q.UNK))), F.sum(F.size(both))
     return encoded(spark, d).agg(unk.alias("n_unk"), n.alias("n_ids"), F.round(100.0 * unk / n, 6).alias("percent"))
 
 
-@query(f"select round(avg((len(s) > 768)::int), 6) source_rate, round(avg((len(t) > 96)::int), 6) target_rate, round(avg((len(s) > 768 or len(t) > 96)::int), 6) either_rate from {IDS}")
+@query(f"""select round(avg((len(s) > 768)::int), 6) source_rate, round(avg((len(t) > 96)::int), 6) target_rate, round(avg((len(s) > 768 or len(t) > 96)::int),
+ 6) either_rate from {IDS}""")
 def truncation_rates(spark, d):
     s, t = F.size("source") > 768, F.size("target") > 96
     rate = lambda c, name: F.round(F.avg(c.cast("int")), 6).alias(name)
     return encoded(spark, d).agg(rate(s, "source_rate"), rate(t, "target_rate"), rate(s | t, "either_rate"))
 
 
-@query(f"select conv_id, turn, source_ids || list_transform(generate_series(1, m - len(source_ids)), lambda x: 0) padded, list_transform(source_ids, lambda x: true) || list_transform(generate_series(1, m - len(source_ids)), lambda x: false) mask from (select *, max(len(source_ids)) over (partition by conv_id // 8) m from {SAMPLES})")
+@query(f"""select conv_id, turn, source_ids || list_transform(generate_series(1, m - len(source_ids)), lambda x: 0) padded, list_transform(source_ids, lambda x:
+ true) || list_transform(generate_series(1, m - len(source_ids)), lambda x: false) mask
+ from (select *, max(len(source_ids)) over (partition by conv_id // 8) m from {SAMPLES})""")
 def pad_batch(spark, d):
     rows = Q.samples(encoded(spark, d), KEYS).withColumn("batch", F.floor(F.col("conv_id") / 8))
     return Q.padded(rows, "batch", "source_ids").select(*KEYS, "padded", "mask")
@@ -92,18 +102,21 @@ def strip_specials(spark, d):
     return Q.samples(encoded(spark, d), KEYS).select(*KEYS, Q.without_specials("labels").alias("ids"), Q.without_specials("decoder_input_ids").alias("again"))
 
 
-@query(f"select conv_id, turn, decoder_input_ids[1] = 2 starts, labels[len(labels)] = 3 ends, len(labels) = len(decoder_input_ids) as same_length, labels[1:len(labels) - 1] = decoder_input_ids[2:] same_text from {SAMPLES}")
+@query(f"""select conv_id, turn, decoder_input_ids[1] = 2 starts, labels[len(labels)] = 3 ends, len(labels) = len(decoder_input_ids) as same_length,
+ labels[1:len(labels) - 1] = decoder_input_ids[2:] same_text from {SAMPLES}""")
 def shift_invariants(spark, d):
     rows = Q.samples(encoded(spark, d), KEYS)
     return rows.select(*KEYS, (F.get("decoder_input_ids", F.lit(0)) == Q.BOS).alias("starts"), (F.element_at("labels", -1) == Q.EOS).alias("ends"), (F.size("labels") == F.size("decoder_input_ids")).alias("same_length"), (Q.without_specials("labels") == Q.without_specials("decoder_input_ids")).alias("same_text"))
 
 
-@query(f"select conv_id, turn, case when len(t) >= 3 then list_sort(list_distinct(list_transform(list_filter(generate_series(1, len(t) - 2), lambda i: t[i:i + 1] = t[len(t) - 1:]), lambda i: t[i + 2]))) else [] end banned from (select conv_id, turn, t from {IDS})")
+@query(f"""select conv_id, turn, case when len(t) >= 3 then list_sort(list_distinct(list_transform(list_filter(generate_series(1, len(t) - 2), lambda i: t[i:i +
+ 1] = t[len(t) - 1:]), lambda i: t[i + 2]))) else [] end banned from (select conv_id, turn, t from {IDS})""")
 def banned_next_tokens(spark, d):
     return encoded(spark, d).select(*KEYS, M.banned_next("target", 3).alias("banned"))
 
 
-BEAMS = f"select doc_id sample_id, b as beam, -1.0 - {V.draw_sql('''doc_id || '|' || b || '|score' ''', 1000)} / 100.0 score, 5 + {V.draw_sql('''doc_id || '|' || b || '|len' ''', 60)} len from (select doc_id, unnest(generate_series(1, 4)) b from documents)"
+BEAMS = f"""select doc_id sample_id, b as beam, -1.0 - {V.draw_sql('''doc_id || '|' || b || '|score' ''', 1000)} / 100.0 score, 5 +
+ {V.draw_sql('''doc_id || '|' || b || '|len' ''', 60)} len from (select doc_id, unnest(generate_series(1, 4)) b from documents)"""
 
 
 def beams(spark, d):
@@ -112,12 +125,16 @@ def beams(spark, d):
     return rows.withColumn("score", score).withColumn("len", 5 + V.draw("sample_id", "beam", F.lit("len"), out_of=60))
 
 
-@query(f"select sample_id, beam, rank, round(p, 6) penalized from (select *, row_number() over (partition by sample_id order by p desc, beam)::int rank from (select sample_id, beam, score::double / pow((5 + len) / 6.0, 1.1) p from ({BEAMS}))) where rank <= 2")
+@query(f"""select sample_id, beam, rank, round(p, 6) penalized from (select *, row_number() over (partition by sample_id order by p desc, beam)::int rank
+ from (select sample_id, beam, score::double / pow((5 + len) / 6.0, 1.1) p from ({BEAMS}))) where rank <= 2""")
 def beam_rerank(spark, d):
     return Q.best_beams(beams(spark, d), "sample_id", "score", "len", 1.1, 2).select("sample_id", "beam", "rank", F.round("penalized", 6).alias("penalized"))
 
 
-@query(f"with x as (select b.sample_id, b.beam, a.alpha, b.score::double / pow((5 + len) / 6.0, a.alpha) p from ({BEAMS}) b, (select unnest([0.8, 1.0, 1.1])::double alpha) a), g as (select alpha, sample_id, max(p) best from x group by all) select 'beam4_lp' || alpha || '_nr3' config, round(avg(best), 6) metric, row_number() over (order by round(avg(best), 6) desc, alpha)::int rank from g group by alpha")
+@query(f"""with x as (select b.sample_id, b.beam, a.alpha, b.score::double / pow((5 + len) / 6.0, a.alpha) p
+ from ({BEAMS}) b, (select unnest([0.8, 1.0, 1.1])::double alpha) a), g as (select alpha, sample_id, max(p) best from x group by all)
+ select 'beam4_lp' || alpha || '_nr3' config, round(avg(best), 6) metric, row_number() over (order by round(avg(best), 6) desc, alpha)::int rank from g
+ group by alpha""")
 def config_leaderboard(spark, d):
     from pyspark.sql import Window
 

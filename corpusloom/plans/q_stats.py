@@ -67,7 +67,8 @@ def compression_ratio_tokens(spark, d):
     return pair_tokens(spark, d).select("conv_id", "turn", F.round(M.compression("p", "r"), 6).alias("ratio"))
 
 
-@query(f"with p as ({V.PREDICTIONS}), m as ({V.MANIFEST}), x as (select p.system, {V.words_sql('p.prediction')}::double / nullif({V.words_sql('m.source')}, 0) c from p join m using (id)) select round(avg(c) filter (system = 'lead1'), 6) lead1, round(avg(c) filter (system = 'lead3'), 6) lead3 from x")
+@query(f"""with p as ({V.PREDICTIONS}), m as ({V.MANIFEST}), x as (select p.system, {V.words_sql('p.prediction')}::double / nullif({V.words_sql('m.source')}, 0)
+ c from p join m using (id)) select round(avg(c) filter (system = 'lead1'), 6) lead1, round(avg(c) filter (system = 'lead3'), 6) lead3 from x""")
 def compression_ratio(spark, d):
     m = V.manifest(spark, d).select("id", X.word_count("source").alias("s"))
     rows = V.predictions(spark, d).select("id", "system", X.word_count("prediction").alias("p")).join(m, "id").withColumn("c", F.col("p") / F.nullif("s", F.lit(0)))
@@ -104,7 +105,9 @@ def lengths(spark, d):
     return table(spark, d, "documents").select("lang", "doc_id", X.word_count("text").alias("n"))
 
 
-@query(f"with x as (select lang, n, row_number() over (partition by lang order by n) - 1 i, count(*) over (partition by lang) c from ({LENGTHS})) select lang, min(n) lowest, max(n) filter (i = round_even((c - 1) * 0.5, 0)) median, max(n) filter (i = round_even((c - 1) * 0.95, 0)) p95, max(n) highest from x group by lang")
+@query(f"""with x as (select lang, n, row_number() over (partition by lang order by n) - 1 i, count(*) over (partition by lang) c from ({LENGTHS}))
+ select lang, min(n) lowest, max(n) filter (i = round_even((c - 1) * 0.5, 0)) median, max(n) filter (i = round_even((c - 1) * 0.95, 0)) p95, max(n)
+ highest from x group by lang""")
 def length_stats_nearest(spark, d):
     return S.nearest_rank(lengths(spark, d), ["lang"], "n", {"lowest": 0.0, "median": 0.5, "p95": 0.95, "highest": 1.0})
 
@@ -115,13 +118,17 @@ def length_histogram(spark, d):
     return lengths(spark, d).groupBy(bin_.cast("long").alias("bin")).agg(F.count("*").alias("n_docs"))
 
 
-@query(f"select lang, count(n) as count, round(avg(n), 6) mean, round(stddev_samp(n), 6) std, min(n) as lowest, quantile_cont(n, 0.25)::double q1, quantile_cont(n, 0.5)::double q2, quantile_cont(n, 0.75)::double q3, max(n) highest from ({LENGTHS}) group by lang")
+@query(f"""select lang, count(n) as count, round(avg(n), 6) mean, round(stddev_samp(n), 6) std, min(n) as lowest, quantile_cont(n, 0.25)::double q1,
+ quantile_cont(n, 0.5)::double q2, quantile_cont(n, 0.75)::double q3, max(n) highest from ({LENGTHS}) group by lang""")
 def describe_lengths(spark, d):
     rows = lengths(spark, d).groupBy("lang").agg(F.count("n").alias("count"), F.round(F.avg("n"), 6).alias("mean"), F.round(F.stddev_samp("n"), 6).alias("std"), F.min("n").alias("lowest"), F.percentile("n", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max("n").alias("highest"))
     return rows.select("lang", "count", "mean", "std", "lowest", *[F.get("q", F.lit(k)).alias(f"q{k + 1}") for k in range(3)], "highest")
 
 
-LABEL_COUNTS = "select l.label, count(x.quality) n, round(count(x.quality) / (select count(*) from labels)::double, 6) share from (select unnest(['good', 'bad', 'toxic good', 'toxic bad']) as label) l left join (select *, case when toxic = 1 then 'toxic ' else '' end || case when quality = 1 then 'good' else 'bad' end as label from labels) x using (label) group by l.label"
+LABEL_COUNTS = """select l.label, count(x.quality) n, round(count(x.quality) / (select count(*) from labels)::double, 6) share
+ from (select unnest(['good', 'bad', 'toxic good', 'toxic bad']) as label) l left
+ join (select *, case when toxic = 1 then 'toxic ' else '' end || case when quality = 1 then 'good' else 'bad' end as label
+ from labels) x using (label) group by l.label"""
 
 
 @query(LABEL_COUNTS)
@@ -135,7 +142,8 @@ def label_distribution(spark, d):
     return domain.join(counts, "label", "left").crossJoin(total).select("label", n.alias("n"), F.round(n / F.col("all"), 6).alias("share"))
 
 
-ERRORS = f"select sample_id, system, list_filter([case when major_error then 'hallucination' end, case when faithfulness < 3 then 'wrong_entity' end, case when informativeness < 2 then 'omission' end, case when fluency < 2 then 'incoherence' end], lambda x: x is not null) e from ({V.SCORES})"
+ERRORS = f"""select sample_id, system, list_filter([case when major_error then 'hallucination' end, case when faithfulness < 3 then 'wrong_entity' end, case when
+ informativeness < 2 then 'omission' end, case when fluency < 2 then 'incoherence' end], lambda x: x is not null) e from ({V.SCORES})"""
 
 
 def error_types():
@@ -148,13 +156,16 @@ def error_type_counts(spark, d):
     return V.scores(spark, d).select("system", F.explode(kinds).alias("error_type")).groupBy("system", "error_type").agg(F.count("*").alias("n"))
 
 
-@query(f"select system, field, round(avg(score), 6) mean, median(score)::double median, round(avg(major_error::int), 6) error_rate from (unpivot (select sample_id, system, major_error, faithfulness, informativeness, fluency, conciseness from ({V.SCORES})) on faithfulness, informativeness, fluency, conciseness into name field value score) group by system, field")
+@query(f"""select system, field, round(avg(score), 6) mean, median(score)::double median, round(avg(major_error::int), 6) error_rate
+ from (unpivot (select sample_id, system, major_error, faithfulness, informativeness, fluency, conciseness
+ from ({V.SCORES})) on faithfulness, informativeness, fluency, conciseness into name field value score) group by system, field""")
 def score_summary(spark, d):
     long = V.scores(spark, d).unpivot(["sample_id", "system", "major_error"], list(V.FIELDS), "field", "score")
     return long.groupBy("system", "field").agg(F.round(F.avg("score"), 6).alias("mean"), F.median("score").alias("median"), F.round(F.avg(F.col("major_error").cast("int")), 6).alias("error_rate"))
 
 
-@query("select event_type, k as key, sum(v) total from (select event_type, unnest(json_keys(props)) k, try_cast(json_extract_string(props, '$.k') as double) v from events) group by all")
+@query("""select event_type, k as key, sum(v) total from (select event_type, unnest(json_keys(props)) k, try_cast(json_extract_string(props, '$.k') as double) v
+ from events) group by all""")
 def usage_totals(spark, d):
     usage = F.from_json("props", "map<string,double>")
     return table(spark, d, "events").select("event_type", F.explode(usage)).groupBy("event_type", "key").agg(F.sum("value").alias("total"))
@@ -192,7 +203,8 @@ def paired_systems(spark, d):
     return rounded(compare_systems(V.scores(spark, d), V.SYSTEMS, V.FIELDS, RESAMPLES, "systems"), "difference", "low", "high", "p_greater")
 
 
-@query(f"select g.system, coalesce(avg(s.faithfulness) filter (quality = 1 and toxic = 1), 'nan'::double) mean from (select unnest(['lead1', 'lead3', 'neural', 'pretrained', 'absent']) as system) g left join ({V.SCORES}) s using (system) group by g.system")
+@query(f"""select g.system, coalesce(avg(s.faithfulness) filter (quality = 1 and toxic = 1), 'nan'::double) mean
+ from (select unnest(['lead1', 'lead3', 'neural', 'pretrained', 'absent']) as system) g left join ({V.SCORES}) s using (system) group by g.system""")
 def mean_or_nan(spark, d):
     """Mean of a group's values, NaN where it has none."""
     groups = spark.range(1).select(F.explode(F.array(*map(F.lit, (*V.SYSTEMS, "absent")))).alias("system"))
@@ -200,7 +212,10 @@ def mean_or_nan(spark, d):
     return rows.groupBy("system").agg(S.mean_or_nan(F.when((F.col("quality") == 1) & (F.col("toxic") == 1), F.col("faithfulness"))).alias("mean"))
 
 
-@query(f"select system, n, hits, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) high from (select system, count(*)::double n, count(*) filter (major_error) hits, count(*) filter (major_error)::double / count(*) p, {S.Z95} z from ({V.SCORES}) group by system)")
+@query(f"""select system, n, hits, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) low, round((p + z * z / (2
+ * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) high
+ from (select system, count(*)::double n, count(*) filter (major_error) hits, count(*) filter (major_error)::double / count(*) p, {S.Z95} z
+ from ({V.SCORES}) group by system)""")
 def wilson_ci(spark, d):
     counts = V.scores(spark, d).groupBy("system").agg(F.count("*").cast("double").alias("n"), F.count_if("major_error").alias("hits"))
     low, high = S.wilson(F.col("hits"), F.col("n"))
@@ -253,13 +268,15 @@ def weighted_kappa(spark, d):
     return rounded(S.weighted_kappa(rated(spark, d), "a", "b", ["system"]), "kappa")
 
 
-@query("select n, round(case when e = 1 then 1.0 else (o - e) / (1 - e) end, 6) kappa from (select count(*) n, avg((quality = toxic)::int) o, avg(quality) * avg(toxic) + (1 - avg(quality)) * (1 - avg(toxic)) e from labels)")
+@query("""select n, round(case when e = 1 then 1.0 else (o - e) / (1 - e) end, 6) kappa
+ from (select count(*) n, avg((quality = toxic)::int) o, avg(quality) * avg(toxic) + (1 - avg(quality)) * (1 - avg(toxic)) e from labels)""")
 def binary_kappa(spark, d):
     x, y = F.col("quality") == 1, F.col("toxic") == 1
     return table(spark, d, "labels").agg(F.count("*").alias("n"), F.round(S.binary_kappa(x, y), 6).alias("kappa"))
 
 
-@query(f"select system, count(*) n, round(avg(abs(a - b)), 6) mae, round(avg((abs(a - b) <= 1)::int), 6) within_one, round(avg((a = b)::int), 6) agreement from ({RATED}) group by system")
+@query(f"""select system, count(*) n, round(avg(abs(a - b)), 6) mae, round(avg((abs(a - b) <= 1)::int), 6) within_one, round(avg((a = b)::int), 6) agreement
+ from ({RATED}) group by system""")
 def rater_agreement(spark, d):
     gap = F.abs(F.col("a") - F.col("b"))
     return rated(spark, d).groupBy("system").agg(F.count("*").alias("n"), F.round(F.avg(gap), 6).alias("mae"), F.round(F.avg((gap <= 1).cast("int")), 6).alias("within_one"), F.round(F.avg((gap == 0).cast("int")), 6).alias("agreement"))
@@ -271,7 +288,9 @@ def rater_join(spark, d):
     return V.scores(spark, d).select("sample_id", "system", F.col("faithfulness").alias("judge")).join(human, ["sample_id", "system"])
 
 
-REPEATS = f"select system, sample_id, max(a) filter (not is_repeat) a, max(a) filter (is_repeat) b from (select system, sample_id, faithfulness a, false is_repeat from ({V.SCORES}) union all select system, sample_id, least(5, faithfulness + (toxic = 1)::int), true from ({V.SCORES}) where quality = 0) group by all having count(*) = 2"
+REPEATS = f"""select system, sample_id, max(a) filter (not is_repeat) a, max(a) filter (is_repeat) b from (select system, sample_id, faithfulness a, false is_repeat
+ from ({V.SCORES}) union all select system, sample_id, least(5, faithfulness + (toxic = 1)::int), true from ({V.SCORES}) where quality = 0)
+ group by all having count(*) = 2"""
 
 
 def repeats(spark, d):
@@ -314,7 +333,8 @@ def disagreement_case(spark, d):
     return rows.agg(F.max(F.struct(gap.alias("gap"), "sample_id", "system")).alias("m")).select("m.*")
 
 
-@query(f"select b as batch, x, round(avg(x) over (partition by b), 6) mean_of_batch from (select (row_number() over (order by doc_id) - 1) // 64 as b, doc_id, n as x from ({LENGTHS}))")
+@query(f"""select b as batch, x, round(avg(x) over (partition by b), 6) mean_of_batch
+ from (select (row_number() over (order by doc_id) - 1) // 64 as b, doc_id, n as x from ({LENGTHS}))""")
 def batch_ids(spark, d):
     from corpusloom.operators.sampling import place
 

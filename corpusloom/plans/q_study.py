@@ -86,7 +86,11 @@ def repeat_spacing(spark, d):
     return spark.createDataFrame([(k, s, r) for k, (s, r) in enumerate(blocks)], "position int, sample_id string, is_repeat boolean")
 
 
-@query(f"with b as (select doc_id, row_number() over (order by sha256('{V.SEED}|block|' || doc_id), doc_id) k from ({HUMAN})) select 'H' || lpad(k::varchar, 3, '0') block_id, 'C' || (ascii(anon_id) - 64) candidate_id, doc_id sample_id, system from b join (select doc_id, system, chr((64 + row_number() over (partition by doc_id order by sha256('{V.SEED}|blind|' || doc_id || '|' || system), system))::int) anon_id from (select doc_id, unnest(['lead1', 'lead3', 'neural', 'pretrained']) as system from documents)) using (doc_id)")
+@query(f"""with b as (select doc_id, row_number() over (order by sha256('{V.SEED}|block|' || doc_id), doc_id) k from ({HUMAN}))
+ select 'H' || lpad(k::varchar, 3, '0') block_id, 'C' || (ascii(anon_id) - 64) candidate_id, doc_id sample_id, system from b
+ join (select doc_id, system, chr((64 + row_number() over (partition by doc_id
+ order by sha256('{V.SEED}|blind|' || doc_id || '|' || system), system))::int) anon_id
+ from (select doc_id, unnest(['lead1', 'lead3', 'neural', 'pretrained']) as system from documents)) using (doc_id)""")
 def human_blocks(spark, d):
     placed = P.place(human(spark, d).select("doc_id"), [P.hash_order(F.lit(V.SEED), F.lit("block"), "doc_id"), F.col("doc_id")]).select(F.col("doc_id").alias("sample_id"), "place")
     labels = P.blind_labels(placed, V.SYSTEMS, V.SEED)
@@ -161,7 +165,8 @@ def sample_restrict(spark, d):
     return V.predictions(spark, d).join(table(spark, d, "labels"), "doc_id", "left_semi").select("id", "system", "status")
 
 
-@query(f"select 'candidate' task, b.sample_id, b.anon_id, p.prediction candidate from ({V.BLIND}) b join ({V.PREDICTIONS}) p on p.doc_id = b.sample_id and p.system = b.system")
+@query(f"""select 'candidate' task, b.sample_id, b.anon_id, p.prediction candidate from ({V.BLIND}) b
+ join ({V.PREDICTIONS}) p on p.doc_id = b.sample_id and p.system = b.system""")
 def candidate_tasks(spark, d):
     predictions = V.predictions(spark, d).withColumnRenamed("doc_id", "sample_id")
     return T.candidate_tasks(table(spark, d, "labels").select(F.col("doc_id").alias("sample_id")), V.blind(spark, d), predictions)
@@ -174,7 +179,8 @@ def unblind(spark, d):
 
 
 LOG = f"select sample_id, anon_id, faithfulness, quality from ({V.SCORES}) join ({V.BLIND}) using (sample_id, system)"
-LOG = f"select sample_id, anon_id, faithfulness from ({LOG}) union all select sample_id, anon_id || 'R', least(5, faithfulness + (sample_id % 10 = 0)::int) from ({LOG}) where quality = 0"
+LOG = f"""select sample_id, anon_id, faithfulness from ({LOG}) union all select sample_id, anon_id || 'R', least(5, faithfulness + (sample_id % 10 = 0)::int)
+ from ({LOG}) where quality = 0"""
 
 
 def log(spark, d):
@@ -183,7 +189,8 @@ def log(spark, d):
     return own.select("sample_id", "anon_id", "faithfulness").union(again)
 
 
-STABLE = f"select a.sample_id, a.anon_id, a.faithfulness as first, b.faithfulness again from ({LOG}) a join ({LOG}) b on a.sample_id = b.sample_id and b.anon_id = a.anon_id || 'R'"
+STABLE = f"""select a.sample_id, a.anon_id, a.faithfulness as first, b.faithfulness again from ({LOG}) a
+ join ({LOG}) b on a.sample_id = b.sample_id and b.anon_id = a.anon_id || 'R'"""
 
 
 @query(STABLE)
@@ -193,7 +200,9 @@ def pilot_stability(spark, d):
 
 FIELDS_SQL = ", ".join(V.FIELDS)
 OWN = f"select sample_id, anon_id, quality, {FIELDS_SQL} from ({V.SCORES}) join ({V.BLIND}) using (sample_id, system)"
-FULL_LOG = f"select 'candidate' task, 'pilot' run_id, * exclude (quality) from ({OWN}) union all select 'candidate', 'pilot-repeat', sample_id, anon_id || 'R', least(5, faithfulness + (sample_id % 10 = 0)::int), {', '.join(V.FIELDS[1:])} from ({OWN}) where quality = 0"
+FULL_LOG = f"""select 'candidate' task, 'pilot' run_id, * exclude (quality) from ({OWN}) union all
+ select 'candidate', 'pilot-repeat', sample_id, anon_id || 'R', least(5, faithfulness + (sample_id % 10 = 0)::int), {', '.join(V.FIELDS[1:])}
+ from ({OWN}) where quality = 0"""
 FULL_LOG = f"select *, case when {V.draw_sql("sample_id::varchar || '|' || anon_id || '|attempts'", 40)} = 0 then 2 else 1 end attempts from ({FULL_LOG})"
 GAPS = " union all ".join(f"select abs(a.{f} - b.{f}) gap from ({FULL_LOG}) a join ({FULL_LOG}) b on a.run_id = 'pilot' and b.run_id = 'pilot-repeat' and a.sample_id = b.sample_id and b.anon_id = a.anon_id || 'R'" for f in V.FIELDS)
 
@@ -225,20 +234,23 @@ def pending_tasks(spark, d):
 PARTS = "select user_id id, event_id ordinal, case when event_type = 'click' then 'error' else 'ok' end status, value from events"
 
 
-@query(f"select id, ordinal, status from ({PARTS}) qualify row_number() over (partition by id order by ordinal desc) = 1 and status = 'ok' and id in (select c_custkey from customer)")
+@query(f"""select id, ordinal, status from ({PARTS}) qualify row_number() over (partition by id
+ order by ordinal desc) = 1 and status = 'ok' and id in (select c_custkey from customer)""")
 def resume_state(spark, d):
     e = table(spark, d, "events")
     parts = e.select(F.col("user_id").alias("id"), F.col("event_id").alias("ordinal"), F.when(F.col("event_type") == "click", "error").otherwise("ok").alias("status"))
     return R.resume_state(parts, table(spark, d, "customer").select(F.col("c_custkey").alias("id"))).select("id", "ordinal", "status")
 
 
-@query(f"select m.id, m.doc_id ordinal, coalesce(p.status, 'missing') status, p.prediction from ({V.MANIFEST}) m left join (select * from ({V.PREDICTIONS}) where system = 'lead3') p using (id)")
+@query(f"""select m.id, m.doc_id ordinal, coalesce(p.status, 'missing') status, p.prediction from ({V.MANIFEST}) m left join (select * from ({V.PREDICTIONS})
+ where system = 'lead3') p using (id)""")
 def ordered_merge(spark, d):
     results = V.predictions(spark, d).where("system = 'lead3'").select("id", "status", "prediction")
     return R.ordered_merge(V.manifest(spark, d).select("id", F.col("doc_id").alias("ordinal")), results)
 
 
-@query("select conv_id, turn, round(least(60.0, pow(2.0, turn)) * (1 + (('0x' || substr(md5(conv_id || '|' || (turn + 1)), 1, 12))::bigint % 1000) / 10000.0), 6) wait from conversations")
+@query("""select conv_id, turn, round(least(60.0, pow(2.0, turn)) * (1 + (('0x' || substr(md5(conv_id || '|' || (turn + 1)), 1, 12))::bigint % 1000) / 10000.0),
+ 6) wait from conversations""")
 def retry_schedule(spark, d):
     t = table(spark, d, "conversations")
     return t.select("conv_id", "turn", F.round(R.retry_delay(F.col("turn") + 1, F.col("conv_id")), 6).alias("wait"))
@@ -295,7 +307,8 @@ def raw(spark, d):
     return table(spark, d, "labels").select("doc_id", F.concat(F.lit('{"score": '), v, F.lit("}")).alias("body"))
 
 
-@query(f"select doc_id, case when json_type(body, '$.score') <> 'BOOLEAN' and x = floor(x) and x between 1 and 5 then x::int end score from (select doc_id, body, try_cast(json_extract_string(body, '$.score') as double) x from ({RAW}))")
+@query(f"""select doc_id, case when json_type(body, '$.score') <> 'BOOLEAN' and x = floor(x) and x between 1 and 5 then x::int end score
+ from (select doc_id, body, try_cast(json_extract_string(body, '$.score') as double) x from ({RAW}))""")
 def ordinal_coerce(spark, d):
     return raw(spark, d).select("doc_id", W.ordinal(F.get_json_object("body", "$.score"), W.kind_of(F.col("body"), "$.score")).alias("score"))
 
@@ -314,7 +327,8 @@ def list_coerce(spark, d):
     return rows.select("doc_id", W.string_list(F.get_json_object("body", "$.c"), W.kind_of(F.col("body"), "$.c")).alias("listed"))
 
 
-@query("select event_id, case when event_id % 3 = 0 then 4 when value between 0 and 1 and value <> 1 then least(5, greatest(1, floor(value * 4 + 0.5)::int + 1)) when value = floor(value) and value between 1 and 5 then value::int end confidence from events")
+@query("""select event_id, case when event_id % 3 = 0 then 4 when value between 0 and 1 and value <> 1 then least(5, greatest(1, floor(value * 4 + 0.5)::int +
+ 1)) when value = floor(value) and value between 1 and 5 then value::int end confidence from events""")
 def confidence_coerce(spark, d):
     written = F.when(F.pmod("event_id", F.lit(3)) == 0, F.lit(" High ")).otherwise(F.col("value").cast("string"))
     return table(spark, d, "events").select("event_id", W.confidence(written).alias("confidence"))
@@ -347,7 +361,9 @@ REFERENCE_CASES = """select doc_id sample_id, case when doc_id % 11 = 0 then 'la
  case doc_id % 6 when 0 then 4 when 1 then 4 when 2 then 2 when 3 then 5 else 1 end confidence from labels"""
 
 
-@query(f"select sample_id, problem, case when problem is null then label end as label, case when problem is null then claims end unsupported_claims, case when problem is null then 'e' end evidence, case when problem is null then confidence end confidence, case when problem is null then 'r' end reason from ({REFERENCE_CASES})")
+@query(f"""select sample_id, problem, case when problem is null then label end as label, case when problem is null then claims end unsupported_claims, case when
+ problem is null then 'e' end evidence, case when problem is null then confidence end confidence, case when problem is null then 'r' end reason
+ from ({REFERENCE_CASES})""")
 def reference_verdict(spark, d):
     """References' verdicts from loose JSON: labels, claims as a string or a list, confidence as a word, number or share."""
     t = table(spark, d, "labels").withColumnRenamed("doc_id", "sample_id")

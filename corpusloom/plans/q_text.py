@@ -49,7 +49,8 @@ def word_counts(spark, d):
     return docs(spark, d).select("doc_id", X.word_count("text").alias("n_words"), F.length("text").cast("long").alias("n_code_points"))
 
 
-@query(f"select doc_id, len(t)::bigint n_tokens, len(list_distinct(t))::bigint n_distinct, md5(array_to_string(t, ' ')) as digest from (select doc_id, {V.tokens_sql('text')} t from documents)")
+@query(f"""select doc_id, len(t)::bigint n_tokens, len(list_distinct(t))::bigint n_distinct, md5(array_to_string(t, ' ')) as digest
+ from (select doc_id, {V.tokens_sql('text')} t from documents)""")
 def regex_tokens(spark, d):
     rows = docs(spark, d).select("doc_id", X.tokens("text").alias("t"))
     return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.md5(F.array_join("t", " ")).alias("digest"))
@@ -88,7 +89,8 @@ def word_limit(spark, d):
     return t.select("conv_id", "turn", X.pstrip("text").alias("stripped"), X.within_words("text").alias("within_limit"))
 
 
-@query(f"select event_id, translate(lower({V.pstrip_sql('v')}), '- ', '__') canonical from (select event_id, ' ' || upper(event_type) || '-Type Of ' || chr(160) as v from events)")
+@query(f"""select event_id, translate(lower({V.pstrip_sql('v')}), '- ', '__') canonical
+ from (select event_id, ' ' || upper(event_type) || '-Type Of ' || chr(160) as v from events)""")
 def enum_canonical(spark, d):
     raw = F.concat(F.lit(" "), F.upper("event_type"), F.lit("-Type Of  "))
     return table(spark, d, "events").select("event_id", X.enum_canonical(raw).alias("canonical"))
@@ -106,13 +108,16 @@ def task_payload(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("Judge the answer.\n---\n"), payload).alias("prompt"))
 
 
-@query("select role task, count(*) n_tasks, sum(length(text) + 20)::bigint sum_chars, max(length(text) + 20)::bigint max_chars, ceil(sum(length(text) + 20) / 3.0)::bigint est_tokens from conversations group by role")
+@query("""select role task, count(*) n_tasks, sum(length(text) + 20)::bigint sum_chars, max(length(text) + 20)::bigint max_chars, ceil(sum(length(text) + 20) /
+ 3.0)::bigint est_tokens from conversations group by role""")
 def prompt_estimate(spark, d):
     n = (F.length("text") + 20).cast("long")
     return table(spark, d, "conversations").groupBy(F.col("role").alias("task")).agg(F.count("*").alias("n_tasks"), F.sum(n).alias("sum_chars"), F.max(n).alias("max_chars"), F.ceil(F.sum(n) / 3.0).cast("long").alias("est_tokens"))
 
 
-@query(f"select doc_id, coalesce(nullif({V.pstrip_sql('a')}, ''), nullif({V.pstrip_sql('lang')}, ''), nullif({V.pstrip_sql('text')}, '')) as filled from (select doc_id, case when doc_id % 3 = 0 then '  ' when doc_id % 3 = 1 then source end a, case when doc_id % 2 = 0 then '' else lang end lang, text from documents)")
+@query(f"""select doc_id, coalesce(nullif({V.pstrip_sql('a')}, ''), nullif({V.pstrip_sql('lang')}, ''), nullif({V.pstrip_sql('text')}, '')) as filled
+ from (select doc_id, case when doc_id % 3 = 0 then '  ' when doc_id % 3 = 1 then source end a, case when doc_id % 2 = 0 then '' else lang end lang,
+ text from documents)""")
 def coalesce_source(spark, d):
     a = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.lit("  ")).when(F.pmod("doc_id", F.lit(3)) == 1, F.col("source"))
     b = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.lit("")).otherwise(F.col("lang"))

@@ -24,7 +24,8 @@ def manifest(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.concat(F.lit("test_"), F.lpad(F.col("doc_id").cast("string"), 6, "0")).alias("id"), F.lit("test").alias("split"), F.col("text").alias("source"), F.substring_index("text", "\n", 1).alias("reference"), "doc_id", "lang", F.col("source").alias("origin"))
 
 
-MANIFEST = "select 'test_' || lpad(doc_id::varchar, 6, '0') id, 'test' split, text source, split_part(text, chr(10), 1) reference, doc_id, lang, source origin from documents"
+MANIFEST = """select 'test_' || lpad(doc_id::varchar, 6, '0') id, 'test' split, text source, split_part(text, chr(10), 1) reference, doc_id, lang, source origin
+ from documents"""
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +64,9 @@ def blind(spark: SparkSession, d: str) -> DataFrame:
     return blind_labels(table(spark, d, "labels").select(F.col("doc_id").alias("sample_id")), SYSTEMS, SEED)
 
 
-BLIND = f"select sample_id, system, chr((64 + row_number() over (partition by sample_id order by sha256('{SEED}|blind|' || sample_id || '|' || system), system))::int) anon_id from (select doc_id sample_id, unnest(['lead1', 'lead3', 'neural', 'pretrained']) as system from labels)"
+BLIND = f"""select sample_id, system, chr((64 + row_number() over (partition by sample_id
+ order by sha256('{SEED}|blind|' || sample_id || '|' || system), system))::int) anon_id
+ from (select doc_id sample_id, unnest(['lead1', 'lead3', 'neural', 'pretrained']) as system from labels)"""
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
