@@ -256,7 +256,10 @@ def retry_schedule(spark, d):
     return t.select("conv_id", "turn", F.round(R.retry_delay(F.col("turn") + 1, F.col("conv_id")), 6).alias("wait"))
 
 
-@query()
+@query(
+    "select event_id, props, if(k % 7 = 0, null, (2 * k)::varchar) as value, if(k % 7 = 0, k || ' is a multiple of 7', null) error, if(k % 7 = 0, 2, 1)::int attempts, null::varchar raw"
+    " from (select event_id, props, json_extract_string(props, '$.k')::bigint k from events)"
+)
 def row_errors(spark, d):
     """Each event's k by a function that fails for some: value, error and attempts of every row."""
     from corpusloom.runtime import ship
@@ -274,14 +277,18 @@ def twice_k(row: dict) -> str:
     return str(2 * k)
 
 
-@query()
+@query("select user_id, row_number() over (partition by user_id order by event_id) line, json_extract_string(props, '$.k')::bigint k from events")
 def jsonl_scan(spark, d):
     """Strict scan of the events' props, the lines of a user in the order of events."""
     rows = table(spark, d, "events").select("user_id", "event_id", F.col("props").alias("text"))
     return jsonl.scan(P.numbered(rows, "user_id", "event_id", "line"), "k long").select("user_id", "line", "k")
 
 
-@query()
+LINES = "select doc_id, unnest(l) as text, generate_subscripts(l, 1) as line from (select doc_id, if(l[-1] = '', l[:-2], l) l from (select doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) l from documents))"
+
+
+@query(f"""select doc_id, line, issue from (select doc_id, line, case when trim(text, ' ') = '' then 'BLANK_LINE' when not json_valid(text) then 'INVALID_JSON'
+ when json_type(if(json_valid(text), text, 'null')) <> 'OBJECT' then 'NOT_JSON_OBJECT' end issue from ({LINES})) where issue is not null""")
 def jsonl_issues(spark, d):
     """Issues of documents read as JSON Lines: invalid, blank or no object."""
     return jsonl.judged(jsonl.lines_of(table(spark, d, "documents"), "doc_id", "text")).where("issue is not null").select("doc_id", "line", "issue")
