@@ -24,20 +24,19 @@ def kind_of(body: Column, path: str) -> Column:
 def ordinal(text: Column, kind: Column) -> Column:
     """An integral number from 1 to 5, or its string; booleans, fractions and others are null."""
     number = F.when(kind != "BOOLEAN", pstrip(text).try_cast("double"))
-    return F.when((number == F.floor(number)) & number.between(1, 5), number.cast("int"))
+    return let(number, lambda n: F.when((n == F.floor(n)) & n.between(1, 5), n.cast("int")))
 
 
 def boolean(text: Column) -> Column:
     """true or false, however written."""
-    t = F.lower(pstrip(text))
-    return F.when(t == "true", True).when(t == "false", False)
+    return let(F.lower(pstrip(text)), lambda t: F.when(t == "true", True).when(t == "false", False))
 
 
 def string_list(text: Column, kind: Column) -> Column:
     """A list of stripped strings from a list of strings or from one string; a blank string is an empty list."""
     listed = let(F.transform(F.from_json(text, "array<string>"), pstrip), lambda x: F.when(~F.exists(x, lambda i: i.isNull()), x))
     single = let(pstrip(text), lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.array(x)))
-    return F.when(kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), listed).when(kind == "STRING", single)
+    return let(kind, lambda k: F.when(k.isin("ARRAY<STRING>", "ARRAY<VOID>"), listed).when(k == "STRING", single))
 
 
 def confidence(text: Column, kind: Column | None = None) -> Column:
@@ -53,7 +52,7 @@ def confidence(text: Column, kind: Column | None = None) -> Column:
 
 def limited(text: Column, kind: Column, most: int = 60) -> Column:
     """A string of at most `most` words, stripped."""
-    return F.when((kind == "STRING") & within_words(text, most), pstrip(text))
+    return let(text, lambda t: F.when((kind == "STRING") & within_words(t, most), pstrip(t)))
 
 
 def error_list(types: Column, major: Column) -> Column:
@@ -90,7 +89,7 @@ def _verdict(body: Column, fields: dict[str, Column]) -> Column:
 def reference_verdict(body: Column) -> Column:
     """A reference's verdict from its JSON: exactly the five fields, a known label, five claims at most, confidence 1 to
     5, evidence and reason of 60 words at most; `problem` names the first that fails."""
-    def strict(parsed: Column) -> Column:
+    def strict(body: Column, parsed: Column) -> Column:
         get = lambda name: _field(body, parsed, name)
         (label, label_kind), claims = get("label"), string_list(*get("unsupported_claims"))
         return _verdict(body, {
@@ -101,22 +100,21 @@ def reference_verdict(body: Column) -> Column:
             "reason": limited(*get("reason")),
         })
 
-    return let(F.try_parse_json(body), strict)
+    return let(body, lambda b: let(F.try_parse_json(b), lambda parsed: strict(b, parsed)))
 
 
 def candidate_verdict(body: Column) -> Column:
     """A candidate's verdict from its JSON: exactly the eight fields, four scores from 1 to 5, a boolean, known error
     types, evidence and reason of 60 words at most; `problem` names the first that fails."""
-    def strict(parsed: Column) -> Column:
+    def strict(body: Column, parsed: Column) -> Column:
         get = lambda name: _field(body, parsed, name)
         text, kind = get("major_error")
-        major = F.when(kind.isin("BOOLEAN", "STRING"), boolean(text))
-        return _verdict(body, {
+        return let(F.when(kind.isin("BOOLEAN", "STRING"), boolean(text)), lambda major: _verdict(body, {
             **{f: ordinal(*get(f)) for f in SCORE_FIELDS},
             "major_error": major,
             "error_types": error_list(string_list(*get("error_types")), major),
             "evidence": limited(*get("evidence")),
             "reason": limited(*get("reason")),
-        })
+        }))
 
-    return let(F.try_parse_json(body), strict)
+    return let(body, lambda b: let(F.try_parse_json(b), lambda parsed: strict(b, parsed)))
