@@ -113,18 +113,17 @@ def bootstrap_means(df: DataFrame, value: str, by: Sequence[str], resamples: int
     return inner.select(*by, "b", "n", total.alias("s")).groupBy(*by, "b").agg((F.sum("s") / F.first("n")).alias("mean"))
 
 
-def interval(means: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, low, high): the middle 95 % of resample means."""
-    cut = means.groupBy(*by).agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("__p"))
-    return cut.select(*by, F.get("__p", F.lit(0)).alias("low"), F.get("__p", F.lit(1)).alias("high"))
+def interval(means: DataFrame, by: Sequence[str], *more: Column) -> DataFrame:
+    """(by, low, high): the middle 95 % of resample means, and what else is told of them in the same pass."""
+    cut = means.groupBy(*by).agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("__p"), *more)
+    low, high = (F.get("__p", F.lit(k)).alias(name) for k, name in enumerate(("low", "high")))
+    return cut.select(*by, low, high, *cut.columns[len(by) + 1 :])
 
 
 def paired_bootstrap(df: DataFrame, difference: str, by: Sequence[str], resamples: int, seed: str) -> DataFrame:
     """(by, n, difference, low, high, p_greater): mean of a difference, its interval, and how often a resample's mean
     is above 0, half counted for 0."""
-    means = bootstrap_means(df, difference, by, resamples, seed)
-    share = means.groupBy(*by).agg(F.avg(F.when(F.col("mean") > 0, 1.0).when(F.col("mean") == 0, 0.5).otherwise(0.0)).alias("p_greater"))
+    above = F.when(F.col("mean") > 0, 1.0).when(F.col("mean") == 0, 0.5).otherwise(0.0)
+    out = interval(bootstrap_means(df, difference, by, resamples, seed), by, F.avg(above).alias("p_greater"))
     whole = df.groupBy(*by).agg(F.count(difference).alias("n"), F.avg(difference).alias("difference"))
-    keys = list(by)
-    out = interval(means, by)
-    return whole.join(out, keys).join(share, keys) if keys else whole.crossJoin(out).crossJoin(share)
+    return whole.join(out, list(by)) if by else whole.crossJoin(out)
