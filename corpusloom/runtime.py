@@ -75,6 +75,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table that stored() made for df, once what came of it is stored itself."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        where = jvm.org.apache.hadoop.fs.Path(f)
+        if "/corpusloom/" in f:
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table that this application's stored() has left; call it once results are saved."""
     jvm, path = spark.sparkContext._jvm, f"{shared_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}"
