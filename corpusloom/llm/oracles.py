@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpusloom.llm.ballkmeans import kmeans_sql
 from corpusloom.llm.secrets import KINDS
 
 WARC = """
@@ -67,4 +68,43 @@ select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, c
     coalesce(spans, '') spans, coalesce(n_live, 0) n_live
 from docs left join told using (row)
 """
-ORACLES = {"op5_warc": WARC, "op10_secrets": SECRETS}
+
+
+def resampling_sql(least_words: int = 20, share: int = 5, seed: int = 42, buckets: int = 10_000) -> str:
+    """Importance resampling with CRC-32 as a fold over the bytes of each distinct n-gram."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    tokens = f"select doc_id, row, regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from"
+    step = "list_reduce([i::bigint, 1, 2, 3, 4, 5, 6, 7, 8], lambda x, k: if(x & 1 = 1, xor(x >> 1, 3988292384), x >> 1))"
+    byte = "('0x' || substr(hex(encode(gram)), 2 * i - 1, 2))::bigint"
+    return f"""
+with steps as materialized (select list_transform(range(256), lambda i: {step}) t),
+rows as materialized ({tokens} (select row_number() over () as row, doc_id, text from documents) union all {tokens} (select -row_number() over () as row, null::bigint doc_id, text from benchmark)),
+grams as materialized (
+    select row, unnest(g) gram from (
+        select row, flatten([w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])]) g
+        from rows
+    )
+),
+crcs as materialized (
+    select gram, xor(list_reduce(list_transform(range(1, strlen(gram) + 1), lambda i: {byte}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % {buckets} bucket
+    from (select distinct gram from grams), steps
+),
+counts as materialized (select row, bucket, count(*) n from grams join crcs using (gram) group by row, bucket),
+sums as materialized (
+    select bucket, coalesce(sum(n) filter (row > 0), 0)::double s, coalesce(sum(n) filter (row < 0), 0)::double t
+    from (select row, bucket, n from counts union all select 1, unnest(range({buckets})), 0) group by bucket
+),
+gains as (select bucket, floor(1000 * ln(((t + 1) * ((select sum(s) from sums) + {buckets})) / ((s + 1) * ((select sum(t) from sums) + {buckets}))))::bigint gain from sums),
+weights as (select row, sum(n)::bigint n_features, sum(n * gain)::bigint weight from counts join gains using (bucket) where row > 0 group by row),
+scored as materialized (
+    select row, doc_id, len(w) >= {least_words} enough, coalesce(n_features, 0) n_features, coalesce(weight, 0) weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{seed}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5) / 4294967296)))::bigint score
+    from rows left join weights using (row) where row > 0
+),
+places as (select row, row_number() over (order by score desc, doc_id nulls last, n_features, row) place from scored where enough)
+select doc_id, n_features, weight, score, if(place <= (select count(*) * {share} // 100 from scored where enough), place, null) as rank
+from scored left join places using (row)
+"""
+
+
+ORACLES = {"op5_warc": WARC, "op10_secrets": SECRETS, "op12_resampling": resampling_sql(), "op13_ballkmeans": kmeans_sql()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ann, bpe, huffman, langid, merkle, mixing, quality, secrets, simhash, warc
+from corpusloom.llm import ann, ballkmeans, bpe, huffman, langid, merkle, mixing, packing, quality, resampling, secrets, simhash, warc
 from corpusloom.llm.oracles import ORACLES as ORACLES
 from corpusloom.runtime import scratch, table
 
@@ -65,4 +65,17 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.BASE), F.sha2(F.encode(secrets.written(base), "UTF-8"), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"), live)
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_quality, op3_simhash, op4_bpe, op5_warc, op6_langid, op7_token_files, op8_merkle, op9_mixing, op10_secrets)}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pieces_of(table(spark, sf_dir, "documents"))
+    return packing.place_pieces(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_ballkmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ballkmeans.ball_kmeans(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ann, op2_quality, op3_simhash, op4_bpe, op5_warc, op6_langid, op7_token_files, op8_merkle, op9_mixing, op10_secrets, op11_packing, op12_resampling, op13_ballkmeans)}
