@@ -8,6 +8,8 @@ from math import log, pi
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import unit_hash
+
 #: chance(step, salt): independent uniform numbers between 0 and 1.
 Chance = Callable[[Column, int], Column]
 
@@ -17,6 +19,11 @@ def uniform(*parts: Column | str) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
+def portable_uniform(*parts: Column | str) -> Column:
+    """A number between 0 and 1 from the parts' MD5, which any engine repeats."""
+    return (unit_hash(*parts) + F.lit(0.5)) / F.lit(float(1 << 48))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)

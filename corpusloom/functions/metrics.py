@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from corpusloom.functions.draws import let
 from corpusloom.functions.text import col
 
 
@@ -25,52 +24,105 @@ def scores(overlap: Column, predicted: Column, referred: Column) -> tuple[Column
 
 
 def rouge_n(rows: DataFrame, keys: list[str], predicted: str, reference: str, n: int) -> DataFrame:
-    """(keys, precision, recall, f1) of clipped n-gram overlap.
+    """(keys, precision, recall, f1) of clipped n-gram overlap."""
+    return rouge_ns(rows, keys, predicted, reference, [n]).select(*keys, *[F.col(f"{a}_{n}").alias(a) for a in ("precision", "recall", "f1")])
 
-    Grams of both sides are counted together in one aggregation, a signed pair of counts a gram, so no side is joined;
-    the counts are summed in every task before the shuffle. Rows without grams come from a left join.
+
+def rouge_ns(rows: DataFrame, keys: list[str], predicted: str, reference: str, sizes: list[int]) -> DataFrame:
+    """(keys, precision_n, recall_n, f1_n for each n of sizes) of clipped n-gram overlap.
+
+    Grams of both sides and of all sizes are counted together in one aggregation, a signed pair of counts a gram, so no side
+    is joined; the counts are summed in every task before the shuffle. Rows without grams come from a left join.
     """
-    side = lambda c, own: F.transform(ngrams(c, n), lambda g: F.struct(F.array_join(g, "\u0001").alias("g"), F.lit(own).alias("own")))
-    grams = rows.select(*keys, F.explode(F.concat(side(predicted, 1), side(reference, 0))).alias("x"))
-    counts = grams.groupBy(*keys, "x.g").agg(F.count_if(F.col("x.own") == 1).alias("p"), F.count_if(F.col("x.own") == 0).alias("r"))
-    sums = counts.groupBy(*keys).agg(F.sum(F.least("p", "r")).alias("o"), F.sum("p").alias("p"), F.sum("r").alias("r"))
+    side = lambda c, own, n: F.transform(ngrams(c, n), lambda g: F.struct(F.array_join(g, "\u0001").alias("g"), F.lit(n).alias("n"), F.lit(own).alias("own")))
+    grams = rows.select(*keys, F.explode(F.concat(*[side(c, own, n) for c, own in ((predicted, 1), (reference, 0)) for n in sizes])).alias("x"))
+    counts = grams.groupBy(*keys, "x.g", "x.n").agg(F.count_if(F.col("x.own") == 1).alias("p"), F.count_if(F.col("x.own") == 0).alias("r"))
+    of = lambda n, c: F.sum(F.when(F.col("n") == n, c))
+    sums = counts.groupBy(*keys).agg(*[of(n, c).alias(f"{a}{n}") for n in sizes for a, c in (("o", F.least("p", "r")), ("p", F.col("p")), ("r", F.col("r")))])
     zero = lambda c: F.coalesce(c, F.lit(0))
-    out = scores(zero(F.col("o")), zero(F.col("p")), zero(F.col("r")))
-    return rows.select(*keys).join(sums, keys, "left").select(*keys, *[c.alias(a) for c, a in zip(out, ("precision", "recall", "f1"), strict=True)])
-
-
-def lcs(a: list, b: list) -> int:
-    """Length of the longest common subsequence, a row of the table at a time in the bits of one integer."""
-    if not len(a) or not len(b):
-        return 0
-    places: dict = {}
-    for k, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << k
-    row, full = (1 << len(a)) - 1, (1 << len(a)) - 1
-    for x in b:
-        hit = row & places.get(x, 0)
-        row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
-
-
-@F.pandas_udf(T.LongType())
-def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Column form of lcs(); null is an empty array."""
-    empty: list = []
-    return pd.Series([lcs(empty if x is None else x, empty if y is None else y) for x, y in zip(a, b, strict=True)])
-
-
-def lcs_length_sql(a: Column, b: Column) -> Column:
-    """The same inside the JVM, by nested folds: for short arrays, and to hold the other against."""
-    step = lambda dp, t: F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)), lambda row, j: F.array_append(row, F.when(t == F.element_at(b, j), F.element_at(dp, j) + 1).otherwise(F.greatest(F.element_at(dp, j + 1), F.element_at(row, j)))))
-    table = F.aggregate(a, F.array_repeat(F.lit(0), F.size(b) + 1), step)
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.element_at(table, -1)).otherwise(0).cast("long")
-
-
-def rouge_l(predicted: Column | str, reference: Column | str) -> tuple[Column, Column, Column]:
-    """(precision, recall, F1) by the longest common subsequence."""
-    p, r = col(predicted), col(reference)
-    return scores(lcs_length(p, r), F.size(p), F.size(r))
+    out = [c.alias(f"{a}_{n}") for n in sizes for c, a in zip(scores(*[zero(F.col(f"{x}{n}")) for x in "opr"]), ("precision", "recall", "f1"), strict=True)]
+    return rows.select(*keys).join(sums, keys, "left").select(*keys, *out)
+
+
+#: Bits of a word of the table's row: a sum of two words and a carry stays within a long.
+WORD = 62
+
+
+def lcs_length(a: Column | str, b: Column | str) -> Column:
+    """Length of the longest common subsequence of two token arrays, inside the JVM; null is as empty.
+
+    What both begin and end with is counted and cut off. Of the rest, the row of the table is kept as bits over the shorter
+    side, in words of 62: each token of the longer side that the other has adds its matches to the row, with the carry from
+    word to word, and a bit that has gone to 0 is one more common token. Work is (longer side) x (words), and (shorter side)
+    x (distinct common tokens) for the matches.
+    """
+    given = F.struct(*[F.coalesce(col(x), F.array().cast("array<string>")).alias(n) for x, n in ((a, "a"), (b, "b"))])
+    less = lambda g: F.size(g["a"]) <= F.size(g["b"])
+    sides = let(given, lambda g: F.struct(F.when(less(g), g["a"]).otherwise(g["b"]).alias("s"), F.when(less(g), g["b"]).otherwise(g["a"]).alias("l")))
+
+    def alike(x: Column, y: Column) -> Column:
+        """How many tokens the arrays begin with alike; x is no longer than y."""
+        first_other = F.array_position(F.zip_with(x, F.slice(y, F.lit(1), F.size(x)), lambda u, v: u == v), F.lit(False))
+        return F.when(first_other > 0, first_other.cast("int") - 1).otherwise(F.size(x))
+
+    def rest(x: Column, head: Column, tail: Column) -> Column:
+        return F.slice(x, head + 1, F.size(x) - head - tail)
+
+    def cut(p: Column) -> Column:
+        head = alike(p["s"], p["l"])
+        tail = lambda n: alike(F.reverse(rest(p["s"], n, F.lit(0))), F.reverse(rest(p["l"], n, F.lit(0))))
+        both = let(head, lambda n: F.struct(n.alias("head"), tail(n).alias("tail")))
+        return let(both, lambda e: F.struct((e["head"] + e["tail"]).cast("long").alias("n"), rest(p["s"], e["head"], e["tail"]).alias("s"), rest(p["l"], e["head"], e["tail"]).alias("l")))
+
+    def power(k: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), k)
+
+    def matches(s: Column, x: Column) -> Column:
+        """The bits of x in s, a word after the other."""
+        bit = lambda part, k: F.when(F.get(part, k) == x, power(k)).otherwise(F.lit(0).cast("long"))
+        bits = lambda part: F.aggregate(F.sequence(F.lit(0), F.size(part) - 1), F.lit(0).cast("long"), lambda m, k: m.bitwiseOR(bit(part, k)))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / WORD).cast("int")), lambda w: let(F.slice(s, w * WORD + 1, WORD), bits))
+
+    full = F.lit((1 << WORD) - 1).cast("long")
+
+    def add(row: Column, hits: Column) -> Column:
+        """(row + (row & hits)) | (row & ~hits), over words."""
+        start = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<bigint>").alias("out"))
+
+        def word(acc: Column, p: Column) -> Column:
+            total = p["v"] + p["v"].bitwiseAND(p["m"]) + acc["carry"]
+            kept = lambda t: t.bitwiseAND(full).bitwiseOR(p["v"].bitwiseAND(F.bitwise_not(p["m"])))
+            return let(total, lambda t: F.struct(F.shiftright(t, WORD).alias("carry"), F.array_append(acc["out"], kept(t)).alias("out")))
+
+        return F.aggregate(F.zip_with(row, hits, lambda v, m: F.struct(v.alias("v"), m.alias("m"))), start, word, lambda acc: acc["out"])
+
+    def few(s: Column, known: Column, longer: Column) -> Column:
+        """For a row of one word."""
+        table = F.map_from_arrays(known, F.transform(known, lambda x: F.get(matches(s, x), F.lit(0))))
+        step = lambda v, m: (v + v.bitwiseAND(m)).bitwiseAND(full).bitwiseOR(v.bitwiseAND(F.bitwise_not(m)))
+        ended = let(table, lambda t: F.aggregate(longer, full, lambda v, x: let(F.try_element_at(t, x), lambda m: F.when(m.isNull(), v).otherwise(step(v, m)))))
+        return F.bit_count(F.bitwise_not(ended).bitwiseAND(power(F.size(s)) - 1))
+
+    def many(s: Column, known: Column, longer: Column) -> Column:
+        table = F.map_from_arrays(known, F.transform(known, lambda x: matches(s, x)))
+        row = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / WORD).cast("int")), lambda _: full)
+        ended = let(table, lambda t: F.aggregate(longer, row, lambda v, x: let(F.try_element_at(t, x), lambda m: F.when(m.isNull(), v).otherwise(add(v, m)))))
+        valid = lambda w: F.when((w + 1) * WORD <= F.size(s), full).otherwise(power(F.pmod(F.size(s), F.lit(WORD))) - 1)
+        return F.aggregate(F.transform(ended, lambda v, w: F.bit_count(F.bitwise_not(v).bitwiseAND(valid(w)))), F.lit(0), lambda n, x: n + x)
+
+    def counted(p: Column) -> Column:
+        of = lambda known: F.when(F.size(known) == 0, 0).when(F.size(p["s"]) <= WORD, few(p["s"], known, p["l"])).otherwise(many(p["s"], known, p["l"]))
+        return p["n"] + let(F.array_intersect(p["s"], p["l"]), of)
+
+    return let(let(sides, cut), counted)
+
+
+def rouge_l(predicted: Column | str, reference: Column | str) -> Column:
+    """A struct (precision, recall, f1) by the longest common subsequence, which is found once."""
+    sides = F.struct(col(predicted).alias("p"), col(reference).alias("r"))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    named = lambda x, n: F.struct(*[c.alias(a) for c, a in zip(scores(n, size(x["p"]), size(x["r"])), ("precision", "recall", "f1"), strict=True)])
+    return let(sides, lambda x: let(lcs_length(x["p"], x["r"]), lambda n: named(x, n)))
 
 
 def compression(predicted: Column | str, source: Column | str) -> Column:

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.draws import binomial, let, uniform
+from corpusloom.functions.draws import binomial, let, portable_uniform
 from corpusloom.operators.sampling import average_ranks
+from corpusloom.runtime import stored
 
 #: Fixed value: the standard normal quantile of 0.975.
 Z95 = 1.959963984540054
@@ -56,6 +57,26 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), pearson("__x", "__y").alias("rho"))
 
 
+def spearman_sets(df: DataFrame, x: str, y: str, by: str, every: str = "all", name: str = "scope") -> DataFrame:
+    """(scope, n, rho): the correlation of average ranks in each group of `by`, and under `every` in all rows.
+
+    Both come from one scan: grouping sets count the distinct pairs of values, ranks are sums over those counts, and the
+    mean rank is known, so the sums are of what lies around it.
+    """
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(by, F.col(x).alias("__x"), F.col(y).alias("__y"))
+    cells = pairs.groupingSets([[by, "__x", "__y"], ["__x", "__y"]], by, "__x", "__y").agg(F.count("*").alias("__n"), F.grouping(by).alias("__all"))
+    cells = cells.select(F.when(F.col("__all") == 1, F.lit(every)).otherwise(F.col(by)).alias(name), "__x", "__y", "__n")
+    total = F.sum("__n").over(Window.partitionBy(name))
+    for side in ("__x", "__y"):
+        counts = cells.groupBy(name, side).agg(F.sum("__n").alias("__n"))
+        upto = F.sum("__n").over(Window.partitionBy(name).orderBy(side).rowsBetween(Window.unboundedPreceding, 0))
+        ranks = counts.select(F.col(name).alias("__s"), F.col(side).alias("__v"), (upto - (F.col("__n") - 1) / 2.0 - (total + 1) / 2.0).alias(f"{side}r"))
+        cells = cells.join(ranks, F.col(name).eqNullSafe(F.col("__s")) & (F.col(side) == F.col("__v"))).drop("__s", "__v")
+    moment = lambda a, b: F.sum(F.col("__n") * F.col(f"__{a}r") * F.col(f"__{b}r"))
+    spread = F.sqrt(moment("x", "x")) * F.sqrt(moment("y", "y"))
+    return cells.groupBy(name).agg(F.sum("__n").alias("n"), F.try_divide(moment("x", "y"), F.nullif(spread, F.lit(0.0))).alias("rho"))
+
+
 def weighted_kappa(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, n, kappa) with quadratic weights; if no disagreement is expected 1 where none is found, else null."""
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
@@ -83,7 +104,7 @@ def _multinomial(key: Sequence[str], n: Column, values: Column, start: Column, s
     total = F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x["c"])
 
     def taken(acc: Column, x: Column) -> Column:
-        chance = lambda t, salt: uniform(F.lit(seed), *key, acc["i"], t, F.lit(salt))
+        chance = lambda t, salt: portable_uniform(F.lit(seed), *key, acc["i"], t, F.lit(salt))
         drawn = binomial(acc["left"], F.when(acc["mass"] <= x["c"], 1.0).otherwise(x["c"] / acc["mass"]), chance)
         return let(drawn, lambda k: F.struct((acc["left"] - k).alias("left"), (acc["mass"] - x["c"]).alias("mass"), (acc["i"] + 1).alias("i"), step(acc["out"], x, k).alias("out")))
 
@@ -102,15 +123,18 @@ def bootstrap_means(df: DataFrame, value: str, by: Sequence[str], resamples: int
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
     sizes = counts.groupBy(*by).agg(F.ceil(F.count("*") / cell).alias("__cells"))
     counts = counts.join(sizes, list(by)) if by else counts.crossJoin(sizes)
-    counts = counts.withColumn("cell", F.pmod(F.xxhash64("v"), F.col("__cells")))
+    counts = stored(counts.withColumn("cell", F.pmod(F.xxhash64("v"), F.col("__cells"))), "bootstrap-counts")
     cells = counts.groupBy(*by, "cell").agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("values"), F.sum("c").alias("c"))
     groups = cells.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cell", "c"))).alias("cells"), F.sum("c").alias("n"))
+    inside = lambda k, values: _multinomial(["b", "cell"], k, values, F.lit(0.0), lambda out, x, n: out + x["v"] * n, seed)
+    if counts.where("cell > 0").isEmpty():
+        alone = cells.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).repartition(*by, "b")
+        return alone.select(*by, "b", (inside(F.col("c"), F.col("values")) / F.col("c")).alias("mean"))
     drawn = groups.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).repartition(*by, "b")
     dealt = _multinomial(["b"], F.col("n"), F.col("cells"), F.array().cast("array<struct<cell:bigint,k:bigint>>"), lambda out, x, k: F.array_append(out, F.struct(x["cell"].alias("cell"), k.alias("k"))), f"{seed}|cells")
     dealt = drawn.select(*by, "b", "n", F.explode(dealt).alias("d")).select(*by, "b", "n", "d.cell", "d.k")
     inner = dealt.join(cells.select(*by, "cell", "values"), [*by, "cell"])
-    total = _multinomial(["b", "cell"], F.col("k"), F.col("values"), F.lit(0.0), lambda out, x, k: out + x["v"] * k, seed)
-    return inner.select(*by, "b", "n", total.alias("s")).groupBy(*by, "b").agg((F.sum("s") / F.first("n")).alias("mean"))
+    return inner.select(*by, "b", "n", inside(F.col("k"), F.col("values")).alias("s")).groupBy(*by, "b").agg((F.sum("s") / F.first("n")).alias("mean"))
 
 
 def interval(means: DataFrame, by: Sequence[str], *more: Column) -> DataFrame:

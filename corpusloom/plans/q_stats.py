@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import log, pi
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from corpusloom.functions import text as X
 from corpusloom.plans import views as V
 from corpusloom.plans.registry import query
 from corpusloom.runtime import dealt_table as table
+from corpusloom.runtime import stored
 
 PAIR_TOKENS = f"select conv_id, turn, {V.tokens_sql('target')} p, {V.tokens_sql('source')} r, {V.tokens_sql('source')} s from ({V.TURNS})"
 
@@ -23,12 +26,12 @@ def grams_sql(t: str, n: int) -> str:
     return f"list_transform(generate_series(1, len({t}) - {n} + 1), lambda i: array_to_string({t}[i:i + {n - 1}], chr(1)))"
 
 
-def rouge_sql(n: int) -> str:
-    side = lambda t: f"select conv_id, turn, g, count(*) n from (select conv_id, turn, unnest({grams_sql(t, n)}) g from ({PAIR_TOKENS})) group by all"
-    return f"""with p as ({side('p')}), r as ({side('r')}), o as (select conv_id, turn, sum(least(p.n, r.n)) o from p join r using (conv_id, turn, g) group by all),
- k as (select conv_id, turn, coalesce(o, 0) o, greatest(len(p) - {n - 1}, 0) p, greatest(len(r) - {n - 1}, 0) r from ({PAIR_TOKENS}) left join o using (conv_id, turn)),
- m as (select conv_id, turn, case when p > 0 then o::double / p else 0 end a, case when r > 0 then o::double / r else 0 end b from k)
- select conv_id, turn, round(a, 6) as precision, round(b, 6) recall, round(case when a + b > 0 then 2 * a * b / (a + b) else 0 end, 6) f1 from m"""
+def rouge_sql(n: int, rows: str = PAIR_TOKENS, keys: str = "conv_id, turn") -> str:
+    side = lambda t: f"select {keys}, g, count(*) n from (select {keys}, unnest({grams_sql(t, n)}) g from ({rows})) group by all"
+    return f"""with p as ({side('p')}), r as ({side('r')}), o as (select {keys}, sum(least(p.n, r.n)) o from p join r using ({keys}, g) group by all),
+ k as (select {keys}, coalesce(o, 0) o, greatest(len(p) - {n - 1}, 0) p, greatest(len(r) - {n - 1}, 0) r from ({rows}) left join o using ({keys})),
+ m as (select {keys}, case when p > 0 then o::double / p else 0 end a, case when r > 0 then o::double / r else 0 end b from k)
+ select {keys}, round(a, 6) as precision, round(b, 6) recall, round(case when a + b > 0 then 2 * a * b / (a + b) else 0 end, 6) f1 from m"""
 
 
 def rounded(df, *columns):
@@ -51,15 +54,34 @@ def ngram_counts(spark, d):
     return grams.groupBy(F.array_join("g", "\u0001").alias("gram")).agg(F.count("*").alias("n"))
 
 
-@query()
+def lcs_sql(rows: str) -> str:
+    """rows (keys, p, r) with n, the length of the longest common subsequence, found another way than in Spark.
+
+    Of what is left between a common beginning and end, every token of p in turn lowers the least places in r where common
+    subsequences of 1, 2, ... tokens can end; how many such places there are in the end is the length.
+    """
+    alike = lambda a, b: f"coalesce(nullif(list_position(list_transform(range(1, least(len({a}), len({b})) + 1), lambda i: {a}[i] = {b}[i]), false), 0) - 1, least(len({a}), len({b})))"
+    lower = "list_filter(list_transform(range(1, len(t) + 2), lambda k: least(coalesce(t[k], 2000000000), coalesce(list_min(list_filter(js, lambda j: j > coalesce(t[k - 1], 0))), 2000000000))), lambda j: j < 2000000000)"
+    places = "list_filter(list_transform(a, lambda x: list_filter(range(1, len(b) + 1), lambda j: b[j] = x)), lambda js: len(js) > 0)"
+    return f"""select * exclude (head, a, b), head + len(list_reduce({places}, lambda t, js: {lower}, []::bigint[])) n from (
+ select * exclude (head, tail, a, b), head + tail head, a[:len(a) - tail] a, b[:len(b) - tail] b from (
+ select *, {alike('list_reverse(a)', 'list_reverse(b)')} tail from (select *, p[head + 1:] a, r[head + 1:] b from (select *, {alike('p', 'r')} head from ({rows})))))"""
+
+
+def rouge_l_sql(rows: str) -> str:
+    """rows (keys, p, r) with a, b and f: ROUGE-L precision, recall and F1."""
+    return f"""select *, case when a + b > 0 then 2 * a * b / (a + b) else 0 end f from (
+ select *, case when len(p) > 0 then n::double / len(p) else 0 end a, case when len(r) > 0 then n::double / len(r) else 0 end b from ({lcs_sql(rows)}))"""
+
+
+@query(f"select conv_id, turn, n lcs from ({lcs_sql(PAIR_TOKENS)})")
 def lcs_length(spark, d):
     return pair_tokens(spark, d).select("conv_id", "turn", M.lcs_length("p", "r").alias("lcs"))
 
 
-@query()
+@query(f"select conv_id, turn, round(a, 6) as precision, round(b, 6) recall, round(f, 6) f1 from ({rouge_l_sql(PAIR_TOKENS)})")
 def rouge_l(spark, d):
-    p, r, f = M.rouge_l("p", "r")
-    return pair_tokens(spark, d).select("conv_id", "turn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f, 6).alias("f1"))
+    return rounded(pair_tokens(spark, d).select("conv_id", "turn", M.rouge_l("p", "r").alias("x")).select("conv_id", "turn", "x.*"), "precision", "recall", "f1")
 
 
 @query(f"select conv_id, turn, round(case when len(s) > 0 then len(p)::double / len(s) else 0 end, 6) ratio from ({PAIR_TOKENS})")
@@ -85,17 +107,27 @@ def eval_join(spark, d):
     return rows.groupBy("system").agg(F.count("*").alias("n_total"), F.count_if(ok).alias("n_valid"), F.count_if(~ok).alias("n_error"), F.round(F.coalesce(F.avg(F.when(ok, 100 * M.compression("p", "s"))), F.lit(0.0)), 6).alias("compression"))
 
 
-@query()
+#: Predictions that are no errors beside what they are scored against.
+SCORED = f"""select id, system, doc_id, {V.tokens_sql('prediction')} p, {V.tokens_sql('reference')} r, {V.tokens_sql('source')} s
+ from (select id, system, prediction from ({V.PREDICTIONS}) where status = 'ok') join ({V.MANIFEST}) using (id)"""
+
+
+def scored(spark, d):
+    m = V.manifest(spark, d).select("id", "doc_id", X.tokens("reference").alias("r"), F.size(X.tokens("source")).alias("s"))
+    return V.predictions(spark, d).where("status = 'ok'").select("id", "system", X.tokens("prediction").alias("p")).join(m, "id")
+
+
+@query(f"""with t as materialized ({SCORED}), one as ({rouge_sql(1, 't', 'id, system')}), two as ({rouge_sql(2, 't', 'id, system')}), l as ({rouge_l_sql('select id, system, s, p, r from t')})
+ select system, count(*) n, round(100 * avg(one.f1), 4) rouge_1, round(100 * avg(two.f1), 4) rouge_2, round(100 * avg(l.f), 4) rouge_l,
+ round(100 * avg(case when len(l.s) > 0 then len(l.p)::double / len(l.s) else 0 end), 4) compression
+ from l join one using (id, system) join two using (id, system) group by system""")
 def eval_summary(spark, d):
-    """ROUGE-1, -2 and -L F1 and compression of the leads against first lines; whole texts, so no SQL twin."""
-    m = V.manifest(spark, d).select("id", X.tokens("source").alias("s"), X.tokens("reference").alias("r"))
-    rows = V.predictions(spark, d).where("status = 'ok'").select("id", "system", X.tokens("prediction").alias("p")).join(m, "id")
-    keys = ["id", "system"]
-    n1, n2 = (M.rouge_n(rows, keys, "p", "r", n).select(*keys, F.col("f1").alias(f"f{n}")) for n in (1, 2))
-    own = rows.select(*keys, M.rouge_l("p", "r")[2].alias("fl"), M.compression("p", "s").alias("c"))
-    every = own.join(n1, keys).join(n2, keys)
+    """ROUGE-1, -2 and -L F1 and compression of the leads against first lines, over whole texts."""
+    rows, keys = stored(scored(spark, d), "scored"), ["id", "system"]
+    own = rows.select(*keys, M.rouge_l("p", "r")["f1"].alias("fl"), F.when(F.col("s") > 0, F.size("p") / F.nullif("s", F.lit(0))).otherwise(0.0).alias("c"))
+    every = own.join(M.rouge_ns(rows, keys, "p", "r", [1, 2]), keys)
     mean = lambda c, a: F.round(100 * F.avg(c), 4).alias(a)
-    return every.groupBy("system").agg(F.count("*").alias("n"), mean("f1", "rouge_1"), mean("f2", "rouge_2"), mean("fl", "rouge_l"), mean("c", "compression"))
+    return every.groupBy("system").agg(F.count("*").alias("n"), mean(F.round("f1_1", 6), "rouge_1"), mean(F.round("f1_2", 6), "rouge_2"), mean("fl", "rouge_l"), mean("c", "compression"))
 
 
 LENGTHS = f"select lang, doc_id, {V.words_sql('text')} n from documents"
@@ -180,14 +212,57 @@ def weighted_mean(spark, d):
 RESAMPLES = 2000
 
 
-@query()
+def log_factorial_sql(n: str) -> str:
+    x, between = f"({n} + 8.0)", " * ".join(f"({n} + {k})" for k in range(1, 9))
+    return f"(({x} + 0.5) * ln({x}) - {x} + {0.5 * log(2 * pi)!r} + (1 - (1 - {2 / 7!r} / ({x} * {x})) / (30 * {x} * {x})) / (12 * {x}) - ln(1.0::double * {between}))"
+
+
+def bootstrap_sql(rows: str, by: str, seed: str) -> str:
+    """(by, b, mean) of RESAMPLES resamples of rows (by, x): a walk over each resample's distinct values in order.
+
+    A step draws how often the value is taken, from what is left of the resample; one by one up to ten, else a try of the
+    ratio of uniforms, and a step that is rejected tries again. Groups of up to 256 distinct values.
+    """
+    chance = lambda t, salt: f"((('0x' || substr(md5('{seed}|' || b || '|0|' || (i - 1) || '|' || {t} || '|{salt}'), 1, 12))::bigint + 0.5) / {float(1 << 48)!r}::double)"
+    cost = lambda k: f"({log_factorial_sql(k)} + {log_factorial_sql(f'(n - {k})')} - {k} * ln(q / (1 - q)))"
+    whole = lambda x: f"floor({x})::bigint"
+    return f"""with recursive given as materialized ({rows}), counted as (select {by}, x::double v, count(*) c from given where x is not null group by {by}, x),
+ vals as materialized (select {by}, v, c, row_number() over (partition by {by} order by v) i from counted),
+ walk as (
+  select {by}, b, 1::bigint i, 1::bigint t, n, n mass, n size, 0.0::double total from (select {by}, sum(c)::bigint n from counted group by {by}), (select unnest(range(1, {RESAMPLES + 1})) b)
+  union all
+  select {by}, b, if(k is null, i, i + 1), if(k is null, t + 1, 1), if(k is null, n, n - k), if(k is null, mass, mass - c), size, if(k is null, total, total + v * k)
+  from (
+   select * replace (if(p > 0.5, n - k, k) as k) from (
+    select *, case when q <= 0 then 0
+      when n <= 10 then len(list_filter(range(1, n + 1), lambda j: {chance('j', 0)} < q))
+      when hit >= 0 and hit < least(n + 1, {whole('mean + 0.5 + 16 * sqrt(variance + 0.5)')}) and (u * (4 - u) - 3 <= d or (u * (u - d) < 1 and 2 * ln(u) <= d)) then {whole('hit')} end k
+    from (
+     select *, case when n > 10 and q > 0 and hit >= 0 and hit < n + 1 then {cost(whole('(n + 1) * q'))} - {cost(whole('hit'))} end d from (
+      select *, mean + 0.5 + (sqrt(variance + 0.5) * 1.7155277699214135 + 0.8989161620588988) * (w - 0.5) / u hit from (
+       select *, n * q mean, n * q * (1 - q) variance, {chance('t', 1)} u, {chance('t', 2)} w from (
+        select *, least(p, 1 - p) q from (select walk.*, v, c, case when mass <= c then 1.0 else c::double / mass end p from walk join vals using ({by}, i)))))))))
+ select {by}, b, total / size mean from walk where (({by}), i) in (select (({by}), max(i) + 1) from vals group by {by})"""
+
+
+def interval_sql(rows: str, by: str, seed: str) -> str:
+    """(by, low, high, p_greater) of the resamples' means."""
+    means = bootstrap_sql(rows, by, seed)
+    return f"select {by}, quantile_cont(mean, 0.025) low, quantile_cont(mean, 0.975) high, avg(case when mean > 0 then 1.0 when mean = 0 then 0.5 else 0.0 end) p_greater from ({means}) group by {by}"
+
+
+@query(f"select system, round(low, 6) low, round(high, 6) high from ({interval_sql(f'select system, faithfulness x from ({V.SCORES})', 'system', 'boot')})")
 def bootstrap_ci(spark, d):
-    """95 % interval of each system's mean faithfulness; multinomial draws that SQL of another engine can't repeat."""
+    """95 % interval of each system's mean faithfulness."""
     means = S.bootstrap_means(V.scores(spark, d), "faithfulness", ["system"], RESAMPLES, "boot")
     return rounded(S.interval(means, ["system"]), "low", "high")
 
 
-@query()
+GAPS = f"""select 1 g, a.faithfulness::double - b.faithfulness x from ({V.SCORES}) a join ({V.SCORES}) b using (sample_id) where a.system = 'lead1' and b.system = 'neural'"""
+
+
+@query(f"""select w.n, round(w.difference, 6) difference, round(low, 6) low, round(high, 6) high, round(p_greater, 6) p_greater
+ from (select 1 g, count(*) n, avg(x) difference from ({GAPS})) w join ({interval_sql(GAPS, 'g', 'pair')}) using (g)""")
 def paired_bootstrap(spark, d):
     """Mean faithfulness of lead1 less neural on the samples of both, its interval, and how often it is above 0."""
     wide = V.scores(spark, d).where(F.col("system").isin("lead1", "neural")).groupBy("sample_id").pivot("system", ["lead1", "neural"]).agg(F.max("faithfulness"))
@@ -195,7 +270,15 @@ def paired_bootstrap(spark, d):
     return rounded(out, "difference", "low", "high", "p_greater")
 
 
-@query()
+PAIRS_OF = f"""select a.system || '>' || b.system pair, field, a.score::double - b.score x, a.system first, b.system as second
+ from (unpivot (select sample_id, system, faithfulness, informativeness, fluency, conciseness, major_error::int major_error from ({V.SCORES})) on {', '.join(V.FIELDS)}, major_error into name field value score) a
+ join (unpivot (select sample_id, system, faithfulness, informativeness, fluency, conciseness, major_error::int major_error from ({V.SCORES})) on {', '.join(V.FIELDS)}, major_error into name field value score) b
+ using (sample_id, field) where list_position({list(V.SYSTEMS)}, a.system) < list_position({list(V.SYSTEMS)}, b.system)"""
+
+
+@query(f"""select pair, field, n, round(difference, 6) difference, round(low, 6) low, round(high, 6) high, round(p_greater, 6) p_greater,
+ case when difference = 0 then 'equal' when (difference > 0) = (field <> 'major_error') then first else second end better
+ from (select pair, field, first, second, count(*) n, avg(x) difference from ({PAIRS_OF}) group by all) join ({interval_sql(PAIRS_OF, 'pair, field', 'systems')}) using (pair, field)""")
 def paired_systems(spark, d):
     """All pairs of systems by score and error rate, with intervals of the mean difference."""
     from corpusloom.operators.study import compare_systems
@@ -311,24 +394,23 @@ def intra_rater(spark, d):
     return rounded(S.weighted_kappa(repeats(spark, d), "a", "b", ["system"]), "kappa")
 
 
-@query()
+JUDGED = f"select x.system, f x, faithfulness::double y from ({rouge_l_sql(SCORED)}) x join ({V.SCORES}) j on j.sample_id = x.doc_id and j.system = x.system"
+
+
+@query(f"""with j as materialized ({JUDGED}), scoped as (select system scope, x, y from j union all select 'all', x, y from j)
+ select scope, count(*) n, round(corr(rx, ry), 6) rho from ({ranks_sql('select * from scoped', 'scope')}) group by scope""")
 def rouge_score_corr(spark, d):
     """Spearman of lead ROUGE-L and the judge's faithfulness, by system and over all systems."""
-    m = V.manifest(spark, d).select("id", "doc_id", X.tokens("reference").alias("r"))
-    p = V.predictions(spark, d).where("status = 'ok'").select("id", "system", X.tokens("prediction").alias("p"))
-    rows = p.join(m, "id").select("doc_id", "system", M.rouge_l("p", "r")[2].alias("x"))
+    rows = scored(spark, d).select("doc_id", "system", M.rouge_l("p", "r")["f1"].alias("x"))
     judged = V.scores(spark, d).select(F.col("sample_id").alias("doc_id"), "system", F.col("faithfulness").alias("y"))
-    both = rows.join(judged, ["doc_id", "system"])
-    scoped = both.withColumn("scope", F.explode(F.array("system", F.lit("all"))))
-    return rounded(S.spearman(scoped, "x", "y", ["scope"]), "rho")
+    return rounded(S.spearman_sets(rows.join(judged, ["doc_id", "system"]), "x", "y", "system"), "rho")
 
 
-@query()
+@query(f"""select round(abs(f - b / 5.0), 6) gap, sample_id, system from (select doc_id sample_id, system, f from ({rouge_l_sql(SCORED)})) join (select sample_id, system, b from ({RATED}))
+ using (sample_id, system) order by gap desc, sample_id desc, system desc limit 1""")
 def disagreement_case(spark, d):
     """The sample and system whose ROUGE-L and human score lie farthest apart; ties to the larger id, then system."""
-    m = V.manifest(spark, d).select("id", "doc_id", X.tokens("reference").alias("r"))
-    p = V.predictions(spark, d).where("status = 'ok'").select("id", "system", X.tokens("prediction").alias("p"))
-    rows = p.join(m, "id").select(F.col("doc_id").alias("sample_id"), "system", M.rouge_l("p", "r")[2].alias("x")).join(rated(spark, d), ["sample_id", "system"])
+    rows = scored(spark, d).select(F.col("doc_id").alias("sample_id"), "system", M.rouge_l("p", "r")["f1"].alias("x")).join(rated(spark, d), ["sample_id", "system"])
     gap = F.round(F.abs(F.col("x") - F.col("b") / 5), 6)
     return rows.agg(F.max(F.struct(gap.alias("gap"), "sample_id", "system")).alias("m")).select("m.*")
 

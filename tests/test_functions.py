@@ -64,7 +64,10 @@ def test_lead_of_blank_is_the_text(spark):
 
 def test_lcs_forms_agree(spark):
     rng = random.Random(3)
-    rows = [([rng.choice("abcd") for _ in range(rng.randint(0, 12))], [rng.choice("abcd") for _ in range(rng.randint(0, 12))]) for _ in range(60)]
+    some = lambda letters, most: [rng.choice(letters) for _ in range(rng.randint(0, most))]
+    rows = [(some("abcd", 12), some("abcd", 12)) for _ in range(60)] + [(some("abcdefg", 300), some("abcdefgh", 300)) for _ in range(60)]
+    rows += [([rng.choice("ab") for _ in range(m)], [rng.choice("ab") for _ in range(n)]) for m in (61, 62, 63, 124, 125, 186) for n in (62, 63, 190)]
+    rows += [(["x", *x], x) for x in (["a"] * 70, ["a", "b"] * 40)] + [(["a"] * 700 + ["b"], ["c"] + ["a"] * 650 + ["d"])]
 
     def table(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
@@ -74,8 +77,12 @@ def test_lcs_forms_agree(spark):
         return t[-1][-1]
 
     df = spark.createDataFrame(rows, "a array<string>, b array<string>")
-    for r in df.select("a", "b", M.lcs_length("a", "b").alias("x"), M.lcs_length_sql(F.col("a"), F.col("b")).alias("y")).collect():
-        assert r.x == r.y == table(r.a, r.b)
+    for r in df.select("a", "b", M.lcs_length("a", "b").alias("n")).collect():
+        assert r.n == table(r.a, r.b)
+    odd = spark.createDataFrame([(None, ["a"]), (["a"], None), (None, None), ([], [])], df.schema)
+    assert [r[0] for r in odd.select(M.lcs_length("a", "b")).collect()] == [0] * 4
+    plan = df.select(M.lcs_length("a", "b"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
 
 
 def test_rouge_of_short_and_empty_sides(spark):

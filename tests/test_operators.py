@@ -467,7 +467,7 @@ def correlation(xs, ys):
 
 
 def test_overlap_queries_are_the_plain_ones(spark):
-    """lcs_length, rouge_l, eval_summary, rouge_score_corr and disagreement_case, which have no SQL, by hand."""
+    """lcs_length, rouge_l, eval_summary, rouge_score_corr and disagreement_case by hand."""
     sf = "/root/testdata/sf0.001"
     words = lambda t: re.findall(r"\w+", (t or "").lower())
     turns = {(r.conv_id, r.turn): (words(r.target), words(r.source)) for r in q_stats.V.turns(spark, sf).collect()}
