@@ -57,7 +57,7 @@ def retry_delay(attempt: Column, key: Column, base: float = 1.0, most: float = 6
     return wait * (1 + F.pmod(unit_hash(key, attempt), F.lit(1000)) / 10000.0)
 
 
-def _tried(call: Callable[[dict], str], row: dict, attempts: int, wait: Callable[[int], float] | None) -> tuple[str | None, str | None, int, str | None]:
+def tried(call: Callable[[dict], str], row: dict, attempts: int, wait: Callable[[int], float] | None) -> tuple[str | None, str | None, int, str | None]:
     """(value, error, attempts, raw): ValueError is tried again after its wait; its second argument is the raw output."""
     error, raw = "", None
     for k in range(1, attempts + 1):
@@ -89,7 +89,7 @@ def call_rows(tasks: DataFrame, call: Callable[[dict], str], attempts: int = 3,
                     values = call_batch(rows)
                     made = [(v, None, 1, None) for v in values] if len(values) == len(rows) else None
             if made is None:
-                made = [_tried(call, r, attempts, wait) for r in rows]
+                made = [tried(call, r, attempts, wait) for r in rows]
             yield b.assign(**{c: pd.Series([m[k] for m in made], index=b.index, dtype=object) for k, c in enumerate(("value", "error", "attempts", "raw"))})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tasks.schema)

@@ -427,3 +427,38 @@ def handoff_issues(spark, d):
     body = F.when(body.contains('"error"'), body).otherwise(F.concat(F.regexp_replace(body, r"\}$", ""), F.lit(',"error":null}')))
     lines = V.manifest(spark, d).select(k.alias("line"), "id", body.alias("text"))
     return V2.handoff_lines(lines, "lead1").where(F.size("issues") > 0).select("id", "line", "issues")
+
+
+def graded(row: dict) -> str:
+    """A stand-in for an external call, told by the text alone: some lengths are rejected, some fail at once."""
+    n = len(row["text"])
+    if n % 7 == 0:
+        raise ValueError("rejected", f"raw {n}")
+    if n % 11 == 0:
+        raise RuntimeError("gone")
+    return f"{row['role']}:{n}"
+
+
+TASKS = "select conv_id || '|' || turn as key, role, length(text) n, conv_id % 3 part from conversations"
+
+
+@query(f"""select key, if(n % 7 = 0 or n % 11 = 0, null, role || ':' || n) as value, case when n % 7 = 0 then 'rejected' when n % 11 = 0 then 'RuntimeError: gone' end error,
+ case when n % 7 = 0 then 'raw ' || n end raw, case when n % 7 = 0 then 3 else 1 end attempts, case when (n % 7 = 0 or n % 11 = 0) and part = 1 then 2 else 1 end::bigint logged, part = 1 again from ({TASKS})""")
+def incremental_run(spark, d):
+    """Every turn of conversations as a task, in two arrivals that share a third; the stream is restarted between them."""
+    from corpusloom.runtime import scratch
+    from corpusloom.streaming import incremental as I
+
+    out = scratch(spark, "incremental")
+    t = V.table(spark, d, "conversations")
+    tasks = t.select(F.concat_ws("|", "conv_id", "turn").alias("key"), "role", "text", F.pmod("conv_id", F.lit(3)).alias("part"))
+    for k in (2, 0):
+        tasks.where(F.col("part") != k).write.mode("append").parquet(f"{out}/tasks")
+        counts = I.run_tasks(spark, spark.readStream.schema(tasks.schema).parquet(f"{out}/tasks"), out, graded)
+        assert counts["requested"] == counts["skipped"] + counts["success"] + counts["failed"]
+    done, failed, raw = (I.log(spark, out, name) for name in ("scores", "errors", "raw"))
+    null = F.lit(None).cast("string")
+    both = done.select("key", "value", null.alias("error"), null.alias("raw"), "attempts", "part").union(failed.select("key", null, "error", "raw", "attempts", "part"))
+    twice = raw.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")  # none is called again
+    rows = both.join(twice, "key", "left_anti")
+    return rows.groupBy("key", "value", "error", "raw", "attempts", (F.col("part") == 1).alias("again")).agg(F.count("*").alias("logged"))

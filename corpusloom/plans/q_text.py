@@ -10,6 +10,7 @@ from corpusloom.functions.sentences import lead, split_sentences
 from corpusloom.plans import views as V
 from corpusloom.plans.registry import query
 from corpusloom.runtime import dealt_table as table
+from corpusloom.runtime import stored
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -153,3 +154,14 @@ def nfc_stripped(spark, d):
 @query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') stamp from events")
 def utc_stamp(spark, d):
     return table(spark, d, "events").select("event_id", X.utc_stamp(F.col("ts")).alias("stamp"))
+
+
+@query()
+def word_segments(spark, d):
+    """Documents cut into words of a dictionary of compounds that is counted from all of them, and the share of compounds."""
+    from corpusloom.operators import segmentation as G
+
+    rows = table(spark, d, "documents").select("doc_id", X.tokens("text").alias("tokens"))
+    lexicon = stored(G.compounds(rows.where("tokens is not null"), "tokens", 20_000), "lexicon")
+    cut = G.segment(rows, "tokens", lexicon)
+    return cut.select("doc_id", F.size("tokens").alias("n_tokens"), F.size("segments").alias("n_segments"), F.round(G.joined_share("segments"), 6).alias("compound_share"), F.array_join("segments", " ").alias("segmented"))

@@ -1,33 +1,88 @@
-"""Incremental execution on Structured Streaming: new tasks are called once, results and failures appended."""
+"""Incremental execution on Structured Streaming: which tasks are done is the stream's state; results go to separate logs."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corpusloom.operators.resume import call_rows, pending
+from corpusloom.operators.resume import tried
+from corpusloom.runtime import ship
 
+MADE = "value string, error string, attempts int, raw string, status string"
+COUNTERS = ("requested", "skipped", "success", "failed")
+#: Which rows a log holds: results as they are used, results with the raw output, failures.
+LOGS = {"scores": "success", "raw": "success", "errors": "failed"}
 
-def run_tasks(spark: SparkSession, tasks_path: str, schema: str, out: str, call: Callable[[dict], str], key: str = "key", attempts: int = 3) -> StreamingQuery:
-    """Call what has arrived at tasks_path (JSON Lines) and isn't in `out`/done; append to done and failed, then stop.
 
-    The checkpoint remembers files, the left anti join remembers keys, so a batch that is run again after a failure
-    calls nothing twice that was saved, and repeated tasks of a batch are called once.
+def executed(tasks: DataFrame, call: Callable[[dict], str], key: str = "key", attempts: int = 3, wait: Callable[[int], float] | None = None) -> DataFrame:
+    """A stream of tasks with value, error, attempts, raw and status: success, failed, or skipped.
+
+    The state of a key is whether a call for it succeeded. Such a key is never called again; one that failed is called when
+    it arrives again. Of equal keys in one batch the first success ends the calls. Null keys are a key like any other.
+    """
+    ship(tasks.sparkSession)
+    names = tasks.columns
+
+    def of_key(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        done = state.exists
+        for b in batches:
+            made = []
+            for row in b.to_dict("records"):
+                value, error, n, raw = (None, None, 0, None) if done else tried(call, row, attempts, wait)
+                made.append((value, error, n, raw, "skipped" if done else "failed" if error is not None else "success"))
+                if not done and error is None:
+                    state.update((True,))
+                    done = True
+            yield b.assign(**{c.split()[0]: pd.Series([m[k] for m in made], index=b.index, dtype="int32" if k == 2 else object) for k, c in enumerate(MADE.split(", "))})[[*names, *(c.split()[0] for c in MADE.split(", "))]]
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tasks.schema) + ", " + MADE
+    return tasks.groupBy(key).applyInPandasWithState(of_key, schema, "done boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def start_tasks(spark: SparkSession, tasks: DataFrame, out: str, call: Callable[[dict], str], key: str = "key", attempts: int = 3, wait: Callable[[int], float] | None = None) -> StreamingQuery:
+    """Run what a stream of tasks has now: successes go to `out`/scores and `out`/raw, failures to `out`/errors.
+
+    Every batch writes folders of its own number, so one that is run again after a failure replaces what it wrote, and its
+    counters. The checkpoint lies in `out`; started again, the stream takes up what has arrived since.
     """
-    done_schema = f"{schema}, value string, error string, attempts int"
 
     def each(batch: DataFrame, epoch: int) -> None:
-        done = spark.read.schema(done_schema).option("ignoreMissingFiles", "true").parquet(f"{out}/done") if _exists(spark, f"{out}/done") else batch.limit(0)
-        made = call_rows(pending(batch.dropDuplicates([key]), done, key), call, attempts).persist()
-        made.where("error is null").write.mode("append").parquet(f"{out}/done")
-        made.where("error is not null").write.mode("append").parquet(f"{out}/failed")
+        made = batch.persist()
+        counts = {r["status"]: r["count"] for r in made.groupBy("status").count().collect()}
+        row = (sum(counts.values()), *(counts.get(c, 0) for c in COUNTERS[1:]))
+        spark.createDataFrame([row], ", ".join(f"{c} long" for c in COUNTERS)).coalesce(1).write.mode("overwrite").parquet(f"{out}/counters/epoch={epoch}")
+        for log, status in LOGS.items():
+            kept = [c for c in made.columns if c != "status" and not (log == "scores" and c in ("raw", "error")) and not (log == "raw" and c == "error") and not (log == "errors" and c == "value")]
+            made.where(F.col("status") == status).select(kept).write.mode("overwrite").parquet(f"{out}/{log}/epoch={epoch}")
         made.unpersist()
 
-    stream = spark.readStream.schema(schema).json(tasks_path)
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    stream = executed(tasks, call, key, attempts, wait).writeStream.foreachBatch(each)
+    return stream.outputMode("append").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+
+
+def run_tasks(spark: SparkSession, tasks: DataFrame, out: str, call: Callable[[dict], str], key: str = "key", attempts: int = 3, wait: Callable[[int], float] | None = None) -> dict[str, int]:
+    """start_tasks() to its end; returns how many tasks were requested, skipped, successful and failed in this run."""
+    before = counters(spark, out)
+    start_tasks(spark, tasks, out, call, key, attempts, wait).awaitTermination()
+    after = counters(spark, out)
+    return {c: after[c] - before[c] for c in COUNTERS}
+
+
+def counters(spark: SparkSession, out: str) -> dict[str, int]:
+    """The counters of all runs so far: one row a batch is read."""
+    if not _exists(spark, f"{out}/counters"):
+        return dict.fromkeys(COUNTERS, 0)
+    return spark.read.parquet(f"{out}/counters").agg(*[F.sum(c).alias(c) for c in COUNTERS]).first().asDict()
+
+
+def log(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """A log of all runs: scores, raw or errors, with the epoch that wrote each row."""
+    return spark.read.parquet(f"{out}/{name}")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import curate, decoding, dedup, ranges, resume, sampling, sequences, study, validate
+from corpusloom.functions import text as X
+from corpusloom.operators import curate, decoding, dedup, ranges, resume, sampling, segmentation, sequences, study, validate
 from corpusloom.plans import q_stats, q_study
 from corpusloom.sources import checksums, jsonl, lines, tables
 from corpusloom.streaming import incremental
@@ -200,12 +201,95 @@ def test_row_errors_and_resume(spark, tmp_path):
     ship(spark)
     tasks, out = tmp_path / "tasks", str(tmp_path / "out")
     tasks.mkdir()
-    (tasks / "1.json").write_text("\n".join(json.dumps({"key": k, "n": n}) for k, n in (("a", 2), ("a", 2), ("b", 3))))
-    incremental.run_tasks(spark, str(tasks), "key string, n int", out, half).awaitTermination()
-    (tasks / "2.json").write_text("\n".join(json.dumps({"key": k, "n": n}) for k, n in (("a", 2), ("d", 8))))
-    incremental.run_tasks(spark, str(tasks), "key string, n int", out, half).awaitTermination()
-    assert sorted(r.key for r in spark.read.parquet(f"{out}/done").collect()) == ["a", "d"]
-    assert [r.key for r in spark.read.parquet(f"{out}/failed").collect()] == ["b"]
+    stream = lambda: spark.readStream.schema("key string, n int").json(str(tasks))
+    put = lambda name, *rows: (tasks / name).write_text("\n".join(json.dumps({"key": k, "n": n}) for k, n in rows))
+    put("1.json", ("a", 2), ("a", 2), ("b", 3))
+    assert incremental.run_tasks(spark, stream(), out, half) == {"requested": 3, "skipped": 1, "success": 1, "failed": 1}
+    assert incremental.run_tasks(spark, stream(), out, half) == {"requested": 0, "skipped": 0, "success": 0, "failed": 0}
+    put("2.json", ("a", 2), ("d", 8), ("b", 3), ("b", 6), ("c", 4), (None, 10))
+    assert incremental.run_tasks(spark, stream(), out, half) == {"requested": 6, "skipped": 1, "success": 3, "failed": 2}
+    held = lambda name, *c: Counter(tuple(r[x] for x in c) for r in incremental.log(spark, out, name).collect())
+    assert held("scores", "key", "value") == held("raw", "key", "value") == Counter([("a", "1"), ("d", "4"), ("b", "3"), (None, "5")])
+    assert held("errors", "key", "error", "attempts") == Counter({("b", "odd", 3): 2, ("c", "RuntimeError: fatal", 1): 1})
+    assert "raw" in incremental.log(spark, out, "raw").columns and "raw" not in incremental.log(spark, out, "scores").columns
+
+
+def test_a_batch_that_is_run_again_replaces_what_it_wrote(spark, tmp_path):
+    """A run that breaks between its logs is taken up without a row lost or twice."""
+    tasks, out = tmp_path / "tasks", str(tmp_path / "out")
+    spark.createDataFrame([(f"k{i}", 2 * i) for i in range(3, 9)], "key string, n int").write.parquet(str(tasks))
+    stream = lambda: spark.readStream.schema("key string, n int").parquet(str(tasks))
+    incremental.LOGS["broken/\0"] = "failed"
+    try:
+        with pytest.raises(Exception):  # noqa: B017, PT011
+            incremental.start_tasks(spark, stream(), out, half).awaitTermination()
+    finally:
+        del incremental.LOGS["broken/\0"]
+    assert incremental.run_tasks(spark, stream(), out, half)["success"] in (0, 6)  # the counters of the broken batch are replaced
+    assert sorted(r.key for r in incremental.log(spark, out, "scores").collect()) == [f"k{i}" for i in range(3, 9)]
+    assert incremental.counters(spark, out) == {"requested": 6, "skipped": 0, "success": 6, "failed": 0}
+
+
+def cuts(tokens, compounds):
+    """Every cut of the tokens, with its worth and its number of pieces."""
+    if not tokens:
+        yield 0.0, 0, ()
+    for k in range(1, len(tokens) + 1):
+        if k == 1 or " ".join(tokens[:k]) in compounds:
+            for worth, n, rest in cuts(tokens[k:], compounds):
+                yield worth + (compounds[" ".join(tokens[:k])] if k > 1 else 0.0), n + 1, ("_".join(tokens[:k]), *rest)
+
+
+def test_segmentation_is_the_best_of_all_cuts(spark):
+    rng = np.random.default_rng(6)
+    compounds = {"a b": 2.0, "b c": 3.0, "a b c": 4.5, "c a b d": 4.0, "d d": -1.0, "c d": 0.0, "b d": 2.0}
+    own = segmentation.Lexicon([*compounds.items()])
+    texts = [[], ["a"], ["z", "a"], *([*rng.choice(list("abcdz"), rng.integers(1, 11))] for _ in range(300))]
+    for t in texts:
+        t = [str(x) for x in t]
+        every = [*cuts(t, compounds)]
+        worth, n, _ = max(every, key=lambda c: (c[0], -c[1]))
+        got = own.cut(t)
+        assert "_".join(got).split("_") == t if t else got == []
+        assert any((w, k, c) == (worth, n, tuple(got)) for w, k, c in every)
+    assert own.cut("a b c".split()) == ["a_b_c"] and own.cut("d d".split()) == ["d", "d"] and own.cut("c d".split()) == ["c_d"]
+    lexicon = spark.createDataFrame([*compounds.items()], "compound string, worth double")
+    rows = spark.createDataFrame([(1, ["b", "c", "x"], "e"), (2, None, "e"), (3, [], None)], "k int, t array<string>, segment string")
+    assert {r.k: r.segments for r in segmentation.segment(rows, "t", lexicon).collect()} == {1: ["b_c", "x"], 2: None, 3: []}
+    with pytest.raises(ValueError, match="3 compounds"):
+        segmentation.segment(rows, "t", lexicon, most=3)
+    assert segmentation.segment(rows.limit(0), "t", lexicon.limit(0)).count() == 0
+
+
+def test_compounds_are_what_follows_more_often_than_chance(spark):
+    rng = np.random.default_rng(8)
+    texts = [[str(x) for x in rng.choice(list("abcdefgh"), 30)] + ["new", "york"] * (k % 3) + ["san", "jose", "city"] * (k % 2) for k in range(60)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t array<string>")
+    got = {r.compound: (r.n, r.worth) for r in segmentation.compounds(rows, "t", 50, least=5, apart=2.0).collect()}
+    runs, total = Counter(), sum(map(len, texts))
+    for t in texts:
+        runs.update(" ".join(t[i : i + n]) for n in (1, 2, 3) for i in range(len(t) - n + 1))
+    want = {}
+    for run, n in runs.items():
+        parts = run.split(" ")
+        if n >= 5 and len(parts) > 1:
+            worth = round(float(np.log(n) - sum(np.log(runs[p]) for p in parts) + (len(parts) - 1) * np.log(total)), 6)
+            if worth >= 2:
+                want[run] = (n, worth)
+    assert len(want) <= 50 and got.keys() == want.keys() and all(abs(got[k][1] - want[k][1]) < 1e-5 and got[k][0] == want[k][0] for k in want)
+    assert {"new york", "san jose", "jose city", "san jose city"} <= got.keys()
+    few = [r.compound for r in segmentation.compounds(rows, "t", 2, least=5, apart=2.0).collect()]
+    assert sorted(few) == sorted(sorted(want, key=lambda c: (-want[c][0], c))[:2])
+
+
+def test_documents_are_cut_by_their_own_compounds(spark):
+    from corpusloom.plans import q_text
+
+    rows = q_text.word_segments(spark, "/root/testdata/sf0.001").collect()
+    own = {r.doc_id: r.t for r in q_text.docs(spark, "/root/testdata/sf0.001").select("doc_id", X.tokens("text").alias("t")).collect()}
+    assert len(rows) == len(own) and sum(r.n_segments < r.n_tokens for r in rows) > 20
+    for r in rows:
+        assert r.segmented.replace("_", " ").split() == " ".join(own[r.doc_id]).replace("_", " ").split() and r.n_tokens == len(own[r.doc_id])
 
 
 def test_bootstrap_queries(spark, monkeypatch):
