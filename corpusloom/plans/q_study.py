@@ -462,3 +462,24 @@ def incremental_run(spark, d):
     twice = raw.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")  # none is called again
     rows = both.join(twice, "key", "left_anti")
     return rows.groupBy("key", "value", "error", "raw", "attempts", (F.col("part") == 1).alias("again")).agg(F.count("*").alias("logged"))
+
+
+@query("select conv_id, turn, role, length(text) n from conversations")
+def append_log(spark, d):
+    """conversations as a log of JSON Lines whose last line is torn, read as a stream; then the line is ended, and the stream
+    goes on. Every line is read once."""
+    from corpusloom.runtime import scratch
+    from corpusloom.sources import append_log as A
+
+    rows, out = V.table(spark, d, "conversations"), scratch(spark, "append-log")
+    lines = rows.select(jsonl.written(rows))
+    last = lines.agg(F.max("value").alias("value"))
+    torn = last.first()[0] or "{}"  # one line
+    jsonl.write_lines(lines.join(last, "value", "left_anti"), f"{out}/log")
+    for upto in (len(torn) // 2, len(torn)):
+        jsonl.put_file(spark, f"{out}/log/torn.jsonl", torn[:upto] + "\n" * (upto == len(torn)), replace=True)
+        stream = A.stream_log(spark, f"{out}/log").writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint")
+        stream.trigger(availableNow=True).start(f"{out}/read").awaitTermination()
+    read = spark.read.schema(A.LINES).parquet(f"{out}/read").withColumnRenamed("offset", "line")
+    found = jsonl.scan(read, rows.schema)
+    return found.select("conv_id", "turn", "role", F.length("text").cast("long").alias("n"))

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -53,7 +54,7 @@ def judged(lines: DataFrame) -> DataFrame:
     return lines.withColumn("issue", issue)
 
 
-def scan(lines: DataFrame, schema: str, torn_tail: bool = False) -> DataFrame:
+def scan(lines: DataFrame, schema: str | StructType, torn_tail: bool = False) -> DataFrame:
     """Rows of a strict scan: blank lines are skipped, any other bad line makes the job fail and names its place.
 
     With `torn_tail` a bad last line that no line end closes is dropped, as an interrupted writer leaves it.
@@ -79,14 +80,19 @@ def read_issues(spark: SparkSession, path: str) -> DataFrame:
     return judged(numbered_lines(spark, path)).where("issue is not null").select("file", "line", "issue")
 
 
-def _written(df: DataFrame) -> Column:
+def written(df: DataFrame) -> Column:
     """A row as compact JSON, null fields included."""
     return F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Compact JSON Lines; null fields are written, so rows keep their schema. The commit protocol makes it atomic."""
-    df.select(_written(df)).write.mode(mode).text(path)
+    write_lines(df.select(written(df)), path, mode)
+
+
+def write_lines(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One column of lines as text files."""
+    lines.write.mode(mode).text(path)
 
 
 def verified(df: DataFrame, path: str) -> DataFrame:
@@ -100,10 +106,15 @@ def write_document(rows: DataFrame, path: str) -> None:
 
     A file that is there already makes it fail.
     """
-    text = json.dumps([json.loads(r[0]) for r in rows.select(_written(rows)).collect()], ensure_ascii=False, indent=2) + "\n"
-    sc = rows.sparkSession.sparkContext
+    text = json.dumps([json.loads(r[0]) for r in rows.select(written(rows)).collect()], ensure_ascii=False, indent=2) + "\n"
+    put_file(rows.sparkSession, path, text)
+
+
+def put_file(spark: SparkSession, path: str, text: str, replace: bool = False) -> None:
+    """A small file through Spark's file system."""
+    sc = spark.sparkContext
     at = sc._jvm.org.apache.hadoop.fs.Path(path)
-    out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, False)
+    out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, replace)
     try:
         out.write(bytearray(text.encode()))
     finally:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 from corpusloom.operators import curate, decoding, dedup, ranges, resume, sampling, segmentation, sequences, study, validate
 from corpusloom.plans import q_stats, q_study
-from corpusloom.sources import checksums, jsonl, lines, tables
+from corpusloom.sources import append_log, checksums, jsonl, lines, tables
 from corpusloom.streaming import incremental
 
 
@@ -292,6 +292,55 @@ def test_documents_are_cut_by_their_own_compounds(spark):
         assert r.segmented.replace("_", " ").split() == " ".join(own[r.doc_id]).replace("_", " ").split() and r.n_tokens == len(own[r.doc_id])
 
 
+LOG = b'\xef\xbb\xbf{"k":1}\r\n{"k":2}\n\n{"k":"\xc3\xa9"}\n{"k":4'
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_logs_by_ranges_of_bytes(spark, tmp_path, size):
+    (tmp_path / "a.jsonl").write_bytes(LOG)
+    (tmp_path / "_b").write_bytes(b"hidden\n")
+    (tmp_path / "c").write_bytes(b"")
+    whole = [(0, '{"k":1}'), (12, '{"k":2}'), (20, ""), (21, '{"k":"é"}')]
+    read = lambda torn: sorted((r.offset, r.text) for r in append_log.read_log(spark, str(tmp_path), torn, size).collect())
+    assert read("drop") == whole and read("keep") == [*whole, (32, '{"k":4')]
+    assert append_log.read_log(spark, str(tmp_path / "nowhere")).count() == 0
+    parts = append_log.ranges(str(tmp_path / "a.jsonl"), 0, len(LOG), size)
+    assert [x for p in parts for x in append_log.lines_in(str(tmp_path), p, step=5)] == [*append_log.lines_in(str(tmp_path), append_log.Range(parts[0].file, 0, len(LOG), len(LOG)))]
+
+
+def test_a_stream_holds_back_a_torn_tail(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    (log / "a").write_bytes(LOG)
+
+    def run():
+        stream = append_log.stream_log(spark, str(log), 5).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c"))
+        stream.trigger(availableNow=True).start(str(tmp_path / "t")).awaitTermination()
+        return sorted((r.file[-1], r.offset, r.text) for r in spark.read.schema(append_log.LINES).parquet(str(tmp_path / "t")).collect())
+
+    first = [("a", 0, '{"k":1}'), ("a", 12, '{"k":2}'), ("a", 20, ""), ("a", 21, '{"k":"é"}')]
+    assert run() == run() == first
+    with (log / "a").open("ab") as f:
+        f.write(b"}\n{")
+    (log / "b").write_bytes(b'{"k":5}\n{"k"')
+    assert run() == [*first, ("a", 32, '{"k":4}'), ("b", 0, '{"k":5}')]
+
+
+def test_digests_of_files_of_any_size(spark, tmp_path):
+    with (tmp_path / "large.bin").open("wb") as f:
+        f.truncate((1 << 31) + 5)  # sparse, and beyond what one row of bytes can hold
+    (tmp_path / "empty.bin").write_bytes(b"")
+    want = hashlib.sha256()
+    for _ in range(1 << 11):
+        want.update(bytes(1 << 20))
+    want.update(bytes(5))
+    got = {r.name: r.digest for r in checksums.file_digests(spark, str(tmp_path), "*.bin").collect()}
+    assert got == {"large.bin": want.hexdigest(), "empty.bin": hashlib.sha256().hexdigest()}
+    expected = spark.createDataFrame([("large.bin", "0" * 64), ("empty.bin", got["empty.bin"]), ("gone.bin", "1" * 64)], "name string, expected string")
+    found = checksums.file_digests(spark, str(tmp_path), "*.bin")
+    assert {r.name: r.status for r in checksums.verify(expected, found).collect()} == {"large.bin": "mismatch", "empty.bin": "ok", "gone.bin": "missing"}
+
+
 def test_bootstrap_queries(spark, monkeypatch):
     """2,000 resamples of registered queries against drawing rows with replacement."""
     values = {"lead1": [1, 3, 5, 2, 4] * 8, "neural": [2, 2, 5, 1, 3, 3, 3, 1] * 5}
