@@ -5,11 +5,20 @@ from __future__ import annotations
 from corpusloom.llm.ballkmeans import kmeans_sql
 from corpusloom.llm.secrets import KINDS
 
-WARC = """
-with rows as (select page_id, strlen(coalesce(html, '')) payload_bytes, sha256(coalesce(html, '')) payload_digest from pages),
+def _encoded(url: str) -> str:
+    """Control characters and spaces percent-encoded."""
+    for k in [*range(0x21), 0x7F]:
+        url = f"replace({url}, chr({k}), '%{k:02X}')"
+    return url
+
+
+WARC = f"""
+with rows as (select page_id, {_encoded('url')} uri, strlen(coalesce(html, '')) payload_bytes, sha256(coalesce(html, '')) payload_digest from pages),
 firsts as (select payload_digest, min(page_id) first_id from rows where payload_bytes >= 100 group by payload_digest),
 judged as (select rows.*, first_id, coalesce(first_id is not null and (page_id is null or page_id > first_id), false) again from rows left join firsts using (payload_digest))
-select page_id, payload_bytes, payload_digest, if(again, 'revisit', 'response') record_type, if(again, first_id, null) refers_to from judged
+select page_id, payload_bytes, payload_digest, if(again, 'revisit', 'response') record_type, if(again, first_id, null) refers_to,
+    if(count(uri) over same < count(*) over same, null, min(uri) over same) request_uri, payload_bytes metadata_bytes
+from judged window same as (partition by page_id, payload_digest)
 """
 
 

@@ -34,7 +34,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "archives")
     warc.write(table(spark, sf_dir, "pages"), path)
     captures = warc.assemble(warc.read(spark, path, payload=False))
-    return captures.select("page_id", F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), "refers_to")
+    own = [F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), "refers_to"]
+    return captures.select("page_id", *own, F.col("request.target_uri").alias("request_uri"), F.col("metadata.payload_bytes").alias("metadata_bytes"))
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,6 +125,7 @@ def inflated(archive: bytes) -> Iterator[bytes]:
 
 
 _HEADER = re.compile(rb"([^\r\n:]+):[ \t]*([^\r\n]*)\r\n")
+_TOLD = re.compile(rb"^payload_bytes:[ \t]*(\d+)", re.M)
 _PAGE = re.compile(rb"urn:page:(-?\d+|null):")
 
 
@@ -152,7 +153,7 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """One row per record of the archives under `path`; without `payload` that column is null and only digests leave.
 
     payload_bytes and payload_digest are of the full payload: of a response from its bytes, of a revisit from its
-    headers. page_id is the id in the record's name, null where the page had none.
+    headers; payload_bytes of a metadata record is what its fields say. page_id is the id in the record's name, null where the page had none.
     """
     ship(spark)
 
@@ -172,7 +173,8 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
                             fields = {k.lower(): v for k, v in _HEADER.findall(http + b"\r\n")}
                             size, digest, body = int(fields[b"content-length"]), h["warc-payload-digest"].removeprefix("sha256:"), None
                     elif kind == "metadata":
-                        body = block
+                        told = _TOLD.search(block)
+                        size, body = int(told[1]) if told else None, block
                     page = _PAGE.search(h["warc-record-id"].encode())
                     page_id = int(page[1]) if page and page[1] != b"null" else None
                     shown = body.decode() if payload and body is not None else None
@@ -191,16 +193,17 @@ def assemble(records: DataFrame) -> DataFrame:
 
     Request and metadata records join the response or revisit whose record id they name in concurrent_to. Identical
     records share their id: a capture that was written twice comes back twice. A capture without request or metadata
-    has null there; records that name no known capture are left out. Per capture one record of each kind is kept
-    (the smallest id), found by minima that are summed before the shuffle.
+    has null there; records that name no known capture are left out. Per capture one record of each kind is kept (of the
+    smallest id, then target, a missing one before others), found by minima that are summed before the shuffle.
     """
     kept = F.struct("record_id", "type", "target_uri", "date", "page_id", "payload_bytes", "payload_digest", "payload", "refers_to")
     capture = F.coalesce("concurrent_to", "record_id")
     main = F.col("type").isin("response", "revisit")
+    least = lambda which: F.min_by(F.when(which, kept), F.when(which, F.struct("record_id", "target_uri")))
     grouped = records.groupBy(capture.alias("capture_id")).agg(
-        F.min_by(F.when(main, kept), F.when(main, F.col("record_id"))).alias("response"),
-        F.min_by(F.when(F.col("type") == "request", kept), F.when(F.col("type") == "request", F.col("record_id"))).alias("request"),
-        F.min_by(F.when(F.col("type") == "metadata", kept), F.when(F.col("type") == "metadata", F.col("record_id"))).alias("metadata"),
+        least(main).alias("response"),
+        least(F.col("type") == "request").alias("request"),
+        least(F.col("type") == "metadata").alias("metadata"),
         F.count_if(main).alias("copies"),
     )
     found = grouped.where("response is not null").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))

@@ -176,6 +176,18 @@ def test_warc_round_trip(spark):
         list(warc.parse(bytes(files[0].content)[:-9]))
 
 
+def test_transactions_are_assembled_by_the_capture_they_name(spark):
+    rows = [("response", "c1", None, "u"), ("request", "r1", "c1", "u"), ("metadata", "m1", "c1", "u"), ("request", "r0", "c1", "first"), ("request", "r2", "nowhere", "u"), ("metadata", "m2", None, "u")]
+    rows += [("revisit", "c2", None, "v"), ("metadata", "m3", "c2", None), ("metadata", "m3", "c2", "v"), ("response", "c3", None, "w"), ("response", "c3", None, "w"), ("request", "r3", "c3", "w")]
+    records = spark.createDataFrame([(kind, i, to, None, uri, "d", 1, k, "x", None) for k, (kind, i, to, uri) in enumerate(rows)], warc.RECORD)
+    got = sorted((r.capture_id, r.response.type, r.request and (r.request.record_id, r.request.target_uri), r.metadata and (r.metadata.record_id, r.metadata.payload_bytes)) for r in warc.assemble(records).collect())
+    assert got == [("c1", "response", ("r0", "first"), ("m1", 2)), ("c2", "revisit", None, ("m3", 7)), *[("c3", "response", ("r3", "w"), None)] * 2]
+    from corpusloom.llm.queries import QUERIES
+
+    plan = QUERIES["op5_warc"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("min_by(") == 3  # no side of the assembly is pruned
+
+
 def test_members_end_in_a_zero():
     for block in (b"", b"x", bytes(1 << 24), b"ab" * ((1 << 23) + 7)):
         whole = warc.member(block) + b"\0"
