@@ -100,7 +100,9 @@ class Model:
     def scores(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """(language, score 0..1) of each text; (und, 0) for null or where no letter stands. Ties go to the smaller name.
 
-        Runs of letter bytes are weighed once while they are remembered.
+        The language is that of the greatest mean weight over all words. The score is its share when that mean counts as
+        often as there are words, 50 times at most: only the score's sharpness is bounded, so that it tells long texts apart.
+        A run of LONG letters or more is weighed by its n-grams, as it was counted; shorter unseen words are too. Runs of letter bytes are weighed once while they are remembered.
         """
         own = self.ready()
         total = np.zeros((len(texts), len(self.langs) + 1))

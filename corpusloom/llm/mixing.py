@@ -1,6 +1,7 @@
 """Mixing sources to target weights: exact quotas, dealt to shards by a multivariate-hypergeometric splitting tree.
 
-Only DataFrame and SQL functions run here. A source's documents fall into blocks of about `block_words` words by a hash.
+Only DataFrame and SQL functions run here. A source's documents fall into blocks by a hash, of about `block_words` words at
+most, and some for every shard while there are documents enough.
 Its quota of words is that many full passes over its blocks, then blocks in a permuted order until the quota is reached;
 the block in which that happens gives documents in hash order. The draws of all sources are then split: a tree node holds
 how many draws of each source its shards get, its left half takes a multivariate-hypergeometric sample of them, and so on
@@ -81,8 +82,8 @@ def _deal(nodes: DataFrame, shards: int, seed: int) -> DataFrame:
     nodes = nodes.select("grp", F.lit(0).alias("first"), F.lit(shards).alias("k"), "places", "q", "caps")
     half = F.floor(F.col("k") / 2).cast("int")
     for level in range((shards - 1).bit_length()):
-        if level == 10:
-            nodes = nodes.repartition("grp", "first")
+        if level and level % 5 == 0:
+            nodes = stored(nodes.repartition("grp", "first"), "mix-nodes")
         nodes = nodes.withColumn("left", F.when(F.col("k") > 1, _left(seed)))
         whole = F.struct("first", "k", "q", "caps")
         left = F.struct(F.col("first"), half.alias("k"), F.col("left").alias("q"), F.slice("caps", F.lit(1), half).alias("caps"))
@@ -114,9 +115,10 @@ def split_tree(quotas: DataFrame, shards: int, seed: int = 7) -> DataFrame:
             upto = lambda i: F.floor(total * i / shards).cast("long")
             nodes = nodes.withColumn("caps", F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda i: upto(i) - upto(i - 1)))
         else:
-            held = dealt.groupBy(F.col("place").alias("grp")).agg(F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("held"))
-            of = lambda i: F.coalesce(F.get(F.map_values(F.map_filter("held", lambda s, _: s == i)), F.lit(0)), F.lit(0).cast("long"))
-            nodes = nodes.join(held, "grp").withColumn("caps", F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), of)).drop("held")
+            none = dealt.select("place").distinct().select("place", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(0).cast("long").alias("n"))
+            held = dealt.select("place", "shard", "n").union(none).groupBy(F.col("place").alias("grp"), "shard").agg(F.sum("n").alias("n"))
+            held = held.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("held"))
+            nodes = nodes.join(held.select("grp", F.col("held.n").alias("caps")), "grp")
         dealt = stored(_deal(nodes, shards, seed + depth), "mix-tree")
     return dealt
 
@@ -150,9 +152,11 @@ def _upto(rows: DataFrame, by: list[str], order: list[Column], value: Column, na
     return run.join(starts, [*by, "stretch"]).withColumn(name, F.col("__start") + F.col("__run")).drop("stretch", "__v", "__run", "__start")
 
 
-def plan(sized: DataFrame, block_words: int = 1 << 18, shards: int | None = None, most: int = 3, tolerance: float = 0.001, seed: int = 7) -> Plan:
+def plan(sized: DataFrame, block_words: int = 1 << 18, shards: int | None = None, most: int = 3, tolerance: float = 0.001, seed: int = 7, spread: int = 64) -> Plan:
     """Decide how often each block is drawn and into which shards, from (doc_id, source, size, mark).
 
+    A source has a block for every `block_words` words, and `spread` of them or two a shard at least, unless it has fewer
+    documents: so that the tree deals it to all shards, and a pass is many draws.
     A draw is (copy, shard, whole). In the block that meets the quota, in hash order, the documents before the hash
     `last` are taken in the last draw, and those at it give `cut` words. That is all or none of them, whichever comes
     nearer to the quota, if that misses it by `tolerance` of the target at most; else as many words as are missing.
@@ -160,8 +164,9 @@ def plan(sized: DataFrame, block_words: int = 1 << 18, shards: int | None = None
     """
     spark = sized.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    sources = targets(sizes, most).withColumn("blocks", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / block_words)))
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
+    least = F.least(F.col("documents"), F.lit(max(spread, 2 * shards)).cast("long"))
+    sources = targets(sizes, most).withColumn("blocks", F.greatest(F.lit(1).cast("long"), least, F.ceil(F.col("source_size") / block_words))).drop("documents")
     sources = sources.withColumn("quota", F.least(F.round("target").cast("long"), F.col("source_size") * most))
     sources = sources.withColumn("full", F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(0)).withColumn("left", F.col("quota") - F.col("full") * F.col("source_size"))
     sources = stored(sources, "mix-sources")

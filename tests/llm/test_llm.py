@@ -408,6 +408,75 @@ def test_mixing(spark, docs, none):
     assert all(counts[i] == len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, *_ in ROWS)
 
 
+def spark_hash(*parts):
+    """xxhash64() of ints (4 bytes), longs and strings; null leaves the hash as it is."""
+    import xxhash
+
+    h = 42
+    for kind, x in parts:
+        if x is not None:
+            h = xxhash.xxh64_intdigest(x.encode() if kind == "s" else int(x).to_bytes(4 if kind == "i" else 8, "little", signed=True), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+@pytest.mark.parametrize(("tolerance", "shards"), [(0.001, 5), (0.0, 3), (0.001, 40)])
+def test_mixing_takes_what_plain_dealing_takes(spark, tolerance, shards):
+    """Blocks, passes, the block that meets the quota and the document it is met in, dealt by the same hashes in plain Python."""
+    rng = np.random.default_rng(4)
+    rows = [(int(k), " ".join(["w"] * int(rng.integers(0, 80))), s) for k, s in enumerate(rng.choice(["a", "b", "c", "d"], 700, p=[0.6, 0.25, 0.1, 0.05]))]
+    rows += [(900, "x y z", None), (None, "n o id", "b"), (5, "twice", "c"), (5, "twice", "c"), (901, None, "e"), (902, "", "d")]
+    rows = [(i, t, None if s is None else str(s)) for i, t, s in rows]
+    got = mixing.mixing_decisions(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_words=300, shards=shards, tolerance=tolerance, spread=12).collect()
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len((t or "").split())
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    target, want = reshared(size), Counter()
+    for place, s in enumerate(order, 1):
+        own = [(i, t, len((t or "").split())) for i, t, x in rows if x == s]
+        blocks = max(1, min(len(own), max(12, 2 * shards)), -(-size[s] // 300))
+        mark = {t: spark_hash(("s", t)) for _, t, _ in own}
+        block = lambda r: spark_hash(("i", 7), ("l", r[0]), ("l", r[2]), ("l", mark[r[1]])) % blocks  # noqa: B023, E731
+        at = lambda r: spark_hash(("i", 7), ("l", r[0]), ("l", r[2]), ("l", mark[r[1]]), ("s", "row"))  # noqa: B023, E731
+        quota = min(round(target[s]), 3 * size[s])
+        full, left = divmod(quota, size[s]) if size[s] else (0, 0)
+        words = Counter()
+        for r in own:
+            words[block(r)] += r[2]
+        taken, begins = {b: full for b in words}, 0
+        cut = {}
+        for b in sorted(words, key=lambda b: (spark_hash(("i", 7), ("l", place), ("l", b)), b)):
+            if begins >= left:
+                break
+            if begins + words[b] <= left:
+                taken[b] += 1
+            else:
+                cut[b] = left - begins
+            begins += words[b]
+        for r in own:
+            n = taken[block(r)] * r[2]
+            if (rest := cut.get(block(r))) is not None:
+                inside = Counter()
+                for x in own:
+                    if block(x) == block(r):
+                        inside[at(x)] += x[2]
+                upto, met = 0, None
+                for h in sorted(inside):
+                    if upto + inside[h] > rest:
+                        met = h
+                        break
+                    upto += inside[h]
+                over, under = upto + inside[met] - rest, rest - upto
+                near = min(over, under) <= target[s] * tolerance
+                part = (inside[met] if over <= under else 0) if near else under
+                n += r[2] if at(r) < met else part // sum(at(x) == met for x in own if block(x) == block(r)) if at(r) == met else 0
+            want[r[0], r[2], s, n] += 1
+    assert Counter((r.doc_id, r.size, r.source, r.taken) for r in got) == want
+    draws = Counter((r.source, d.shard) for r in got for d in r.draws)
+    assert len({shard for _, shard in draws}) == shards  # and the tree deals the large sources to every shard
+    assert sum(draws["a", k] > 0 for k in range(shards)) >= min(shards, 5)
+
+
 @pytest.mark.parametrize("sizes", [{"a": 1, "b": 1000, "c": 5, None: 70}, {f"s{k:03}": 3**(k % 9) for k in range(60)}, {"a": 0, "b": 0}])
 def test_targets_are_reshared_round_by_round(spark, sizes):
     got = mixing.targets(spark.createDataFrame([*sizes.items()], "source string, source_size long")).collect()
