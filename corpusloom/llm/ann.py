@@ -49,7 +49,6 @@ class Index:
     entries: np.ndarray
     sample: np.ndarray
     sample_lists: np.ndarray | None = None
-    walk_from: int = 1024
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         """Vectors in the centroids' space."""
@@ -60,13 +59,12 @@ class Index:
         """(centroid, squared distance) of the nearest centroids found for each row, nearest first.
 
         Best-first walk over the graph for all rows at once: each row expands its nearest centroid that it hasn't
-        expanded, until none of its pool is left. Up to `walk_from` centroids, and for a pool of an eighth of them or
-        more, looking at all takes less than walking.
+        expanded, until none of its pool is left. A pool of all centroids needs no walk.
         """
         n, k = len(x), len(self.centroids)
         pool = min(pool, k)
         norms = (self.centroids**2).sum(axis=1)
-        if k <= self.walk_from or 8 * pool >= k:
+        if pool >= k:
             d = norms - 2 * x @ self.centroids.T
             ids = np.argsort(d, axis=1, kind="stable")[:, :pool]
             return ids, np.take_along_axis(d, ids, axis=1) + (x**2).sum(axis=1, keepdims=True)
@@ -211,7 +209,7 @@ def _probed(rows: DataFrame, index, pool: int, ratio: float, least: int, k: int)
     return rows.select("vec_id", "vector").mapInArrow(of_batches, f"list long, vec_id long, vector {rows.schema['vector'].dataType.simpleString()}, floor double")
 
 
-def _refined(posted: DataFrame, probed: DataFrame, longest: float, list_size: int, part: int, closure: float, least: int, pairs: DataFrame | None, miss: float) -> tuple[DataFrame, DataFrame]:
+def _refined(posted: DataFrame, probed: DataFrame, lists: int, longest: float, list_size: int, part: int, closure: float, least: int, pairs: DataFrame | None, miss: float) -> tuple[DataFrame, DataFrame]:
     """Lists of over `part` rows cut into lists of their own, as often as there are such, so lists stay small at any size.
 
     Where that happens a query doesn't read all of its lists, so its floor no longer holds and is dropped.
@@ -220,7 +218,8 @@ def _refined(posted: DataFrame, probed: DataFrame, longest: float, list_size: in
     meet those centroids in cells of `part` rows, so a hot list is shared by tasks. A vector goes to its nearest list
     and, at a border, to the second; a query reads those that the ratio allows. The ratio is fitted by the true
     neighbours `pairs` (query, vec_id) of the trial queries: half of the share `miss` of those held in lists that are
-    cut may be lost, then half of the rest, and so on. No centroid of theirs leaves the tables.
+    cut may be lost, then half of the rest, and so on. No centroid of theirs leaves the tables. The new lists of a list
+    are numbered from 4 * `lists` + 256 times its number on, so no two lists of any depth share one.
     """
     most, name = 256, posted.schema["vector"].dataType.simpleString()
     lift = lambda x: Index(None, None, longest, None, None).lifted(x)
@@ -245,8 +244,8 @@ def _refined(posted: DataFrame, probed: DataFrame, longest: float, list_size: in
             out = rows.select(kept).take(pa.array(row))
             if queries:
                 out = out.append_column("apart", pa.array(apart(near, least)[row, col]))
-            lists = rows.column("list").to_numpy()[row] * most + ids[row, col] + 1
-            return out.set_column(out.column_names.index("list"), "list", pa.array(lists))
+            numbers = 4 * lists + rows.column("list").to_numpy()[row] * most + ids[row, col]
+            return out.set_column(out.column_names.index("list"), "list", pa.array(numbers))
 
         return of_cell
 
@@ -351,8 +350,8 @@ def tuned(index: Index, queries: np.ndarray, wanted: list[tuple[int, list[int]]]
 
 
 def nearest(
-    vectors: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", list_size: int = 128, sample: int = 20_000, most_lists: int = 2500,
-    copies: int = 4, closure: float = 1.15, pool: int = 64, least: int = 4, part: int = 2048, recall: float = 0.94, trials: int = 200,
+    vectors: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", list_size: int = 64, sample: int = 20_000, most_lists: int = 2500,
+    copies: int = 4, closure: float = 1.15, pool: int = 16, least: int = 4, part: int = 2048, recall: float = 0.94, trials: int = 200,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest inner product found for each query row but itself.
 
@@ -361,8 +360,8 @@ def nearest(
     every class goes to its nearest list and to up to `copies` - 1 more that are within `closure` times its distance.
     Lists hold about `list_size` classes; beyond `most_lists` of them, lists of over `part` are cut again. A query looks
     for its nearest `pool` lists and reads those that the ratio of their excess distances allows (reached_by);
-    pool and ratio are fitted so that `trials` of the queries, held against brute force over all classes, find `recall`
-    of their neighbours. Lists and queries of a list are dealt to parts of at most about `part` rows, so a hot list is
+    pool and ratio are fitted so that `trials` vectors, held against brute force over all classes, find `recall` of their
+    neighbours; they are no queries, unless all vectors are. Lists and queries of a list are dealt to parts of at most about `part` rows, so a hot list is
     shared by tasks. Fewer candidates than k are all returned if found; an empty table, or one without usable rows,
     gives no rows. A vec_id with several vectors is a candidate with each, repeated rows are one; ids null take no part.
     """
@@ -389,9 +388,14 @@ def nearest(
     classes = members.select(F.col("class").alias("vec_id"), "vector")
     asked = rows.where(is_query).join(members.select("vector", "class"), "vector").select(F.col("vec_id").alias("query_id"), "class")
     asked = stored(asked, "queries")
-    asking = classes.join(asked.select(F.col("class").alias("vec_id")).distinct(), "vec_id")
+    own_classes = asked.select(F.col("class").alias("vec_id")).distinct()
+    trying = classes.join(own_classes, "vec_id", "left_anti").orderBy(F.xxhash64("vec_id", F.lit("trial")), "vec_id").limit(trials)
+    if trying.isEmpty():  # every vector is a query
+        trying = classes.orderBy(F.xxhash64("vec_id", F.lit("trial")), "vec_id").limit(trials)
+    trying = stored(trying, "trials")
+    asking = classes.join(own_classes.union(trying.select("vec_id")).distinct(), "vec_id")
     posted = stored(_posted(classes, index, max(16, copies), copies, closure), "postings")
-    trial, ratio, pairs = asking.orderBy(F.xxhash64("vec_id", F.lit("trial")), "vec_id").limit(trials).collect(), 1.0, None
+    trial, ratio, pairs = trying.collect(), 1.0, None
     long = facts["n"] > part and not posted.groupBy("list").count().where(F.col("count") > part).isEmpty()
     miss = (1 - recall) / 2 if long else 1 - recall
     if trial:
@@ -405,7 +409,7 @@ def nearest(
             pairs = spark.createDataFrame([(int(own[r.query]), r.vec_id) for r in true], "query long, vec_id long")
     probed = stored(_probed(asking, index, pool, ratio, least, k + 1), "probes")
     if long:
-        posted, probed = _refined(posted, probed, longest, list_size, part, closure, least, pairs, miss)
+        posted, probed = _refined(posted, probed, most_lists, longest, list_size, part, closure, least, pairs, miss)
     parts_of = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / part).cast("int").alias(name))
     parts = parts_of(posted, "v_parts").join(parts_of(probed, "q_parts"), "list")
     spread = lambda df, own, other, *more: df.join(parts, "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other), "vec_id", "vector", *more)
