@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators.dedup import first_examples
+from corpusloom.runtime import stored
 
 #: The names of the checks.
 TEXT_CODES = ("EMPTY_TEXT", "OUTER_WHITESPACE", "NON_NFC_UNICODE", "REPLACEMENT_CHARACTER", "CONTROL_CHARACTER")
@@ -35,7 +36,9 @@ def codes(flags: Sequence[tuple[str, Column]]) -> Column:
 
 
 def issue_report(issues: DataFrame, line: str = "line", most: int = 5) -> DataFrame:
-    """(code, n, examples): count and the first lines of each code. Examples are cut before they are gathered."""
+    """(code, n, examples): count and the first lines of each code. Issues are found once and stored; examples are cut before
+    they are gathered."""
+    issues = stored(issues.select("code", line), "issues")
     counts = issues.groupBy("code").agg(F.count("*").alias("n"))
     examples = first_examples(issues, ["code"], [line], most).groupBy("code").agg(F.sort_array(F.collect_list(line)).alias("examples"))
     return counts.join(examples, "code")
@@ -48,18 +51,21 @@ def repeated_ids(rows: DataFrame, id_col: str, line: str) -> DataFrame:
 
 
 def audit_predictions(manifest: DataFrame, predictions: DataFrame) -> DataFrame:
-    """One row per system: predicted, missing, unknown, repeated, empty and failed rows, and distinct settings."""
+    """One row per system: predicted, missing, unknown, repeated, empty and failed rows, and distinct settings.
+
+    Predictions are read once; a system's settings are few, so their sets are gathered.
+    """
     known = manifest.select("id").distinct().withColumn("wanted", F.lit(True))
     counted = predictions.groupBy("id", "system").agg(
         F.count("*").alias("n"), F.count_if(X.pstrip("prediction") == "").alias("n_empty"), F.count_if(F.col("status") != "ok").alias("n_failed"),
-        F.count_if((F.col("status") == "ok") & F.col("error").isNotNull()).alias("n_ok_with_error"), F.count_if((F.col("status") != "ok") & F.col("error").isNull()).alias("n_silent"),
+        F.count_if((F.col("status") == "ok") & F.col("error").isNotNull()).alias("n_ok_with_error"), F.count_if((F.col("status") != "ok") & F.col("error").isNull()).alias("n_silent"), F.sort_array(F.collect_set("config_id")).alias("configs"),
     )
     found = counted.join(known, "id", "left").groupBy("system").agg(
         F.sum("n").alias("n_rows"), F.count("wanted").alias("__known"), F.count_if(F.col("wanted").isNull()).alias("n_unknown"),
         F.sum(F.greatest(F.col("n") - 1, F.lit(0))).alias("n_repeated"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_empty", "n_failed", "n_ok_with_error", "n_silent")],
+        F.size(F.array_distinct(F.flatten(F.collect_set("configs")))).cast("long").alias("n_configs"),
     )
-    found = found.crossJoin(known.agg(F.count("*").alias("__all"))).withColumn("n_missing", F.col("__all") - F.col("__known")).drop("__all", "__known")
-    return found.join(predictions.groupBy("system").agg(F.count_distinct("config_id").alias("n_configs")), "system")
+    return found.crossJoin(known.agg(F.count("*").alias("__all"))).withColumn("n_missing", F.col("__all") - F.col("__known")).drop("__all", "__known")
 
 
 def incomplete(expected: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:

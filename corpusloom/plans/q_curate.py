@@ -208,6 +208,18 @@ def exact_leakage(spark, d):
     return D.shared_texts(lines.union(items).where("line <> ''"), "line", "id", "side", 5)
 
 
+PARTS = "select doc_id, text, if(('0x' || substr(md5('split|' || doc_id), 1, 12))::bigint % 5 = 0, 'test', 'train') part from documents"
+
+
+@query(f"""select sha256(text) digest, part as side, count(*) n, list_sort(list(doc_id))[1:5] ids from ({PARTS}) where text in (select text from ({PARTS}) where {V.pstrip_sql('text')} <> ''
+ group by text having count(distinct part) > 1) group by text, part""")
+def split_leakage(spark, d):
+    """Whole texts of documents that lie in both parts of a split by a hash of the id, with the first ids of each part."""
+    part = F.when(F.pmod(X.unit_hash(F.lit("split"), "doc_id"), F.lit(5)) == 0, "test").otherwise("train")
+    rows = table(spark, d, "documents").select("doc_id", "text", part.alias("side")).where(X.pstrip("text") != "")
+    return D.shared_texts(rows, "text", "doc_id", "side", 5)
+
+
 @query("select user_id, event_id, value from events qualify row_number() over (partition by user_id order by event_id desc) = 1")
 def union_last_wins(spark, d):
     parts = table(spark, d, "events").select("user_id", "event_id", "value")

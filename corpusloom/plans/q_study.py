@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import warnings
-
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
@@ -116,17 +114,18 @@ def tuning_slices(spark, d):
 
 
 @query(f"""with x as (select doc_id, n, (n < 20) warned, sha256('{V.SEED}|priority|' || doc_id) h, row_number() over (order by n, doc_id) lo, row_number() over (order by n desc, doc_id desc) hi from ({RANKED})),
- y as (select doc_id, case when warned then 1 when lo = 1 then 2 when hi = 1 then 3 else 4 end priority, h from x) select doc_id, priority::int priority from y order by priority, h, doc_id limit 200""")
+ y as (select doc_id, case when warned then 1 when lo = 1 then 2 when hi = 1 then 3 else 4 end priority, h from x) select doc_id, priority::int priority from y order by priority, h, doc_id limit (select greatest(200, count(*) // 5) from documents)""")
 def priority_sample(spark, d):
-    """Warned rows, the shortest, the longest, then rows in hash order, 200 in all."""
-    return prioritized(table(spark, d, "documents"), 200)
+    """Warned rows, the shortest, the longest, then rows in hash order: a fifth of all rows, 200 at least."""
+    docs = table(spark, d, "documents")
+    return prioritized(docs, max(200, docs.count() // 5))
 
 
 def prioritized(docs, total):
     """(doc_id, priority): all warned rows, the shortest, the longest, and rows in hash order until there are `total`.
 
-    A row of under 20 words or with a flag of text_flags is warned. The total bounds the fill alone: if more rows are
-    warned, all of them stay with the shortest and the longest, and a RuntimeWarning tells how many.
+    A row of under 20 words or with a flag of text_flags is warned. More warned rows than `total` are an error, as they are
+    in the study; the shortest and the longest row come on top of warned ones where these reach the total.
     """
     n = X.word_count("text")
     warned = F.coalesce((n < 20) | (F.size(V2.codes(V2.text_flags("text"))) > 0), F.lit(False))
@@ -135,7 +134,7 @@ def prioritized(docs, total):
     ends = rows.agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.count_if("warned").alias("n_warned"))
     n_warned = ends.first()["n_warned"]
     if n_warned > total:
-        warnings.warn(f"{n_warned} rows are warned, more than the total of {total}; all are kept", RuntimeWarning, stacklevel=2)
+        raise ValueError(f"{n_warned} rows are warned, more than the total of {total}")
     priority = F.when(F.col("warned"), 1).when(own == F.col("lo"), 2).when(own == F.col("hi"), 3).otherwise(4)
     ranked_ = rows.crossJoin(ends).select("doc_id", priority.alias("priority"))
     must = ranked_.where("priority < 4")

@@ -370,9 +370,9 @@ def test_priority_sample_keeps_all_warned(spark):
     warned = {*range(7), 10, 11, 12}
     got = {r.doc_id: r.priority for r in q_study.prioritized(df, 15).collect()}
     assert len(got) == 15 and {i for i, p in got.items() if p == 1} == warned and got[39] == 3
-    with pytest.warns(RuntimeWarning, match="10 rows are warned"):
-        got = {r.doc_id: r.priority for r in q_study.prioritized(df, 5).collect()}
-    assert set(got) == warned | {39}
+    assert {r.doc_id for r in q_study.prioritized(df, 10).collect()} == warned | {39}
+    with pytest.raises(ValueError, match="10 rows are warned"):
+        q_study.prioritized(df, 5)
 
 
 def test_lines_of_many_splits(spark, tmp_path):
