@@ -7,6 +7,7 @@ from math import inf
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from corpusloom.runtime import ship
 Scorer = Callable[[Sequence[Sequence[int]], Sequence[Sequence[int]]], np.ndarray]
 #: Fixed value: how a space is written in a piece.
 SPACE = "▁"
+#: Scores of this many tokens at most are copied and sorted together.
+CELLS = 1 << 18
 
 
 def banned(tokens: Sequence[int], n: int) -> set[int]:
@@ -27,70 +30,121 @@ def banned(tokens: Sequence[int], n: int) -> set[int]:
     return {tokens[k + n - 1] for k in range(len(tokens) - n + 1) if tuple(tokens[k : k + n - 1]) == head}
 
 
-def allowed(scores: np.ndarray, tokens: Sequence[int], least: int, ngram: int) -> np.ndarray:
-    """Scores with start and padding ruled out, the end mark before `least` new tokens, and what repeats an n-gram."""
-    out = scores.astype(float).copy()
-    out[[BOS, PAD]] = -inf
-    if len(tokens) - 1 < least:
-        out[EOS] = -inf
-    out[list(banned(tokens, ngram))] = -inf
+def allowed(scores: np.ndarray, tokens: np.ndarray, least: int, ngram: int) -> np.ndarray:
+    """Scores with start and padding ruled out, the end mark before `least` new tokens, and what repeats an n-gram.
+
+    A row of both arrays is a hypothesis; all are of one length, so an n-gram is looked up in all of them at once.
+    """
+    out, size = scores.astype(float), tokens.shape[1]
+    out[:, [BOS, PAD]] = -inf
+    if size - 1 < least:
+        out[:, EOS] = -inf
+    if ngram > 0:
+        head = tokens[:, size - ngram + 1 :]
+        for k in range(size - ngram + 1):
+            hit = np.flatnonzero((tokens[:, k : k + ngram - 1] == head).all(axis=1))
+            out[hit, tokens[hit, k + ngram - 1]] = -inf
     return out
 
 
+def _blocks(scores: Sequence[Sequence[float]]) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, rows) of scores, so many rows at a time that their copies stay small."""
+    rows = max(1, CELLS // max(1, len(scores[0])))
+    for k in range(0, len(scores), rows):
+        yield k, np.asarray(scores[k : k + rows])
+
+
 def greedy(scorer: Scorer, sources: Sequence[Sequence[int]], most: int, least: int = 0, ngram: int = 0) -> list[list[int]]:
     """The best allowed token after another for each source, until the end mark or `most` new tokens; ties to smaller ids.
 
     All unfinished sources are scored together.
     """
-    out = [[BOS] for _ in sources]
-    open_ = list(range(len(sources)))
+    out: list[list[int]] = [[BOS] for _ in sources]
+    open_, tokens = list(range(len(sources))), np.full((len(sources), 1), BOS)
     for _ in range(most):
         if not open_:
             break
-        scores = scorer([sources[k] for k in open_], [out[k] for k in open_])
-        for k, own in zip(open_, scores, strict=True):
-            out[k].append(int(np.argmax(allowed(own, out[k], least, ngram))))
-        open_ = [k for k in open_ if out[k][-1] != EOS]
+        scores = scorer([sources[k] for k in open_], tokens.tolist())
+        best = np.concatenate([allowed(own, tokens[k : k + len(own)], least, ngram).argmax(axis=1) for k, own in _blocks(scores)])
+        for k, token in zip(open_, best.tolist(), strict=True):
+            out[k].append(token)
+        going = best != EOS
+        open_ = [k for k, on in zip(open_, going.tolist(), strict=True) if on]
+        tokens = np.column_stack([tokens, best])[going]
     return out
 
 
+def _grown(scores: np.ndarray, tokens: np.ndarray, width: int, least: int, ngram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, log probabilities) of the `width` likeliest allowed next tokens of every row; what is not allowed is -inf."""
+    fit = allowed(scores, tokens, least, ngram)
+    most = fit.max(axis=1, keepdims=True)
+    shift = np.where(most > -inf, most, 0.0)
+    with np.errstate(divide="ignore"):
+        total = shift + np.log(np.exp(fit - shift).sum(axis=1, keepdims=True))
+    rows, top, best = np.arange(len(fit)), [], []
+    for _ in range(min(width, fit.shape[1])):
+        top.append(fit.argmax(axis=1))
+        best.append(fit[rows, top[-1]])
+        fit[rows, top[-1]] = -inf
+    gain = np.column_stack(best)
+    return np.column_stack(top), np.subtract(gain, total, out=np.full_like(gain, -inf), where=gain > -inf)
+
+
 def beam(scorer: Scorer, sources: Sequence[Sequence[int]], width: int, most: int, least: int = 0, ngram: int = 0, alpha: float = 1.0) -> list[list[int]]:
     """The best hypothesis of each source by log probability over ((5 + new tokens) / 6) ** alpha.
 
     Each step grows every open hypothesis by its `width` likeliest allowed tokens and keeps the `width` best open ones of
-    a source; those that the end mark closes are all kept, and nothing stops the search before `most` new tokens but
-    that none is open. The open ones of all sources are scored together. Ties go to what was found first, smaller ids
-    before; a source without any hypothesis gives the start and the end mark.
+    a source; of those that the end mark closes the best is kept, and nothing stops the search before `most` new tokens
+    but that none is open. The open ones of all sources are scored, grown and ranked together, as rows of arrays. Ties go
+    to what was found first, smaller ids before; a source without any hypothesis gives the start and the end mark.
     """
-    worth = lambda h: h[0] / ((4 + max(2, len(h[1]))) / 6) ** alpha
-    open_: list[list[tuple[float, list[int]]]] = [[(0.0, [BOS])] for _ in sources]
-    closed: list[list[tuple[float, list[int]]]] = [[] for _ in sources]
+    best, worth = [[BOS, EOS] if most else [BOS] for _ in sources], np.full(len(sources), -inf)
+    owner, log, tokens = np.arange(len(sources)), np.zeros(len(sources)), np.full((len(sources), 1), BOS)
+
+    def ranked(own: np.ndarray, value: np.ndarray, most: int) -> np.ndarray:
+        """The places of the `most` best values of each owner, owners ascending, of equal values the first."""
+        order = np.lexsort((-value, own))
+        first = np.searchsorted(own[order], own[order])
+        return order[np.arange(len(order)) - first < most]
+
+    def close(own: np.ndarray, value: np.ndarray, rows: np.ndarray) -> None:
+        """Take rows of tokens that are worth more than what their owners have."""
+        for k in ranked(own, value, 1).tolist():
+            if value[k] > worth[own[k]]:
+                worth[own[k]], best[own[k]] = value[k], rows[k].tolist()
+
     for _ in range(most):
-        every = [(k, log, tokens) for k, own in enumerate(open_) for log, tokens in own]
-        if not every:
+        if not len(owner):
             break
-        scores = scorer([sources[k] for k, _, _ in every], [tokens for _, _, tokens in every])
-        grown: list[list[tuple[float, list[int]]]] = [[] for _ in sources]
-        for (k, log, tokens), own in zip(every, scores, strict=True):
-            fit = allowed(own, tokens, least, ngram)
-            total = np.logaddexp.reduce(fit)
-            for token in np.argsort(-fit, kind="stable")[:width].tolist():
-                if fit[token] > -inf:
-                    (closed if token == EOS else grown)[k].append((log + float(fit[token] - total), [*tokens, token]))
-        open_ = [sorted(own, key=worth, reverse=True)[:width] for own in grown]
-    return [max(ended + own, key=worth, default=(0.0, [BOS, EOS]))[1] for ended, own in zip(closed, open_, strict=True)]
+        scores = scorer([sources[k] for k in owner.tolist()], tokens.tolist())
+        parts = [_grown(own, tokens[k : k + len(own)], width, least, ngram) for k, own in _blocks(scores)]
+        top, gain = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        row, at = np.nonzero(gain > -inf)
+        owner, log, tokens = owner[row], log[row] + gain[row, at], np.column_stack([tokens[row], top[row, at]])
+        value = log / ((4 + max(2, tokens.shape[1])) / 6) ** alpha
+        ended = tokens[:, -1] == EOS
+        close(owner[ended], value[ended], tokens[ended])
+        going = np.flatnonzero(~ended)
+        kept = going[ranked(owner[going], value[going], width)]
+        owner, log, tokens, value = owner[kept], log[kept], tokens[kept], value[kept]
+    if most:
+        close(owner, value if len(owner) else log, tokens)
+    return best
 
 
 def _decoded(rows: DataFrame, ids: str, name: str, decode: Callable[[list[list[int]]], list[list[int]]]) -> DataFrame:
     """rows with what `decode` gives for their ids, a batch at a time; null ids are an empty source."""
     ship(rows.sparkSession)
 
-    def of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names, at = rows.columns, rows.columns.index(ids)
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.assign(**{name: decode([[] if x is None else list(x) for x in b[ids]])})
+            out = decode([x or [] for x in b.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()))], names=[*names, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInPandas(of_batches, f"{schema}, `{name}` array<int>")
+    return rows.mapInArrow(of_batches, f"{schema}, `{name}` array<int>")
 
 
 def decode_greedily(rows: DataFrame, ids: str, scorer: Scorer, most: int, least: int = 0, ngram: int = 0, name: str = "decoded") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.functions import metrics as M
@@ -158,18 +159,18 @@ def unigram_pieces(spark, d):
 
 def next_scores(sources, tokens):
     """A stand-in for a network: prefers the source's tokens in order, then the end mark."""
-    import numpy as np
-
-    out = np.zeros((len(sources), 64))
-    for k, (source, own) in enumerate(zip(sources, tokens, strict=True)):
-        place = len(own) - 1
-        out[k, source[place] % 60 + 4 if place < len(source) else 3] = 2.0
-        out[k, 4 + (place * 7) % 60] += 1.0
+    out, rows = np.zeros((len(sources), 64)), np.arange(len(sources))
+    place = np.array([len(own) - 1 for own in tokens], int)
+    out[rows, [source[k] % 60 + 4 if k < len(source) else 3 for source, k in zip(sources, place.tolist(), strict=True)]] = 2.0
+    out[rows, 4 + (place * 7) % 60] += 1.0
     return out
 
 
 def ordered_parts(spark, d):
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("int").alias("p"))
+    """(l_orderkey, ids): parts of an order by line. The number of partitions is given, since adaptive ones go by bytes and
+    would leave small rows that are dear to decode to few cores."""
+    n = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("int").alias("p")).repartition(n, "l_orderkey")
     return lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "p"))), lambda s: s["p"]).alias("ids"))
 
 

@@ -530,6 +530,21 @@ def test_wide_beams_find_the_best_of_all(least, ngram, alpha):
     assert decoding.beam(by_hash, [], 2, most) == [] and decoding.beam(lambda s, t: np.full((len(t), 6), -np.inf), [[1]], 2, most) == [[2, 3]]
 
 
+def test_a_batch_of_beams_is_searched_as_arrays(monkeypatch):
+    """Hypotheses of a step are grown together, not one by one; wide scores a block at a time."""
+    from corpusloom.plans import q_sequences
+
+    whole, seen = decoding.allowed, []
+    monkeypatch.setattr(decoding, "allowed", lambda scores, *more: seen.append(scores.shape) or whole(scores, *more))
+    decoding.beam(q_sequences.next_scores, [[k, 2 * k, 3 * k + 1][: k % 4] for k in range(400)], 4, 12, 2, 3, 1.1)
+    assert len(seen) == 12 and seen[0] == (400, 64) and seen[5][0] > 400
+    wide = lambda s, t: np.tile(np.arange(100_000.0) % 977, (len(t), 1))
+    seen.clear()
+    found = decoding.beam(wide, [[1]] * 9, 2, 3), decoding.greedy(wide, [[1]] * 9, 3)
+    assert max(rows * cells for rows, cells in seen) <= decoding.CELLS
+    assert found == (decoding.beam(wide, [[1]], 2, 3) * 9, decoding.greedy(wide, [[1]], 3) * 9)
+
+
 def test_best_paths_over_pieces(spark):
     from itertools import product
 
