@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +11,23 @@ from corpusloom.functions.draws import let
 from corpusloom.functions.text import col
 
 
+def _runs(tokens: Column | str, n: int, gram: Callable[[list[Column]], Column]) -> Column:
+    """gram(the n tokens) of every place of a token array, in order; none if it is shorter.
+
+    The array is found once, and tokens are taken from it by place: slices would copy all of it for each gram.
+    """
+    places = lambda t: F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n)).otherwise(F.array().cast("array<int>"))
+    return let(col(tokens), lambda t: F.transform(places(t), lambda i: gram([F.get(t, i + k) for k in range(n)])))
+
+
 def ngrams(tokens: Column | str, n: int) -> Column:
     """The n-grams of a token array as arrays, in order; none if it is shorter."""
-    t = col(tokens)
-    some = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.slice(t, i, n))
-    return F.when(F.size(t) >= n, some).otherwise(F.array().cast("array<array<string>>"))
+    return _runs(tokens, n, lambda g: F.array(*g))
+
+
+def joined_ngrams(tokens: Column | str, n: int, sep: str = "\u0001") -> Column:
+    """The n-grams as strings, which are cheaper to count than arrays."""
+    return _runs(tokens, n, lambda g: F.concat_ws(sep, *g))
 
 
 def scores(overlap: Column, predicted: Column, referred: Column) -> tuple[Column, Column, Column]:
@@ -34,7 +48,7 @@ def rouge_ns(rows: DataFrame, keys: list[str], predicted: str, reference: str, s
     Grams of both sides and of all sizes are counted together in one aggregation, a signed pair of counts a gram, so no side
     is joined; the counts are summed in every task before the shuffle. Rows without grams come from a left join.
     """
-    side = lambda c, own, n: F.transform(ngrams(c, n), lambda g: F.struct(F.array_join(g, "\u0001").alias("g"), F.lit(n).alias("n"), F.lit(own).alias("own")))
+    side = lambda c, own, n: F.transform(joined_ngrams(c, n), lambda g: F.struct(g.alias("g"), F.lit(n).alias("n"), F.lit(own).alias("own")))
     grams = rows.select(*keys, F.explode(F.concat(*[side(c, own, n) for c, own in ((predicted, 1), (reference, 0)) for n in sizes])).alias("x"))
     counts = grams.groupBy(*keys, "x.g", "x.n").agg(F.count_if(F.col("x.own") == 1).alias("p"), F.count_if(F.col("x.own") == 0).alias("r"))
     of = lambda n, c: F.sum(F.when(F.col("n") == n, c))

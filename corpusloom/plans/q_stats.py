@@ -50,8 +50,8 @@ def rouge_2(spark, d):
 
 @query(f"select gram, count(*) n from (select unnest({grams_sql('t', 2)}) gram from (select {V.tokens_sql('text')} t from documents)) group by gram")
 def ngram_counts(spark, d):
-    grams = table(spark, d, "documents").select(F.explode(M.ngrams(X.tokens("text"), 2)).alias("g"))
-    return grams.groupBy(F.array_join("g", "\u0001").alias("gram")).agg(F.count("*").alias("n"))
+    grams = table(spark, d, "documents").select(F.explode(M.joined_ngrams(X.tokens("text"), 2)).alias("gram"))
+    return grams.groupBy("gram").agg(F.count("*").alias("n"))
 
 
 def lcs_sql(rows: str) -> str:

@@ -240,3 +240,14 @@ def test_small_text_functions(spark):
     assert spark.range(1).select(X.without_prefixes(F.lit("module._orig_mod.module.w"))).first()[0] == "w"
     ids = spark.createDataFrame([("k", "test", 1), ("", "test", 2), (None, "dev", 3)], "id string, split string, line int")
     assert [r[0] for r in ids.select(X.sample_id("id", "split", "line")).collect()] == ["k", "test_2", "dev_3"]
+
+
+def test_ngrams_find_their_tokens_once(spark):
+    """A text is cut into tokens once, and no gram copies the array it comes from."""
+    from corpusloom.plans import q_stats
+
+    plan = q_stats.ngram_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and "slice(" not in plan
+    rows = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["a"]), (3, []), (4, None)], "k int, t array<string>")
+    got = {r.k: (r.g, r.j) for r in rows.select("k", M.ngrams("t", 2).alias("g"), M.joined_ngrams("t", 2).alias("j")).collect()}
+    assert got == {1: ([["a", "b"], ["b", "a"]], ["a\x01b", "b\x01a"]), 2: ([], []), 3: ([], []), 4: ([], [])}
