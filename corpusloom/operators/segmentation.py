@@ -59,15 +59,15 @@ def compounds(rows: DataFrame, tokens: str, most: int, least: int = 5, longest:
     """(compound, n, worth): what follows one another more often than chance, the `most` commonest, ties by the compound.
 
     The worth of a run of two to `longest` tokens is the log of how many times more often it occurs than its tokens would
-    by chance; runs of fewer than `least` occurrences or less than `apart` are no compounds. Runs are summed in every task
-    before the shuffle.
+    by chance; runs of fewer than `least` occurrences or less than `apart` are no compounds. Tokens hold no space, which joins
+    them in a run. Runs are summed in every task before the shuffle.
     """
-    runs = lambda n: F.transform(M.ngrams(tokens, n), lambda g: F.struct(F.array_join(g, " ").alias("run"), g.alias("parts")))
-    counts = rows.select(F.explode(F.concat(*[runs(n) for n in range(1, longest + 1)])).alias("r")).groupBy("r.run", "r.parts").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    runs = lambda n: F.transform(M.joined_ngrams(tokens, n, " "), lambda g: F.struct(g.alias("run"), F.lit(n).alias("k")))
+    counts = rows.select(F.explode(F.concat(*[runs(n) for n in range(1, longest + 1)])).alias("r")).groupBy("r.run", "r.k").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     counts = stored(counts, "runs")
-    single = counts.where(F.size("parts") == 1).select(F.col("run").alias("token"), F.ln(F.col("n").cast("double")).alias("log"))
+    single = counts.where("k = 1").select(F.col("run").alias("token"), F.ln(F.col("n").cast("double")).alias("log"))
     total = rows.agg(F.ln(F.coalesce(F.sum(F.size(tokens)), F.lit(0)).cast("double")).alias("log_all"))
-    each = counts.where(F.size("parts") > 1).select("run", "n", F.size("parts").alias("k"), F.explode("parts").alias("token")).join(single, "token")
+    each = counts.where("k > 1").select("run", "n", "k", F.explode(F.split("run", " ")).alias("token")).join(single, "token")
     joint = each.groupBy("run", "n", "k").agg(F.sum("log").alias("logs"), F.count("*").alias("found")).where("found = k").crossJoin(total)
     worth = F.round(F.ln(F.col("n").cast("double")) - F.col("logs") + (F.col("k") - 1) * F.col("log_all"), 6)
     some = joint.select(F.col("run").alias("compound"), "n", worth.alias("worth")).where(F.col("worth") >= apart)

@@ -587,6 +587,21 @@ def test_decoding_queries(spark):
     assert beams.keys() == parts.keys() and [beams[k] for k in some] == decoding.beam(q_sequences.next_scores, [parts[k] for k in some], 4, 12, 2, 3, 1.1)
 
 
+def test_runs_are_counted_as_strings(spark):
+    """Runs of a long text are taken by place, not by slices of it, and are shuffled as one string each."""
+    rows = spark.createDataFrame([(k, [f"w{k % 3}", "x", "y"] * 4) for k in range(9)], "k int, tokens array<string>")
+    taken = []
+    real = segmentation.stored
+    try:
+        segmentation.stored = lambda df, name: taken.append(df) or real(df, name)
+        found = {r.compound: r.n for r in segmentation.compounds(rows, "tokens", 99, least=2, apart=0.1).collect()}
+    finally:
+        segmentation.stored = real
+    assert "slice(" not in taken[0]._jdf.queryExecution().optimizedPlan().toString() and "array" not in taken[0].schema.simpleString()
+    want = Counter(" ".join(r.tokens[k : k + n]) for r in rows.collect() for n in (2, 3) for k in range(len(r.tokens) - n + 1))
+    assert found and all(want[c] == n for c, n in found.items())
+
+
 def matched(a, b):
     """Length of a longest common subsequence, as a longest ascending run of matching places."""
     places: dict = {}
