@@ -46,11 +46,30 @@ def lines_of(rows: DataFrame, name: str, body: str) -> DataFrame:
     return out.select(name, (F.col("pos") + 1).cast("long").alias("line"), "text", (F.col("pos") + 1 == F.col("__n")).alias("last"), "ended")
 
 
+#: How a JSON value may begin.
+BEGIN = r'^[ \t\r\n]*[{\["0-9tfnNI-]'
+
+
+def whole_json(text: Column | str) -> Column:
+    """Whether a text is one JSON value and nothing else; repeated keys, NaN and Infinity pass, unpaired surrogates don't.
+
+    Spark's parsers stop after the first value. So the text is read as an element of a list and as a field of an object:
+    what stands behind a value would have to go on in both, and nothing does.
+    """
+    t = F.col(text) if isinstance(text, str) else text
+
+    def reads(before: str, after: str) -> Column:
+        parsed = F.from_json(F.concat(F.lit(before), t, F.lit(after)), "a string, bad string", {"columnNameOfCorruptRecord": "bad", "allowSingleQuotes": "false"})
+        return parsed["bad"].isNull()
+
+    paired = F.regexp_replace(t, r"\\\\|\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}", " ")
+    return t.rlike(BEGIN) & reads('{"a":[', "]}") & reads('{"a":', "}") & ~paired.rlike(r"\\u[dD][89a-fA-F]")
+
+
 def judged(lines: DataFrame) -> DataFrame:
     """Lines with their issue: BLANK_LINE, INVALID_JSON, NOT_JSON_OBJECT, or null."""
-    parsed = F.try_parse_json("text")
     blank = F.trim("text") == ""
-    issue = F.when(blank, "BLANK_LINE").when(parsed.isNull(), "INVALID_JSON").when(~F.schema_of_variant(parsed).startswith("OBJECT"), "NOT_JSON_OBJECT")
+    issue = F.when(blank, "BLANK_LINE").when(~F.coalesce(whole_json("text"), F.lit(False)), "INVALID_JSON").when(~F.col("text").rlike(r"^[ \t\r\n]*\{"), "NOT_JSON_OBJECT")
     return lines.withColumn("issue", issue)
 
 

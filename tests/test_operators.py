@@ -420,6 +420,21 @@ def test_prediction_assertions(spark):
     validate.assert_frozen({"model": "m"}, {"model": "m"})
 
 
+def test_a_line_is_one_value_and_nothing_else(spark):
+    """What follows a first value makes a line invalid, as in DuckDB's json_valid."""
+    from tests.compare import duck
+
+    texts = ["4537960215852590 The on", "1 2", "1, 2", "1] , [2", "1]", "1}", '1,"b":2', '{"a":1} x', '{"a":1}{"b":2}', '[1],"x":[2]', '"a" "b"', "{} }", "[1] ]", "{}\t", " {}", "null", "true", "01", '""', "{'a':1}"]
+    texts += ['{"a":1,"a":2}', "NaN", '{"a":NaN}', r'"\ud800"', r'"\\ud800"', r'"\ud83d\ude00"', r'"\udc00"', "[[]]", " ", "", "1e400", "-0"]
+    got = {r.line: r.issue for r in jsonl.judged(spark.createDataFrame(list(enumerate(texts)), "line int, text string")).collect()}
+    con = duck("/root/testdata/sf0.001")
+    sql = "select case when trim(x, ' ') = '' then 'BLANK_LINE' when not json_valid(x) then 'INVALID_JSON' when json_type(if(json_valid(x), x, 'null')) <> 'OBJECT' then 'NOT_JSON_OBJECT' end from (select ? as x)"
+    for k, t in enumerate(texts):
+        assert got[k] == con.execute(sql, [t]).fetchall()[0][0], t
+    with pytest.raises(Exception, match="INVALID_JSON in line 1"):
+        jsonl.scan(spark.createDataFrame([("f", 1, '{"k": 1} junk')], "file string, line long, text string"), "k long").collect()
+
+
 def test_handoff(spark):
     row = lambda k, **more: json.dumps({"id": k, "system": "s", "config_id": "c", "prediction": "x", "status": "ok", "error": None} | more)
     manifest = spark.createDataFrame([("a",), ("b",)], "id string")
