@@ -251,3 +251,16 @@ def test_ngrams_find_their_tokens_once(spark):
     rows = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["a"]), (3, []), (4, None)], "k int, t array<string>")
     got = {r.k: (r.g, r.j) for r in rows.select("k", M.ngrams("t", 2).alias("g"), M.joined_ngrams("t", 2).alias("j")).collect()}
     assert got == {1: ([["a", "b"], ["b", "a"]], ["a\x01b", "b\x01a"]), 2: ([], []), 3: ([], []), 4: ([], [])}
+
+
+def test_nfc_goes_to_python_in_bounded_batches(spark):
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 28)}
+    old = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in names.items():
+            spark.conf.set(n, v)
+        X.clean_text("text")
+        assert [spark.conf.get(n) for n in names] == ["500", str(8 << 20)]
+    finally:
+        for n, v in old.items():
+            spark.conf.set(n, v)
