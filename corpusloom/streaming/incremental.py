@@ -19,29 +19,38 @@ COUNTERS = ("requested", "skipped", "success", "failed")
 LOGS = {"scores": "success", "raw": "success", "errors": "failed"}
 
 
-def executed(tasks: DataFrame, call: Callable[[dict], str], key: str = "key", attempts: int = 3, wait: Callable[[int], float] | None = None) -> DataFrame:
+def executed(tasks: DataFrame, call: Callable[[dict], str], key: str = "key", attempts: int = 3, wait: Callable[[int], float] | None = None, buckets: int = 1024) -> DataFrame:
     """A stream of tasks with value, error, attempts, raw and status: success, failed, or skipped.
 
-    The state of a key is whether a call for it succeeded. Such a key is never called again; one that failed is called when
-    it arrives again. Of equal keys in one batch the first success ends the calls. Null keys are a key like any other.
+    The state tells for which keys a call succeeded. Such a key is never called again; one that failed is called when it
+    arrives again. Of equal keys in one batch the first success ends the calls. Null keys are a key like any other.
+
+    Keys lie in `buckets` by a hash, and a bucket's state is its keys that are done: Python is entered once a bucket that
+    has tasks instead of once a key, and a bucket's rows still come in bounded batches. The number must stay the same as
+    long as the checkpoint lives.
     """
     ship(tasks.sparkSession)
-    names = tasks.columns
+    names, made_names = tasks.columns, [c.split()[0] for c in MADE.split(", ")]
 
-    def of_key(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done = state.exists
+    def of_bucket(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        done, new = set(state.get[0]) if state.exists else set(), False
         for b in batches:
             made = []
-            for row in b.to_dict("records"):
-                value, error, n, raw = (None, None, 0, None) if done else tried(call, row, attempts, wait)
-                made.append((value, error, n, raw, "skipped" if done else "failed" if error is not None else "success"))
-                if not done and error is None:
-                    state.update((True,))
-                    done = True
-            yield b.assign(**{c.split()[0]: pd.Series([m[k] for m in made], index=b.index, dtype="int32" if k == 2 else object) for k, c in enumerate(MADE.split(", "))})[[*names, *(c.split()[0] for c in MADE.split(", "))]]
+            for name, row in zip(b["__key"], b[names].to_dict("records"), strict=True):
+                known = name in done
+                value, error, n, raw = (None, None, 0, None) if known else tried(call, row, attempts, wait)
+                made.append((value, error, n, raw, "skipped" if known else "failed" if error is not None else "success"))
+                if not known and error is None:
+                    done.add(name)
+                    new = True
+            yield b[names].assign(**{c: pd.Series([m[k] for m in made], index=b.index, dtype="int32" if k == 2 else object) for k, c in enumerate(made_names)})
+        if new:
+            state.update((list(done),))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tasks.schema) + ", " + MADE
-    return tasks.groupBy(key).applyInPandasWithState(of_key, schema, "done boolean", "append", GroupStateTimeout.NoTimeout)
+    told = F.base64(key) if tasks.schema[key].dataType.typeName() == "binary" else F.col(key).cast("string")
+    named = tasks.withColumn("__key", F.coalesce(F.concat(F.lit("="), told), F.lit(""))).withColumn("__bucket", F.pmod(F.xxhash64("__key"), F.lit(buckets)))
+    return named.groupBy("__bucket").applyInPandasWithState(of_bucket, schema, "done array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def start_tasks(spark: SparkSession, tasks: DataFrame, out: str, call: Callable[[dict], str], key: str = "key", attempts: int = 3, wait: Callable[[int], float] | None = None) -> StreamingQuery:

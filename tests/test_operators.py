@@ -363,6 +363,23 @@ def test_bootstrap_queries(spark, monkeypatch):
     assert got.pair == "lead1>neural" and got.better == "lead1"
 
 
+def test_keys_share_the_state_of_their_bucket(spark, tmp_path):
+    """State and calls into Python grow with buckets, not with keys, and every key is still told apart."""
+    tasks, out = tmp_path / "tasks", str(tmp_path / "out")
+    stream = lambda: spark.readStream.schema("key string, n int").parquet(str(tasks))
+    rows = lambda upto: spark.range(upto).selectExpr("cast(id as string) as key", "cast(id as int) as n").union(spark.createDataFrame([(None, 3), ("", 2), ("=", 2)], "key string, n int"))
+    for upto, want in ((1500, (1503, 0, 751, 752)), (1600, (1603, 751, 50, 802))):
+        rows(upto).write.mode("append").parquet(str(tasks))
+        before = incremental.counters(spark, out)
+        query = incremental.start_tasks(spark, stream(), out, half)
+        query.awaitTermination()
+        after = incremental.counters(spark, out)
+        assert tuple(after[c] - before[c] for c in incremental.COUNTERS) == want
+        assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 1024
+    done = Counter(r.key for r in incremental.log(spark, out, "scores").collect())
+    assert done == Counter([*(str(k) for k in range(0, 1600, 2) if k != 4), "", "="])
+
+
 def test_priority_sample_keeps_all_warned(spark):
     long = " ".join(["word"] * 30)
     rows = [(k, "short text") for k in range(7)] + [(10, " " + long), (11, long + "\ufffd"), (12, "e\u0301 " + long)] + [(20 + k, long + " more" * k) for k in range(20)]
