@@ -60,12 +60,14 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
 def spearman_sets(df: DataFrame, x: str, y: str, by: str, every: str = "all", name: str = "scope") -> DataFrame:
     """(scope, n, rho): the correlation of average ranks in each group of `by`, and under `every` in all rows.
 
-    Both come from one scan: grouping sets count the distinct pairs of values, ranks are sums over those counts, and the
-    mean rank is known, so the sums are of what lies around it.
+    Both come from one scan: grouping sets count the distinct pairs of values, which are stored, since they are read for each
+    side's ranks and for the sums; ranks are sums over those counts, and the mean rank is known, so the sums are of what lies
+    around it.
     """
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(by, F.col(x).alias("__x"), F.col(y).alias("__y"))
+    pairs = df.select(by, F.col(x).alias("__x"), F.col(y).alias("__y"))
     cells = pairs.groupingSets([[by, "__x", "__y"], ["__x", "__y"]], by, "__x", "__y").agg(F.count("*").alias("__n"), F.grouping(by).alias("__all"))
-    cells = cells.select(F.when(F.col("__all") == 1, F.lit(every)).otherwise(F.col(by)).alias(name), "__x", "__y", "__n")
+    cells = stored(cells.select(F.when(F.col("__all") == 1, F.lit(every)).otherwise(F.col(by)).alias(name), "__x", "__y", "__n"), "rank-cells")
+    cells = cells.where("__x is not null and __y is not null")  # not earlier: a filter would find the values a second time
     total = F.sum("__n").over(Window.partitionBy(name))
     for side in ("__x", "__y"):
         counts = cells.groupBy(name, side).agg(F.sum("__n").alias("__n"))

@@ -12,7 +12,7 @@ from corpusloom.functions import metrics as M
 from corpusloom.functions import stats as S
 from corpusloom.functions import text as X
 from corpusloom.functions import verdicts as W
-from corpusloom.functions.sentences import lead, split_sentences
+from corpusloom.functions.sentences import first_sentences, lead, split_sentences
 
 ODD = ["", " ", "a", " a b ", "x y　z", "\x1c q\x85r", "é é", "a​b", "don't stop", "½ x_1 ١٢", "\t\n", None, "www.a.b/c d http://x/y z", "A" * 5000]
 
@@ -58,6 +58,37 @@ def test_sentences(spark, text, expected):
     assert texts(spark, [text]).select(split_sentences("t").alias("s")).first().s == expected
 
 
+def test_first_sentences_are_those_of_the_whole_text(spark):
+    """Wherever a head ends, the sentences it is asked for are those that the whole text has."""
+    rng = random.Random(5)
+    parts = ["Ab", "cd", "TP.", "TS. ", "... ", "\u2026", ". ", ".\u2003", "! ", '."', " ", "   ", "\n", "\n\n", "\t", "\u00c0", "7", "(", "\u201c", "\x1c", "\u0001", "\u0002", "\U0001f600", "."]
+    given = ["", " ", " \n ", None, *("".join(rng.choices(parts, k=rng.randint(1, 40))) for _ in range(600))]
+    rows = texts(spark, given)
+    got = rows.select("t", *[first_sentences("t", n, head).alias(f"s{n}_{head}") for n in (1, 3) for head in (3, 9, 25)], F.slice(split_sentences("t"), 1, 1).alias("w1"), F.slice(split_sentences("t"), 1, 3).alias("w3")).collect()
+    assert len(got) == len(given) and all(r[f"s{n}_{head}"] == r[f"w{n}"] for r in got for n in (1, 3) for head in (3, 9, 25))
+
+
+def test_has_words_and_strip_know_all_white_space(spark):
+    given = [None, "", " ", "a", " a\u2003b", "a\x1cb\x85c \u3000d", "a b c d e", "\ufeffa", "\u180ea b", *(chr(k) + "x" + chr(k) + "y" for k in range(0x3002) if not 0xD800 <= k < 0xE000)]
+    got = texts(spark, given).select("t", X.has_words("t", 2).alias("two"), X.has_words("t", 4).alias("four"), X.word_count("t").alias("n"), X.pstrip("t").alias("p")).collect()
+    for r in got:
+        n = len((r.t or "").split())
+        assert (r.two, r.four, r.n) == (n >= 2, n >= 4, n) and r.p == (None if r.t is None else r.t.strip())
+
+
+def test_spearman_sets_find_their_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x * x % 17.0
+
+    given = spark.range(40).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("g"), F.udf(counted, "double")(F.col("id").cast("double")).alias("x"), (F.col("id") % 7).alias("y"))
+    assert sorted((r.scope, r.n) for r in S.spearman_sets(given, "x", "y", "g").collect()) == [("a", 20), ("all", 40), ("b", 20)]
+    assert seen.value == 40
+
+
+
 def test_lead_of_blank_is_the_text(spark):
     assert [r[0] for r in texts(spark, ["  ", "A b. C d. E."]).orderBy("k").select(lead("t", 2)).collect()] == ["  ", "A b. C d."]
 
