@@ -43,19 +43,35 @@ def rouge_n(rows: DataFrame, keys: list[str], predicted: str, reference: str, n:
 
 
 def rouge_ns(rows: DataFrame, keys: list[str], predicted: str, reference: str, sizes: list[int]) -> DataFrame:
-    """(keys, precision_n, recall_n, f1_n for each n of sizes) of clipped n-gram overlap.
+    """(keys, precision_n, recall_n, f1_n for each n of sizes) of clipped n-gram overlap, each row by itself.
 
-    Grams of both sides and of all sizes are counted together in one aggregation, a signed pair of counts a gram, so no side
-    is joined; the counts are summed in every task before the shuffle. Rows without grams come from a left join.
+    A row's grams are counted where the row is, so nothing is shuffled and a task holds one row's grams at a time.
     """
-    side = lambda c, own, n: F.transform(joined_ngrams(c, n), lambda g: F.struct(g.alias("g"), F.lit(n).alias("n"), F.lit(own).alias("own")))
-    grams = rows.select(*keys, F.explode(F.concat(*[side(c, own, n) for c, own in ((predicted, 1), (reference, 0)) for n in sizes])).alias("x"))
-    counts = grams.groupBy(*keys, "x.g", "x.n").agg(F.count_if(F.col("x.own") == 1).alias("p"), F.count_if(F.col("x.own") == 0).alias("r"))
-    of = lambda n, c: F.sum(F.when(F.col("n") == n, c))
-    sums = counts.groupBy(*keys).agg(*[of(n, c).alias(f"{a}{n}") for n in sizes for a, c in (("o", F.least("p", "r")), ("p", F.col("p")), ("r", F.col("r")))])
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    out = [c.alias(f"{a}_{n}") for n in sizes for c, a in zip(scores(*[zero(F.col(f"{x}{n}")) for x in "opr"]), ("precision", "recall", "f1"), strict=True)]
-    return rows.select(*keys).join(sums, keys, "left").select(*keys, *out)
+    number = lambda c, n: F.coalesce(F.greatest(F.size(c) - (n - 1), F.lit(0)), F.lit(0))
+    given = rows.select(*keys, *[clipped_overlap(predicted, reference, n).alias(f"__o{n}") for n in sizes], *[number(F.col(c), n).alias(f"__{a}{n}") for n in sizes for a, c in (("p", predicted), ("r", reference))])
+    out = [c.alias(f"{a}_{n}") for n in sizes for c, a in zip(scores(*[F.col(f"__{x}{n}") for x in "opr"]), ("precision", "recall", "f1"), strict=True)]
+    return given.select(*keys, *out)
+
+
+def clipped_overlap(a: Column | str, b: Column | str, n: int) -> Column:
+    """How many n-grams two token arrays share, each counted as often as the side has it that has it less; null shares none.
+
+    Grams that both sides have count once each; of what a side has beyond its first of each gram, which is little, the grams
+    of both are sorted together, of equal ones b's first, and each of a's takes one of b's that is left.
+    """
+    grams = lambda c: F.sort_array(col(c) if n == 1 else joined_ngrams(c, n))
+    again = lambda t: F.filter(t, lambda x, k: F.get(t, k - 1) == x)
+    side = lambda t, own: F.transform(again(t), lambda g: F.struct(g.alias("g"), F.lit(own).alias("own")))
+    start = F.struct(F.lit(None).cast("string").alias("g"), F.lit(0).alias("left"), F.lit(0).alias("n"))
+
+    def step(acc: Column, x: Column) -> Column:
+        left = F.when(x["g"] == acc["g"], acc["left"]).otherwise(0)
+        taken = F.struct(x["g"].alias("g"), F.greatest(left - 1, F.lit(0)).alias("left"), (acc["n"] + F.when(left > 0, 1).otherwise(0)).alias("n"))
+        return F.when(x["own"], taken).otherwise(F.struct(x["g"].alias("g"), (left + 1).alias("left"), acc["n"].alias("n")))
+
+    more = lambda s: F.aggregate(F.sort_array(F.concat(side(s["a"], True), side(s["b"], False))), start, step, lambda acc: acc["n"])
+    both = let(F.struct(grams(a).alias("a"), grams(b).alias("b")), lambda s: F.size(F.array_intersect(s["a"], s["b"])) + more(s))
+    return F.when(col(a).isNotNull() & col(b).isNotNull(), both).otherwise(0)
 
 
 #: Bits of a word of the table's row: a sum of two words and a carry stays within a long.
