@@ -690,6 +690,12 @@ def test_overlap_queries_are_the_plain_ones(spark):
     assert tuple(q_stats.disagreement_case(spark, sf).first()) == (gap, sample, system)
 
 
+def test_eval_summary_scores_rows_where_they_are(spark):
+    """Predictions meet what they are scored against in one join and are aggregated once."""
+    plan = q_stats.eval_summary(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Aggregate [" in x for x in plan.splitlines()) == 1 and sum(" Join " in x or x.startswith("Join ") or "- Join " in x for x in plan.splitlines()) == 1
+
+
 def test_repeat_spacing_query(spark):
     sf = "/root/testdata/sf0.001"
     got = {r.position: (r.sample_id, r.is_repeat) for r in q_study.repeat_spacing(spark, sf).collect()}
