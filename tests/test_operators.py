@@ -392,6 +392,19 @@ def test_priority_sample_keeps_all_warned(spark):
         q_study.prioritized(df, 5)
 
 
+def test_priority_sample_looks_at_a_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(t):
+        seen.add(1)
+        return t
+
+    given = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.col("id").cast("string"), F.lit(" x ")), 15).alias("t"))
+    texts = given.select("doc_id", F.concat(F.udf(counted, "string")("t"), F.lit("x")).alias("text"))
+    assert q_study.prioritized(texts, 30).count() == 30
+    assert seen.value == 60
+
+
 def test_lines_of_many_splits(spark, tmp_path):
     rng = np.random.default_rng(1)
     bodies = {"a.jsonl": "".join(json.dumps({"k": int(k), "t": "x" * int(rng.integers(0, 60))}) + "\n" for k in range(3000)), "b.jsonl": "", "c.jsonl": '{"k": 1}\r\n{"k": 2}'}
