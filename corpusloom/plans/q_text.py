@@ -161,7 +161,9 @@ def word_segments(spark, d):
     """Documents cut into words of a dictionary of compounds that is counted from all of them, and the share of compounds."""
     from corpusloom.operators import segmentation as G
 
-    rows = table(spark, d, "documents").select("doc_id", X.tokens("text").alias("tokens"))
-    lexicon = stored(G.compounds(rows.where("tokens is not null"), "tokens", 20_000), "lexicon")
-    cut = G.segment(rows, "tokens", lexicon)
-    return cut.select("doc_id", F.size("tokens").alias("n_tokens"), F.size("segments").alias("n_segments"), F.round(G.joined_share("segments"), 6).alias("compound_share"), F.array_join("segments", " ").alias("segmented"))
+    rows = stored(table(spark, d, "documents").select("doc_id", X.token_text("text").alias("segmented")), "tokens")
+    lexicon = stored(G.compounds(rows.where("segmented is not null"), "segmented", 20_000), "lexicon")
+    cut = G.segment_text(rows, "segmented", lexicon)
+    size = lambda n: F.coalesce(n, F.size(F.lit(None).cast("array<string>")))
+    share = F.round(F.col("n_compounds") / F.nullif(F.col("n_segments"), F.lit(0)), 6)
+    return cut.select("doc_id", size("n_tokens").alias("n_tokens"), size("n_segments").alias("n_segments"), share.alias("compound_share"), "segmented")

@@ -292,6 +292,67 @@ def test_documents_are_cut_by_their_own_compounds(spark):
         assert r.segmented.replace("_", " ").split() == " ".join(own[r.doc_id]).replace("_", " ").split() and r.n_tokens == len(own[r.doc_id])
 
 
+def test_cuts_of_equal_worth_are_the_same_wherever_they_stand():
+    compounds = {"x x": 3.1, "x x x": 4.7, "a b": 0.1, "b a": 0.2, "a b a": 0.3}
+    own = segmentation.Lexicon([*compounds.items()])
+    for t in [["x"] * n for n in range(40)] + [list("ab" * n) for n in range(20)]:
+        # from each end, worth in millionths, pieces and the last piece's length
+        best = [(0, 0, 0)]
+        for end in range(1, len(t) + 1):
+            steps = [k for k in range(1, min(end, 3) + 1) if k == 1 or " ".join(t[end - k : end]) in compounds]
+            best.append(max((best[end - k][0] + (round(1e6 * compounds[" ".join(t[end - k : end])]) if k > 1 else 0), best[end - k][1] - 1, k) for k in steps))
+        want, end = [], len(t)
+        while end:
+            want, end = ["_".join(t[end - best[end][2] : end]), *want], end - best[end][2]
+        assert own.cut(t) == want
+
+
+@pytest.mark.parametrize("few", [1, 3, 24, 1 << 30])
+def test_many_rows_are_cut_as_one_by_one(few, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(segmentation, "FEW", few)
+    rng = np.random.default_rng(few % 97)
+    for _ in range(60):
+        compounds = {" ".join(rng.choice([*"abcdz", "x_y", "é"], rng.integers(1, 5))): float(rng.integers(-3, 9)) / 10 for _ in range(rng.integers(0, 12))}
+        texts = [None if rng.random() < 0.1 else " ".join(rng.choice([*"abcdz", "x_y", "é"], rng.integers(0, 40))) for _ in range(rng.integers(2, 40))]
+        one, many = segmentation.Lexicon([*compounds.items()]), segmentation.Cutter([*compounds.items()])
+        got = list(zip(*[x.to_pylist() for x in many.cut(pa.array(texts, pa.string()).slice(1))], strict=True))
+        for t, row in zip(texts[1:], got, strict=True):
+            tokens = (t or "").split()
+            cut = one.cut(tokens)
+            assert row == ((None,) * 4 if t is None else (" ".join(cut), len(tokens), len(cut), sum("_" in x for x in cut)))
+
+
+def test_compounds_by_numbers_are_those_by_strings(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = [None, "", "a"] + [" ".join([*rng.choice([*"abcdefghijklmnop"], 40), *["new", "york"] * (k % 3 > 0), *["san", "jose", "city"] * (k % 9 == 0), "é_x", "y"]) for k in range(90)]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").repartition(3)
+    arrays = rows.select(F.when(F.col("t") == "", F.array().cast("array<string>")).otherwise(F.split("t", " ")).alias("t"))
+    calls, common = [], segmentation._common_runs
+    monkeypatch.setattr(segmentation, "_common_runs", lambda given, counts, total, floor, *a: calls.append(floor) or common(given, counts, total, floor, *a))
+    monkeypatch.setattr(segmentation, "SUMMED", 50)
+    every = lambda r, most, **b: sorted(tuple(x) for x in segmentation.compounds(r, "t", most, apart=2.0, **b).collect())
+    lowered = 0
+    for most, longest in ((1, 3), (9, 2), (500, 4)):
+        calls.clear()
+        got = every(rows, most, longest=longest)
+        floors = [*calls]
+        assert got == every(arrays, most, longest=longest) and len(got) <= most
+        want = every(rows.where("t is not null"), most, longest=longest, held=0)
+        assert [x[:2] for x in got] == [x[:2] for x in want] and all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(got, want, strict=True))
+        assert floors[-1] == 5 or len(got) == most
+        lowered += len(floors) > 1
+    assert lowered
+    assert every(rows, 9, longest=1) == [] == every(rows.limit(0), 9)
+
+
+def test_token_text_holds_the_tokens(spark):
+    texts = ["", " ", "a", "A  b\n--c_d 1½ é\u0301x İ ΑΣ. 漢字 ٣٤ \U0001d400 \u00a0\u2003z", "--", "\tX", None, "\x00a\x00"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(X.tokens("t").alias("a"), X.token_text("t").alias("b")).collect()
+    assert [None if r.a is None else " ".join(r.a) for r in rows] == [r.b for r in rows]
+
+
 LOG = b'\xef\xbb\xbf{"k":1}\r\n{"k":2}\n\n{"k":"\xc3\xa9"}\n{"k":4'
 
 
