@@ -19,6 +19,8 @@ from corpusloom.operators.sampling import place
 from corpusloom.runtime import ship, stored
 
 SPACE, UNDERSCORE = b" _"
+#: Runs and their numbers, as bytes of longs.
+SHARES = "share int, keys binary, n binary"
 #: Tokens or runs that a task sums at a time; stretches under which they are cut one by one; no compound; bits for pieces.
 SUMMED, FEW, NONE, PIECES = 1 << 20, 24, -(1 << 62), 40
 
@@ -120,9 +122,10 @@ def _common_runs(given: DataFrame, counts: DataFrame, total: int, floor: int, lo
         return None
     words, times = pc.cast(common["token"].combine_chunks(), pa.string()), common["n"].to_numpy()
     sent, levels, found = spark.sparkContext.broadcast((words, times)), [], []
+    shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SUMMED)
     for k in range(2, longest + 1):
         above = spark.sparkContext.broadcast(levels)
-        runs = given.mapInArrow(_run_counter(sent, above, k), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= floor)
+        runs = given.mapInArrow(_run_counter(sent, above, k, shares), SHARES).repartition(shares, "share").mapInArrow(_run_adder(floor), "key long, n long")
         runs = stored(runs, "runs")
         found.append(runs.mapInArrow(_run_speller(sent, above, k), "compound string, n long, times array<bigint>"))
         if k < longest:
@@ -221,10 +224,9 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """(token, n), summed over a task's tokens as long as they are under a million."""
     parts, size, sum_up = [], 0, lambda p: pa.concat_tables(p).group_by("token").aggregate([("n", "sum")]).rename_columns(["token", "n"])
     for b in batches:
-        coded = Tokens.of(b.column(0)).flat.dictionary_encode(null_encoding="encode")
-        n = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
-        parts.append(pa.table({"token": pc.cast(coded.dictionary, pa.string()), "n": pa.array(n, pa.int64())}))
-        size += len(n)
+        counted = Tokens.of(b.column(0)).flat.value_counts()
+        parts.append(pa.table({"token": pc.cast(counted.field("values"), pa.string()), "n": counted.field("counts")}))
+        size += len(counted)
         if size > SUMMED:
             parts = [sum_up(parts)]
             size = len(parts[0])
@@ -235,12 +237,18 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from sum_up(parts).to_batches(1 << 16)
 
 
-def _run_counter(sent: Broadcast, above: Broadcast, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts the runs of k tokens whose tokens are sent and whose parts are the last of the levels above."""
+def _run_counter(sent: Broadcast, above: Broadcast, k: int, shares: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts the runs of k tokens whose tokens are sent and whose parts are the last of the levels above: SHARES, by the keys'
+    remainders, each with the keys in order as bytes, so Spark moves a row for thousands of runs."""
 
-    def rows_of(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(keys), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)])], names=["key", "n"])
+    def shared(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        share = keys % shares
+        order = np.argsort(share, kind="stable")
+        keys, n, edges = keys[order], n[order], np.searchsorted(share[order], np.arange(shares + 1))
+        for i in range(0, shares, 64):
+            some = [j for j in range(i, min(i + 64, shares)) if edges[j] < edges[j + 1]]
+            packed = [pa.array([x[edges[j] : edges[j + 1]].tobytes() for j in some], pa.binary()) for x in (keys, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *packed], names=["share", "keys", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (words, _), levels, parts, size, known = sent.value, above.value, [], 0, 0
@@ -255,21 +263,41 @@ def _run_counter(sent: Broadcast, above: Broadcast, k: int) -> Callable[[Iterato
             at, run = at[both], run[both]
             every = np.sort(run * len(words) + ids[at + k - 1])
             first = np.flatnonzero(np.diff(every, prepend=-1))
-            keys, n = every[first], np.diff(first, append=len(every))
-            parts.append((keys, n))
-            size += len(keys)
+            parts.append((every[first], np.diff(first, append=len(every))))
+            size += len(first)
             if size > SUMMED + 2 * known:
                 parts = [_summed(parts)]
                 size = known = len(parts[0][0])
                 if size > 2 * SUMMED:
-                    yield from rows_of(*parts[0])
+                    yield from shared(*parts[0])
                     parts, size, known = [], 0, 0
         if parts:
-            yield from rows_of(*_summed(parts))
+            yield from shared(*_summed(parts))
 
     return count
 
 
+def _run_adder(floor: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, n) of the runs that occur `floor` times, of all SHARES of their keys. What a task holds is bounded by its shares,
+    of about SUMMED tokens each."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size, known = [], 0, 0
+        for b in batches:
+            parts += [tuple(np.frombuffer(x, np.int64) for x in row) for row in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            size += sum(len(x[0]) for x in parts[-b.num_rows :]) if b.num_rows else 0
+            if size > SUMMED + 2 * known:
+                parts = [_summed(parts)]
+                size = known = len(parts[0][0])
+        if parts:
+            keys, n = _summed(parts)
+            keys, n = keys[n >= floor], n[n >= floor]
+            for i in range(0, len(keys), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)])], names=["key", "n"])
+
+    return add
+
+
 def _run_speller(sent: Broadcast, above: Broadcast, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(compound, n, how often each of its tokens occurs) of (key, n)."""
 

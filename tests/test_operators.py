@@ -331,7 +331,7 @@ def test_compounds_by_numbers_are_those_by_strings(spark, monkeypatch):
     arrays = rows.select(F.when(F.col("t") == "", F.array().cast("array<string>")).otherwise(F.split("t", " ")).alias("t"))
     calls, common = [], segmentation._common_runs
     monkeypatch.setattr(segmentation, "_common_runs", lambda given, counts, total, floor, *a: calls.append(floor) or common(given, counts, total, floor, *a))
-    monkeypatch.setattr(segmentation, "SUMMED", 50)
+    monkeypatch.setattr(segmentation, "SUMMED", 400)
     every = lambda r, most, **b: sorted(tuple(x) for x in segmentation.compounds(r, "t", most, apart=2.0, **b).collect())
     lowered = 0
     for most, longest in ((1, 3), (9, 2), (500, 4)):
